@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op1_transducer_bpe
+from .fingerprints import op8_imatch
+from .language import op7_subword_language
 from .line_dedup import OP4_SQL, op4_site_lines
+from .media import op2_png_columns
 from .packing import op6_tree_packing
+from .quality import op9_kneser_ney
 from .sharding import op3_histogram_sort
 
-QUERIES = {f.__name__: f for f in (op1_transducer_bpe, op3_histogram_sort, op4_site_lines, op6_tree_packing)}
+QUERIES = {f.__name__: f for f in (op1_transducer_bpe, op2_png_columns, op3_histogram_sort, op4_site_lines, op6_tree_packing, op7_subword_language, op8_imatch, op9_kneser_ney)}
 ORACLE_SQL = {"op4_site_lines": OP4_SQL}
