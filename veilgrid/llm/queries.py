@@ -10,6 +10,7 @@ from .media import op2_png_columns
 from .packing import op6_tree_packing
 from .quality import op9_kneser_ney
 from .sharding import op3_histogram_sort
+from .suffix_dedup import op5_induced_sorting
 
-QUERIES = {f.__name__: f for f in (op1_transducer_bpe, op2_png_columns, op3_histogram_sort, op4_site_lines, op6_tree_packing, op7_subword_language, op8_imatch, op9_kneser_ney)}
+QUERIES = {f.__name__: f for f in (op1_transducer_bpe, op2_png_columns, op3_histogram_sort, op4_site_lines, op5_induced_sorting, op6_tree_packing, op7_subword_language, op8_imatch, op9_kneser_ney)}
 ORACLE_SQL = {"op4_site_lines": OP4_SQL}
