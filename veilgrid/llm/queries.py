@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_transducer_bpe
 from .fingerprints import op8_imatch
+from .jaccard import op10_divide_skip
 from .language import op7_subword_language
 from .line_dedup import OP4_SQL, op4_site_lines
 from .media import op2_png_columns
@@ -12,5 +13,5 @@ from .quality import op9_kneser_ney
 from .sharding import op3_histogram_sort
 from .suffix_dedup import op5_induced_sorting
 
-QUERIES = {f.__name__: f for f in (op1_transducer_bpe, op2_png_columns, op3_histogram_sort, op4_site_lines, op5_induced_sorting, op6_tree_packing, op7_subword_language, op8_imatch, op9_kneser_ney)}
+QUERIES = {f.__name__: f for f in (op1_transducer_bpe, op2_png_columns, op3_histogram_sort, op4_site_lines, op5_induced_sorting, op6_tree_packing, op7_subword_language, op8_imatch, op9_kneser_ney, op10_divide_skip)}
 ORACLE_SQL = {"op4_site_lines": OP4_SQL}
