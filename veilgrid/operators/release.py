@@ -50,15 +50,26 @@ def released_columns_sql(base: str, template: Template, eps: dict[str, float], m
     return layered_sql(f"(SELECT *, {', '.join(columns)} FROM {base})", template, names={r: f'"{prefix}{r}"' for r in template.roots}, prefix=prefix)
 
 
-def targets(long: DataFrame, by: tuple[str, ...], value: str = "value", name: str = "target") -> DataFrame:
-    """(template, by, name, name_class): the target and class of every template, from rows (template, by, root, value)."""
-    out: DataFrame | None = None
-    for t in templates().values():
-        columns = [F.max(F.when(F.col("root") == r, F.col(value))).alias(r) for r in t.roots]
-        w = with_derived(long.where(F.col("template") == t.name).groupBy("template", *by).agg(*columns), t)
-        one = w.select("template", *by, F.col(f"`{t.target}`").alias(name), F.expr(class_sql(SPARK, t, f"`{t.target}`")).alias(f"{name}_class"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def targets(long: DataFrame, by: tuple[str, ...], value: str = "value", name: str = "target", **more: str) -> DataFrame:
+    """(template, by, name, name_class): the target and class of every template, from rows (template, by, root, value).
+
+    more: further names with the columns they come from. Roots become columns in one aggregate, and every template's
+    nodes are derived on its rows; those of other templates are null there.
+    """
+    pairs = {name: value} | more
+    roots = sorted({r for t in templates().values() for r in t.roots})
+    columns = [F.max(F.when(F.col("root") == r, F.col(v))).alias(f"_{n}_{r}") for n, v in pairs.items() for r in roots]
+    out = long.groupBy("template", *by).agg(*columns)
+    results = []
+    for n in pairs:
+        target, kind = F.lit(None).cast("double"), F.lit(None).cast("int")
+        for t in templates().values():
+            out = with_derived(out, t, {r: f"`_{n}_{r}`" for r in t.roots}, f"_{n}_")
+            column = f"`_{n}_{t.target}`"
+            target = F.when(F.col("template") == t.name, F.col(column)).otherwise(target)
+            kind = F.when(F.col("template") == t.name, F.expr(class_sql(SPARK, t, column))).otherwise(kind)
+        results += [target.alias(n), kind.alias(f"{n}_class")]
+    return out.select("template", *by, *results)
 
 
 def targets_sql(long: str, by: tuple[str, ...], value: str = "value", name: str = "target") -> str:

@@ -114,9 +114,7 @@ def observations_sql(mechanism: str = "exp") -> str:
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(template, config, b_setting, eps, patient_id, truth, truth_class, target, target_class)."""
-    obs = observations(spark, sf_dir)
-    truth = targets(patients(spark, sf_dir), ("patient_id",), "value", "truth")
-    return targets(obs, BY, "released", "target").join(truth, ["template", "patient_id"])
+    return targets(observations(spark, sf_dir), BY, "released", "target", truth="value")
 
 
 def results_sql() -> str:

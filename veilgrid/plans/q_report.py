@@ -1 +1,442 @@
-"""Queries: audit, metrics, reports, joins, text, chat, streams."""
+"""Queries: audit, metrics, reports, joins, windows and sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
+
+from ..functions import mechanisms as N
+from ..functions.dialect import DUCK, SPARK, Dialect
+from ..operators import audit as A
+from ..operators import metrics as M
+from ..operators import release as R
+from ..sources.tables import patients, patients_sql, table
+from .base import BY, CLASSES, SETTINGS, allocations_sql, cells, cells_sql, observations, observations_sql, pivot_sql, portable, query, results, results_sql, rounded
+from .catalog import PRICING
+from .q_release import LINE_KEYS, P
+
+D = DUCK
+O = f"WITH {observations_sql()} "  # noqa: E741
+RES = f"WITH {results_sql()} "
+CELLS = f"WITH {cells_sql()} "
+CELL = "template = 'HOMA' AND config = 'roots' AND b_setting = 'k+1' AND eps = 0.1"
+
+# Audit: HOMA roots, released q + 1 times ---------------------------------------------------------------------------------
+
+
+def repeats(spark: SparkSession, sf_dir: str, q: int = 4, cached: bool = False, mechanism: str = "exp") -> DataFrame:
+    o = observations(spark, sf_dir).where(CELL).drop("idx", "released")
+    return A.repeated(o, mechanism, q, cached)
+
+
+def repeats_sql(q: int = 4, cached: bool = False, mechanism: str = "exp") -> str:
+    index, value = R.release_sql(D, mechanism, ("template", "root", "patient_id"), None if cached else "draw")
+    return f"{O}, r0 AS (SELECT obs0.*, draw FROM obs0 CROSS JOIN (SELECT unnest(range({q + 1})) AS draw) WHERE {CELL}), r1 AS (SELECT *, {index} AS idx FROM r0), reps AS (SELECT *, {value} AS released FROM r1)"
+
+
+for _name, _cached in (("aud1_repeated", False), ("aud1_replayed", True)):
+
+    def _repeat(spark: SparkSession, sf_dir: str, cached: bool = _cached) -> DataFrame:
+        return repeats(spark, sf_dir, cached=cached).select("patient_id", "root", F.col("draw").cast("long").alias("draw"), "idx")
+
+    query(_name, f"{repeats_sql(cached=_cached)} SELECT patient_id, root, draw, idx FROM reps")(_repeat)
+
+
+@query("aud2_full_release", f"{repeats_sql(1)} SELECT patient_id, draw, round(max(CASE WHEN root = 'glu' THEN released END) * max(CASE WHEN root = 'ins' THEN released END) / 405, 4) AS homa FROM reps GROUP BY 1, 2")
+def aud2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.targets(repeats(spark, sf_dir, 1), ("patient_id", "draw"), "released", "homa")
+    return rounded(t.select("patient_id", "draw", "homa"))
+
+
+def likelihoods(d: Dialect) -> str:
+    lo, hi = d.num(900), d.num(105000)
+    t = f"({N.index_of(d, 'l_extendedprice', lo, hi)})"
+    s = "((l_partkey * 7) % 1000)"
+    return "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round({N.log_likelihood(d, m, s, t, d.num(0.5))}, 5) AS {m}" for m in ("exp", "blap", "stair")) + " FROM {lineitem}"
+
+
+portable("aud3_log_likelihood", likelihoods, "lineitem")
+
+
+@query("aud4_summed", f"{repeats_sql()} SELECT patient_id, root, round(sum({N.log_likelihood(D, 'exp', 'idx', D.num(500), 'eps_root')}), 4) AS ll FROM reps GROUP BY 1, 2")
+def aud4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ll = F.expr(N.log_likelihood(SPARK, "exp", "idx", SPARK.num(500), "eps_root"))
+    return rounded(repeats(spark, sf_dir).groupBy("patient_id", "root").agg(F.sum(ll).alias("ll")))
+
+
+@query("aud5_kernel", "WITH e AS (SELECT event_type, 0.001::DOUBLE * count(*) / 100 + 0.01 AS eps FROM events GROUP BY 1), g AS (SELECT unnest(range(0, 1000, 50)) AS t) SELECT event_type, t::BIGINT AS t, round(ln(sum(exp(-eps / 2 * abs(s - t)))), 6) AS log_z FROM e CROSS JOIN g CROSS JOIN (SELECT unnest(range(1000)) AS s) GROUP BY 1, 2")
+def aud5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg((0.001 * F.count(F.lit(1)) / 100 + 0.01).alias("eps"))
+    g = e.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(950), F.lit(50))))
+    z = F.expr(N.log_normaliser(SPARK, "exp(-eps / 2.0D)", "t"))
+    return g.select("event_type", F.col("t").cast("long").alias("t"), F.round(z, 6).alias("log_z"))
+
+
+@query("aud6_map_with_prior")
+def aud6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = patients(spark, sf_dir).where("template = 'HOMA'").groupBy("root").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    o = repeats(spark, sf_dir).join(F.broadcast(p), "root")
+    grid = lambda c: (F.col(c) / (F.col("hi") - F.col("lo")) * 999)
+    o = o.withColumn("prior_mean", (F.col("m") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 999).withColumn("prior_std", grid("s"))
+    return A.map_index(o, "exp")
+
+
+MID = "coalesce(est, (lo + hi) / 2)"
+
+
+@query("aud7_unaffected", f"{repeats_sql()}, e AS (SELECT patient_id, root, avg(released) AS est FROM reps WHERE root = 'glu' GROUP BY 1, 2) SELECT o.patient_id, o.root, round({MID}, 4) AS estimate FROM obs o LEFT JOIN e ON o.patient_id = e.patient_id AND o.root = e.root WHERE {CELL}")
+def aud7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = repeats(spark, sf_dir).where("root = 'glu'").groupBy("patient_id", "root").agg(F.avg("released").alias("est"))
+    return rounded(observations(spark, sf_dir).where(CELL).join(e, ["patient_id", "root"], "left").select("patient_id", "root", F.expr(MID).alias("estimate")))
+
+
+@query("aud8_lower_median", f"{repeats_sql()} SELECT patient_id, root, list_sort(list(idx))[(count(*) + 1) // 2] AS idx FROM reps GROUP BY 1, 2")
+def aud8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(spark, sf_dir).groupBy("patient_id", "root").agg(A.lower_median().alias("idx"))
+
+
+@query("aud9_independent_prior", P + " SELECT patient_id, template, round(sum(-0.5 * power((value - mean) / std, 2)), 4) AS lp FROM patients JOIN roots USING (template, root) GROUP BY 1, 2")
+def aud9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import roots_table
+
+    stats = spark.createDataFrame(roots_table(), "template string, root string, mean double, std double, lo double, hi double")
+    p = patients(spark, sf_dir).join(F.broadcast(stats), ["template", "root"])
+    return rounded(p.groupBy("patient_id", "template").agg(F.sum(-0.5 * F.pow((F.col("value") - F.col("mean")) / F.col("std"), 2)).alias("lp")))
+
+
+COV = "cov AS (SELECT avg(g) AS mg, avg(i) AS mi, var_pop(g) + 1e-6 AS a, covar_pop(g, i) AS b, var_pop(i) + 1e-6 AS d FROM w)"
+QUADRATIC = "-0.5 * ((g - mg) * (g - mg) * d - 2 * (g - mg) * (i - mi) * b + (i - mi) * (i - mi) * a) / (a * d - b * b)"
+
+
+@query("aud10_joint_prior", f"{P}, w AS (SELECT patient_id, max(CASE WHEN root = 'glu' THEN value END) AS g, max(CASE WHEN root = 'ins' THEN value END) AS i FROM patients WHERE template = 'HOMA' GROUP BY 1), {COV} SELECT patient_id, round({QUADRATIC.replace("-0.5", "-0.5::DOUBLE")}, 4) + 0.0::DOUBLE AS lp FROM w CROSS JOIN cov")
+def aud10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = patients(spark, sf_dir).where("template = 'HOMA'").groupBy("patient_id").agg(F.max(F.when(F.col("root") == "glu", F.col("value"))).alias("g"), F.max(F.when(F.col("root") == "ins", F.col("value"))).alias("i"))
+    cov = w.agg(F.avg("g").alias("mg"), F.avg("i").alias("mi"), (F.var_pop("g") + 1e-6).alias("a"), F.covar_pop("g", "i").alias("b"), (F.var_pop("i") + 1e-6).alias("d"))
+    return w.crossJoin(F.broadcast(cov)).select("patient_id", (F.round(F.expr(QUADRATIC), 4) + 0.0).alias("lp"))
+
+
+@query("aud11_naive", f"{repeats_sql()} SELECT patient_id, root, round(avg(released), 4) AS mean, round(max_by(released, draw), 4) AS last FROM reps GROUP BY 1, 2")
+def aud11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(repeats(spark, sf_dir).groupBy("patient_id", "root").agg(F.avg("released").alias("mean"), F.max_by("released", "draw").alias("last")))
+
+
+@query("aud12_target_estimates", f"{repeats_sql()}, t AS (SELECT patient_id, draw, max(CASE WHEN root = 'glu' THEN released END) * max(CASE WHEN root = 'ins' THEN released END) / 405 AS homa FROM reps GROUP BY 1, 2) SELECT patient_id, round(median(homa), 4) AS med, round(max_by(homa, draw), 4) AS last FROM t GROUP BY 1")
+def aud12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.targets(repeats(spark, sf_dir), ("patient_id", "draw"), "released", "homa")
+    return rounded(t.groupBy("patient_id").agg(F.percentile("homa", 0.5).alias("med"), F.max_by("homa", "draw").alias("last")))
+
+
+@query("aud13_errors", f"{repeats_sql()} SELECT patient_id, root, round(abs(avg(released) - any_value(value)), 4) AS absolute, round(CASE WHEN any_value(value) = 0 THEN NULL ELSE abs(avg(released) - any_value(value)) / abs(any_value(value)) END, 6) AS relative FROM reps GROUP BY 1, 2")
+def aud13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = repeats(spark, sf_dir).groupBy("patient_id", "root").agg(F.avg("released").alias("est"), F.first("value").alias("value"))
+    error = F.abs(F.col("est") - F.col("value"))
+    return rounded(e.select("patient_id", "root", error.alias("absolute"), F.try_divide(error, F.abs("value")).alias("relative")), relative=6)
+
+
+@query("aud14_request_plan", "WITH s AS (SELECT c_custkey AS session, 2 + c_custkey % 4 AS t FROM customer) SELECT session, turn::BIGINT AS turn, ['glu', 'ins', 'age'][turn % 3 + 1] AS root FROM (SELECT session, unnest(range(t - 1)) AS turn FROM s) UNION ALL SELECT session, t - 1, unnest(['glu', 'ins', 'age']) FROM s")
+def aud14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session"), (F.col("c_custkey") % 4 + 2).cast("int").alias("t"))
+    return A.request_plan(s, ["glu", "ins", "age"]).select("session", F.col("turn").cast("long").alias("turn"), "root")
+
+
+@query("aud15_rank_matched", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) AS n FROM events WHERE event_type = 'click'), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) AS n FROM events WHERE event_type <> 'click') SELECT r.user_id, r.event_id, c.event_id AS matched FROM r LEFT JOIN c ON r.user_id = c.user_id AND floor(r.value) = floor(c.value) AND r.n = c.n")
+def aud15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.floor("value").alias("value"), "event_id", "event_type")
+    requests = e.where("event_type = 'click'").select("session", "value", F.lit(True).alias("pending"), F.col("event_id").alias("ord"))
+    calls = e.where("event_type <> 'click'").select("session", "value", F.col("event_id").alias("released"), F.col("event_id").alias("ord"))
+    return A.match_calls(requests, calls).select(F.col("session").alias("user_id"), F.col("ord").alias("event_id"), F.col("released").alias("matched"))
+
+
+@query("aud16_gaps", f"{repeats_sql()} SELECT root, count(*) AS n, count(*) FILTER (abs(round(released, 1) - released) > 1e-9) AS gaps, count(*) FILTER (idx < 3) AS failures FROM reps GROUP BY 1")
+def aud16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.abs(F.round("released", 1) - F.col("released")) > 1e-9
+    return repeats(spark, sf_dir).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps"), F.count_if(F.col("idx") < 3).alias("failures"))
+
+
+@query("aud17_per_observation_eps", f"{P}, {allocations_sql()}, star AS (SELECT DISTINCT template, eps AS per_call FROM allocs WHERE config = 'all' AND eps = 0.1) SELECT p.template, p.root, round(coalesce(a.eps_root, per_call), 6) AS eps, count(*) AS n FROM patients p LEFT JOIN allocs a ON a.template = p.template AND a.root = p.root AND a.config = 'opt' AND a.b_setting = 'k+1' AND a.eps = 0.1 AND p.template <> 'NLR' JOIN star s ON s.template = p.template GROUP BY ALL")
+def aud17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import allocations
+
+    a = allocations(spark).where("b_setting = 'k+1' AND eps = 0.1")
+    own = a.where("config = 'opt' AND template <> 'NLR'").select("template", "root", "eps_root")
+    star = a.where("config = 'all'").select("template", F.col("eps").alias("per_call")).distinct()
+    p = patients(spark, sf_dir).join(F.broadcast(own), ["template", "root"], "left").join(F.broadcast(star), "template")
+    return p.groupBy("template", "root", F.round(F.coalesce("eps_root", "per_call"), 6).alias("eps")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Metrics ------------------------------------------------------------------------------------------------------------
+
+
+@query("agg1_relative_error", RES + "SELECT template, config, patient_id, round(abs(target - truth) / CASE WHEN abs(truth) > 1e-10 THEN abs(truth) ELSE 1 END * 100, 3) AS error FROM results WHERE eps = 0.1 AND b_setting = '3k+1'")
+def agg1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir).where("eps = 0.1 AND b_setting = '3k+1'")
+    return rounded(r.select("template", "config", "patient_id", M.relative_error(F.col("truth"), F.col("target")).alias("error")), 3)
+
+
+def cell_query(name: str, columns: str, where: str = "TRUE", digits: int = 3) -> None:
+    """Columns of the cells, doubles rounded."""
+    doubles = [c.strip() for c in columns.split(",")]
+    picks = ", ".join(f"round({c}, {digits}) AS {c}" if c != "n" else c for c in doubles)
+
+    @query(name, f"{CELLS} SELECT template, config, b_setting, eps, {picks} FROM cells WHERE {where}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(cells(spark, sf_dir).where(where).select("template", "config", "b_setting", "eps", *doubles), digits)
+
+
+cell_query("agg2_class_error", "class_error")
+cell_query("agg3_mean_std_n", "class_error, class_std, n")
+cell_query("agg4_wmape", "wmape, n")
+cell_query("agg6_rce", "rce")
+cell_query("agg7_cells", "n")
+
+
+def bootstrap_sql() -> str:
+    w = M.poisson_weight(D, "'boot'", "b", "patient_id")
+    return f"""draws AS (SELECT template, config, b, CASE WHEN b = 0 THEN 1 ELSE {w} END AS w, abs(target - truth) AS e, abs(truth) AS t
+        FROM results CROSS JOIN (SELECT unnest(range(21)) AS b) WHERE eps = 0.1 AND b_setting = '3k+1'),
+        s AS (SELECT template, config, b, 100 * sum(w * e) / sum(w * t) AS s FROM draws GROUP BY ALL),
+        boot AS (SELECT template, config, max(CASE WHEN b = 0 THEN s END) AS wmape, stddev_samp(CASE WHEN b > 0 THEN s END) AS se FROM s GROUP BY ALL)"""
+
+
+def boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir).where("eps = 0.1 AND b_setting = '3k+1'")
+    return M.bootstrap_wmape(r, ("template", "config"), "patient_id", "truth", "target", 20)
+
+
+@query("agg5_bootstrap", f"{RES}, {bootstrap_sql()} SELECT template, config, round(wmape, 3) AS wmape, round(se, 4) AS se FROM boot")
+def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(boot(spark, sf_dir), 4, wmape=3)
+
+
+@query("agg8_per_root", f"{repeats_sql()}, e AS (SELECT patient_id, root, abs(avg(released) - any_value(value)) AS naive, abs(median(released) - any_value(value)) AS med FROM reps GROUP BY 1, 2) SELECT root, count(*) AS n, round(avg(naive), 4) AS naive, round(avg(med), 4) AS med, round(stddev_pop(naive), 4) AS naive_std, round(avg(naive - med), 4) AS delta FROM e GROUP BY 1")
+def agg8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = repeats(spark, sf_dir).groupBy("patient_id", "root").agg(F.abs(F.avg("released") - F.first("value")).alias("naive"), F.abs(F.percentile("released", 0.5) - F.first("value")).alias("med"))
+    return rounded(e.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.avg("naive").alias("naive"), F.avg("med").alias("med"), F.stddev_pop("naive").alias("naive_std"), F.avg(F.col("naive") - F.col("med")).alias("delta")))
+
+
+@query("agg9_two_levels", f"{O}, r AS (SELECT template, config, root, 100 * sum(abs(released - value)) / sum(abs(value)) AS w FROM obs WHERE eps = 0.1 AND b_setting = '3k+1' GROUP BY ALL) SELECT template, config, round(avg(w), 3) AS wmape, count(*) AS roots FROM r GROUP BY ALL")
+def agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = observations(spark, sf_dir).where("eps = 0.1 AND b_setting = '3k+1'")
+    r = o.groupBy("template", "config", "root").agg(M.wmape(F.col("value"), F.col("released")).alias("w"))
+    return rounded(r.groupBy("template", "config").agg(F.avg("w").alias("wmape"), F.count(F.lit(1)).alias("roots")), 3)
+
+
+@query("agg10_compliance", RES + "SELECT config, count(*) AS sessions, count(*) FILTER (target IS NULL) AS missing, count(*) FILTER (abs(target - truth) > abs(truth)) AS failures, sum((truth_class <> target_class)::INT)::BIGINT AS wrong FROM results GROUP BY 1")
+def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir)
+    return r.groupBy("config").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("target").isNull()).alias("missing"), F.count_if(F.abs(F.col("target") - F.col("truth")) > F.abs("truth")).alias("failures"), F.count_if(F.col("truth_class") != F.col("target_class")).alias("wrong"))
+
+
+@query("agg11_composed_se", f"{RES}, {bootstrap_sql()} SELECT config, round(avg(wmape), 3) AS wmape, round(sqrt(sum(se * se)) / count(*), 4) AS se FROM boot GROUP BY 1")
+def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.composed(boot(spark, sf_dir), ("config",)), 4, wmape=3)
+
+
+@query("agg12_parametric_se", CELLS + "SELECT template, config, b_setting, eps, round(class_std / sqrt(n), 4) AS se FROM cells")
+def agg12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cells(spark, sf_dir).select("template", "config", "b_setting", "eps", (F.col("class_std") / F.sqrt("n")).alias("se")))
+
+
+@query("agg13_mean_budget", f"{P}, {allocations_sql()} SELECT b_setting, eps, round(avg(budget), 6) AS budget, count(*) AS n FROM (SELECT DISTINCT template, b_setting, eps, budget FROM budgets) JOIN patients USING (template) GROUP BY 1, 2")
+def agg13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import allocations
+
+    b = allocations(spark).select("template", "b_setting", "eps", "budget").distinct()
+    n = patients(spark, sf_dir).select("template").join(F.broadcast(b), "template")
+    return rounded(n.groupBy("b_setting", "eps").agg(F.avg("budget").alias("budget"), F.count(F.lit(1)).alias("n")), 6)
+
+
+CONFIGS = ["all", "roots", "opt"]
+
+
+def pivoted(name: str, rows: tuple[str, ...], measure: str, where: str = "TRUE", column: str = "config", values: list[str] = CONFIGS, digits: int = 3) -> None:
+    keys = ", ".join(rows)
+
+    @query(name, f"{CELLS}, x AS (SELECT *, config || ' ' || b_setting AS cb FROM cells WHERE {where}) {pivot_sql('x', keys, column, values, measure, digits)}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = cells(spark, sf_dir).where(where).withColumn("cb", F.concat_ws(" ", "config", "b_setting"))
+        return rounded(c.groupBy(*rows).pivot(column, values).agg(F.avg(measure)), digits)
+
+
+BOTH = [f"{c} {s}" for s in SETTINGS for c in CONFIGS]
+pivoted("agg14_pivot_eps", ("eps",), "wmape")
+pivoted("agg14_pivot_template", ("template",), "wmape", "eps = 0.1")
+pivoted("rpt1_aggregate_class_error", ("eps",), "class_error", column="cb", values=BOTH, digits=5)
+pivoted("rpt2_template_class_error", ("template",), "class_error", "eps = 0.1", "cb", BOTH)
+pivoted("rpt3_aggregate_wmape", ("eps",), "wmape", column="cb", values=BOTH)
+pivoted("rpt4_template_wmape", ("template",), "wmape", "eps = 0.1", "cb", BOTH)
+pivoted("rpt5_budget_scaling", ("eps", "b_setting"), "wmape")
+pivoted("rpt6_cross_template", ("eps", "b_setting"), "wmape", "config <> 'x'")
+pivoted("rpt7_rce_by_template", ("template", "eps"), "rce", column="cb", values=BOTH)
+pivoted("rpt8_rce_aggregate", ("eps",), "rce", column="cb", values=BOTH)
+
+
+@query("agg15_best", CELLS + "SELECT template, b_setting, eps, min_by(config, (round(wmape, 6), CASE config WHEN 'all' THEN 0 WHEN 'roots' THEN 1 ELSE 2 END)) AS best FROM cells GROUP BY ALL")
+def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.when(F.col("config") == "all", 0).when(F.col("config") == "roots", 1).otherwise(2)
+    return cells(spark, sf_dir).groupBy("template", "b_setting", "eps").agg(F.min_by("config", F.struct(F.round("wmape", 6), place)).alias("best"))
+
+
+def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = cells(spark, sf_dir).groupBy("template", "b_setting", "eps").pivot("config", CONFIGS).agg(F.first("wmape"))
+    return p.groupBy("template").agg(F.count_if(F.col("opt") < F.col("all")).alias("over_all"), F.count_if(F.col("opt") < F.col("roots")).alias("over_roots"), F.count(F.lit(1)).alias("pairs"))
+
+
+WINS = "w AS (SELECT o.template, count(*) FILTER (o.wmape < a.wmape) AS over_all, count(*) FILTER (o.wmape < r.wmape) AS over_roots, count(*) AS pairs FROM cells o JOIN cells a USING (template, b_setting, eps) JOIN cells r USING (template, b_setting, eps) WHERE o.config = 'opt' AND a.config = 'all' AND r.config = 'roots' GROUP BY 1)"
+query("agg16_win_rate", f"{CELLS}, {WINS} SELECT * FROM w")(wins)
+
+
+@query("rpt10_wins", f"{CELLS}, {WINS} SELECT template, over_all || '/' || pairs AS all_, over_roots || '/' || pairs AS roots_ FROM w")
+def rpt10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("pairs").cast("string"))
+    return wins(spark, sf_dir).select("template", s("over_all").alias("all_"), s("over_roots").alias("roots_"))
+
+
+RATIO = "SELECT template, round(\"all\", 3) AS \"all\", round(opt, 3) AS opt, round(CASE WHEN opt = 0 THEN NULL ELSE \"all\" / opt END, 3) AS ratio, CASE WHEN \"all\" > 2 * opt THEN 'large' WHEN \"all\" > opt THEN 'small' ELSE 'none' END AS regime FROM p"
+
+
+def ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = cells(spark, sf_dir).where("eps = 0.1 AND b_setting = '3k+1'").groupBy("template").pivot("config", CONFIGS).agg(F.first("wmape"))
+    regime = F.when(F.col("all") > 2 * F.col("opt"), "large").when(F.col("all") > F.col("opt"), "small").otherwise("none")
+    return rounded(p.select("template", "all", "opt", F.try_divide("all", "opt").alias("ratio"), regime.alias("regime")), 3)
+
+
+_P = f"{CELLS}, p AS (SELECT template, max(CASE WHEN config = 'all' THEN wmape END) AS \"all\", max(CASE WHEN config = 'opt' THEN wmape END) AS opt FROM cells WHERE eps = 0.1 AND b_setting = '3k+1' GROUP BY 1) "
+query("agg17_improvement", _P + RATIO)(ratio)
+query("rpt13_summary", _P + RATIO)(ratio)
+
+SHARE = f"{P}, {allocations_sql()}, sh AS (SELECT a.*, n FROM allocs a JOIN (SELECT template, root, count(*) AS n FROM patients GROUP BY 1, 2) USING (template, root) WHERE config = 'opt')"
+
+
+def opt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import allocations
+
+    return allocations(spark).where("config = 'opt'").join(patients(spark, sf_dir).groupBy("template", "root").agg(F.count(F.lit(1)).alias("n")), ["template", "root"])
+
+
+def cell_window() -> WindowSpec:
+    return Window.partitionBy("template", "b_setting", "eps")
+
+
+@query("agg18_budget_share", SHARE + " SELECT template, root, b_setting, eps, n, round(100 * eps_root / sum(eps_root) OVER (PARTITION BY template, b_setting, eps), 4) AS share FROM sh")
+def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(opt_rows(spark, sf_dir).select("template", "root", "b_setting", "eps", "n", (100 * F.col("eps_root") / F.sum("eps_root").over(cell_window())).alias("share")))
+
+
+NORMED = "nm AS (SELECT template, root, b_setting, eps, eps_root / exp(avg(CASE WHEN h <> 0 THEN ln(eps_root) END) OVER w AS y, abs(h) * (hi - lo) / 999 / exp(avg(CASE WHEN h <> 0 THEN ln(abs(h) * (hi - lo) / 999) END) OVER w) AS x, h = 0 AS clamped FROM sh WINDOW w AS (PARTITION BY template, b_setting, eps))".replace("END) OVER w AS y", "END) OVER w) AS y")
+
+
+def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = opt_rows(spark, sf_dir).withColumn("x0", F.abs("h") * (F.col("hi") - F.col("lo")) / 999)
+    mean = lambda c: F.exp(F.avg(F.when(F.col("h") != 0, F.ln(c))).over(cell_window()))
+    return o.select("template", "root", "b_setting", "eps", (F.col("eps_root") / mean("eps_root")).alias("y"), (F.col("x0") / mean("x0")).alias("x"), (F.col("h") == 0).alias("clamped"))
+
+
+@query("agg19_geometric_norm", f"{SHARE}, {NORMED} SELECT template, root, b_setting, eps, round(x, 5) AS x, round(y, 5) AS y, clamped FROM nm")
+def agg19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(normed(spark, sf_dir), 5)
+
+
+for _name in ("agg20_power_law", "rpt16_power_law"):
+
+    @query(_name, f"{SHARE}, {NORMED} SELECT b_setting, round(regr_slope(log10(y), log10(x)), 4) AS slope, round(abs(regr_intercept(log10(y), log10(x))), 4) AS intercept, count(*) AS n FROM nm WHERE NOT clamped GROUP BY 1")
+    def agg20(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = normed(spark, sf_dir).where("NOT clamped").select("b_setting", F.log10("x").alias("x"), F.log10("y").alias("y"))
+        return rounded(f.groupBy("b_setting").agg(F.regr_slope("y", "x").alias("slope"), F.abs(F.regr_intercept("y", "x")).alias("intercept"), F.count(F.lit(1)).alias("n")))
+
+
+@query("agg21_curves", CELLS + "SELECT config, b_setting, eps AS x, round(avg(wmape), 3) AS y FROM cells GROUP BY ALL")
+def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cells(spark, sf_dir).groupBy("config", "b_setting", F.col("eps").alias("x")).agg(F.avg("wmape").alias("y")), 3)
+
+
+@query("rpt9_per_root", f"{O}, r AS (SELECT template, root, config, avg(abs(released - value)) AS mae FROM obs WHERE b_setting = '3k+1' AND eps = 0.1 GROUP BY ALL) SELECT template, root, " + ", ".join(f"round(max(CASE WHEN config = '{c}' THEN mae END), 4) AS \"{c}\"" for c in CONFIGS) + " FROM r GROUP BY ALL")
+def rpt9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = observations(spark, sf_dir).where("b_setting = '3k+1' AND eps = 0.1")
+    return rounded(o.groupBy("template", "root").pivot("config", CONFIGS).agg(F.avg(F.abs(F.col("released") - F.col("value")))))
+
+
+def by_draws(spark: SparkSession, sf_dir: str, cached: bool) -> DataFrame:
+    """Reconstruction error of the mean of the first q releases, for q = 1, 2, 4, 8."""
+    r = repeats(spark, sf_dir, 7, cached).withColumn("q", F.explode(F.array(*[F.lit(q) for q in (1, 2, 4, 8)]))).where("draw < q")
+    e = r.groupBy("patient_id", "root", "q").agg(F.avg("released").alias("est"), F.first("value").alias("value"))
+    return e.groupBy("root", "q").agg(M.wmape(F.col("value"), F.col("est")).alias("w"))
+
+
+def by_draws_sql(cached: bool) -> str:
+    return f"{repeats_sql(7, cached)}, d AS (SELECT reps.*, q FROM reps CROSS JOIN (VALUES (1), (2), (4), (8)) x(q) WHERE draw < q), e AS (SELECT patient_id, root, q, avg(released) AS est, any_value(value) AS value FROM d GROUP BY 1, 2, 3), f AS (SELECT root, q::BIGINT AS q, 100 * sum(abs(est - value)) / sum(abs(value)) AS w FROM e GROUP BY 1, 2)"
+
+
+for _name, _cached in (("rpt11_by_draws", False), ("rpt12_replayed", True)):
+
+    def _draws(spark: SparkSession, sf_dir: str, cached: bool = _cached) -> DataFrame:
+        return rounded(by_draws(spark, sf_dir, cached), 3)
+
+    query(_name, f"{by_draws_sql(_cached)} SELECT root, q, round(w, 3) AS w FROM f")(_draws)
+
+
+@query("rpt14_metadata", f"{P}, {allocations_sql()} SELECT template, count(DISTINCT root) AS k, round(avg(abs(h) * (hi - lo)), 4) AS reach, count(*) AS n FROM patients JOIN sens USING (template, root) GROUP BY 1")
+def rpt14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import sensitivities
+
+    p = patients(spark, sf_dir).join(F.broadcast(sensitivities(spark)), ["template", "root"])
+    return rounded(p.groupBy("template").agg(F.count_distinct("root").alias("k"), F.avg(F.abs("h") * (F.col("hi") - F.col("lo"))).alias("reach"), F.count(F.lit(1)).alias("n")))
+
+
+@query("rpt15_allocations", SHARE + " SELECT template, root, b_setting, eps, round(h, 6) AS h, round(hi - lo, 4) AS width, round(eps_root, 6) AS eps_root, n FROM sh")
+def rpt15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(opt_rows(spark, sf_dir).select("template", "root", "b_setting", "eps", "h", F.round(F.col("hi") - F.col("lo"), 4).alias("width"), "eps_root", "n"), 6)
+
+
+@query("rpt17_one_page", f"{CELLS}, {WINS} SELECT 'wmape ' || config || ' ' || b_setting AS item, round(avg(wmape), 3) AS value FROM cells WHERE eps = 0.1 GROUP BY config, b_setting UNION ALL SELECT 'wins ' || template, over_all::DOUBLE FROM w UNION ALL SELECT 'rows', sum(n)::DOUBLE FROM cells")
+def rpt17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir)
+    head = c.where("eps = 0.1").groupBy(F.concat(F.lit("wmape "), "config", F.lit(" "), "b_setting").alias("item")).agg(F.round(F.avg("wmape"), 3).alias("value"))
+    won = wins(spark, sf_dir).select(F.concat(F.lit("wins "), "template").alias("item"), F.col("over_all").cast("double").alias("value"))
+    return head.unionByName(won).unionByName(c.agg(F.lit("rows").alias("item"), F.sum("n").cast("double").alias("value")))
+
+
+# Joins, windows, order, sets ------------------------------------------------------------------------------------------
+
+
+@query("jn1_cells", CELLS + "SELECT a.template, a.config, round(a.wmape - b.wmape, 3) AS gain FROM cells a JOIN cells b USING (template, config, b_setting) WHERE a.eps = 0.1 AND b.eps = 1.0 AND b_setting = 'k+1'")
+def jn1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir).where("b_setting = 'k+1'")
+    a, b = c.where("eps = 0.1").select("template", "config", F.col("wmape").alias("w1")), c.where("eps = 1.0").select("template", "config", F.col("wmape").alias("w2"))
+    return rounded(a.join(b, ["template", "config"]).select("template", "config", (F.col("w1") - F.col("w2")).alias("gain")), 3)
+
+
+portable("jn2_left_default", lambda d: "SELECT c.c_custkey, coalesce(max(o.o_totalprice), 0) AS top FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_custkey", "customer", "orders")
+portable("jn3_lookup", lambda d: "SELECT n.n_name, r.r_name, count(*) AS n FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name, r.r_name", "customer", "nation", "region")
+
+
+def synonym_rows() -> list[tuple[str, str]]:
+    from .catalog import SYNONYMS
+
+    return sorted(SYNONYMS.items())
+
+
+@query("jn4_synonyms", "WITH syn(name, stem) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in synonym_rows()) + "), x AS (SELECT c_custkey, (['Glucose', 'INSULIN', 'weight', 'nothing'])[c_custkey % 4 + 1] AS raw FROM customer) SELECT c_custkey, raw, stem FROM x LEFT JOIN syn ON lower(raw) = name")
+def jn4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    syn = spark.createDataFrame(synonym_rows(), "name string, stem string")
+    names = F.array(*[F.lit(x) for x in ("Glucose", "INSULIN", "weight", "nothing")])
+    x = table(spark, sf_dir, "customer").select("c_custkey", F.get(names, (F.col("c_custkey") % 4).cast("int")).alias("raw"))
+    return x.join(F.broadcast(syn), F.lower("raw") == F.col("name"), "left").select("c_custkey", "raw", "stem")
+
+
+portable("jn5_rank_matched", lambda d: "SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders} WHERE o_orderstatus = 'F') a JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders} WHERE o_orderstatus = 'O') b ON a.o_custkey = b.o_custkey AND a.n = b.n", "orders")
+portable("jn6_cross", lambda d: "SELECT r.r_name, c.c_mktsegment, count(*) AS n FROM {customer} c CROSS JOIN {region} r GROUP BY r.r_name, c.c_mktsegment", "customer", "region")
+portable("jn7_anti", lambda d: "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)", "customer", "orders")
+portable("jn8_self", lambda d: "SELECT a.o_orderpriority, a.n AS filled, b.n AS open FROM (SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1) a JOIN (SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_orderpriority = b.o_orderpriority", "orders")
+portable("jn9_interval", lambda d: f"SELECT b.class, count(*) AS n FROM {{orders}} o JOIN (SELECT 0 AS class, {d.num(0)} AS lo, {d.num(100000)} AS hi UNION ALL SELECT 1, {d.num(100000)}, {d.num(250000)} UNION ALL SELECT 2, {d.num(250000)}, {d.num(1e12)}) b ON o.o_totalprice >= b.lo AND o.o_totalprice < b.hi GROUP BY b.class", "orders")
+portable("win1_ordinal", lambda d: "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM {orders}", "orders")
+portable("win2_running", lambda d: "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS total FROM {events}", "events")
+portable("win3_share", lambda d: "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM {orders}", "orders")
+portable("win4_last_median", lambda d: "SELECT user_id, max_by(event_id, event_id) AS last, round(median(value), 4) AS med FROM {events} GROUP BY user_id", "events")
+portable("srt1_ordered", lambda d: "SELECT c_mktsegment, n, row_number() OVER (ORDER BY n DESC, c_mktsegment) AS place FROM (SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY c_mktsegment) x", "customer")
+portable("srt2_first_best", lambda d: "SELECT o_custkey, " + ("max_by(o_orderkey, struct(o_totalprice, -o_orderkey))" if d.spark else "max_by(o_orderkey, (o_totalprice, -o_orderkey))") + " AS best FROM {orders} GROUP BY o_custkey", "orders")
+portable("set1_distinct", lambda d: "SELECT DISTINCT c_nationkey, c_mktsegment FROM {customer}", "customer")
+portable("set2_union", lambda d: "SELECT c_nationkey AS k, 'customer' AS kind FROM {customer} UNION ALL SELECT s_nationkey, 'supplier' FROM {supplier}", "customer", "supplier")
+portable("set3_without_fragments", lambda d: "SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM (SELECT '99' AS f UNION ALL SELECT '#00000001' AS f) x WHERE instr(c.c_name, x.f) > 0)", "customer")
+portable("set4_equality", lambda d: "SELECT a.c_nationkey, count(*) AS n FROM (SELECT c_nationkey, c_mktsegment FROM {customer} EXCEPT SELECT n_nationkey, 'BUILDING' FROM {nation}) a GROUP BY a.c_nationkey", "customer", "nation")

@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators.derive import with_derived
 from ..operators.release import released_columns
 from ..sources.tables import table
-from . import base, q_budget, q_release, q_report  # noqa: F401
+from . import base, q_budget, q_release, q_report, q_text  # noqa: F401
 from .catalog import PRICING
 from .q_release import LINE_KEYS
 
