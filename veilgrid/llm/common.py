@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +30,19 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Rows and bytes that go to a Python worker at once; the session's setting holds where it is smaller.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """docs, after bounding the session's Arrow batches: texts are long, and the default of 10,000 rows is a lot of them."""
+    conf = docs.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        size = int(re.match(r"-?\d+", now).group()) if now else 0
+        if size <= 0 or size > most or not now.lstrip("-").isdigit():
+            conf.set(key, str(most))
+    return docs
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

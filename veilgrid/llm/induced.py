@@ -100,7 +100,7 @@ def induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int)
     seed_starts = np.searchsorted(text[seeds], np.arange(257))
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
     queues = BucketQueues(memory)
-    queues.push(int(text[n - 1]), np.array([n - 1]))
+    queues.push(int(text[n - 1]), np.array([n - 1], seeds.dtype))
     for c in range(256):
         for batch in queues.pop(c):
             larger[c].append(batch)
@@ -109,7 +109,7 @@ def induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int)
         own = seeds[seed_starts[c] : seed_starts[c + 1]]
         deal(queues, text, own[own > 0] - 1)  # the predecessor of an LMS suffix is of L type
     queues.close()
-    out = np.empty(n, np.int64)
+    out = np.empty(n, seeds.dtype)
     end, queues = n, BucketQueues(memory)
     for c in range(255, -1, -1):
         for batch in queues.pop(c):
@@ -140,7 +140,7 @@ def names(text: np.ndarray, ordered: np.ndarray, length: np.ndarray) -> np.ndarr
             same[live[~ok]] = False
             live = live[ok]
         k += 1
-    return np.concatenate([[0], np.cumsum(~same)])
+    return np.concatenate([[0], np.cumsum(~same)]).astype(ordered.dtype)
 
 
 def rank_by_doubling(name: np.ndarray, rounds: int) -> np.ndarray:
@@ -177,7 +177,8 @@ def suffix_order(text: np.ndarray, depth: int = 400, memory: int = 256 << 20) ->
     if n < 2:
         return np.arange(n)
     s_type = types(text)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    kind = np.int32 if n < 2**31 else np.int64
+    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(kind)
     if not len(lms):
         return induce(text, s_type, lms, memory)
     seeds = lms[np.argsort(text[lms], kind="stable")]
@@ -186,11 +187,11 @@ def suffix_order(text: np.ndarray, depth: int = 400, memory: int = 256 << 20) ->
     order = induce(text, s_type, seeds, memory)
     ordered = order[is_lms[order]]
     del order
-    length = np.empty(n, np.int64)
+    length = np.empty(n, kind)
     length[lms] = np.append(lms[1:], n - 1) - lms + 1
     name = names(text, ordered, length[ordered])
     if name[-1] + 1 < len(lms):
-        at = np.empty(n, np.int64)
+        at = np.empty(n, kind)
         at[ordered] = name
         rounds = max(1, int(np.ceil(np.log2(depth / 2 + 2))))
         ordered = lms[rank_by_doubling(at[lms], rounds)]

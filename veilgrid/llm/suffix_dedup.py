@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged, texts_of
+from .common import documents, in_batches, staged, texts_of
 from .induced import repeated_starts
-from .words import BASE, blocks, mix, powers
+from .words import blocks, mix, powers
 
+UPPER = np.uint64(0xFFFFFFFF00000000)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Where a text goes by in the joins: its hash and its id. Rows equal in both are the same in every result.
 KEYS = ("_vg_id", "_vg_tk")
 
@@ -61,22 +63,20 @@ def contexts(run: list[bytes], span: int, gram: int) -> tuple[np.ndarray, ...]:
         return none
     at = np.concatenate([[0], np.cumsum(sizes)])
     sums = prefix_sums(data)
-    begin = np.arange(len(data) - gram + 1)
-    h = string_hashes(sums, begin, begin + gram)
-    # The upper half of the hash decides; equal ones go by place, so the leftmost wins.
-    least = sliding_least((h & ~np.uint64(0xFFFFFFFF)) | begin.astype(np.uint64), span - gram + 1)
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    text = np.repeat(np.arange(len(run)), sizes)[: len(anchor)]
-    inside = np.arange(len(anchor)) + span <= at[text + 1]
-    s = np.flatnonzero(inside)
-    if not len(s):
+    n = len(data) - gram + 1
+    h = (sums[gram:] - sums[:-gram]) * powers(len(sums))[1][:n]
+    # The upper half of the mixed hash decides; equal ones go by place, so the leftmost wins.
+    least = sliding_least((h * SPREAD & UPPER) | np.arange(n, dtype=np.uint64), span - gram + 1)
+    first = np.union1d(np.flatnonzero(least[1:] != least[:-1]) + 1, at[:-1])
+    first = first[first < len(least)]
+    t = np.searchsorted(at, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(least)) - 1, at[t + 1] - span)
+    ok = first <= last
+    first, last, t = first[ok], last[ok], t[ok]
+    if not len(first):
         return none
-    new = np.ones(len(s), bool)
-    new[1:] = (anchor[s[1:]] != anchor[s[:-1]]) | (text[s[1:]] != text[s[:-1]])
-    first = s[new]
-    last = s[np.append(np.flatnonzero(new)[1:], len(s)) - 1]
-    t = text[first]
-    return t, h[anchor[first]], string_hashes(sums, first, last + span), first - at[t], last - at[t]
+    anchor = mix(h[(least[first] & ~UPPER).astype(np.int64)])
+    return t, anchor, string_hashes(sums, first, last + span), first - at[t], last - at[t]
 
 
 def anchored(docs: DataFrame, span: int, gram: int) -> DataFrame:
@@ -100,7 +100,7 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """wanted (id, tk, anchor, content, n, first, last) with the `bytes` of each context."""
     lists = wanted.groupBy("id", "tk").agg(F.collect_set(F.struct("anchor", "content", "n", "first", "last")).alias("list"))
     lists = lists.select(F.col("id").alias("_vg_i"), F.col("tk").alias("_vg_t"), "list")
-    joined = docs.join(lists, F.col("id").eqNullSafe(F.col("_vg_i")) & (F.col("tk") == F.col("_vg_t"))).select("id", "tk", "text", "list")
+    joined = docs.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col("_vg_i")) & (F.col("tk") == F.col("_vg_t"))).select("id", "tk", "text", "list")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,14 +196,15 @@ def count_windows(cut: DataFrame, span: int) -> DataFrame:
     return each.where("n < 2").join(often, ["h1", "h2"]).select("id", "tk", "begin", (F.col("begin") + span).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, span: int = 400, gram: int = 100, shard_bytes: int = 4 << 20, shard_contents: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = 400, gram: int = 100, shard_bytes: int = 6 << 20, shard_contents: int = 20_000) -> DataFrame:
     """(id, tk, begin, end), which may overlap: the bytes of docs (id, tk, text) covered by strings of `span` bytes that start elsewhere too."""
+    # Hints: the same plan at every size; a broadcast of what grows with the corpus is no plan.
     places = staged(anchored(docs, span, gram))
     counts = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tk", "first", "last")).alias("one"))
     anchors = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).where("total >= 2")
-    known = staged(counts.join(anchors, "anchor"))
+    known = staged(counts.join(anchors.hint("merge"), "anchor"))
     twice = known.where("n >= 2").select("anchor", "content")
-    whole = places.join(twice, ["anchor", "content"]).select("id", "tk", F.col("first").alias("begin"), (F.col("last") + span).alias("end"))
+    whole = places.join(twice.hint("merge"), ["anchor", "content"]).select("id", "tk", F.col("first").alias("begin"), (F.col("last") + span).alias("end"))
     wanted = known.where("contents >= 2").select("one.id", "one.tk", "anchor", "content", "n", "one.first", "one.last", (F.col("contents") > shard_contents).alias("wide"))
     parts = [whole, sort_shards(cut_contexts(docs, wanted.where("NOT wide"), span), span, shard_bytes)]
     if not wanted.where("wide").isEmpty():
@@ -223,10 +224,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_removed or n_spans are replaced, others are passed on.
     """
     keep = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
+    keyed = in_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     spans = repeated_spans(keyed.where(F.octet_length("text") >= span), span)
     lists = spans.groupBy("id", "tk").agg(F.collect_set(F.struct("begin", "end")).alias("_vg_spans")).select(F.col("id").alias(KEYS[0]), F.col("tk").alias(KEYS[1]), "_vg_spans")
-    joined = docs.select(*keep, F.xxhash64(text_col).alias("_vg_own")).join(lists, F.col(id_col).eqNullSafe(F.col(KEYS[0])) & (F.col("_vg_own") == F.col(KEYS[1])), "left").select(*keep, "_vg_spans")
+    joined = docs.select(*keep, F.xxhash64(text_col).alias("_vg_own")).join(lists.hint("merge"), F.col(id_col).eqNullSafe(F.col(KEYS[0])) & (F.col("_vg_own") == F.col(KEYS[1])), "left").select(*keep, "_vg_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

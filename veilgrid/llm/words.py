@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C55)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
