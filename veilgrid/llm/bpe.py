@@ -8,6 +8,7 @@ Words that it doesn't hold go through the merges themselves, so the result is ex
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import mmap
@@ -20,17 +21,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts_of
+from .common import documents, in_batches, texts_of
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Beyond Latin letters and general punctuation, Unicode versions may differ on what is a letter: the library splits there.
 RARE = re.compile("[^\\x00-\\u024f\\u2000-\\u2027\\u202f-\\u2060\\u20ac]")
 #: Texts with these, or RARE, are split as a whole: white space other than space and line end, control characters.
 UNUSUAL = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u20ac]|İ")
-MEMO = 400_000
+MEMO = 300_000
+SLICE = 256
 
 
 def byte_letters() -> list[str]:
@@ -59,6 +62,7 @@ class Bpe:
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.letters = byte_letters()
         self.library = Tokenizer.from_file(path)
+        self._tables: tuple | None = None
         space = f"[{SPACE}]"
         if self.lower:
             self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -136,6 +140,65 @@ class Bpe:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [self.vocab[p] for p, a in zip(parts, alive, strict=True) if a and p in self.vocab]
 
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """For merging many words at once: each byte's id inside and at the end of a word; the sorted pairs of ids that merge, their ranks and results."""
+        if self._tables is None:
+            inside = np.array([self.vocab.get(c, -1) for c in self.letters], np.int64)
+            ending = np.array([self.vocab.get(c + self.suffix, -1) for c in self.letters], np.int64)
+            rows = sorted((self.vocab[a] << 32 | self.vocab[b], k, self.vocab[a + b]) for (a, b), k in self.merges.items() if a in self.vocab and b in self.vocab and a + b in self.vocab)
+            self._tables = inside, ending, *(np.array(x, np.int64) for x in zip(*rows, strict=True))
+        return self._tables
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as bytes. Words of like length are merged in step: one merge of each in every round."""
+        inside, ending, pairs, ranks, results = self.tables()
+        never = np.int64(1 << 40)
+        out: list[bytes] = [b""] * len(words)
+
+        def rank_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = (a << 32) | b
+            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            ok = (pairs[at] == key) & (a >= 0) & (b >= 0)
+            return np.where(ok, ranks[at], never), at
+
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for k in np.flatnonzero(sizes > 32).tolist():
+            out[k] = np.array(self.merge(words[k].decode("utf-8", "surrogateescape")), "<u4").tobytes()
+        for low, width in ((0, 6), (6, 10), (10, 16), (16, 32)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= width))
+            if not len(rows):
+                continue
+            n = sizes[rows].copy()
+            raw = np.frombuffer(b"".join(words[k].ljust(width, b"\0") for k in rows.tolist()), np.uint8).reshape(-1, width)
+            tokens = np.full((len(rows), width + 2), -1, np.int64)
+            cols = np.arange(width)
+            tokens[:, :width] = np.where(cols < n[:, None], inside[raw], -1)
+            tokens[np.arange(len(rows)), n - 1] = ending[raw[np.arange(len(rows)), n - 1]]
+            rank = np.full((len(rows), width + 2), never, np.int64)
+            rank[:, :width], _ = rank_of(tokens[:, :width], tokens[:, 1 : width + 1])
+            live = np.arange(len(rows))
+            shift = np.arange(width + 1)
+            while len(live):
+                j = rank[live].argmin(axis=1)
+                ok = rank[live, j] < never
+                live, j = live[ok], j[ok]
+                if not len(live):
+                    break
+                _, at = rank_of(tokens[live, j], tokens[live, j + 1])
+                src = shift + (shift > j[:, None])
+                t = np.take_along_axis(tokens[live], src, axis=1)
+                t[np.arange(len(live)), j] = results[at]
+                r = np.take_along_axis(rank[live], src, axis=1)
+                r[np.arange(len(live)), j] = rank_of(t[np.arange(len(live)), j], t[np.arange(len(live)), j + 1])[0]
+                left = np.flatnonzero(j > 0)
+                r[left, j[left] - 1] = rank_of(t[left, j[left] - 1], t[left, j[left]])[0]
+                tokens[live, : width + 1], rank[live, : width + 1] = t, r
+                n[live] -= 1
+            packed = tokens.astype("<u4")
+            for k, row, m in zip(rows.tolist(), packed, n.tolist(), strict=True):
+                out[k] = row[:m].tobytes()
+        return out
+
     def decode_table(self) -> dict[int, bytes]:
         """What each id adds to a decoded text: its bytes, or its token where tokens are set apart by spaces."""
         if not self.byte_decoder:
@@ -276,18 +339,20 @@ class Encoder:
         self.chunks: dict[str, bytes] = {}
         self.special = {t: int(i).to_bytes(4, "little") for t, i in bpe.special.items()}
 
-    def merged(self, word: str) -> bytes:
-        return np.array(self.bpe.merge(word), "<u4").tobytes()
-
     def learn(self, words: Iterable[str]) -> None:
         """Encode new words: the lexicon walks them all at once, the merges do those that it doesn't hold."""
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        if not new:
+            return
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
         raw = [w.encode("utf-8", "surrogateescape") for w in new]
-        ranks = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(new)
-        for w, k in zip(new, ranks, strict=True):
-            self.memo[w] = self.lexicon.encoded(k) if k >= 0 else self.merged(w)
+        ranks = self.lexicon.ranks(raw) if self.lexicon else np.full(len(new), -1)
+        unknown = np.flatnonzero(ranks < 0).tolist()
+        for k, ids in zip(unknown, self.bpe.merge_many([raw[k] for k in unknown]), strict=True):
+            self.memo[new[k]] = ids
+        for k in np.flatnonzero(ranks >= 0).tolist():
+            self.memo[new[k]] = self.lexicon.encoded(int(ranks[k]))
 
     def word_ids(self, word: str) -> bytes:
         if (ids := self.memo.get(word)) is None:
@@ -296,26 +361,27 @@ class Encoder:
         return ids
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. New chunks of the whole batch are learned together."""
-        cut = [None if "<|" in t else self.bpe.chunks(t) for t in texts]
-        out: list[bytes | None] = []
-        for chunks in cut:
-            try:
-                out.append(None if chunks is None else b"".join(map(self.chunks.__getitem__, chunks)))
-            except KeyError:
-                out.append(None)
-        todo = [k for k, ids in enumerate(out) if ids is None and cut[k] is not None]
-        new = dict.fromkeys(c for k in todo for c in cut[k] if c not in self.chunks)
-        if len(self.chunks) + len(new) > MEMO:
-            self.chunks.clear()
-            new = dict.fromkeys(c for k in todo for c in cut[k])
-        words = {c: self.bpe.words.findall(c) for c in new}
-        self.learn(w for ws in words.values() for w in ws)
-        for c, ws in words.items():
-            self.chunks[c] = self.word_ids(ws[0]) if len(ws) == 1 else b"".join([self.word_ids(w) for w in ws])
-        for k in todo:
-            out[k] = b"".join(map(self.chunks.__getitem__, cut[k]))
-        return [self.encode(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+        """The ids of each text. New chunks of a slice of texts are learned together; a full memo takes no more."""
+        out: list[bytes] = []
+        for lo in range(0, len(texts), SLICE):
+            part = texts[lo : lo + SLICE]
+            cut = [None if "<|" in t else self.bpe.chunks(t) for t in part]
+            new = set().union(*(chunks for chunks in cut if chunks)).difference(self.chunks)
+            words = {c: self.bpe.words.findall(c) for c in new}
+            self.learn(w for ws in words.values() for w in ws)
+            fresh = {c: self.word_ids(ws[0]) if len(ws) == 1 else b"".join([self.word_ids(w) for w in ws]) for c, ws in words.items()}
+            if len(self.chunks) + len(fresh) <= MEMO:
+                self.chunks |= fresh
+                fresh = {}
+            get = self.chunks.__getitem__
+            for t, chunks in zip(part, cut, strict=True):
+                if chunks is None:
+                    out.append(self.encode(t))
+                elif fresh:
+                    out.append(b"".join([fresh[c] if c in fresh else get(c) for c in chunks]))
+                else:
+                    out.append(b"".join(map(get, chunks)))
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids of any text, word by word."""
@@ -343,11 +409,29 @@ class Decoder:
         return self.glue.join(self.pieces[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
+@functools.lru_cache(2)
+def load(path: str) -> Bpe:
+    """A worker reads a tokenizer file once."""
+    return Bpe(path)
+
+
+_coders: dict[tuple, tuple[Encoder, Decoder]] = {}
+
+
+def coders(tokenizer: str, block: Broadcast) -> tuple[Encoder, Decoder]:
+    """The worker's encoder, with what it has learned in earlier tasks, and decoder."""
+    key = (tokenizer, hash(block.value))
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = Encoder(load(tokenizer), Transducer(block.value)), Decoder(load(tokenizer))
+    return _coders[key]
+
+
 def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """(word, n): the words of all texts as the tokenizer splits them; each batch is counted before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, words, chunks = Bpe(tokenizer), Counter(), Counter()
+        bpe, words, chunks = load(tokenizer), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
             for c, n in chunks.items():
@@ -368,7 +452,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
                 words, chunks = Counter(), Counter()
         yield flush()
 
-    return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_batches(docs).select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, words: int = 50_000, text_col: str = "text") -> bytes:
@@ -390,14 +474,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_00
     block = spark.sparkContext.broadcast(compile_lexicon(docs, tokenizer, lexicon_words, text_col))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(tokenizer)
-        encoder, decoder = Encoder(bpe, Transducer(block.value)), Decoder(bpe)
-        for batch in batches:
-            ids = encoder.encode_batch(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([decoder.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+        encoder, decoder = coders(tokenizer, block)
+        for whole in batches:
+            for lo in range(0, len(whole), SLICE):
+                batch = whole.slice(lo, SLICE)
+                ids = encoder.encode_batch(texts_of(batch))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([decoder.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, f"id {kind}, ids binary, decoded string")
+    return in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, f"id {kind}, ids binary, decoded string")
 
 
 def op1_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
