@@ -7,8 +7,10 @@ round has fewer items than the one before, so the tree ends with one group, or w
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,24 +18,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, Encoder
-from .common import documents, staged, texts_of
+from .bpe import MEMO, Bpe, Encoder, load
+from .common import documents, in_batches, staged, texts_of
 
 PIECE = "struct<doc:{id},piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 
 
+class RankMemo(dict):
+    """Chunks of text to their ids as bytes; the vocabulary in rank form does new ones. Full, it keeps what it has."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.new = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("I", self.new(chunk)).tobytes()
+        if len(self) < MEMO:
+            self[chunk] = ids
+        return ids
+
+
 class RankEncoder(Encoder):
-    """An Encoder that merges new words by the same vocabulary in rank form."""
+    """An Encoder that does new chunks by the same vocabulary in rank form."""
 
     def __init__(self, bpe: Bpe):
         import tiktoken
 
         super().__init__(bpe)
         ranks = {bytes(t): i for i, t in bpe.decode_table().items() if i not in bpe.special.values()}
-        self.ranks = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.chunks = RankMemo(tiktoken.Encoding("ranks", pat_str=bpe.words.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        get, cut = self.chunks.__getitem__, self.bpe.chunks
+        return [self.encode(t) if "<|" in t or (chunks := cut(t)) is None else b"".join(map(get, chunks)) for t in texts]
+
 
-    def merged(self, word: str) -> bytes:
-        return np.array(self.ranks.encode_ordinary(word), "<u4").tobytes()
+@functools.lru_cache(1)
+def rank_encoder(tokenizer: str) -> RankEncoder:
+    """The worker's encoder, with what it has learned in earlier tasks."""
+    return RankEncoder(load(tokenizer))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +67,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = RankEncoder(Bpe(tokenizer)), int(end_id).to_bytes(4, "little")
+        encoder, end = rank_encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, ids in enumerate(encoder.encode_batch(texts_of(batch))):
@@ -65,7 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(cut, f"doc {kind}, piece int, start long, length long, ids_crc32 long")
+    return in_batches(docs).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(cut, f"doc {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
