@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts_of
+from .common import documents, in_batches, texts_of
 from .words import blocks, distinct, mix, word_hashes
 
 #: How many subsets keep one term in how many.
@@ -36,7 +36,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
             terms, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return in_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least: float = 0.001, most: float = 0.05) -> np.ndarray:
@@ -100,7 +100,7 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str, range_rows: int
 
     Ids are numbers. Only range limits and first ids come to the driver. The last range gets the first row of all.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = in_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     m = max(1, min(4096, rows.count() // range_rows))
     limits = rows.agg(F.percentile_approx("id", [k / m for k in range(1, m)], 100 * m)).first()[0] if m > 1 else None
     cuts = np.array(sorted(set(limits or [])), np.int64)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts_of
+from .common import documents, in_batches, texts_of
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHUNK = 1 << 16
@@ -164,7 +164,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(store, f"id {kind}, n_bytes long, media binary")
+    return in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(store, f"id {kind}, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
@@ -184,7 +184,7 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), batch.column(media_col), pa.array(pixels, pa.binary()), pa.array(features, pa.string())], [*rest, media_col, "pixels", "feature"])
 
     kept = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in [*rest, media_col])
-    return media.select(*rest, media_col).mapInArrow(read, f"{kept}, pixels binary, feature string")
+    return in_batches(media).select(*rest, media_col).mapInArrow(read, f"{kept}, pixels binary, feature string")
 
 
 def op2_png_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
