@@ -36,7 +36,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs).select(*COLUMNS)
 
 
-@F.pandas_udf("string")
 def whole_characters(kept: pd.Series) -> pd.Series:
     """Bytes as text, without the rests of characters that a cut went through."""
     return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
@@ -44,7 +43,7 @@ def whole_characters(kept: pd.Series) -> pd.Series:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take passages of 400 bytes and more that occur elsewhere out of the documents."""
-    return with_text(remove_repeats(docs).withColumn("text", whole_characters("kept")))
+    return with_text(remove_repeats(docs).withColumn("text", F.pandas_udf(whole_characters, "string")("kept")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
