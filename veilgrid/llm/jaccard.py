@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, staged, texts_of
+from .common import documents, in_batches, staged, texts_of
 from .components import connected_components
 from .words import blocks, mix, shingle_hashes
 
@@ -76,14 +76,15 @@ def candidate_blocks(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, block): nodes that may link with another, and the block of each. nodes: (node, n, sketch)."""
     tokens = nodes.select("node", "n", F.explode("sketch").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
-    lists = staged(tokens.join(often, "token").select("node", "n", "token", "c"))
+    # Hints: the same plan at every size; a broadcast of what grows with the corpus is no plan.
+    lists = staged(tokens.join(often.hint("merge"), "token").select("node", "n", "token", "c"))
     needed = F.expr(shared_tokens("n", percent))
     enough = lists.groupBy("node").agg(F.count(F.lit(1)).alias("l"), F.first("n").alias("n")).where(F.col("l") >= needed)
     order = Window.partitionBy("node").orderBy("c", "token")
-    short = lists.join(enough.select("node", "l"), "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("l") - needed + 1)
+    short = lists.join(enough.select("node", "l").hint("merge"), "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("l") - needed + 1)
     short = staged(short.select("node", "token").distinct())
     hubs = short.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c >= 2").select("token", "hub")
-    edges = short.join(hubs, "token").select(F.col("hub").alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
+    edges = short.join(hubs.hint("merge"), "token").select(F.col("hub").alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
     return connected_components(edges).select("node", F.col("component").alias("block"))
 
 
@@ -212,14 +213,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     an empty set and links with nothing. Repeated rows and equal texts are linked. Empty tables give empty results;
     other columns aren't used.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
+    base = in_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     every = staged(shingled(base, k, percent))
     first = F.min(F.struct("id", "tk")).alias("one")
     classes = every.where("n > 0").groupBy("digest", "n").agg(first, F.first("sketch").alias("sketch"))
     nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "one", "sketch"))
     spread = staged(candidate_blocks(nodes.select("node", "n", "sketch"), percent).join(nodes.select("node", "one"), "node"))
     wanted = spread.select("node", "block", F.col("one.id").alias("_vg_i"), F.col("one.tk").alias("_vg_t"))
-    texts = base.join(wanted, F.col("id").eqNullSafe(F.col("_vg_i")) & (F.col("tk") == F.col("_vg_t")))
+    texts = base.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_vg_i")) & (F.col("tk") == F.col("_vg_t")))
     sets = tokens_of(texts, k)
     chunks = spread.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     c = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -231,17 +232,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = nodes.select("node", "digest", "n", "one.id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = roots.groupBy("component").agg(F.min("id").alias("component_id"))
     named = staged(roots.join(least, "component").select(F.col("digest").alias("_vg_d"), F.col("n").alias("_vg_n"), "component_id", "component"))
-    out = every.join(named, (F.col("digest") == F.col("_vg_d")) & (F.col("n") == F.col("_vg_n")), "left")
+    out = every.join(named.hint("merge"), (F.col("digest") == F.col("_vg_d")) & (F.col("n") == F.col("_vg_n")), "left")
     return out.select("id", "tk", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay if one document of each component does: the one with the smallest id, then text hash.
+    """The rows of docs that stay if one document of each component does: the one with the smallest id (null last), then text hash.
 
     Documents without words are in no component and all stay, but rows repeated in full are one.
     """
     found = staged(similar_documents(docs, id_col, text_col, k, percent))
-    linked = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "tk")).alias("one")).select("one.id", "one.tk")
+    linked = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("one")).select("one.id", "one.tk")
     stay = linked.unionByName(found.where("component IS NULL").select("id", "tk").distinct())
     copies = found.groupBy("id", "tk").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("id").alias("i2"), F.col("tk").alias("t2"), F.lit(True).alias("again"))
     marked = staged(stay.join(copies, F.col("id").eqNullSafe(F.col("i2")) & (F.col("tk") == F.col("t2")), "left").select(F.col("id").alias("_vg_i"), F.col("tk").alias("_vg_t"), F.coalesce("again", F.lit(False)).alias("_vg_again")))
