@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, texts_of
+from .common import documents, in_batches, texts_of
 from .words import blocks, mix
 
 ORDERS = (2, 3, 4)
@@ -34,7 +34,6 @@ def gram_buckets(run: list[bytes], buckets: int) -> tuple[list[np.ndarray], np.n
     """For each order, the bucket of the gram that begins at each byte; and where each text begins (with its leading space)."""
     data = LETTER[np.frombuffer(b" " + b"   ".join(run) + b"     ", np.uint8)].astype(np.uint64)
     at = np.concatenate([[0], np.cumsum([len(b) + 3 for b in run])])
-    at[1:-1] += 0
     n = int(at[-1])
     out = []
     for k in ORDERS:
@@ -105,7 +104,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[int], lang
 
 
 def labelled_features(rows: DataFrame, buckets: int) -> DataFrame:
-    """(lang, idx, freq) of rows (lang, text): each whole text's features."""
+    """(lang, idx, freq) of rows (lang, text): each whole text's features, as packed 32-bit buckets and frequencies."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,23 +113,31 @@ def labelled_features(rows: DataFrame, buckets: int) -> DataFrame:
                 grams, at = gram_buckets(run, buckets)
                 for k in range(len(run)):
                     u, n = np.unique(np.concatenate([g[at[k] : at[k + 1]] for g in grams]), return_counts=True)
-                    idx.append(u.astype(np.int32))
-                    freq.append((n / n.sum()).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(idx, pa.list_(pa.int32())), pa.array(freq, pa.list_(pa.float32()))], ["lang", "idx", "freq"])
+                    idx.append(u.astype("<i4").tobytes())
+                    freq.append((n / n.sum()).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(idx, pa.binary()), pa.array(freq, pa.binary())], ["lang", "idx", "freq"])
 
-    return rows.select("lang", "text").mapInArrow(count, "lang string, idx array<int>, freq array<float>")
+    return in_batches(rows).select("lang", "text").mapInArrow(count, "lang string, idx binary, freq binary")
 
 
-def train_languages(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", order: Column | None = None, per_language: int = 800, buckets: int = 1 << 16) -> LanguageModel:
-    """A model of the languages in `labelled`, from at most per_language rows of each, picked by the hash of their text.
+def train_languages(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = 800, buckets: int = 1 << 16) -> LanguageModel:
+    """A model of the languages in `labelled`, from at most per_language distinct texts of each, those with the least hashes.
 
     Rows with a null language, or with a text that is null or has no letter, aren't used.
     """
     good = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(HAS_LETTER)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    picks = good.select("lang", "text", F.xxhash64("text").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
-    rows = sorted(labelled_features(picks, buckets).collect(), key=lambda r: (r.lang, r.idx, r.freq))
+    hashed = good.select("lang", "text", F.xxhash64("text").alias("h"))
+    # Only hashes are ranked; texts move once they are known to be in the sample.
+    order = Window.partitionBy("lang").orderBy("h")
+    low = hashed.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    cuts = low.groupBy("lang").agg(F.max("h").alias("cut")).collect()
+    within = F.lit(False)
+    for c in cuts:
+        within = within | ((F.col("lang") == c.lang) & (F.col("h") <= c.cut))
+    picks = hashed.where(within).dropDuplicates(["lang", "h"])
+    rows = sorted(labelled_features(picks, buckets).collect(), key=lambda r: (r.lang, bytes(r.idx), bytes(r.freq)))
     languages = sorted({r.lang for r in rows})
-    features = [(np.array(r.idx, np.int64), np.array(r.freq, np.float32)) for r in rows]
+    features = [(np.frombuffer(r.idx, "<i4").astype(np.int64), np.frombuffer(r.freq, "<f4")) for r in rows]
     return train(features, [languages.index(r.lang) for r in rows], languages, buckets)
 
 
@@ -140,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     lang_pred is `und` with score 0 where the text is null, empty or has no letter. rejected: `und`, or the calibrated
     probability of the likeliest language is below the model's threshold.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = in_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predict(texts: pd.Series) -> pd.DataFrame:
