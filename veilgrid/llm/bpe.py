@@ -32,7 +32,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 RARE = re.compile("[^\\x00-\\u024f\\u2000-\\u2027\\u202f-\\u2060\\u20ac]")
 #: Texts with these, or RARE, are split as a whole: white space other than space and line end, control characters.
 UNUSUAL = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u20ac]|İ")
-MEMO = 300_000
+MEMO = 200_000
 SLICE = 256
 
 
