@@ -1,6 +1,6 @@
 """Words and word shingles of many texts at once, as 64-bit hashes in numpy.
 
-A word is a run without ASCII white space (space, tab to carriage return), with A-Z in lower case. Its hash is a
+A word is a run without ASCII white space (space, tab to carriage return), with A-Z in lower case (unless `letters` says otherwise). Its hash is a
 polynomial in an odd base modulo 2**64, read off prefix sums over the bytes of a block of texts, and then mixed.
 """
 
@@ -14,6 +14,7 @@ BLOCK = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C55)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SAME = np.arange(256, dtype=np.uint8)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -55,9 +56,9 @@ def blocks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def word_hashes(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(run: list[bytes], letters: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of a run of texts, and where each text's words begin (one more than there are texts)."""
-    data = LOWER[np.frombuffer(b"\n".join(run) + b"\n", np.uint8)]
+    data = letters[np.frombuffer(b"\n".join(run) + b"\n", np.uint8)]
     space = SPACES[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
