@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,9 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset and Spark runs in this process alone (tests), under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/veilgrid-{uuid.uuid4().hex}"
@@ -48,3 +53,12 @@ def in_batches(docs: DataFrame) -> DataFrame:
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about `most` bytes of text; a longer text by itself. Views, not copies."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)] if len(batch) else [0]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)

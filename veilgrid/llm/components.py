@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): for each node on an edge (u, v), the least node that it is connected with.
 
     Large star: each node points its larger neighbours at its least one; small star: its smaller ones and itself. Both
-    keep the components and shorten the paths, in a number of rounds that grows with the logarithm of the longest.
+    keep the components and shorten the paths, in a number of rounds that grows with the logarithm of the longest; more
+    than `rounds` of them fail the job rather than give unfinished components.
     Every step is a join and an aggregate over edges, so no component is ever gathered in a task. Loops (u = v) keep
     single nodes; null ends are left out.
     """
@@ -37,6 +38,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components unfinished after {rounds} rounds")
     roots = e.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
     found = e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component")).join(found, "node", "left_anti")

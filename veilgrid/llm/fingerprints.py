@@ -63,7 +63,7 @@ class Fingerprinter:
         """
         out = np.zeros((len(texts), len(self.keys)), np.uint32)
         for first, run in blocks(texts):
-            h, at = distinct(run, *word_hashes(run))
+            h, at, _ = distinct(run, *word_hashes(run))
             doc = np.repeat(np.arange(len(run)), np.diff(at))
             if len(self.terms):
                 known = self.terms[np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)] == h

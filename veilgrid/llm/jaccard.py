@@ -31,6 +31,7 @@ from .words import blocks, mix, shingle_hashes
 
 #: A share of the set beyond what linked sets may differ in, by which sketches are longer.
 EXTRA = 10
+SALT = np.uint64(0x1F3D5B79)
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -53,14 +54,14 @@ def shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in blocks(texts_of(batch)):
-                h, at = shingle_hashes(part, k)
+                h, at, other = shingle_hashes(part, k)
                 n = np.diff(at)
-                # Sorted hashes of a text; two sums over differently mixed hashes stand for the set.
+                # Two sums, over independent hashes of the shingles, stand for the set.
                 some = np.flatnonzero(n)
                 d = np.zeros((len(part), 2), np.uint64)
                 if len(h):
-                    for j, salt in enumerate((np.uint64(0x1F3D5B79), np.uint64(0x2E4C6A88))):
-                        d[some, j] = mix(np.add.reduceat(mix(h ^ salt), at[some]) + n[some].astype(np.uint64))
+                    for j, x in enumerate((h, other)):
+                        d[some, j] = mix(np.add.reduceat(mix(x ^ SALT), at[some]) + n[some].astype(np.uint64))
                 size = sketch_size(n, percent)
                 take = np.repeat(at[:-1], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
                 tokens = (mix(h[take]) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(h) else np.zeros(0, np.int32)
@@ -197,7 +198,7 @@ def tokens_of(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in blocks(texts_of(batch)):
-                h, at = shingle_hashes(part, k)
+                h, at, _ = shingle_hashes(part, k)
                 rows = batch.slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("block"), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["node", "block", "tokens"])
 

@@ -14,6 +14,7 @@ An anchor with more contents than a shard should hold is resolved by its windows
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,26 +22,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_batches, staged, texts_of
+from .common import documents, in_batches, sliced, staged, texts_of
 from .induced import repeated_starts
-from .words import blocks, mix, powers
+from .words import mix
 
 UPPER = np.uint64(0xFFFFFFFF00000000)
-SPREAD = np.uint64(0xD6E8FEB86659FD93)
+FACTOR = np.uint64(0xD6E8FEB86659FD93)
 #: Where a text goes by in the joins: its hash and its id. Rows equal in both are the same in every result.
 KEYS = ("_vg_id", "_vg_tk")
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum((data + np.uint64(1)) * powers(len(data) + 1)[0][: len(data)], out=out[1:])
-    return out
-
-
-def string_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    inverse = powers(len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+#: Bytes of a text that are looked at together; longer texts go in pieces that overlap by a window less one byte.
+PIECE = 1 << 20
+
+
+def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the string of `length` bytes (8 at least) at each place that has one: built from halves, mixed in between."""
+    if len(data) < length:
+        return np.zeros(0, np.uint64)
+    h = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    size = 8
+    while size < length:
+        step = min(size, length - size)
+        a, b = h[:-step], h[step:]
+        h = a >> np.uint64(29)
+        h ^= a
+        h *= FACTOR
+        h += b
+        size += step
+    return mix(h)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -54,19 +62,39 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[: n - width + 1], up[width - 1 : n])
 
 
+def pieces(run: list[bytes], span: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Runs of about PIECE bytes: (parts of texts, the index of each part's text, where the part begins in it)."""
+    parts, owner, begin, size = [], [], [], 0
+    for k, raw in enumerate(run):
+        for lo in range(0, max(1, len(raw) - span + 1), PIECE):
+            part = raw[lo : lo + PIECE + span - 1]
+            if parts and size + len(part) > PIECE:
+                yield parts, np.array(owner), np.array(begin)
+                parts, owner, begin, size = [], [], [], 0
+            parts.append(part)
+            owner.append(k)
+            begin.append(lo)
+            size += len(part)
+    if parts:
+        yield parts, np.array(owner), np.array(begin)
+
+
 def contexts(run: list[bytes], span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, content, first, last): of each context, the text's index, hashes, and first and last window start in the text."""
-    data = np.frombuffer(b"".join(run), np.uint8)
+    """(text, anchor, content, first, last, size, times): of each context, the text's index, hashes, first and last window start.
+
+    Contexts in a row that are equal (in periodic text) are one row: `last` is that of the last of them, `size` the bytes
+    of one, `times` how many there are.
+    """
+    joined = b"".join(run)
+    data = np.frombuffer(joined, np.uint8)
     sizes = np.fromiter(map(len, run), np.int64, len(run))
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = tuple(np.zeros(0, np.int64) for _ in range(7))
     if len(data) < span:
         return none
     at = np.concatenate([[0], np.cumsum(sizes)])
-    sums = prefix_sums(data)
-    n = len(data) - gram + 1
-    h = (sums[gram:] - sums[:-gram]) * powers(len(sums))[1][:n]
-    # The upper half of the mixed hash decides; equal ones go by place, so the leftmost wins.
-    least = sliding_least((h * SPREAD & UPPER) | np.arange(n, dtype=np.uint64), span - gram + 1)
+    h = gram_hashes(data, gram)
+    # The upper half of the hash decides; equal ones go by place, so the leftmost wins.
+    least = sliding_least((h & UPPER) | np.arange(len(h), dtype=np.uint64), span - gram + 1)
     first = np.union1d(np.flatnonzero(least[1:] != least[:-1]) + 1, at[:-1])
     first = first[first < len(least)]
     t = np.searchsorted(at, first, "right") - 1
@@ -75,49 +103,56 @@ def contexts(run: list[bytes], span: int, gram: int) -> tuple[np.ndarray, ...]:
     first, last, t = first[ok], last[ok], t[ok]
     if not len(first):
         return none
-    anchor = mix(h[(least[first] & ~UPPER).astype(np.int64)])
-    return t, anchor, string_hashes(sums, first, last + span), first - at[t], last - at[t]
+    anchor = h[(least[first] & ~UPPER).astype(np.int64)].view(np.int64)
+    ends = last + span
+    content = np.frombuffer(b"".join([hashlib.blake2b(joined[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]), np.int64)
+    same = (content[1:] == content[:-1]) & (anchor[1:] == anchor[:-1]) & (first[1:] == last[:-1] + 1) & (t[1:] == t[:-1])
+    lead = np.flatnonzero(np.concatenate([[True], ~same]))
+    times = np.diff(np.append(lead, len(first)))
+    return t[lead], anchor[lead], content[lead], first[lead] - at[t[lead]], last[lead + times - 1] - at[t[lead]], ends[lead] - first[lead], times
+
+
+PLACE = ("anchor", "content", "first", "last", "size", "times")
 
 
 def anchored(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(id, tk, anchor, content, first, last) of docs (id, tk, text)."""
+    """(id, tk, anchor, content, first, last, size, times) of docs (id, tk, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, run in blocks(texts_of(batch)):
-                t, anchor, content, first, last = contexts(run, span, gram)
-                rows = batch.slice(start, len(run)).take(pa.array(t))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), *(pa.array(x.astype(np.int64)) for x in (anchor.view(np.int64), content.view(np.int64), first, last))],
-                    ["id", "tk", "anchor", "content", "first", "last"],
-                )
+        for whole in batches:
+            for batch in sliced(whole):
+                keys = batch.select(["id", "tk"])
+                for parts, owner, begin in pieces([t.encode("utf-8", "replace") for t in texts_of(batch)], span):
+                    t, anchor, content, first, last, *rest = contexts(parts, span, gram)
+                    rows = keys.take(pa.array(owner[t]))
+                    columns = (anchor, content, *(x.astype(np.int32) for x in (first + begin[t], last + begin[t], *rest)))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, columns)], ["id", "tk", *PLACE])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "tk", "text").mapInArrow(find, f"id {kind}, tk long, anchor long, content long, first long, last long")
+    return docs.select("id", "tk", "text").mapInArrow(find, f"id {kind}, tk long, anchor long, content long, first int, last int, size int, times int")
 
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """wanted (id, tk, anchor, content, n, first, last) with the `bytes` of each context."""
-    lists = wanted.groupBy("id", "tk").agg(F.collect_set(F.struct("anchor", "content", "n", "first", "last")).alias("list"))
+    """wanted (id, tk, anchor, content, n, first, size) with the `bytes` of each context."""
+    lists = wanted.groupBy("id", "tk").agg(F.collect_set(F.struct("anchor", "content", "n", "first", "size")).alias("list"))
     lists = lists.select(F.col("id").alias("_vg_i"), F.col("tk").alias("_vg_t"), "list")
     joined = docs.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col("_vg_i")) & (F.col("tk") == F.col("_vg_t"))).select("id", "tk", "text", "list")
+    names = ("anchor", "content", "n", "first")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("list")
-            parents = lists.value_parent_indices() if hasattr(lists, "value_parent_indices") else pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-            flat = lists.flatten()
-            raw = [t.encode("utf-8", "replace") for t in texts_of(batch)]
-            first, last = flat.field("first").to_pylist(), flat.field("last").to_pylist()
-            out = [raw[k][a : b + span] for k, a, b in zip(parents.to_pylist(), first, last, strict=True)]
-            rows = batch.take(parents)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), rows.column("tk"), *(flat.field(c) for c in ("anchor", "content", "n", "first", "last")), pa.array(out, pa.binary())],
-                ["id", "tk", "anchor", "content", "n", "first", "last", "bytes"],
-            )
+        for whole in batches:
+            for batch in sliced(whole):
+                lists, keys = batch.column("list"), batch.select(["id", "tk"])
+                parents, flat = lists.value_parent_indices(), lists.flatten()
+                raw = [t.encode("utf-8", "replace") for t in texts_of(batch)]
+                for lo in range(0, len(flat), 4096):
+                    part, owner = flat.slice(lo, 4096), parents.slice(lo, 4096)
+                    first, size = part.field("first").to_pylist(), part.field("size").to_pylist()
+                    out = [raw[k][a : a + n] for k, a, n in zip(owner.to_pylist(), first, size, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*keys.take(owner).columns, *(part.field(c) for c in names), pa.array(out, pa.binary())], ["id", "tk", *names, "bytes"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"id {kind}, tk long, anchor long, content long, n long, first long, last long, bytes binary")
+    return joined.mapInArrow(cut, f"id {kind}, tk long, anchor long, content long, n long, first int, bytes binary")
 
 
 SPANS = "id {id}, tk long, begin long, end long"
@@ -172,23 +207,20 @@ def count_windows(cut: DataFrame, span: int) -> DataFrame:
     """The same for anchors with very many contents: windows are hashed to 128 bits and counted, no group is gathered."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("bytes").to_pylist()
-            sizes = np.array([len(b) for b in raw], np.int64)
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            s = np.flatnonzero(np.arange(len(data)) + span <= np.repeat(at[1:], sizes))
-            owner = np.repeat(np.arange(len(raw)), sizes)[s]
-            half = span // 2
-            sums = prefix_sums(data)
-            rows = batch.take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), rows.column("tk"), rows.column("n"), pc_add(rows.column("first"), s - at[owner]), pa.array(string_hashes(sums, s, s + half).view(np.int64)), pa.array(string_hashes(sums, s + half, s + span).view(np.int64))],
-                ["id", "tk", "n", "begin", "h1", "h2"],
-            )
-
-    def pc_add(column: pa.Array, more: np.ndarray) -> pa.Array:
-        return pa.array(column.to_numpy(zero_copy_only=False) + more)
+        half = span // 2
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                batch = whole.slice(lo, 256)
+                raw = batch.column("bytes").to_pylist()
+                sizes = np.array([len(b) for b in raw], np.int64)
+                h = gram_hashes(np.frombuffer(b"".join(raw), np.uint8), half)
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                s = np.concatenate([np.arange(a, b - span + 1) for a, b in zip(at, at[1:], strict=False)])
+                owner = np.repeat(np.arange(len(raw)), sizes - span + 1)
+                rows = batch.select(["id", "tk", "n"]).take(pa.array(owner))
+                begin = batch.column("first").to_numpy()[owner] + (s - at[owner])
+                hashes = (h[s].view(np.int64), h[s + span - half].view(np.int64))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, (begin.astype(np.int64), *hashes))], ["id", "tk", "n", "begin", "h1", "h2"])
 
     kind = cut.schema["id"].dataType.simpleString()
     each = cut.dropDuplicates(["anchor", "content"]).mapInArrow(windows, f"id {kind}, tk long, n long, begin long, h1 long, h2 long")
@@ -200,12 +232,12 @@ def repeated_spans(docs: DataFrame, span: int = 400, gram: int = 100, shard_byte
     """(id, tk, begin, end), which may overlap: the bytes of docs (id, tk, text) covered by strings of `span` bytes that start elsewhere too."""
     # Hints: the same plan at every size; a broadcast of what grows with the corpus is no plan.
     places = staged(anchored(docs, span, gram))
-    counts = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tk", "first", "last")).alias("one"))
+    counts = places.groupBy("anchor", "content").agg(F.sum("times").alias("n"), F.min(F.struct("id", "tk", "first", "size")).alias("one"))
     anchors = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).where("total >= 2")
     known = staged(counts.join(anchors.hint("merge"), "anchor"))
     twice = known.where("n >= 2").select("anchor", "content")
-    whole = places.join(twice.hint("merge"), ["anchor", "content"]).select("id", "tk", F.col("first").alias("begin"), (F.col("last") + span).alias("end"))
-    wanted = known.where("contents >= 2").select("one.id", "one.tk", "anchor", "content", "n", "one.first", "one.last", (F.col("contents") > shard_contents).alias("wide"))
+    whole = places.join(twice.hint("merge"), ["anchor", "content"]).select("id", "tk", F.col("first").cast("long").alias("begin"), (F.col("last") + span).cast("long").alias("end"))
+    wanted = known.where("contents >= 2").select("one.id", "one.tk", "anchor", "content", "n", "one.first", "one.size", (F.col("contents") > shard_contents).alias("wide"))
     parts = [whole, sort_shards(cut_contexts(docs, wanted.where("NOT wide"), span), span, shard_bytes)]
     if not wanted.where("wide").isEmpty():
         parts.append(count_windows(cut_contexts(docs, wanted.where("wide"), span), span))
