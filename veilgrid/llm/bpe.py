@@ -2,30 +2,30 @@
 
 The corpus's most frequent words are merged once and compiled into a minimal acyclic automaton: words that end alike
 share states. Each transition adds a number; the sum along a word is its rank, and ranks index the table of ids. The
-file of the automaton is memory-mapped by each Python worker; a batch's distinct words walk it together in numpy.
+file of the automaton lies once on each executor and its workers map it; a batch's distinct words walk it together.
 Words that it doesn't hold go through the merges themselves, so the result is exact whatever the lexicon has.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import mmap
 import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_batches, staged, texts_of
+from .common import documents, in_batches, sliced, staged, texts_of
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Beyond Latin letters and general punctuation, Unicode versions may differ on what is a letter: the library splits there.
@@ -33,7 +33,6 @@ RARE = re.compile("[^\\x00-\\u024f\\u2000-\\u2027\\u202f-\\u2060\\u20ac]")
 #: Texts with these, or RARE, are split as a whole: white space other than space and line end, control characters.
 UNUSUAL = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u20ac]|İ")
 MEMO = 200_000
-SLICE = 256
 
 
 def byte_letters() -> list[str]:
@@ -284,13 +283,9 @@ def build_transducer(words: list[bytes], ids: list[list[int]]) -> bytes:
 class Transducer:
     """A memory-mapped transducer: looks up many words at once."""
 
-    def __init__(self, block: bytes):
-        fd, path = tempfile.mkstemp(prefix="lexicon-")
-        with os.fdopen(fd, "wb") as f:
-            f.write(block)
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        os.unlink(path)  # the mapping stays
         a = np.frombuffer(self.map, np.int64)
         t, s, w, n = (int(x) for x in a[:4])
         at, cut = 8, []
@@ -326,62 +321,71 @@ class Transducer:
             live = live[~over]
         return rank
 
-    def encoded(self, rank: int) -> bytes:
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].astype("<u4").tobytes()
+    def encoded_many(self, ranks: np.ndarray) -> list[bytes]:
+        """The ids of words by rank, as bytes."""
+        lo, n = self.offsets[ranks], self.offsets[ranks + 1] - self.offsets[ranks]
+        ends = np.cumsum(n)
+        flat = self.ids[np.repeat(lo - ends + n, n) + np.arange(int(n.sum()))].astype("<u4").tobytes()
+        return [flat[4 * (b - k) : 4 * b] for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
+
+
+class Memo:
+    """A map of bounded size in two generations: when the young one is full it becomes the old one, and the old one goes."""
+
+    def __init__(self, most: int = MEMO):
+        self.most = most // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, keys: Iterable[str]) -> dict[str, bytes]:
+        young, old = self.young.get, self.old.get
+        return {k: v for k in keys if (v := young(k) or old(k)) is not None}
+
+    def add(self, values: dict[str, bytes]) -> None:
+        if len(self.young) + len(values) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update(values)
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes, over a memo of the words met so far."""
+    """Texts to ids as little-endian unsigned 32-bit bytes, over a memo of the chunks met lately."""
 
     def __init__(self, bpe: Bpe, lexicon: Transducer | None = None):
         self.bpe, self.lexicon = bpe, lexicon
-        self.memo: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.memo = Memo()
         self.special = {t: int(i).to_bytes(4, "little") for t, i in bpe.special.items()}
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode new words: the lexicon walks them all at once, the merges do those that it doesn't hold."""
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
-        if not new:
-            return
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+    def words_ids(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of distinct words: the lexicon walks them all at once, the merges do those that it doesn't hold."""
+        new = list(set(words))
         raw = [w.encode("utf-8", "surrogateescape") for w in new]
         ranks = self.lexicon.ranks(raw) if self.lexicon else np.full(len(new), -1)
         unknown = np.flatnonzero(ranks < 0).tolist()
-        for k, ids in zip(unknown, self.bpe.merge_many([raw[k] for k in unknown]), strict=True):
-            self.memo[new[k]] = ids
-        for k in np.flatnonzero(ranks >= 0).tolist():
-            self.memo[new[k]] = self.lexicon.encoded(int(ranks[k]))
+        out = dict(zip([new[k] for k in unknown], self.bpe.merge_many([raw[k] for k in unknown]), strict=True))
+        known = np.flatnonzero(ranks >= 0)
+        if len(known):
+            out |= zip([new[k] for k in known.tolist()], self.lexicon.encoded_many(ranks[known]), strict=True)
+        return out
 
-    def word_ids(self, word: str) -> bytes:
-        if (ids := self.memo.get(word)) is None:
-            self.learn([word])
-            ids = self.memo[word]
-        return ids
+    def chunk_ids(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of each chunk. Those that the memo doesn't hold are split into words, and all their words done together."""
+        out = self.memo.find(chunks)
+        new = chunks.difference(out)
+        words = {c for c in new if c.isascii() and c.isalpha()}
+        parts = [(c, self.bpe.words.findall(c)) for c in new.difference(words)]
+        ids_of = self.words_ids(words.union(*(ws for _, ws in parts)))
+        fresh = {c: ids_of[c] for c in words}
+        get = ids_of.__getitem__
+        fresh |= {c: b"".join(map(get, ws)) for c, ws in parts}
+        self.memo.add({c: ids for c, ids in fresh.items() if len(c) <= 32})
+        out |= fresh
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. New chunks of a slice of texts are learned together; a full memo takes no more."""
-        out: list[bytes] = []
-        for lo in range(0, len(texts), SLICE):
-            part = texts[lo : lo + SLICE]
-            cut = [None if "<|" in t else self.bpe.chunks(t) for t in part]
-            new = set().union(*(chunks for chunks in cut if chunks)).difference(self.chunks)
-            words = {c: self.bpe.words.findall(c) for c in new}
-            self.learn(w for ws in words.values() for w in ws)
-            fresh = {c: self.word_ids(ws[0]) if len(ws) == 1 else b"".join([self.word_ids(w) for w in ws]) for c, ws in words.items()}
-            if len(self.chunks) + len(fresh) <= MEMO:
-                self.chunks |= fresh
-                fresh = {}
-            get = self.chunks.__getitem__
-            for t, chunks in zip(part, cut, strict=True):
-                if chunks is None:
-                    out.append(self.encode(t))
-                elif fresh:
-                    out.append(b"".join([fresh[c] if c in fresh else get(c) for c in chunks]))
-                else:
-                    out.append(b"".join(map(get, chunks)))
-        return out
+        """The ids of each text."""
+        cut = [None if "<|" in t else self.bpe.chunks(t) for t in texts]
+        get = self.chunk_ids(set().union(*(chunks for chunks in cut if chunks))).__getitem__
+        return [self.encode(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut, strict=True)]
 
     def encode(self, text: str) -> bytes:
         """The ids of any text, word by word."""
@@ -391,8 +395,8 @@ class Encoder:
                 out.append(self.special[part])
             else:
                 words = self.bpe.split(part)
-                self.learn(words)
-                out += [self.word_ids(w) for w in words]
+                ids = self.words_ids(words)
+                out += map(ids.__getitem__, words)
         return b"".join(out)
 
 
@@ -415,18 +419,29 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-_coders: dict[tuple, tuple[Encoder, Decoder]] = {}
+_coders: dict[str, tuple[Encoder, Decoder]] = {}
 
 
-def coders(tokenizer: str, block: Broadcast) -> tuple[Encoder, Decoder]:
-    """The worker's encoder, with what it has learned in earlier tasks, and decoder."""
-    key = (tokenizer, hash(block.value))
+def coders(tokenizer: str, lexicon: str) -> tuple[Encoder, Decoder]:
+    """The worker's encoder, with what it has learned in earlier tasks, and decoder. lexicon: the name of a distributed file."""
+    key = f"{tokenizer}/{lexicon}"
     if key not in _coders:
         _coders.clear()
-        _coders[key] = Encoder(load(tokenizer), Transducer(block.value)), Decoder(load(tokenizer))
+        _coders[key] = Encoder(load(tokenizer), Transducer(SparkFiles.get(lexicon))), Decoder(load(tokenizer))
     return _coders[key]
 
 
+def distribute(spark: SparkSession, block: bytes) -> str:
+    """Hand a file to all executors by Spark's own file distribution: each holds it once, and its workers map the same pages."""
+    name = f"lexicon-{hashlib.sha256(block).hexdigest()[:32]}.bin"
+    path = os.path.join(SparkFiles.getRootDirectory(), name)
+    if not os.path.exists(path):
+        with open(path, "wb") as f:
+            f.write(block)
+        spark.sparkContext.addFile(path)
+    return name
+
+
 def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """(word, n): the words of all texts as the tokenizer splits them; each batch is counted before the shuffle."""
 
@@ -479,17 +494,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_00
     """(id, ids binary: little-endian unsigned 32-bit, decoded string) of every whole text.
 
     A null text counts as empty and has no ids; a null id is passed on; repeated rows give repeated rows; an empty
-    table gives an empty result; other columns are not looked at. The lexicon is a broadcast of at most
-    `lexicon_words` words of at most 64 characters.
+    table gives an empty result; other columns are not looked at, so their names can't clash. A text of any length is
+    encoded whole; it is held by one worker, with its ids. The lexicon is a file of at most `lexicon_words` words of at
+    most 64 characters, which each executor holds once.
     """
-    spark = docs.sparkSession
-    block = spark.sparkContext.broadcast(compile_lexicon(docs, tokenizer, lexicon_words, text_col))
+    lexicon = distribute(docs.sparkSession, compile_lexicon(docs, tokenizer, lexicon_words, text_col))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = coders(tokenizer, block)
+        encoder, decoder = coders(tokenizer, lexicon)
         for whole in batches:
-            for lo in range(0, len(whole), SLICE):
-                batch = whole.slice(lo, SLICE)
+            for batch in sliced(whole):
                 ids = encoder.encode_batch(texts_of(batch))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([decoder.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
 
