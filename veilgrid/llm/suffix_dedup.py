@@ -247,9 +247,11 @@ def repeated_spans(docs: DataFrame, span: int = 400, gram: int = 100, shard_byte
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, as_text: bool = False) -> DataFrame:
     """docs (all columns) with `kept` binary (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs).
 
+    as_text: kept is a string, without the rests of characters that a cut went through; null for a null text.
+
     Every byte goes that is covered by a string of `span` bytes which also starts anywhere else, in the same text too;
     strings are judged on the input. Texts are UTF-8 bytes; a null text counts as empty and keeps nothing; a text of
     under `span` bytes stays whole. Repeated rows and copies remove each other whole. Columns named kept, n_bytes,
@@ -276,13 +278,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(out))
                 removed.append(len(raw) - len(kept[-1]))
                 runs.append(n)
+            if as_text:
+                there = batch.column(text_col).is_valid().to_pylist()
+                kept = [k.decode("utf-8", "ignore") if ok else None for k, ok in zip(kept, there, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(kept, pa.binary()), pa.array([len(r) for r in raws], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+                [*(batch.column(c) for c in keep), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array([len(r) for r in raws], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
                 [*keep, "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(cut, f"{kinds}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(cut, f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def op5_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
