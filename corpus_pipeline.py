@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs).select(*COLUMNS)
 
 
-def whole_characters(kept: pd.Series) -> pd.Series:
-    """Bytes as text, without the rests of characters that a cut went through."""
-    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take passages of 400 bytes and more that occur elsewhere out of the documents."""
-    return with_text(remove_repeats(docs).withColumn("text", F.pandas_udf(whole_characters, "string")("kept")))
+    return with_text(remove_repeats(docs, as_text=True).withColumn("text", F.col("kept")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
