@@ -109,7 +109,11 @@ def gaussian(d: Dialect, x: str, eps: str, lo: str, hi: str, u1: str, u2: str, d
 
 def noise_index(d: Dialect, mechanism: str, t: str, eps: str, *keys: str, m: int = M) -> str:
     """The index that `mechanism` (exp, blap, stair) draws at grid position t, keyed by SQL expressions."""
-    u = d.uniform(*keys)
+    return drawn(d, mechanism, t, eps, d.uniform(*keys), m)
+
+
+def drawn(d: Dialect, mechanism: str, t: str, eps: str, u: str, m: int = M) -> str:
+    """The same from a uniform that is at hand."""
     if mechanism == "exp":
         return exponential(d, t, eps, u, m)
     if mechanism == "blap":

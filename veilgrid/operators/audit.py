@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 from .release import release
 
 
-def repeated(rows: DataFrame, mechanism: str, q: int, cached: bool, keys: tuple[str, ...] = ("template", "root", "patient_id")) -> DataFrame:
-    """q + 1 releases of each row: independent draws, or the replay of one."""
+def repeated(rows: DataFrame, mechanism: str, q: int, cached: bool, keys: tuple[str, ...] = ("template", "root", "patient_id"), paired: bool = False) -> DataFrame:
+    """q + 1 releases of each row: independent draws, or the replay of one. paired: as in release."""
     draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(q))))
-    return release(draws, mechanism, keys, None if cached else "draw")
+    return release(draws, mechanism, keys, None if cached else "draw", paired)
 
 
 def lower_median(index: str = "idx") -> Column:
@@ -25,7 +25,11 @@ def lower_median(index: str = "idx") -> Column:
 
 
 def log_kernel(mechanism: str, eps: float, m: int) -> np.ndarray:
-    """ln probability of index s (column) at true index t (row)."""
+    """ln probability of index s (column) at true index t (row).
+
+    Of the staircase, all whole distances lie in the first part of a step, whose weight cancels: on the grid its
+    likelihood is that of the Laplace law, exp(-eps * lag).
+    """
     s = np.arange(m)
     lag = np.abs(s[:, None] - s[None, :])
     kernel = -(eps / 2 if mechanism == "exp" else eps) * lag
@@ -35,8 +39,9 @@ def log_kernel(mechanism: str, eps: float, m: int) -> np.ndarray:
 def map_index(observations: DataFrame, mechanism: str, m: int = 1000, by: tuple[str, ...] = ("template", "patient_id", "root")) -> DataFrame:
     """(by, map_idx): the most likely index given all releases `idx` at `eps_root`, under a Gaussian prior on the grid.
 
-    observations: (by, idx, eps_root, prior_mean, prior_std), the prior in grid units, null for none. The releases of
-    a root come together as an array; the grid is scored in numpy, as one product per task batch and eps.
+    observations: (by, idx, eps_root, prior_mean, prior_std), the prior in grid units, null for none. The first of
+    equal maxima wins; without any release (all idx null), the middle index m // 2. The releases of a root come
+    together as an array; the grid is scored in numpy, as one product per task batch and eps.
     """
     grouped = observations.groupBy(*by).agg(F.sort_array(F.collect_list("idx")).alias("obs"), F.first("eps_root").alias("eps"), F.first("prior_mean").alias("mu"), F.first("prior_std").alias("sd"))
 
@@ -44,7 +49,8 @@ def map_index(observations: DataFrame, mechanism: str, m: int = 1000, by: tuple[
         s = np.arange(m)
         kernels: dict[float, np.ndarray] = {}
         for pdf in batches:
-            best = np.empty(len(pdf), np.int64)
+            best = np.full(len(pdf), m // 2, np.int64)
+            pdf["eps"] = pdf["eps"].where(pdf["obs"].map(len) > 0)
             for eps, rows in pdf.groupby("eps").indices.items():
                 if eps not in kernels:
                     if len(kernels) > 8:
@@ -65,6 +71,41 @@ def map_index(observations: DataFrame, mechanism: str, m: int = 1000, by: tuple[
     return grouped.mapInPandas(score, f"{kinds}, map_idx long")
 
 
+def population_statistics(rows: DataFrame, ridge: float = 1e-6) -> dict[str, tuple[list[str], np.ndarray, np.ndarray]]:
+    """Per template (roots, means, inverse of the covariance plus ridge on its diagonal) of rows (template, patient_id, root, value).
+
+    Covariances are one aggregate in Spark; a row per pair of roots comes to the driver, where matrices of a few roots
+    are inverted.
+    """
+    other = rows.select("template", "patient_id", F.col("root").alias("other"), F.col("value").alias("_vg_v"))
+    pairs = rows.join(other, ["template", "patient_id"]).groupBy("template", "root", "other").agg(F.avg("value").alias("mean"), F.covar_pop("value", "_vg_v").alias("cov")).collect()
+    return {t: regularised([(r.root, r.other, r.mean, r.cov) for r in pairs if r.template == t], ridge) for t in sorted({r.template for r in pairs})}
+
+
+def regularised(pairs: list[tuple[str, str, float, float]], ridge: float = 1e-6) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(roots, means, inverse of covariance + ridge) from (root, other, mean, cov)."""
+    roots = sorted({p[0] for p in pairs})
+    cov, mean = np.zeros((len(roots), len(roots))), np.zeros(len(roots))
+    for a, b, m, c in pairs:
+        cov[roots.index(a), roots.index(b)], mean[roots.index(a)] = c, m
+    return roots, mean, np.linalg.inv(cov + ridge * np.eye(len(roots)))
+
+
+def joint_log_prior(rows: DataFrame, statistics: dict[str, tuple[list[str], np.ndarray, np.ndarray]]) -> DataFrame:
+    """(template, patient_id, lp): the joint Gaussian log prior, without its constant, of any number of roots.
+
+    rows: (template, patient_id, root, value). The differences of an entity come together in one aggregate and are
+    multiplied with the template's inverse, which is broadcast.
+    """
+    spark = rows.sparkSession
+    centre = spark.createDataFrame([(t, r, float(m)) for t, (roots, mean, _) in statistics.items() for r, m in zip(roots, mean, strict=True)], "template string, root string, _vg_m double")
+    inverse = spark.createDataFrame([(t, [[float(x) for x in row] for row in inv]) for t, (_, _, inv) in statistics.items()], "template string, _vg_inv array<array<double>>")
+    off = rows.join(F.broadcast(centre), ["template", "root"]).groupBy("template", "patient_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("root", (F.col("value") - F.col("_vg_m")).alias("x")))), lambda s: s["x"]).alias("d"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    product = F.transform("_vg_inv", lambda row: dot(row, F.col("d")))
+    return off.join(F.broadcast(inverse), "template").select("template", "patient_id", (-0.5 * dot(product, F.col("d"))).alias("lp"))
+
+
 def request_plan(sessions: DataFrame, roots: list[str]) -> DataFrame:
     """(session columns, turn, root): t - 1 turns that ask for one root each in turn, then one for all roots."""
     names = F.array(*[F.lit(r) for r in roots])

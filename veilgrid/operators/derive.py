@@ -87,11 +87,11 @@ def with_derived(df: DataFrame, template: Template, names: Mapping[str, str] | N
     return df
 
 
-def layered_sql(base: str, template: Template, keep: str = "*", names: Mapping[str, str] | None = None, prefix: str = "") -> str:
-    """A DuckDB query over `base` with the derived columns, each in a subquery of its own."""
+def layered_sql(base: str, template: Template, keep: str = "*", names: Mapping[str, str] | None = None, prefix: str = "", d: Dialect = DUCK) -> str:
+    """A query over `base` with the derived columns, each in a subquery of its own."""
     sql = f"SELECT {keep} FROM {base}"
-    for column, expression in derived_columns(DUCK, template, names, prefix):
-        sql = f'SELECT *, {expression} AS "{column}" FROM ({sql})'
+    for column, expression in derived_columns(d, template, names, prefix):
+        sql = f"SELECT *, {expression} AS {d.quote(column)} FROM ({sql})"
     return sql
 
 

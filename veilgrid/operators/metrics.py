@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,27 +24,60 @@ def wmape(truth: Column, value: Column) -> Column:
     return F.try_divide(100 * F.sum(F.abs(value - truth)), F.sum(F.abs(truth)))
 
 
-def poisson_weight(d: Dialect, *keys: str) -> str:
-    """A Poisson(1) deviate from a keyed uniform, by comparing with the distribution function up to 6."""
-    u = d.uniform(*keys)
+def wmape_se(truth: Column, value: Column) -> Column:
+    """The standard error of wmape as a ratio of sums, by linearisation: what the bootstrap estimates, from five sums."""
+    e, t, n = F.abs(value - truth), F.abs(truth), F.count(F.lit(1))
+    ratio = F.try_divide(F.sum(e), F.sum(t))
+    rest = F.sum(e * e) - 2 * ratio * F.sum(e * t) + ratio * ratio * F.sum(t * t)
+    return F.when(n > 1, F.try_divide(100 * F.sqrt(F.greatest(rest, F.lit(0.0)) * n / (n - 1)), F.sum(t)))
+
+
+WMAPE_SE_SQL = """CASE WHEN count(*) > 1 THEN 100 * sqrt(greatest(sum(e * e) - 2 * (sum(e) / sum(t)) * sum(e * t) + (sum(e) / sum(t)) * (sum(e) / sum(t)) * sum(t * t), 0) * count(*) / (count(*) - 1)) / sum(t) END"""
+
+#: Resamples that share one hash: eight hexadecimal digits of it for each.
+SHARED = 8
+
+
+def poisson_weight(d: Dialect, digest: str, b: str) -> str:
+    """A Poisson(1) deviate for resample b, from its part of a key's digest, by comparing with the distribution function up to 8."""
+    part = f"substring({digest}, CAST(({b} % {SHARED}) * 8 + 1 AS INT), 8)"
+    u = f"CAST(conv({part}, 16, 10) AS BIGINT)" if d.spark else f"CAST(('0x' || {part}) AS BIGINT)"
     cdf, term, parts = 0.0, 0.36787944117144233, []
-    for k in range(7):
+    for k in range(9):
         cdf += term
         term /= k + 1
-        parts.append(f"CASE WHEN {u} >= {d.num(cdf)} THEN 1 ELSE 0 END")
+        parts.append(f"CASE WHEN {u} >= {round(cdf * 2**32)} THEN 1 ELSE 0 END")
     return f"({' + '.join(parts)})"
 
 
-def bootstrap_wmape(rows: DataFrame, by: tuple[str, ...], key: str, truth: str, value: str, resamples: int = 100) -> DataFrame:
-    """(by, wmape, se): se is the deviation (n - 1) over resamples with keyed Poisson weights.
+def digest_sql(d: Dialect, key: str, b: str) -> str:
+    text = f"concat_ws(':', 'boot', {d.string(f'CAST(floor({b} / {SHARED}) AS BIGINT)')}, {d.string(key)})"
+    return f"sha2({text}, 256)" if d.spark else f"sha256({text})"
 
-    A row's weights are functions of its key, so rows are summed where they lie: each task sends one partial sum per
-    cell and resample.
+
+def bootstrap(rows: DataFrame, key: str, statistics: Mapping[str, Callable[[Column], Column]], by: tuple[str, ...] = (), resamples: int = 1000, ddof: int = 1) -> DataFrame:
+    """(by, name, value, se): each statistic over all rows, and its deviation over resamples with keyed Poisson weights.
+
+    A statistic is any function from a column of weights to an aggregate, for example
+    `lambda w: F.sum(w * F.col("e")) / F.sum(w * F.col("t"))`. Rows stay where they are: a row's weights are functions
+    of its key, and each task sends one partial aggregate per group and resample. Rows with a null key weigh alike.
     """
-    draws = rows.select(*by, key, F.abs(F.col(value) - F.col(truth)).alias("e"), F.abs(truth).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("b"))
-    weight = F.when(F.col("b") == 0, 1).otherwise(F.expr(poisson_weight(SPARK, "'boot'", "b", key)))
-    sums = draws.withColumn("w", weight).groupBy(*by, "b").agg(F.try_divide(100 * F.sum(F.col("w") * F.col("e")), F.sum(F.col("w") * F.col("t"))).alias("s"))
-    return sums.groupBy(*by).agg(F.max(F.when(F.col("b") == 0, F.col("s"))).alias("wmape"), F.stddev_samp(F.when(F.col("b") > 0, F.col("s"))).alias("se"))
+    blocks = rows.withColumn("_vg_k", F.explode(F.sequence(F.lit(0), F.lit(-(-(resamples + 1) // SHARED) - 1))))
+    blocks = blocks.withColumn("_vg_d", F.expr(digest_sql(SPARK, key, f"(_vg_k * {SHARED})")))
+    each = blocks.withColumn("_vg_b", F.explode(F.sequence(F.col("_vg_k") * SHARED, F.least(F.col("_vg_k") * SHARED + SHARED - 1, F.lit(resamples)))))
+    each = each.withColumn("_vg_w", F.when(F.col("_vg_b") == 0, 1).otherwise(F.expr(poisson_weight(SPARK, "_vg_d", "_vg_b"))))
+    sums = each.groupBy(*by, "_vg_b").agg(*[f(F.col("_vg_w")).cast("double").alias(n) for n, f in statistics.items()])
+    long = sums.select(*by, "_vg_b", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("s")) for n in statistics])).alias("x")).select(*by, "_vg_b", "x.*")
+    spread = F.stddev_samp if ddof else F.stddev_pop
+    return long.groupBy(*by, "name").agg(F.max(F.when(F.col("_vg_b") == 0, F.col("s"))).alias("value"), spread(F.when(F.col("_vg_b") > 0, F.col("s"))).alias("se"))
+
+
+def weighted_wmape(truth: str, value: str) -> Callable[[Column], Column]:
+    return lambda w: F.try_divide(100 * F.sum(w * F.abs(F.col(value) - F.col(truth))), F.sum(w * F.abs(F.col(truth))))
+
+
+def weighted_accuracy(right: str) -> Callable[[Column], Column]:
+    return lambda w: F.try_divide(100.0 * F.sum(w * F.col(right).cast("int")), F.sum(w))
 
 
 def composed(by: DataFrame, keys: tuple[str, ...], value: str = "wmape", se: str = "se") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,41 +13,56 @@ from ..plans.catalog import DEFAULT_DOMAIN, Template, templates
 from .derive import class_sql, layered_sql, with_derived
 
 SECRET = "veil"
+#: In the key of a private release, besides what it is a release of: releases at another budget or by another law are
+#: independent draws, as two that share a uniform would give the value away together.
+INDEPENDENT = ("eps_root",)
 
 
-def release_sql(d: Dialect, mechanism: str, keys: tuple[str, ...], draw: str | None = None) -> tuple[str, str]:
+def release_sql(d: Dialect, mechanism: str, keys: tuple[str, ...], draw: str | None = None, paired: bool = True) -> tuple[str, str]:
     """SQL of the noised grid index, and of its value from the column idx, over rows (value, lo, hi, eps_root).
 
-    Without `draw` in the key, the release is cached: it is the same however often it is asked for.
+    Without `draw` in the key, the release is cached: it is the same however often it is asked for. paired: one
+    uniform serves all budgets and mechanisms of a value, as experiments that compare them want it.
     """
-    key = (f"'{SECRET}'", *keys, *([draw] if draw else []))
+    key = (f"'{SECRET}'", *keys, *([draw] if draw else []), *(() if paired else (f"'{mechanism}'", *INDEPENDENT)))
     t = N.grid_position(d, "value", "lo", "hi")
     return N.noise_index(d, mechanism, t, "eps_root", *key), N.value_of(d, "idx", "lo", "hi")
 
 
-def release(rows: DataFrame, mechanism: str, keys: tuple[str, ...] = ("template", "root", "patient_id"), draw: str | None = None) -> DataFrame:
-    """rows (value, lo, hi, eps_root, keys) with the noised grid index `idx` and its value `released`."""
-    index, value = release_sql(SPARK, mechanism, keys, draw)
+def release(rows: DataFrame, mechanism: str, keys: tuple[str, ...] = ("template", "root", "patient_id"), draw: str | None = None, paired: bool = False) -> DataFrame:
+    """rows (value, lo, hi, eps_root, keys) with the noised grid index `idx` and its value `released`.
+
+    Releases at different budgets or by different mechanisms are independent unless `paired`, which is for experiments
+    only: paired releases of one value aren't private together.
+    """
+    index, value = release_sql(SPARK, mechanism, keys, draw, paired)
     return rows.withColumn("idx", F.expr(index)).withColumn("released", F.expr(value))
 
 
-def released_columns(df: DataFrame, template: Template, eps: dict[str, float], mechanism: str, keys: tuple[str, ...], prefix: str = "r_") -> DataFrame:
-    """A wide release: one noised column per root of the template and the derived columns from these; no shuffle."""
+def budget_sql(d: Dialect, eps: float | str) -> str:
+    return eps if isinstance(eps, str) else d.num(eps)
+
+
+def released_columns(df: DataFrame, template: Template, eps: dict[str, float | str], mechanism: str, keys: tuple[str, ...], prefix: str = "r_") -> DataFrame:
+    """A wide release: one noised column per root of the template and the derived columns from these; no shuffle.
+
+    eps: a number for each root, or the name of the column that has it.
+    """
     columns: dict[str, Column] = {}
     for root in template.roots:
         lo, hi = (SPARK.num(x) for x in template.domains[root])
         t = N.grid_position(SPARK, f"`{root}`", lo, hi)
-        index = N.noise_index(SPARK, mechanism, t, SPARK.num(eps[root]), f"'{SECRET}'", f"'{root}'", *keys)
+        index = N.noise_index(SPARK, mechanism, t, budget_sql(SPARK, eps[root]), f"'{SECRET}'", f"'{root}'", *keys)
         columns[prefix + root] = F.expr(N.value_of(SPARK, f"({index})", lo, hi))
     return with_derived(df.withColumns(columns), template, {r: f"`{prefix}{r}`" for r in template.roots}, prefix)
 
 
-def released_columns_sql(base: str, template: Template, eps: dict[str, float], mechanism: str, keys: tuple[str, ...], prefix: str = "r_") -> str:
+def released_columns_sql(base: str, template: Template, eps: dict[str, float | str], mechanism: str, keys: tuple[str, ...], prefix: str = "r_") -> str:
     columns = []
     for root in template.roots:
         lo, hi = (DUCK.num(x) for x in template.domains[root])
         t = N.grid_position(DUCK, f'"{root}"', lo, hi)
-        index = N.noise_index(DUCK, mechanism, t, DUCK.num(eps[root]), f"'{SECRET}'", f"'{root}'", *keys)
+        index = N.noise_index(DUCK, mechanism, t, budget_sql(DUCK, eps[root]), f"'{SECRET}'", f"'{root}'", *keys)
         columns.append(f'{N.value_of(DUCK, f"({index})", lo, hi)} AS "{prefix}{root}"')
     return layered_sql(f"(SELECT *, {', '.join(columns)} FROM {base})", template, names={r: f'"{prefix}{r}"' for r in template.roots}, prefix=prefix)
 
@@ -82,6 +99,38 @@ def targets_sql(long: str, by: tuple[str, ...], value: str = "value", name: str
     return " UNION ALL ".join(parts)
 
 
+#: What tells a release from others in a sweep.
+SWEPT = ("mechanism", "config", "b_setting", "eps")
+
+
+def swept(entities: Mapping[str, DataFrame], cells: Mapping[str, DataFrame], mechanisms: tuple[str, ...]) -> DataFrame:
+    """Releases of templates at every cell: (template, SWEPT, patient_id, truth, truth_class, target, target_class).
+
+    entities, by template: patient_id and, for each root r, the columns r (value) and u_r (its uniform). cells, by
+    template: (config, b_setting, eps, eps_r for each root), of catalog size. Truths and uniforms are computed once
+    per entity; the cells are broadcast, and nothing is shuffled.
+    """
+    spark = next(iter(entities.values())).sparkSession
+    frames = {f"e_{t}": e for t, e in entities.items()} | {f"c_{t}": F.broadcast(c) for t, c in cells.items()}
+    sql = " UNION ALL ".join(swept_sql(SPARK, f"{{e_{t}}}", f"{{c_{t}}}", templates()[t], m) for t in entities for m in mechanisms)
+    return spark.sql(sql, **frames)
+
+
+def swept_sql(d: Dialect, entities: str, cells: str, template: Template, mechanism: str) -> str:
+    q = d.quote
+    noised = []
+    for r in template.roots:
+        lo, hi = map(d.num, template.domains[r])
+        index = N.drawn(d, mechanism, q(f"t_{r}"), f"eps_{r}", f"u_{r}")
+        noised.append(f"{N.value_of(d, f'({index})', lo, hi)} AS {q('_r_' + r)}")
+    truth, target = q(template.target), q("_r_" + template.target)
+    grid = ", ".join(f"{N.grid_position(d, q(r), *map(d.num, template.domains[r]))} AS {q('t_' + r)}, u_{r}" for r in template.roots)
+    base = f"SELECT patient_id, {truth} AS truth, {class_sql(d, template, truth)} AS truth_class, {grid} FROM ({layered_sql(entities, template, d=d)})"
+    inner = f"SELECT config, b_setting, eps, patient_id, truth, truth_class, {', '.join(noised)} FROM ({base}) CROSS JOIN {cells}"
+    inner = layered_sql(f"({inner})", template, names={r: q("_r_" + r) for r in template.roots}, prefix="_r_", d=d)
+    return f"SELECT '{template.name}' AS template, '{mechanism}' AS mechanism, {', '.join(SWEPT[1:])}, patient_id, truth, truth_class, {target} AS target, {class_sql(d, template, target)} AS target_class FROM ({inner})"
+
+
 def with_domains(rows: DataFrame, domains: DataFrame, default: tuple[float, float] = DEFAULT_DOMAIN) -> DataFrame:
     """rows (template, root, ...) with lo and hi from the domain table, or the default."""
     joined = rows.join(F.broadcast(domains.select("template", "root", F.col("lo").alias("_vg_lo"), F.col("hi").alias("_vg_hi"))), ["template", "root"], "left")

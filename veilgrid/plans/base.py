@@ -11,15 +11,16 @@ from ..functions.dialect import DUCK, SPARK, Dialect
 from ..operators import budget as B
 from ..operators import metrics as M
 from ..operators.derive import derived_columns, sensitivity_columns
-from ..operators.release import release, release_sql, targets, targets_sql
-from ..sources.tables import patients, patients_sql, table
-from .catalog import DOMAINS, PUBLIC_MEANS, templates
+from ..operators.release import release, release_sql, swept, swept_sql
+from ..sources.tables import SECRET, patients, patients_sql, root_value, table
+from .catalog import DOMAINS, PUBLIC_MEANS, Template, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations", "labels")
-EPSILONS = (0.1, 1.0)
-SETTINGS = ("k+1", "3k+1")
+EPSILONS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0)
+SETTINGS = tuple(B.MULTIPLES)
+MECHANISMS = ("exp", "blap", "stair")
 #: What a root without influence on the target is released at.
 EPS_MIN = 1e-3
 
@@ -73,7 +74,7 @@ def sensitivities(spark: SparkSession) -> DataFrame:
 def allocations(spark: SparkSession) -> DataFrame:
     """(template, root, lo, hi, h, eps, b_setting, k, budget, config, eps_root) for the configs all, roots and opt."""
     grid = spark.createDataFrame([(e,) for e in EPSILONS], "eps double")
-    rows = B.with_budget(sensitivities(spark), grid).where(F.col("b_setting").isin(*SETTINGS))
+    rows = B.with_budget(sensitivities(spark), grid)
     every = rows.withColumn("eps_root", F.col("eps")).withColumn("config", F.lit("all"))
     even = B.uniform(rows).withColumn("config", F.lit("roots"))
     best = B.square_root(rows).withColumn("eps_root", F.greatest("eps_root", F.lit(EPS_MIN))).withColumn("config", F.lit("opt"))
@@ -101,7 +102,7 @@ BY = ("config", "b_setting", "eps", "patient_id")
 def observations(spark: SparkSession, sf_dir: str, mechanism: str = "exp") -> DataFrame:
     """(template, config, b_setting, eps, patient_id, root, value, idx, released, lo, hi, eps_root, h)."""
     rows = patients(spark, sf_dir).join(F.broadcast(allocations(spark).drop("k", "budget")), ["template", "root"])
-    return release(rows, mechanism)
+    return release(rows, mechanism, paired=True)
 
 
 def observations_sql(mechanism: str = "exp") -> str:
@@ -112,42 +113,73 @@ def observations_sql(mechanism: str = "exp") -> str:
     obs AS (SELECT *, {value} AS released FROM obs1)"""
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(template, config, b_setting, eps, patient_id, truth, truth_class, target, target_class)."""
-    return targets(observations(spark, sf_dir), BY, "released", "target", truth="value")
+def swept_entities(spark: SparkSession, sf_dir: str, t: Template) -> DataFrame:
+    """patient_id, and for each root of the template its value and the uniform that its releases are drawn with."""
+    columns = [c for r in t.roots for c in (f"{root_value(SPARK, t.name, r, 'c_custkey')} AS `{r}`", f"{swept_uniform(SPARK, t.name, r).replace('patient_id', 'c_custkey')} AS u_{r}")]
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS patient_id", *columns)
 
 
-def results_sql() -> str:
-    return f"""{observations_sql()},
-    truths AS ({targets_sql('patients', ('patient_id',), 'value', 'truth')}),
-    rel AS ({targets_sql('obs', BY, 'released', 'target')}),
-    results AS (SELECT rel.*, truth, truth_class FROM rel JOIN truths USING (template, patient_id))"""
+def swept_uniform(d: Dialect, template: str, root: str) -> str:
+    return d.uniform(f"'{SECRET}'", f"'{template}'", f"'{root}'", "patient_id")
+
+
+def cell_rows(spark: SparkSession) -> dict[str, DataFrame]:
+    """Of each template, (config, b_setting, eps, eps_<root>): a table of catalog size, made once."""
+    rows = allocations(spark).select("template", "root", "config", "b_setting", "eps", "eps_root").collect()
+    out = {}
+    for name in sorted({r.template for r in rows}):
+        roots = templates()[name].roots
+        cells: dict[tuple, dict[str, float]] = {}
+        for r in rows:
+            if r.template == name:
+                cells.setdefault((r.config, r.b_setting, r.eps), {})[r.root] = r.eps_root
+        schema = "config string, b_setting string, eps double, " + ", ".join(f"eps_{r} double" for r in roots)
+        out[name] = spark.createDataFrame([(*k, *(v[r] for r in roots)) for k, v in sorted(cells.items())], schema)
+    return out
+
+
+def results(spark: SparkSession, sf_dir: str, mechanisms: tuple[str, ...] = ("exp",), where: str = "TRUE") -> DataFrame:
+    """(template, mechanism, config, b_setting, eps, patient_id, truth, truth_class, target, target_class) of the cells that `where` leaves."""
+    rows = {t: c.where(where) for t, c in cell_rows(spark).items()}
+    return swept({t: swept_entities(spark, sf_dir, templates()[t]) for t in rows}, rows, mechanisms)
+
+
+def results_sql(mechanisms: tuple[str, ...] = ("exp",), where: str = "TRUE") -> str:
+    ctes, parts = [], []
+    for t in (t for t in templates().values() if t.name in DOMAINS):
+        columns = ", ".join(f'{root_value(DUCK, t.name, r, "c_custkey")} AS "{r}", {swept_uniform(DUCK, t.name, r).replace("patient_id", "c_custkey")} AS u_{r}' for r in t.roots)
+        picks = ", ".join(f"max(CASE WHEN root = '{r}' THEN eps_root END) AS eps_{r}" for r in t.roots)
+        ctes.append(f"e_{t.name} AS MATERIALIZED (SELECT c_custkey AS patient_id, {columns} FROM customer)")
+        ctes.append(f"c_{t.name} AS MATERIALIZED (SELECT config, b_setting, eps, {picks} FROM allocs WHERE template = '{t.name}' AND {where} GROUP BY 1, 2, 3)")
+        parts += [swept_sql(DUCK, f"e_{t.name}", f"c_{t.name}", t, m) for m in mechanisms]
+    return f"{patients_sql()}, {allocations_sql()}, {', '.join(ctes)}, results AS ({' UNION ALL '.join(parts)})"
 
 
 CLASSES = {t.name: t.classes for t in templates().values()}
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (template, config, b_setting, eps): n, wmape, rce, mean class error and its deviation, mean budget multiple."""
-    r = results(spark, sf_dir)
+def cells(spark: SparkSession, sf_dir: str, mechanisms: tuple[str, ...] = ("exp",), where: str = "TRUE") -> DataFrame:
+    """One row per (template, mechanism, config, b_setting, eps): n, wmape and its standard error, rce, mean class error and its deviation."""
+    r = results(spark, sf_dir, mechanisms, where)
     classes = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
     wrong = M.class_error(F.col("truth_class"), F.col("target_class"), classes[F.col("template")])
-    return r.groupBy("template", "config", "b_setting", "eps").agg(
+    return r.groupBy("template", "mechanism", "config", "b_setting", "eps").agg(
         F.count(F.lit(1)).alias("n"),
         M.wmape(F.col("truth"), F.col("target")).alias("wmape"),
+        M.wmape_se(F.col("truth"), F.col("target")).alias("wmape_se"),
         (100 * (1 - F.avg((F.col("truth_class") == F.col("target_class")).cast("double")))).alias("rce"),
         F.avg(wrong).alias("class_error"),
         F.stddev_pop(wrong).alias("class_std"),
     )
 
 
-def cells_sql() -> str:
+def cells_sql(mechanisms: tuple[str, ...] = ("exp",), where: str = "TRUE") -> str:
     classes = " ".join(f"WHEN '{t}' THEN {n}" for t, n in CLASSES.items())
     wrong = f"(abs(target_class - truth_class)::DOUBLE / ((CASE template {classes} END) - 1) * 100)"
-    return f"""{results_sql()},
-    cells AS (SELECT template, config, b_setting, eps, count(*) AS n, 100 * sum(abs(target - truth)) / sum(abs(truth)) AS wmape,
+    return f"""{results_sql(mechanisms, where)},
+    cells AS (SELECT template, mechanism, config, b_setting, eps, count(*) AS n, 100 * sum(e) / sum(t) AS wmape, {M.WMAPE_SE_SQL} AS wmape_se,
               100 * (1 - avg((truth_class = target_class)::INT)) AS rce, avg({wrong}) AS class_error, stddev_pop({wrong}) AS class_std
-              FROM results GROUP BY ALL)"""
+              FROM (SELECT *, abs(target - truth) AS e, abs(truth) AS t FROM results) GROUP BY ALL)"""
 
 
 def pivot_sql(source: str, rows: str, column: str, values: list[str], measure: str, digits: int = 3) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -11,127 +13,254 @@ from ..functions.dialect import DUCK, SPARK, Dialect
 from ..operators import audit as A
 from ..operators import metrics as M
 from ..operators import release as R
-from ..sources.tables import patients, patients_sql, table
-from .base import BY, CLASSES, SETTINGS, allocations_sql, cells, cells_sql, observations, observations_sql, pivot_sql, portable, query, results, results_sql, rounded
-from .catalog import PRICING
-from .q_release import LINE_KEYS, P
+from ..operators import text as X
+from ..operators.derive import layered_sql
+from ..sources.tables import SECRET, patients, patients_sql, roots_table, table
+from .base import (
+    CLASSES, MECHANISMS, SETTINGS, allocations, allocations_sql, cells, cells_sql, observations, observations_sql, portable, query, results, results_sql, rounded, swept_entities,
+)
+from .catalog import DOMAINS, SYNONYMS, templates
+from .q_release import P
 
 D = DUCK
 O = f"WITH {observations_sql()} "  # noqa: E741
-RES = f"WITH {results_sql()} "
-CELLS = f"WITH {cells_sql()} "
-CELL = "template = 'HOMA' AND config = 'roots' AND b_setting = 'k+1' AND eps = 0.1"
+ROOT = ("template", "patient_id", "root")
+CONFIGS = ["all", "roots", "opt"]
+AUDITED = "b_setting = 'k+1' AND eps = 0.1"
+QS = (1, 4, 8, 16)
+
+# Audit: every root of every template, released q + 1 times ----------------------------------------------------------------
+
+
+def repeats(spark: SparkSession, sf_dir: str, q: int = 4, config: str = "all", mechanism: str = "exp", where: str = AUDITED, top_only: bool = False) -> DataFrame:
+    """The releases that an auditor collects: independent draws under the config all, else the replay of one.
+
+    top_only: only those of each template's most budgeted root.
+    """
+    o = observations(spark, sf_dir, mechanism).where(f"config = '{config}' AND {where}").drop("idx", "released")
+    if top_only:
+        best = allocations(spark).where(f"config = 'opt' AND {where}").groupBy("template", "b_setting", "eps").agg(F.max_by("root", F.struct(F.round("eps_root", 9), "root")).alias("root"))
+        o = o.join(F.broadcast(best), ["template", "b_setting", "eps", "root"], "left_semi")
+    return A.repeated(o, mechanism, q, config != "all", paired=True)
 
-# Audit: HOMA roots, released q + 1 times ---------------------------------------------------------------------------------
 
+def repeats_sql(q: int = 4, config: str = "all", mechanism: str = "exp", where: str = AUDITED, name: str = "reps", head: str = O, top_only: bool = False) -> str:
+    index, value = R.release_sql(D, mechanism, ROOT[:1] + ("root", "patient_id"), "draw" if config == "all" else None)
+    only = f" AND (template, b_setting, eps, root) IN (SELECT template, b_setting, eps, max_by(root, (round(eps_root, 9), root)) FROM allocs WHERE config = 'opt' AND {where} GROUP BY 1, 2, 3)" if top_only else ""
+    return f"{head}, {name}_0 AS (SELECT obs0.*, draw FROM obs0 CROSS JOIN (SELECT unnest(range({q + 1})) AS draw) WHERE config = '{config}' AND {where}{only}), {name}_1 AS (SELECT *, {index} AS idx FROM {name}_0), {name} AS (SELECT *, {value} AS released FROM {name}_1)"
 
-def repeats(spark: SparkSession, sf_dir: str, q: int = 4, cached: bool = False, mechanism: str = "exp") -> DataFrame:
-    o = observations(spark, sf_dir).where(CELL).drop("idx", "released")
-    return A.repeated(o, mechanism, q, cached)
 
+for _name, _how in (("aud1_repeated", {}), ("aud1_replayed", {"config": "roots"}), ("aud1_top_root", {"top_only": True})):
 
-def repeats_sql(q: int = 4, cached: bool = False, mechanism: str = "exp") -> str:
-    index, value = R.release_sql(D, mechanism, ("template", "root", "patient_id"), None if cached else "draw")
-    return f"{O}, r0 AS (SELECT obs0.*, draw FROM obs0 CROSS JOIN (SELECT unnest(range({q + 1})) AS draw) WHERE {CELL}), r1 AS (SELECT *, {index} AS idx FROM r0), reps AS (SELECT *, {value} AS released FROM r1)"
+    def _repeat(spark: SparkSession, sf_dir: str, how: dict = _how) -> DataFrame:
+        return repeats(spark, sf_dir, **how).select(*ROOT, F.col("draw").cast("long").alias("draw"), "idx")
 
+    query(_name, f"{repeats_sql(**_how)} SELECT template, patient_id, root, draw, idx FROM reps")(_repeat)
 
-for _name, _cached in (("aud1_repeated", False), ("aud1_replayed", True)):
+NODES_OF = {t.name: [*t.roots, *(n for n, _, p in t.nodes if p is not None)] for t in templates().values() if t.name in DOMAINS}
 
-    def _repeat(spark: SparkSession, sf_dir: str, cached: bool = _cached) -> DataFrame:
-        return repeats(spark, sf_dir, cached=cached).select("patient_id", "root", F.col("draw").cast("long").alias("draw"), "idx")
 
-    query(_name, f"{repeats_sql(cached=_cached)} SELECT patient_id, root, draw, idx FROM reps")(_repeat)
+def node_index(d: Dialect, template: str, node: str, eps: str, value: str) -> str:
+    lo, hi = map(d.num, DOMAINS[template][node])
+    t = N.grid_position(d, N.clip(value, lo, hi), lo, hi)
+    return N.exponential(d, t, eps, d.uniform(f"'{SECRET}'", f"'{template}'", f"'{node}'", "patient_id", "'release'"))
 
 
-@query("aud2_full_release", f"{repeats_sql(1)} SELECT patient_id, draw, round(max(CASE WHEN root = 'glu' THEN released END) * max(CASE WHEN root = 'ins' THEN released END) / 405, 4) AS homa FROM reps GROUP BY 1, 2")
+def noised_nodes(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
+    """(template, patient_id, node, idx, released): every node that isn't a class, root or derived, noised by itself."""
+    parts = []
+    for name, nodes in NODES_OF.items():
+        w = R.with_derived(swept_entities(spark, sf_dir, templates()[name]), templates()[name])
+        rows = []
+        for n in nodes:
+            lo, hi = map(SPARK.num, DOMAINS[name][n])
+            index = node_index(SPARK, name, n, SPARK.num(eps), f"`{n}`")
+            rows.append(F.struct(F.lit(n).alias("node"), F.expr(index).alias("idx"), F.expr(lo).alias("lo"), F.expr(hi).alias("hi")))
+        parts.append(w.select(F.lit(name).alias("template"), "patient_id", F.explode(F.array(*rows)).alias("x")).select("template", "patient_id", "x.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.select("template", "patient_id", "node", "idx", F.expr(N.value_of(SPARK, "idx", "lo", "hi")).alias("released"))
+
+
+def noised_nodes_sql(eps: float) -> str:
+    """nodes: the same, one SELECT per node over each template's patients."""
+    parts = []
+    for name, nodes in NODES_OF.items():
+        roots = templates()[name].roots
+        columns = ", ".join(f"max(CASE WHEN root = '{r}' THEN value END) AS \"{r}\"" for r in roots)
+        base = layered_sql(f"(SELECT patient_id, {columns} FROM patients WHERE template = '{name}' GROUP BY patient_id)", templates()[name])
+        for n in nodes:
+            lo, hi = map(D.num, DOMAINS[name][n])
+            quoted = f'"{n}"'
+            index = node_index(D, name, n, D.num(eps), quoted)
+            parts.append(f"SELECT '{name}' AS template, patient_id, '{n}' AS node, idx, {N.value_of(D, 'idx', lo, hi)} AS released FROM (SELECT patient_id, {index} AS idx FROM ({base}))")
+    return f"nodes AS ({' UNION ALL '.join(parts)})"
+
+
+@query("aud2_full_release", f"{P}, {noised_nodes_sql(0.1)} SELECT template, patient_id, node, round(released, 4) AS released FROM nodes")
 def aud2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = R.targets(repeats(spark, sf_dir, 1), ("patient_id", "draw"), "released", "homa")
-    return rounded(t.select("patient_id", "draw", "homa"))
+    return rounded(noised_nodes(spark, sf_dir, 0.1).select("template", "patient_id", "node", "released"))
+
+
+def cached_nodes_sql() -> str:
+    parts = []
+    for name, nodes in NODES_OF.items():
+        columns = ", ".join(f"max(CASE WHEN root = '{r}' THEN released END) AS \"{r}\"" for r in templates()[name].roots)
+        base = layered_sql(f"(SELECT patient_id, {columns} FROM obs WHERE template = '{name}' AND config = 'opt' AND {AUDITED} GROUP BY patient_id)", templates()[name])
+        parts += [f"SELECT '{name}' AS template, patient_id, '{n}' AS node, round(\"{n}\", 6) AS released FROM ({base})" for n in nodes]
+    return " UNION ALL ".join(parts)
+
+
+@query("aud2_cached_release", O + cached_nodes_sql())
+def aud2c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under a cached config the derived nodes follow from the one release of the roots."""
+    o = observations(spark, sf_dir).where(f"config = 'opt' AND {AUDITED}")
+    roots = sorted({r for name in NODES_OF for r in templates()[name].roots})
+    w = o.groupBy("template", "patient_id").agg(*[F.max(F.when(F.col("root") == r, F.col("released"))).alias(r) for r in roots])
+    parts = []
+    for name, nodes in NODES_OF.items():
+        d = R.with_derived(w.where(F.col("template") == name), templates()[name])
+        parts.append(d.select("template", "patient_id", F.explode(F.array(*[F.struct(F.lit(n).alias("node"), F.col(f"`{n}`").cast("double").alias("released")) for n in nodes])).alias("x")).select("template", "patient_id", "x.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return rounded(out, 6)
 
 
 def likelihoods(d: Dialect) -> str:
     lo, hi = d.num(900), d.num(105000)
     t = f"({N.index_of(d, 'l_extendedprice', lo, hi)})"
     s = "((l_partkey * 7) % 1000)"
-    return "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round({N.log_likelihood(d, m, s, t, d.num(0.5))}, 5) AS {m}" for m in ("exp", "blap", "stair")) + " FROM {lineitem}"
+    return "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round({N.log_likelihood(d, m, s, t, d.num(0.5))}, 5) AS {m}" for m in MECHANISMS) + " FROM {lineitem}"
 
 
 portable("aud3_log_likelihood", likelihoods, "lineitem")
 
-
-@query("aud4_summed", f"{repeats_sql()} SELECT patient_id, root, round(sum({N.log_likelihood(D, 'exp', 'idx', D.num(500), 'eps_root')}), 4) AS ll FROM reps GROUP BY 1, 2")
-def aud4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ll = F.expr(N.log_likelihood(SPARK, "exp", "idx", SPARK.num(500), "eps_root"))
-    return rounded(repeats(spark, sf_dir).groupBy("patient_id", "root").agg(F.sum(ll).alias("ll")))
+CANDIDATE = "round_even((mean - lo) / (hi - lo) * 999, 0)"
 
 
-@query("aud5_kernel", "WITH e AS (SELECT event_type, 0.001::DOUBLE * count(*) / 100 + 0.01 AS eps FROM events GROUP BY 1), g AS (SELECT unnest(range(0, 1000, 50)) AS t) SELECT event_type, t::BIGINT AS t, round(ln(sum(exp(-eps / 2 * abs(s - t)))), 6) AS log_z FROM e CROSS JOIN g CROSS JOIN (SELECT unnest(range(1000)) AS s) GROUP BY 1, 2")
+@query(
+    "aud4_summed",
+    f"{repeats_sql()}, z AS (SELECT template, root, m, step, ln(sum(exp(step * abs(s - {CANDIDATE})))) AS log_z, any_value({CANDIDATE}) AS t FROM roots CROSS JOIN (VALUES ('exp', -0.05::DOUBLE), ('blap', -0.1::DOUBLE), ('stair', -0.1::DOUBLE)) k(m, step) CROSS JOIN (SELECT unnest(range(1000)) AS s) GROUP BY 1, 2, 3, 4) "
+    "SELECT template, patient_id, root, m AS mechanism, round(sum(step * abs(idx - t)) - count(*) * any_value(log_z), 4) AS ll FROM reps JOIN z USING (template, root) GROUP BY 1, 2, 3, 4",
+)
+def aud4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood of all releases of a root at one candidate, the index of its population mean, under each law."""
+    stats = spark.createDataFrame(roots_table(), "template string, root string, mean double, std double, lo double, hi double")
+    t = F.rint((F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 999)
+    o = repeats(spark, sf_dir).join(F.broadcast(stats.select("template", "root", t.alias("t"))), ["template", "root"])
+    each = F.array(*[F.struct(F.lit(m).alias("mechanism"), F.expr(N.log_likelihood(SPARK, m, "idx", "t", "eps_root")).alias("ll")) for m in MECHANISMS])
+    return rounded(o.select(*ROOT, F.explode(each).alias("x")).groupBy(*ROOT, "x.mechanism").agg(F.sum("x.ll").alias("ll")))
+
+
+@query(
+    "aud5_kernel",
+    "WITH e AS (SELECT event_type, 0.001::DOUBLE * count(*) / 100 + 0.01 AS eps FROM events GROUP BY 1), k(mechanism, f) AS (VALUES ('exp', 0.5::DOUBLE), ('blap', 1::DOUBLE), ('stair', 1::DOUBLE)), g AS (SELECT unnest(range(0, 1000, 50)) AS t), s AS (SELECT unnest(range(1000)) AS s), "
+    "x AS (SELECT event_type, mechanism, t, s, -eps * f * abs(s - t) AS w FROM e CROSS JOIN k CROSS JOIN g CROSS JOIN s), z AS (SELECT event_type, mechanism, t, ln(sum(exp(w))) AS log_z FROM x GROUP BY 1, 2, 3) "
+    "SELECT event_type, mechanism, t::BIGINT AS t, s::BIGINT AS s, round(w, 6) AS log_term, round(log_z, 6) AS log_z FROM x JOIN z USING (event_type, mechanism, t)",
+)
 def aud5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel rows and their normalisers in closed form, for each law and each eps that the events give."""
     e = table(spark, sf_dir, "events").groupBy("event_type").agg((0.001 * F.count(F.lit(1)) / 100 + 0.01).alias("eps"))
-    g = e.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(950), F.lit(50))))
-    z = F.expr(N.log_normaliser(SPARK, "exp(-eps / 2.0D)", "t"))
-    return g.select("event_type", F.col("t").cast("long").alias("t"), F.round(z, 6).alias("log_z"))
+    k = F.array(*[F.struct(F.lit(m).alias("mechanism"), F.lit(f).alias("f")) for m, f in (("exp", 0.5), ("blap", 1.0), ("stair", 1.0))])
+    g = e.select("event_type", "eps", F.explode(k).alias("k")).select("event_type", (F.col("eps") * F.col("k.f")).alias("rate"), "k.mechanism").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(950), F.lit(50))))
+    z = g.withColumn("log_z", F.expr(N.log_normaliser(SPARK, "exp(-rate)", "t"))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    return rounded(z.select("event_type", "mechanism", "t", "s", (-F.col("rate") * F.abs(F.col("s") - F.col("t"))).alias("log_term"), "log_z"), 6)
+
 
+def with_prior(o: DataFrame) -> DataFrame:
+    """Observations with the Gaussian prior of their root, in grid units, from the catalog's population statistics."""
+    stats = o.sparkSession.createDataFrame([r[:4] for r in roots_table()], "template string, root string, mean double, std double")
+    width = F.col("hi") - F.col("lo")
+    joined = o.join(F.broadcast(stats), ["template", "root"])
+    return joined.withColumn("prior_mean", (F.col("mean") - F.col("lo")) / width * 999).withColumn("prior_std", F.col("std") / width * 999)
 
-@query("aud6_map_with_prior")
-def aud6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = patients(spark, sf_dir).where("template = 'HOMA'").groupBy("root").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    o = repeats(spark, sf_dir).join(F.broadcast(p), "root")
-    grid = lambda c: (F.col(c) / (F.col("hi") - F.col("lo")) * 999)
-    o = o.withColumn("prior_mean", (F.col("m") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 999).withColumn("prior_std", grid("s"))
-    return A.map_index(o, "exp")
 
+MAP_SQL = """c AS (SELECT template, patient_id, root, s, sum(-{f} * abs(s - idx)) AS fit, count(*) AS n, any_value((mean - lo) / (hi - lo) * 999) AS mu, any_value(std / (hi - lo) * 999) AS sd
+        FROM (SELECT template, patient_id, root, idx FROM reps) o JOIN roots USING (template, root) CROSS JOIN (SELECT unnest(range(1000)) AS s) GROUP BY 1, 2, 3, 4),
+    z AS (SELECT t AS s, ln(sum(exp(-{f} * abs(s - t)))) AS log_z FROM (SELECT unnest(range(1000)) AS s) CROSS JOIN (SELECT unnest(range(1000)) AS t) GROUP BY 1),
+    best AS (SELECT template, patient_id, root, max_by(s, (round(fit - n * log_z - 0.5 * ((s - mu) / sd) * ((s - mu) / sd), 9), -s)) AS map_idx FROM c JOIN z USING (s) GROUP BY 1, 2, 3)"""
 
-MID = "coalesce(est, (lo + hi) / 2)"
+for _m, _f in (("exp", 0.05), ("blap", 0.1), ("stair", 0.1)):
 
+    def _map(spark: SparkSession, sf_dir: str, mechanism: str = _m) -> DataFrame:
+        return A.map_index(with_prior(repeats(spark, sf_dir, 2, mechanism=mechanism)), mechanism)
 
-@query("aud7_unaffected", f"{repeats_sql()}, e AS (SELECT patient_id, root, avg(released) AS est FROM reps WHERE root = 'glu' GROUP BY 1, 2) SELECT o.patient_id, o.root, round({MID}, 4) AS estimate FROM obs o LEFT JOIN e ON o.patient_id = e.patient_id AND o.root = e.root WHERE {CELL}")
+    query("aud6_map_with_prior" + ("" if _m == "exp" else f"_{_m}"), f"{repeats_sql(2, mechanism=_m)}, {MAP_SQL.format(f=f'{_f}::DOUBLE')} SELECT template, patient_id, root, map_idx FROM best")(_map)
+
+
+@query(
+    "aud7_unaffected",
+    f"{repeats_sql(top_only=True)}, e AS (SELECT template, patient_id, root, list_sort(list(idx))[(count(*) + 1) // 2] AS idx FROM reps GROUP BY 1, 2, 3) SELECT template, patient_id, root, round(coalesce(lo + idx * (hi - lo) / 999, mean), 4) AS informed, round(coalesce(lo + idx * (hi - lo) / 999, (lo + hi) / 2), 4) AS uniform FROM patients JOIN roots USING (template, root) LEFT JOIN e USING (template, patient_id, root)",
+)
 def aud7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = repeats(spark, sf_dir).where("root = 'glu'").groupBy("patient_id", "root").agg(F.avg("released").alias("est"))
-    return rounded(observations(spark, sf_dir).where(CELL).join(e, ["patient_id", "root"], "left").select("patient_id", "root", F.expr(MID).alias("estimate")))
+    """Only the most budgeted root is asked for: the others are put at the prior's mean, or without prior amid the domain."""
+    e = repeats(spark, sf_dir, top_only=True).groupBy(*ROOT).agg(A.lower_median().alias("idx"))
+    stats = spark.createDataFrame(roots_table(), "template string, root string, mean double, std double, lo double, hi double")
+    p = patients(spark, sf_dir).drop("value").join(F.broadcast(stats), ["template", "root"]).join(e, list(ROOT), "left")
+    found = F.expr(N.value_of(SPARK, "idx", "lo", "hi"))
+    return rounded(p.select(*ROOT, F.coalesce(found, "mean").alias("informed"), F.coalesce(found, (F.col("lo") + F.col("hi")) / 2).alias("uniform")))
 
 
-@query("aud8_lower_median", f"{repeats_sql()} SELECT patient_id, root, list_sort(list(idx))[(count(*) + 1) // 2] AS idx FROM reps GROUP BY 1, 2")
+@query("aud8_lower_median", f"{repeats_sql()} SELECT template, patient_id, root, list_sort(list(idx))[(count(*) + 1) // 2] AS idx FROM reps GROUP BY 1, 2, 3")
 def aud8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark, sf_dir).groupBy("patient_id", "root").agg(A.lower_median().alias("idx"))
+    return repeats(spark, sf_dir).groupBy(*ROOT).agg(A.lower_median().alias("idx"))
 
 
 @query("aud9_independent_prior", P + " SELECT patient_id, template, round(sum(-0.5 * power((value - mean) / std, 2)), 4) AS lp FROM patients JOIN roots USING (template, root) GROUP BY 1, 2")
 def aud9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.tables import roots_table
-
     stats = spark.createDataFrame(roots_table(), "template string, root string, mean double, std double, lo double, hi double")
     p = patients(spark, sf_dir).join(F.broadcast(stats), ["template", "root"])
     return rounded(p.groupBy("patient_id", "template").agg(F.sum(-0.5 * F.pow((F.col("value") - F.col("mean")) / F.col("std"), 2)).alias("lp")))
 
 
-COV = "cov AS (SELECT avg(g) AS mg, avg(i) AS mi, var_pop(g) + 1e-6 AS a, covar_pop(g, i) AS b, var_pop(i) + 1e-6 AS d FROM w)"
-QUADRATIC = "-0.5 * ((g - mg) * (g - mg) * d - 2 * (g - mg) * (i - mi) * b + (i - mi) * (i - mi) * a) / (a * d - b * b)"
-
-
-@query("aud10_joint_prior", f"{P}, w AS (SELECT patient_id, max(CASE WHEN root = 'glu' THEN value END) AS g, max(CASE WHEN root = 'ins' THEN value END) AS i FROM patients WHERE template = 'HOMA' GROUP BY 1), {COV} SELECT patient_id, round({QUADRATIC.replace("-0.5", "-0.5::DOUBLE")}, 4) + 0.0::DOUBLE AS lp FROM w CROSS JOIN cov")
+def joint_prior_sql() -> str:
+    """By elimination, root by root, of each template's covariance: no inverse is formed."""
+    parts = []
+    for name in NODES_OF:
+        roots = templates()[name].roots
+        k = range(len(roots))
+        columns = ", ".join(f"max(CASE WHEN root = '{r}' THEN value END) AS x{i}" for i, r in enumerate(roots))
+        w = f"(SELECT patient_id, {columns} FROM patients WHERE template = '{name}' GROUP BY 1)"
+        cov = ", ".join([f"avg(x{i}) AS m{i}" for i in k] + [f"covar_pop(x{i}, x{j}){' + 1e-6' if i == j else ''} AS c{i}{j}" for i in k for j in k if j <= i])
+        sql = f"SELECT * FROM (SELECT {cov} FROM {w})"
+        for i in k:
+            d = f"c{i}{i}" + "".join(f" - l{i}{j} * l{i}{j} * d{j}" for j in range(i))
+            sql = f"SELECT *, {d} AS d{i} FROM ({sql})"
+            for r in range(i + 1, len(roots)):
+                low = f"(c{r}{i}" + "".join(f" - l{r}{j} * l{i}{j} * d{j}" for j in range(i)) + f") / d{i}"
+                sql = f"SELECT *, {low} AS l{r}{i} FROM ({sql})"
+        rows = f"SELECT * FROM {w} CROSS JOIN ({sql})"
+        for i in k:
+            rows = f"SELECT *, x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i)) + f" AS z{i} FROM ({rows})"
+        quad = " + ".join(f"z{i} * z{i} / d{i}" for i in k)
+        parts.append(f"SELECT '{name}' AS template, patient_id, round(-0.5::DOUBLE * ({quad}), 4) AS lp FROM ({rows})")
+    return " UNION ALL ".join(parts)
+
+
+@query("aud10_joint_prior", f"{P} {joint_prior_sql()}")
 def aud10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = patients(spark, sf_dir).where("template = 'HOMA'").groupBy("patient_id").agg(F.max(F.when(F.col("root") == "glu", F.col("value"))).alias("g"), F.max(F.when(F.col("root") == "ins", F.col("value"))).alias("i"))
-    cov = w.agg(F.avg("g").alias("mg"), F.avg("i").alias("mi"), (F.var_pop("g") + 1e-6).alias("a"), F.covar_pop("g", "i").alias("b"), (F.var_pop("i") + 1e-6).alias("d"))
-    return w.crossJoin(F.broadcast(cov)).select("patient_id", (F.round(F.expr(QUADRATIC), 4) + 0.0).alias("lp"))
+    p = patients(spark, sf_dir)
+    return rounded(A.joint_log_prior(p, A.population_statistics(p)))
 
 
-@query("aud11_naive", f"{repeats_sql()} SELECT patient_id, root, round(avg(released), 4) AS mean, round(max_by(released, draw), 4) AS last FROM reps GROUP BY 1, 2")
+@query("aud11_naive", f"{repeats_sql()} SELECT template, patient_id, root, round(avg(released), 4) AS mean, round(max_by(released, draw), 4) AS last FROM reps GROUP BY 1, 2, 3")
 def aud11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(repeats(spark, sf_dir).groupBy("patient_id", "root").agg(F.avg("released").alias("mean"), F.max_by("released", "draw").alias("last")))
+    return rounded(repeats(spark, sf_dir).groupBy(*ROOT).agg(F.avg("released").alias("mean"), F.max_by("released", "draw").alias("last")))
 
 
-@query("aud12_target_estimates", f"{repeats_sql()}, t AS (SELECT patient_id, draw, max(CASE WHEN root = 'glu' THEN released END) * max(CASE WHEN root = 'ins' THEN released END) / 405 AS homa FROM reps GROUP BY 1, 2) SELECT patient_id, round(median(homa), 4) AS med, round(max_by(homa, draw), 4) AS last FROM t GROUP BY 1")
+@query("aud12_target_estimates", f"{repeats_sql()}, t AS ({R.targets_sql('reps', ('patient_id', 'draw'), 'released', 'target')}) SELECT template, patient_id, round(median(target), 4) AS med, round(max_by(target, draw), 4) AS last, max_by(target_class, draw)::BIGINT AS last_class FROM t WHERE target IS NOT NULL GROUP BY 1, 2")
 def aud12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = R.targets(repeats(spark, sf_dir), ("patient_id", "draw"), "released", "homa")
-    return rounded(t.groupBy("patient_id").agg(F.percentile("homa", 0.5).alias("med"), F.max_by("homa", "draw").alias("last")))
+    t = R.targets(repeats(spark, sf_dir), ("patient_id", "draw"), "released", "target").where("target IS NOT NULL")
+    return rounded(t.groupBy("template", "patient_id").agg(F.percentile("target", 0.5).alias("med"), F.max_by("target", "draw").alias("last"), F.max_by("target_class", "draw").alias("last_class")))
 
 
-@query("aud13_errors", f"{repeats_sql()} SELECT patient_id, root, round(abs(avg(released) - any_value(value)), 4) AS absolute, round(CASE WHEN any_value(value) = 0 THEN NULL ELSE abs(avg(released) - any_value(value)) / abs(any_value(value)) END, 6) AS relative FROM reps GROUP BY 1, 2")
+@query("aud13_errors", f"{repeats_sql()} SELECT template, patient_id, root, round(abs(avg(released) - any_value(value)), 4) AS absolute, round(CASE WHEN any_value(value) = 0 THEN NULL ELSE abs(avg(released) - any_value(value)) / abs(any_value(value)) END, 6) AS relative FROM reps GROUP BY 1, 2, 3")
 def aud13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = repeats(spark, sf_dir).groupBy("patient_id", "root").agg(F.avg("released").alias("est"), F.first("value").alias("value"))
+    e = repeats(spark, sf_dir).groupBy(*ROOT).agg(F.avg("released").alias("est"), F.first("value").alias("value"))
     error = F.abs(F.col("est") - F.col("value"))
-    return rounded(e.select("patient_id", "root", error.alias("absolute"), F.try_divide(error, F.abs("value")).alias("relative")), relative=6)
+    return rounded(e.select(*ROOT, error.alias("absolute"), F.try_divide(error, F.abs("value")).alias("relative")), relative=6)
 
 
 @query("aud14_request_plan", "WITH s AS (SELECT c_custkey AS session, 2 + c_custkey % 4 AS t FROM customer) SELECT session, turn::BIGINT AS turn, ['glu', 'ins', 'age'][turn % 3 + 1] AS root FROM (SELECT session, unnest(range(t - 1)) AS turn FROM s) UNION ALL SELECT session, t - 1, unnest(['glu', 'ins', 'age']) FROM s")
@@ -148,16 +277,41 @@ def aud15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.match_calls(requests, calls).select(F.col("session").alias("user_id"), F.col("ord").alias("event_id"), F.col("released").alias("matched"))
 
 
-@query("aud16_gaps", f"{repeats_sql()} SELECT root, count(*) AS n, count(*) FILTER (abs(round(released, 1) - released) > 1e-9) AS gaps, count(*) FILTER (idx < 3) AS failures FROM reps GROUP BY 1")
+# Sessions: every release of a patient's roots is written out as a reply of one decimal, now and then unreadable.
+
+
+def unreadable(d: Dialect) -> str:
+    return f"{d.uniform(chr(39) + 'reply' + chr(39), 'template', 'root', 'patient_id', 'draw')} < {d.num(0.05)}"
+
+
+def replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(session rows with what was released, what was read back from the replies), both by template, patient, draw and root."""
+    sent = repeats(spark, sf_dir, 2).withColumn("released", F.round("released", 6))
+    said = F.when(F.expr(unreadable(SPARK)), F.lit("not available")).otherwise(F.format_string("%.1f", F.round("released", 1)))
+    keys = ["template", "patient_id", "draw"]
+    text = sent.groupBy(*keys).agg(F.array_join(F.collect_list(F.concat("root", F.lit(": "), said)), "\n").alias("reply"))
+    synonyms = spark.createDataFrame(sorted(SYNONYMS.items()), "name string, stem string")
+    roots = spark.createDataFrame([(t.name, r) for t in templates().values() if t.name in DOMAINS for r in t.roots], "template string, root string")
+    return sent, X.reply_values(text, synonyms, roots, keys)
+
+
+def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent, got = replies(spark, sf_dir)
+    keys = ["template", "patient_id", "draw", "root"]
+    joined = sent.join(got.withColumnRenamed("value", "read"), keys, "left")
+    return joined.select(*keys, F.col("read").isNull().alias("failed"), F.coalesce(F.abs(F.col("read") - F.col("released")) > 1e-9, F.lit(False)).alias("gap"))
+
+
+READ = f"{repeats_sql(2)}, rb AS (SELECT template, patient_id, draw, root, failed, NOT failed AND abs(round(x, 1) - x) > 1e-9 AS gap FROM (SELECT *, round(released, 6) AS x, {unreadable(D)} AS failed FROM reps))"
+
+
+@query("aud16_gaps", READ + " SELECT template, root, count(*) AS n, count(*) FILTER (gap) AS gaps, count(*) FILTER (failed) AS failures FROM rb GROUP BY 1, 2")
 def aud16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gap = F.abs(F.round("released", 1) - F.col("released")) > 1e-9
-    return repeats(spark, sf_dir).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps"), F.count_if(F.col("idx") < 3).alias("failures"))
+    return read_back(spark, sf_dir).groupBy("template", "root").agg(F.count(F.lit(1)).alias("n"), F.count_if("gap").alias("gaps"), F.count_if("failed").alias("failures"))
 
 
 @query("aud17_per_observation_eps", f"{P}, {allocations_sql()}, star AS (SELECT DISTINCT template, eps AS per_call FROM allocs WHERE config = 'all' AND eps = 0.1) SELECT p.template, p.root, round(coalesce(a.eps_root, per_call), 6) AS eps, count(*) AS n FROM patients p LEFT JOIN allocs a ON a.template = p.template AND a.root = p.root AND a.config = 'opt' AND a.b_setting = 'k+1' AND a.eps = 0.1 AND p.template <> 'NLR' JOIN star s ON s.template = p.template GROUP BY ALL")
 def aud17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .base import allocations
-
     a = allocations(spark).where("b_setting = 'k+1' AND eps = 0.1")
     own = a.where("config = 'opt' AND template <> 'NLR'").select("template", "root", "eps_root")
     star = a.where("config = 'all'").select("template", F.col("eps").alias("per_call")).distinct()
@@ -167,112 +321,214 @@ def aud17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Metrics ------------------------------------------------------------------------------------------------------------
 
+FOCAL = "eps = 0.1 AND b_setting = '3k+1'"
+
 
-@query("agg1_relative_error", RES + "SELECT template, config, patient_id, round(abs(target - truth) / CASE WHEN abs(truth) > 1e-10 THEN abs(truth) ELSE 1 END * 100, 3) AS error FROM results WHERE eps = 0.1 AND b_setting = '3k+1'")
+@query("agg1_relative_error", f"WITH {results_sql(where=FOCAL)} SELECT template, config, patient_id, round(abs(target - truth) / CASE WHEN abs(truth) > 1e-10 THEN abs(truth) ELSE 1 END * 100, 3) AS error FROM results")
 def agg1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = results(spark, sf_dir).where("eps = 0.1 AND b_setting = '3k+1'")
+    r = results(spark, sf_dir, where=FOCAL)
     return rounded(r.select("template", "config", "patient_id", M.relative_error(F.col("truth"), F.col("target")).alias("error")), 3)
 
 
-def cell_query(name: str, columns: str, where: str = "TRUE", digits: int = 3) -> None:
+def cell_query(name: str, columns: str, mechanisms: tuple[str, ...] = ("exp",), digits: int = 3) -> None:
     """Columns of the cells, doubles rounded."""
     doubles = [c.strip() for c in columns.split(",")]
     picks = ", ".join(f"round({c}, {digits}) AS {c}" if c != "n" else c for c in doubles)
 
-    @query(name, f"{CELLS} SELECT template, config, b_setting, eps, {picks} FROM cells WHERE {where}")
+    @query(name, f"WITH {cells_sql(mechanisms)} SELECT template, mechanism, config, b_setting, eps, {picks} FROM cells")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(cells(spark, sf_dir).where(where).select("template", "config", "b_setting", "eps", *doubles), digits)
+        return rounded(cells(spark, sf_dir, mechanisms).select("template", "mechanism", "config", "b_setting", "eps", *doubles), digits)
 
 
-cell_query("agg2_class_error", "class_error")
+cell_query("agg2_class_error", "class_error", MECHANISMS)
 cell_query("agg3_mean_std_n", "class_error, class_std, n")
-cell_query("agg4_wmape", "wmape, n")
+cell_query("agg4_wmape", "wmape, wmape_se", MECHANISMS)
 cell_query("agg6_rce", "rce")
-cell_query("agg7_cells", "n")
 
 
-def bootstrap_sql() -> str:
-    w = M.poisson_weight(D, "'boot'", "b", "patient_id")
-    return f"""draws AS (SELECT template, config, b, CASE WHEN b = 0 THEN 1 ELSE {w} END AS w, abs(target - truth) AS e, abs(truth) AS t
-        FROM results CROSS JOIN (SELECT unnest(range(21)) AS b) WHERE eps = 0.1 AND b_setting = '3k+1'),
-        s AS (SELECT template, config, b, 100 * sum(w * e) / sum(w * t) AS s FROM draws GROUP BY ALL),
-        boot AS (SELECT template, config, max(CASE WHEN b = 0 THEN s END) AS wmape, stddev_samp(CASE WHEN b > 0 THEN s END) AS se FROM s GROUP BY ALL)"""
+@query("agg7_cells", f"WITH {results_sql()} SELECT template, config, b_setting, eps, count(*) AS n, count(target) AS valid, count(DISTINCT patient_id) AS patients FROM results GROUP BY ALL")
+def agg7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).groupBy("template", "config", "b_setting", "eps").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("valid"), F.count_distinct("patient_id").alias("patients"))
+
+
+PAIRS = [(t, c) for t in NODES_OF for c in CONFIGS]
+
 
+def focal_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per patient: error, truth and whether the class is right, of every template and config in the focal cell."""
+    r = results(spark, sf_dir, where=FOCAL)
+    picks = []
+    for t, c in PAIRS:
+        here = (F.col("template") == t) & (F.col("config") == c)
+        picks += [F.max(F.when(here, F.col("truth"))).alias(f"t_{t}_{c}"), F.max(F.when(here, F.col("target"))).alias(f"v_{t}_{c}"), F.max(F.when(here, F.col("truth_class") == F.col("target_class"))).alias(f"r_{t}_{c}")]
+    return r.groupBy("patient_id").agg(*picks)
 
-def boot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = results(spark, sf_dir).where("eps = 0.1 AND b_setting = '3k+1'")
-    return M.bootstrap_wmape(r, ("template", "config"), "patient_id", "truth", "target", 20)
 
+def boot(spark: SparkSession, sf_dir: str, resamples: int = 1000) -> DataFrame:
+    """(template, config, wmape, wmape_se, accuracy, accuracy_se) with 1,000 resamples of patients."""
+    statistics: dict[str, Callable[[Column], Column]] = {}
+    for t, c in PAIRS:
+        statistics[f"wmape {t} {c}"] = M.weighted_wmape(f"t_{t}_{c}", f"v_{t}_{c}")
+        statistics[f"accuracy {t} {c}"] = M.weighted_accuracy(f"r_{t}_{c}")
+    out = M.bootstrap(focal_wide(spark, sf_dir), "patient_id", statistics, resamples=resamples)
+    part = F.split("name", " ")
+    is_ = lambda n: part[0] == n
+    return out.groupBy(part[1].alias("template"), part[2].alias("config")).agg(*[F.max(F.when(is_(n), F.col(v))).alias(a) for n in ("wmape", "accuracy") for v, a in (("value", n), ("se", f"{n}_se"))])
 
-@query("agg5_bootstrap", f"{RES}, {bootstrap_sql()} SELECT template, config, round(wmape, 3) AS wmape, round(se, 4) AS se FROM boot")
+
+def boot_sql(resamples: int = 1000) -> str:
+    last = -(-(resamples + 1) // M.SHARED)
+    w = M.poisson_weight(D, "dg", "b")
+    return f"""{results_sql(where=FOCAL)},
+        keys AS (SELECT patient_id, k, {M.digest_sql(D, 'patient_id', f'(k * {M.SHARED})')} AS dg FROM (SELECT DISTINCT patient_id FROM results) CROSS JOIN (SELECT unnest(range({last})) AS k)),
+        ws AS MATERIALIZED (SELECT patient_id, b, CASE WHEN b = 0 THEN 1 ELSE {w} END AS w FROM (SELECT *, k * {M.SHARED} + j AS b FROM keys CROSS JOIN (SELECT unnest(range({M.SHARED})) AS j)) WHERE b <= {resamples}),
+        s AS (SELECT template, config, b, 100 * sum(w * abs(target - truth)) / sum(w * abs(truth)) AS m, 100.0::DOUBLE * sum(w * (truth_class = target_class)::INT) / sum(w) AS a FROM results JOIN ws USING (patient_id) GROUP BY ALL),
+        boot AS (SELECT template, config, max(CASE WHEN b = 0 THEN m END) AS wmape, stddev_samp(CASE WHEN b > 0 THEN m END) AS wmape_se, max(CASE WHEN b = 0 THEN a END) AS accuracy, stddev_samp(CASE WHEN b > 0 THEN a END) AS accuracy_se FROM s GROUP BY ALL)"""
+
+
+@query("agg5_bootstrap", f"WITH {boot_sql()} SELECT template, config, round(wmape, 3) AS wmape, round(wmape_se, 3) AS wmape_se, round(accuracy, 3) AS accuracy, round(accuracy_se, 3) AS accuracy_se FROM boot")
 def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(boot(spark, sf_dir), 4, wmape=3)
+    return rounded(boot(spark, sf_dir), 3)
+
+
+MAE = "e AS (SELECT template, patient_id, root, config, any_value(value) AS value, abs(avg(released) - any_value(value)) AS naive, abs(any_value(lo) + list_sort(list(idx))[(count(*) + 1) // 2] * (any_value(hi) - any_value(lo)) / 999 - any_value(value)) AS map FROM {reps} GROUP BY 1, 2, 3, 4)"
+
 
+def root_errors(r: DataFrame, *more: str) -> DataFrame:
+    """(template, patient_id, root, config, more, value, naive, map): absolute errors of the mean of all releases and of the most likely value."""
+    g = r.groupBy(*ROOT, "config", *more).agg(F.first("value").alias("value"), F.avg("released").alias("mean"), A.lower_median().alias("idx"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    found = F.expr(N.value_of(SPARK, "idx", "lo", "hi"))
+    return g.select(*ROOT, "config", *more, "value", F.abs(F.col("mean") - F.col("value")).alias("naive"), F.abs(found - F.col("value")).alias("map"))
 
-@query("agg8_per_root", f"{repeats_sql()}, e AS (SELECT patient_id, root, abs(avg(released) - any_value(value)) AS naive, abs(median(released) - any_value(value)) AS med FROM reps GROUP BY 1, 2) SELECT root, count(*) AS n, round(avg(naive), 4) AS naive, round(avg(med), 4) AS med, round(stddev_pop(naive), 4) AS naive_std, round(avg(naive - med), 4) AS delta FROM e GROUP BY 1")
+
+def three_configs(spark: SparkSession, sf_dir: str, q: int, where: str) -> DataFrame:
+    out = repeats(spark, sf_dir, q, "all", where=where)
+    for c in CONFIGS[1:]:
+        out = out.unionByName(repeats(spark, sf_dir, q, c, where=where))
+    return out
+
+
+def three_configs_sql(q: int, where: str) -> str:
+    head = O
+    for c in CONFIGS:
+        head = repeats_sql(q, c, where=where, name=f"reps_{c}", head=head)
+    return head + ", reps3 AS (" + " UNION ALL ".join(f"SELECT * FROM reps_{c}" for c in CONFIGS) + ")"
+
+
+@query("agg8_per_root", f"{three_configs_sql(4, FOCAL)}, {MAE.format(reps='reps3')} SELECT template, config, root, count(*) AS n, round(avg(map), 4) AS map, round(stddev_samp(map) / sqrt(count(*)), 4) AS map_se, round(avg(naive), 4) AS naive, round(stddev_samp(naive) / sqrt(count(*)), 4) AS naive_se, round(avg(naive - map), 4) AS delta FROM e GROUP BY 1, 2, 3")
 def agg8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = repeats(spark, sf_dir).groupBy("patient_id", "root").agg(F.abs(F.avg("released") - F.first("value")).alias("naive"), F.abs(F.percentile("released", 0.5) - F.first("value")).alias("med"))
-    return rounded(e.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.avg("naive").alias("naive"), F.avg("med").alias("med"), F.stddev_pop("naive").alias("naive_std"), F.avg(F.col("naive") - F.col("med")).alias("delta")))
+    e = root_errors(three_configs(spark, sf_dir, 4, FOCAL))
+    se = lambda c: F.stddev_samp(c) / F.sqrt(F.count(F.lit(1)))
+    return rounded(e.groupBy("template", "config", "root").agg(F.count(F.lit(1)).alias("n"), F.avg("map").alias("map"), se("map").alias("map_se"), F.avg("naive").alias("naive"), se("naive").alias("naive_se"), F.avg(F.col("naive") - F.col("map")).alias("delta")))
 
 
-@query("agg9_two_levels", f"{O}, r AS (SELECT template, config, root, 100 * sum(abs(released - value)) / sum(abs(value)) AS w FROM obs WHERE eps = 0.1 AND b_setting = '3k+1' GROUP BY ALL) SELECT template, config, round(avg(w), 3) AS wmape, count(*) AS roots FROM r GROUP BY ALL")
+@query("agg9_two_levels", f"{three_configs_sql(4, FOCAL)}, {MAE.format(reps='reps3')}, r AS (SELECT template, config, root, 100 * sum(map) / sum(abs(value)) AS m, 100 * sum(naive) / sum(abs(value)) AS n FROM e GROUP BY 1, 2, 3) SELECT template, config, round(avg(m), 3) AS map, round(avg(n), 3) AS naive, round(avg(n) - avg(m), 3) AS delta, count(*) AS roots FROM r GROUP BY 1, 2")
 def agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir).where("eps = 0.1 AND b_setting = '3k+1'")
-    r = o.groupBy("template", "config", "root").agg(M.wmape(F.col("value"), F.col("released")).alias("w"))
-    return rounded(r.groupBy("template", "config").agg(F.avg("w").alias("wmape"), F.count(F.lit(1)).alias("roots")), 3)
+    e = root_errors(three_configs(spark, sf_dir, 4, FOCAL))
+    w = lambda c: 100 * F.sum(c) / F.sum(F.abs("value"))
+    r = e.groupBy("template", "config", "root").agg(w("map").alias("m"), w("naive").alias("n"))
+    return rounded(r.groupBy("template", "config").agg(F.avg("m").alias("map"), F.avg("n").alias("naive"), (F.avg("n") - F.avg("m")).alias("delta"), F.count(F.lit(1)).alias("roots")), 3)
+
 
+COMPLIANCE = "se AS (SELECT template, patient_id, draw, count(*) AS asked, count(*) FILTER (failed) AS failed, count(*) FILTER (gap) AS gaps FROM rb GROUP BY 1, 2, 3), comp AS (SELECT template, count(*) AS sessions, sum(asked)::BIGINT AS observations, count(*) FILTER (failed > 0) AS sessions_failed, sum(failed)::BIGINT AS observations_failed, sum(gaps)::BIGINT AS gaps, count(*) FILTER (failed > 0) AS targets_missing FROM se GROUP BY 1)"
 
-@query("agg10_compliance", RES + "SELECT config, count(*) AS sessions, count(*) FILTER (target IS NULL) AS missing, count(*) FILTER (abs(target - truth) > abs(truth)) AS failures, sum((truth_class <> target_class)::INT)::BIGINT AS wrong FROM results GROUP BY 1")
-def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = results(spark, sf_dir)
-    return r.groupBy("config").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("target").isNull()).alias("missing"), F.count_if(F.abs(F.col("target") - F.col("truth")) > F.abs("truth")).alias("failures"), F.count_if(F.col("truth_class") != F.col("target_class")).alias("wrong"))
 
+def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per template, over sessions of parsed replies: failures, rounding gaps, and targets that can't be computed."""
+    s = read_back(spark, sf_dir).groupBy("template", "patient_id", "draw").agg(F.count(F.lit(1)).alias("asked"), F.count_if("failed").alias("failed"), F.count_if("gap").alias("gaps"))
+    n = F.count_if(F.col("failed") > 0)
+    return s.groupBy("template").agg(F.count(F.lit(1)).alias("sessions"), F.sum("asked").alias("observations"), n.alias("sessions_failed"), F.sum("failed").alias("observations_failed"), F.sum("gaps").alias("gaps"), n.alias("targets_missing"))
 
-@query("agg11_composed_se", f"{RES}, {bootstrap_sql()} SELECT config, round(avg(wmape), 3) AS wmape, round(sqrt(sum(se * se)) / count(*), 4) AS se FROM boot GROUP BY 1")
+
+query("agg10_compliance", f"{READ}, {COMPLIANCE} SELECT * FROM comp")(compliance)
+
+
+@query("agg11_composed_se", f"WITH {boot_sql()} SELECT config, round(avg(wmape), 3) AS wmape, round(sqrt(sum(wmape_se * wmape_se)) / count(*), 3) AS wmape_se FROM boot GROUP BY 1")
 def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.composed(boot(spark, sf_dir), ("config",)), 4, wmape=3)
+    return rounded(M.composed(boot(spark, sf_dir), ("config",), se="wmape_se"), 3)
 
 
-@query("agg12_parametric_se", CELLS + "SELECT template, config, b_setting, eps, round(class_std / sqrt(n), 4) AS se FROM cells")
+@query("agg12_parametric_se", f"WITH {cells_sql(MECHANISMS)} SELECT template, mechanism, config, b_setting, eps, round(class_std / sqrt(n), 4) AS se FROM cells")
 def agg12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cells(spark, sf_dir).select("template", "config", "b_setting", "eps", (F.col("class_std") / F.sqrt("n")).alias("se")))
+    return rounded(cells(spark, sf_dir, MECHANISMS).select("template", "mechanism", "config", "b_setting", "eps", (F.col("class_std") / F.sqrt("n")).alias("se")))
 
 
 @query("agg13_mean_budget", f"{P}, {allocations_sql()} SELECT b_setting, eps, round(avg(budget), 6) AS budget, count(*) AS n FROM (SELECT DISTINCT template, b_setting, eps, budget FROM budgets) JOIN patients USING (template) GROUP BY 1, 2")
 def agg13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .base import allocations
-
+    """The mean budget that a value is released under: weighted by what the table has of each template."""
     b = allocations(spark).select("template", "b_setting", "eps", "budget").distinct()
     n = patients(spark, sf_dir).select("template").join(F.broadcast(b), "template")
     return rounded(n.groupBy("b_setting", "eps").agg(F.avg("budget").alias("budget"), F.count(F.lit(1)).alias("n")), 6)
 
 
-CONFIGS = ["all", "roots", "opt"]
-
-
-def pivoted(name: str, rows: tuple[str, ...], measure: str, where: str = "TRUE", column: str = "config", values: list[str] = CONFIGS, digits: int = 3) -> None:
-    keys = ", ".join(rows)
-
-    @query(name, f"{CELLS}, x AS (SELECT *, config || ' ' || b_setting AS cb FROM cells WHERE {where}) {pivot_sql('x', keys, column, values, measure, digits)}")
+# Reports: rows by columns, each a mean over cells and its standard error, with the best column of each row.
+
+SE = {"wmape": "wmape_se", "class_error": "class_std / sqrt(n)", "rce": "sqrt(rce * (100 - rce) / (n - 1))"}
+PAPER = list(NODES_OF)
+#: (label, condition on the cells).
+METHODS = [(f"{m}_{c}", f"mechanism = '{m}' AND config = '{c}'") for m in MECHANISMS for c in CONFIGS]
+SCALED = [(f"{c}_{s}", f"config = '{c}' AND b_setting = '{s}'") for c in CONFIGS for s in SETTINGS]
+
+
+def report(name: str, rows: tuple[str, ...], measure: str, columns: list[tuple[str, str]], where: str = "TRUE", mechanisms: tuple[str, ...] = ("exp",), se: bool = True, best: bool = True, more: dict[str, str] | None = None, digits: int = 5) -> None:
+    """Register a report. more: further columns, as SQL over the row's keys and cells, the same in both engines."""
+    labels = [c for c, _ in columns]
+    cell_where = where
+    picks = []
+    for label, condition in columns:
+        picks.append(f'round(avg(CASE WHEN {condition} THEN {measure} END), {digits}) AS "{label}"')
+        if se:
+            picks.append(f'round(sqrt(sum(CASE WHEN {condition} THEN power({SE[measure]}, 2) END)) / count(CASE WHEN {condition} THEN 1 END), {digits}) AS "{label}_se"')
+    picks += [f"{sql} AS {c}" for c, sql in (more or {}).items()]
+    first = f', CASE {" ".join(f"""WHEN "{c}" = low THEN '{c}'""" for c in labels)} END AS best' if best else ""
+    least = ", ".join(f'"{c}"' for c in labels)
+    drop = "* EXCLUDE (low)"
+    sql = f"SELECT {', '.join(rows)}, {', '.join(picks)} FROM cells GROUP BY {', '.join(rows)}"
+    sql = f"SELECT {drop}{first} FROM (SELECT *, least({least}) AS low FROM ({sql}))"
+
+    @query(name, f"WITH {cells_sql(mechanisms, cell_where)} {sql}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = cells(spark, sf_dir).where(where).withColumn("cb", F.concat_ws(" ", "config", "b_setting"))
-        return rounded(c.groupBy(*rows).pivot(column, values).agg(F.avg(measure)), digits)
-
-
-BOTH = [f"{c} {s}" for s in SETTINGS for c in CONFIGS]
-pivoted("agg14_pivot_eps", ("eps",), "wmape")
-pivoted("agg14_pivot_template", ("template",), "wmape", "eps = 0.1")
-pivoted("rpt1_aggregate_class_error", ("eps",), "class_error", column="cb", values=BOTH, digits=5)
-pivoted("rpt2_template_class_error", ("template",), "class_error", "eps = 0.1", "cb", BOTH)
-pivoted("rpt3_aggregate_wmape", ("eps",), "wmape", column="cb", values=BOTH)
-pivoted("rpt4_template_wmape", ("template",), "wmape", "eps = 0.1", "cb", BOTH)
-pivoted("rpt5_budget_scaling", ("eps", "b_setting"), "wmape")
-pivoted("rpt6_cross_template", ("eps", "b_setting"), "wmape", "config <> 'x'")
-pivoted("rpt7_rce_by_template", ("template", "eps"), "rce", column="cb", values=BOTH)
-pivoted("rpt8_rce_aggregate", ("eps",), "rce", column="cb", values=BOTH)
-
-
-@query("agg15_best", CELLS + "SELECT template, b_setting, eps, min_by(config, (round(wmape, 6), CASE config WHEN 'all' THEN 0 WHEN 'roots' THEN 1 ELSE 2 END)) AS best FROM cells GROUP BY ALL")
+        c = cells(spark, sf_dir, mechanisms, cell_where).withColumn("_se", F.expr(SE[measure].replace("sqrt(n)", "sqrt(CAST(n AS DOUBLE))")))
+        out = []
+        for label, condition in columns:
+            here = F.expr(condition)
+            out.append(F.round(F.avg(F.when(here, F.col(measure))), digits).alias(label))
+            if se:
+                out.append(F.round(F.sqrt(F.sum(F.when(here, F.col("_se") * F.col("_se")))) / F.count(F.when(here, 1)), digits).alias(f"{label}_se"))
+        out += [F.expr(sql).alias(k) for k, sql in (more or {}).items()]
+        wide = c.groupBy(*rows).agg(*out)
+        if best:
+            low = F.least(*[F.col(f"`{c}`") for c in labels])
+            wide = wide.withColumn("best", F.coalesce(*[F.when(F.col(f"`{c}`") == low, F.lit(c)) for c in labels]))
+        return wide
+
+
+K = {t: len(templates()[t].roots) for t in NODES_OF}
+MEAN_B = "round(eps * avg(CASE b_setting WHEN 'k+1' THEN 1 WHEN '2k+1' THEN 2 ELSE 3 END * CASE template " + " ".join(f"WHEN '{t}' THEN {k}" for t, k in K.items()) + " END + 1), 7)"
+PLACE = "CASE template " + " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(PAPER)) + " END"
+ORDER = {"place": f"CAST({PLACE} AS BIGINT)"}
+
+report("agg14_pivot_eps", ("eps",), "wmape", [(c, f"config = '{c}'") for c in CONFIGS], se=False, best=False)
+report("agg14_pivot_template", ("template",), "wmape", [(c, f"config = '{c}'") for c in CONFIGS], "eps = 0.1", se=False, best=False)
+report("agg14_pivot_scaled", ("template",), "rce", SCALED, "eps = 0.1", se=False, best=False)
+report("rpt1_aggregate_class_error", ("b_setting", "eps"), "class_error", METHODS, mechanisms=MECHANISMS, more={"mean_b": MEAN_B})
+report("rpt2_template_class_error", ("template",), "class_error", [c for c in SCALED if not c[0].startswith("roots")], "eps = 0.1", more=ORDER)
+report("rpt3_aggregate_wmape", ("b_setting", "eps"), "wmape", METHODS, mechanisms=MECHANISMS, more={"mean_b": MEAN_B})
+report("rpt4_template_wmape", ("b_setting", "template"), "wmape", METHODS, "eps = 0.1", MECHANISMS, more=ORDER)
+report("rpt5_budget_scaling", ("template", "eps"), "wmape", SCALED, se=False)
+report("rpt6_cross_template", ("eps",), "wmape", SCALED)
+report("rpt7_rce_by_template", ("template", "eps"), "rce", SCALED, more=ORDER)
+report("rpt7_rce_body", ("template",), "rce", [c for c in SCALED if c[0] in ("all_2k+1", "all_3k+1", "opt_2k+1", "opt_3k+1")], "eps = 0.1 AND b_setting <> 'k+1'", more=ORDER)
+report("rpt8_rce_aggregate", ("eps",), "rce", SCALED)
+
+
+@query("agg14_by_draws", f"{three_configs_sql(4, FOCAL)}, {MAE.format(reps='reps3')} SELECT template, " + ", ".join(f"round(100 * sum(CASE WHEN config = '{c}' THEN map END) / sum(CASE WHEN config = '{c}' THEN abs(value) END), 3) AS \"{c}\"" for c in CONFIGS) + " FROM e GROUP BY 1")
+def agg14d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = root_errors(three_configs(spark, sf_dir, 4, FOCAL))
+    return rounded(e.groupBy("template").agg(*[(100 * F.sum(F.when(F.col("config") == c, F.col("map"))) / F.sum(F.when(F.col("config") == c, F.abs("value")))).alias(c) for c in CONFIGS]), 3)
+
+
+@query("agg15_best", f"WITH {cells_sql()} SELECT template, b_setting, eps, min_by(config, (round(wmape, 6), CASE config WHEN 'all' THEN 0 WHEN 'roots' THEN 1 ELSE 2 END)) AS best FROM cells GROUP BY ALL")
 def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(F.col("config") == "all", 0).when(F.col("config") == "roots", 1).otherwise(2)
     return cells(spark, sf_dir).groupBy("template", "b_setting", "eps").agg(F.min_by("config", F.struct(F.round("wmape", 6), place)).alias("best"))
@@ -280,38 +536,44 @@ def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cells(spark, sf_dir).groupBy("template", "b_setting", "eps").pivot("config", CONFIGS).agg(F.first("wmape"))
-    return p.groupBy("template").agg(F.count_if(F.col("opt") < F.col("all")).alias("over_all"), F.count_if(F.col("opt") < F.col("roots")).alias("over_roots"), F.count(F.lit(1)).alias("pairs"))
+    full = p.where(" AND ".join(f"`{c}` IS NOT NULL" for c in CONFIGS))
+    return full.groupBy("template").agg(F.count_if(F.col("opt") < F.col("all")).alias("over_all"), F.count_if(F.col("opt") < F.col("roots")).alias("over_roots"), F.count(F.lit(1)).alias("pairs"))
 
 
 WINS = "w AS (SELECT o.template, count(*) FILTER (o.wmape < a.wmape) AS over_all, count(*) FILTER (o.wmape < r.wmape) AS over_roots, count(*) AS pairs FROM cells o JOIN cells a USING (template, b_setting, eps) JOIN cells r USING (template, b_setting, eps) WHERE o.config = 'opt' AND a.config = 'all' AND r.config = 'roots' GROUP BY 1)"
-query("agg16_win_rate", f"{CELLS}, {WINS} SELECT * FROM w")(wins)
+query("agg16_win_rate", f"WITH {cells_sql()}, {WINS} SELECT * FROM w")(wins)
 
 
-@query("rpt10_wins", f"{CELLS}, {WINS} SELECT template, over_all || '/' || pairs AS all_, over_roots || '/' || pairs AS roots_ FROM w")
+@query("rpt10_wins", f"WITH {cells_sql()}, {WINS} SELECT template, over_all || '/' || pairs AS all_, over_roots || '/' || pairs AS roots_ FROM w")
 def rpt10(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("pairs").cast("string"))
     return wins(spark, sf_dir).select("template", s("over_all").alias("all_"), s("over_roots").alias("roots_"))
 
 
-RATIO = "SELECT template, round(\"all\", 3) AS \"all\", round(opt, 3) AS opt, round(CASE WHEN opt = 0 THEN NULL ELSE \"all\" / opt END, 3) AS ratio, CASE WHEN \"all\" > 2 * opt THEN 'large' WHEN \"all\" > opt THEN 'small' ELSE 'none' END AS regime FROM p"
+def ratio(spark: SparkSession, sf_dir: str, where: str = "TRUE") -> DataFrame:
+    """(template, b_setting, eps, all, opt, ratio, regime); the ratio is null where opt has no error."""
+    p = cells(spark, sf_dir, where=where).groupBy("template", "b_setting", "eps").pivot("config", CONFIGS).agg(F.first("wmape"))
+    regime = F.when(F.col("all") > 2 * F.col("opt"), "large").when(F.col("all") > F.col("opt"), "small").otherwise("none")
+    return rounded(p.select("template", "b_setting", "eps", "all", "opt", F.try_divide("all", "opt").alias("ratio"), regime.alias("regime")), 3)
 
 
-def ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = cells(spark, sf_dir).where("eps = 0.1 AND b_setting = '3k+1'").groupBy("template").pivot("config", CONFIGS).agg(F.first("wmape"))
-    regime = F.when(F.col("all") > 2 * F.col("opt"), "large").when(F.col("all") > F.col("opt"), "small").otherwise("none")
-    return rounded(p.select("template", "all", "opt", F.try_divide("all", "opt").alias("ratio"), regime.alias("regime")), 3)
+def ratio_sql(where: str = "TRUE") -> str:
+    return f"""WITH {cells_sql(where=where)}, p AS (SELECT template, b_setting, eps, max(CASE WHEN config = 'all' THEN wmape END) AS "all", max(CASE WHEN config = 'opt' THEN wmape END) AS opt FROM cells GROUP BY ALL),
+        ra AS (SELECT template, b_setting, eps, round("all", 3) AS "all", round(opt, 3) AS opt, round(CASE WHEN opt = 0 THEN NULL ELSE "all" / opt END, 3) AS ratio, CASE WHEN "all" > 2 * opt THEN 'large' WHEN "all" > opt THEN 'small' ELSE 'none' END AS regime FROM p)"""
+
 
+query("agg17_improvement", ratio_sql() + " SELECT * FROM ra")(ratio)
+
+
+@query("rpt13_summary", ratio_sql("eps = 0.1 AND b_setting = '2k+1'") + f" SELECT template, CAST({PLACE} AS BIGINT) AS place, \"all\", opt, ratio, regime FROM ra")
+def rpt13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio(spark, sf_dir, "eps = 0.1 AND b_setting = '2k+1'").select("template", F.expr(ORDER["place"]).alias("place"), "all", "opt", "ratio", "regime")
 
-_P = f"{CELLS}, p AS (SELECT template, max(CASE WHEN config = 'all' THEN wmape END) AS \"all\", max(CASE WHEN config = 'opt' THEN wmape END) AS opt FROM cells WHERE eps = 0.1 AND b_setting = '3k+1' GROUP BY 1) "
-query("agg17_improvement", _P + RATIO)(ratio)
-query("rpt13_summary", _P + RATIO)(ratio)
 
 SHARE = f"{P}, {allocations_sql()}, sh AS (SELECT a.*, n FROM allocs a JOIN (SELECT template, root, count(*) AS n FROM patients GROUP BY 1, 2) USING (template, root) WHERE config = 'opt')"
 
 
 def opt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .base import allocations
-
     return allocations(spark).where("config = 'opt'").join(patients(spark, sf_dir).groupBy("template", "root").agg(F.count(F.lit(1)).alias("n")), ["template", "root"])
 
 
@@ -324,7 +586,8 @@ def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(opt_rows(spark, sf_dir).select("template", "root", "b_setting", "eps", "n", (100 * F.col("eps_root") / F.sum("eps_root").over(cell_window())).alias("share")))
 
 
-NORMED = "nm AS (SELECT template, root, b_setting, eps, eps_root / exp(avg(CASE WHEN h <> 0 THEN ln(eps_root) END) OVER w AS y, abs(h) * (hi - lo) / 999 / exp(avg(CASE WHEN h <> 0 THEN ln(abs(h) * (hi - lo) / 999) END) OVER w) AS x, h = 0 AS clamped FROM sh WINDOW w AS (PARTITION BY template, b_setting, eps))".replace("END) OVER w AS y", "END) OVER w) AS y")
+NORMED = "nm AS (SELECT template, root, b_setting, eps, eps_root / exp(avg(CASE WHEN h <> 0 THEN ln(eps_root) END) OVER w) AS y, abs(h) * (hi - lo) / 999 / exp(avg(CASE WHEN h <> 0 THEN ln(abs(h) * (hi - lo) / 999) END) OVER w) AS x, h = 0 AS clamped FROM sh WINDOW w AS (PARTITION BY template, b_setting, eps))"
+FIT = "fit AS (SELECT b_setting, regr_slope(log10(y), log10(x)) AS slope, regr_intercept(log10(y), log10(x)) AS intercept, count(*) AS n FROM nm WHERE NOT clamped GROUP BY 1)"
 
 
 def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,47 +596,144 @@ def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("template", "root", "b_setting", "eps", (F.col("eps_root") / mean("eps_root")).alias("y"), (F.col("x0") / mean("x0")).alias("x"), (F.col("h") == 0).alias("clamped"))
 
 
+def power_law(points: DataFrame) -> DataFrame:
+    f = points.where("NOT clamped").select("b_setting", F.log10("x").alias("x"), F.log10("y").alias("y"))
+    return f.groupBy("b_setting").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count(F.lit(1)).alias("n"))
+
+
 @query("agg19_geometric_norm", f"{SHARE}, {NORMED} SELECT template, root, b_setting, eps, round(x, 5) AS x, round(y, 5) AS y, clamped FROM nm")
 def agg19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(normed(spark, sf_dir), 5)
 
 
-for _name in ("agg20_power_law", "rpt16_power_law"):
+@query("agg20_power_law", f"{SHARE}, {NORMED}, {FIT} SELECT b_setting, round(slope, 4) AS slope, round(abs(intercept), 4) AS intercept, n FROM fit")
+def agg20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(power_law(normed(spark, sf_dir)).withColumn("intercept", F.abs("intercept")))
 
-    @query(_name, f"{SHARE}, {NORMED} SELECT b_setting, round(regr_slope(log10(y), log10(x)), 4) AS slope, round(abs(regr_intercept(log10(y), log10(x))), 4) AS intercept, count(*) AS n FROM nm WHERE NOT clamped GROUP BY 1")
-    def agg20(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = normed(spark, sf_dir).where("NOT clamped").select("b_setting", F.log10("x").alias("x"), F.log10("y").alias("y"))
-        return rounded(f.groupBy("b_setting").agg(F.regr_slope("y", "x").alias("slope"), F.abs(F.regr_intercept("y", "x")).alias("intercept"), F.count(F.lit(1)).alias("n")))
 
+@query("rpt16_power_law", f"{SHARE}, {NORMED}, {FIT} SELECT template, root, b_setting, eps, round(x, 5) AS x, round(y, 5) AS y, clamped, round(CASE WHEN NOT clamped THEN power(10, intercept + slope * log10(x)) END, 4) AS fitted FROM nm JOIN fit USING (b_setting)")
+def rpt16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the power law, with what the fit gives at each."""
+    points = normed(spark, sf_dir)
+    fitted = F.when(~F.col("clamped"), F.pow(F.lit(10.0), F.col("intercept") + F.col("slope") * F.log10("x")))
+    return rounded(points.join(F.broadcast(power_law(points).drop("n")), "b_setting").select("template", "root", "b_setting", "eps", "x", "y", "clamped", fitted.alias("fitted")), 5, fitted=4)
 
-@query("agg21_curves", CELLS + "SELECT config, b_setting, eps AS x, round(avg(wmape), 3) AS y FROM cells GROUP BY ALL")
-def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cells(spark, sf_dir).groupBy("config", "b_setting", F.col("eps").alias("x")).agg(F.avg("wmape").alias("y")), 3)
 
+def drawn(spark: SparkSession, sf_dir: str, where: str, mechanism: str = "exp", top_only: bool = False) -> DataFrame:
+    """The errors of root_errors for each config and number of queries q: the first q + 1 releases, or the one that is replayed."""
+    q = F.explode(F.array(*[F.lit(x) for x in QS]))
+    fresh = repeats(spark, sf_dir, max(QS), "all", mechanism, where, top_only).withColumn("q", q).where("draw <= q")
+    out = root_errors(fresh, "eps", "q")
+    for c in CONFIGS[1:]:
+        once = root_errors(repeats(spark, sf_dir, 0, c, mechanism, where, top_only), "eps").withColumn("q", q)
+        out = out.unionByName(once.select(out.columns))
+    return out
 
-@query("rpt9_per_root", f"{O}, r AS (SELECT template, root, config, avg(abs(released - value)) AS mae FROM obs WHERE b_setting = '3k+1' AND eps = 0.1 GROUP BY ALL) SELECT template, root, " + ", ".join(f"round(max(CASE WHEN config = '{c}' THEN mae END), 4) AS \"{c}\"" for c in CONFIGS) + " FROM r GROUP BY ALL")
-def rpt9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir).where("b_setting = '3k+1' AND eps = 0.1")
-    return rounded(o.groupBy("template", "root").pivot("config", CONFIGS).agg(F.avg(F.abs(F.col("released") - F.col("value")))))
+
+def drawn_sql(where: str, mechanism: str = "exp", top_only: bool = False, name: str = "dr", head: str = O) -> str:
+    sql = repeats_sql(max(QS), "all", mechanism, where, f"{name}_all", head, top_only)
+    for c in CONFIGS[1:]:
+        sql = repeats_sql(0, c, mechanism, where, f"{name}_{c}", sql, top_only)
+    qs = ", ".join(f"({x})" for x in QS)
+    parts = [f"SELECT *, q FROM {name}_all CROSS JOIN (VALUES {qs}) v(q) WHERE draw <= q"] + [f"SELECT *, q FROM {name}_{c} CROSS JOIN (VALUES {qs}) v(q)" for c in CONFIGS[1:]]
+    mae = MAE.format(reps=f"({' UNION ALL '.join(parts)})").replace("e AS (SELECT template, patient_id, root, config,", f"{name} AS (SELECT template, patient_id, root, config, eps, q,").replace("GROUP BY 1, 2, 3, 4)", "GROUP BY 1, 2, 3, 4, 5, 6)")
+    return f"{sql}, {mae}"
 
 
-def by_draws(spark: SparkSession, sf_dir: str, cached: bool) -> DataFrame:
-    """Reconstruction error of the mean of the first q releases, for q = 1, 2, 4, 8."""
-    r = repeats(spark, sf_dir, 7, cached).withColumn("q", F.explode(F.array(*[F.lit(q) for q in (1, 2, 4, 8)]))).where("draw < q")
-    e = r.groupBy("patient_id", "root", "q").agg(F.avg("released").alias("est"), F.first("value").alias("value"))
-    return e.groupBy("root", "q").agg(M.wmape(F.col("value"), F.col("est")).alias("w"))
+LEVELS = "round(avg(CASE WHEN config = '{c}' THEN w END), 3) AS \"{c}\""
 
 
-def by_draws_sql(cached: bool) -> str:
-    return f"{repeats_sql(7, cached)}, d AS (SELECT reps.*, q FROM reps CROSS JOIN (VALUES (1), (2), (4), (8)) x(q) WHERE draw < q), e AS (SELECT patient_id, root, q, avg(released) AS est, any_value(value) AS value FROM d GROUP BY 1, 2, 3), f AS (SELECT root, q::BIGINT AS q, 100 * sum(abs(est - value)) / sum(abs(value)) AS w FROM e GROUP BY 1, 2)"
+def two_levels(e: DataFrame, *keys: str) -> DataFrame:
+    """Per root, then over a template's roots, then over templates where template isn't among the keys."""
+    r = e.groupBy("template", "config", "eps", "q", "root").agg((100 * F.sum("map") / F.sum(F.abs("value"))).alias("w"))
+    t = r.groupBy("template", "config", "eps", "q").agg(F.avg("w").alias("w"))
+    return t.groupBy(*keys).agg(*[F.round(F.avg(F.when(F.col("config") == c, F.col("w"))), 3).alias(c) for c in CONFIGS])
 
 
-for _name, _cached in (("rpt11_by_draws", False), ("rpt12_replayed", True)):
+def two_levels_sql(source: str, *keys: str) -> str:
+    r = f"SELECT template, config, eps, q, root, 100 * sum(map) / sum(abs(value)) AS w FROM {source} GROUP BY 1, 2, 3, 4, 5"
+    return f"SELECT {', '.join(keys)}, {', '.join(LEVELS.format(c=c) for c in CONFIGS)} FROM (SELECT template, config, eps, q, avg(w) AS w FROM ({r}) GROUP BY 1, 2, 3, 4) GROUP BY {', '.join(keys)}"
 
-    def _draws(spark: SparkSession, sf_dir: str, cached: bool = _cached) -> DataFrame:
-        return rounded(by_draws(spark, sf_dir, cached), 3)
 
-    query(_name, f"{by_draws_sql(_cached)} SELECT root, q, round(w, 3) AS w FROM f")(_draws)
+RECONSTRUCTED = "b_setting = 'k+1' AND eps IN (0.01, 0.05, 0.1, 0.5, 1.0)"
+STRATEGIES = (("A", True), ("B", False))
+
+
+def _rpt11_sql() -> str:
+    head, parts = O, []
+    for m in ("exp", "blap", "stair"):
+        for s, top in STRATEGIES:
+            limit = RECONSTRUCTED if m != "stair" else RECONSTRUCTED + " AND eps <= 0.1"
+            head = drawn_sql(limit, m, top, f"d_{m}_{s}", head)
+            parts.append(f"SELECT '{m}' AS mechanism, '{s}' AS strategy, * FROM ({two_levels_sql(f'd_{m}_{s}', 'eps', 'q')})")
+    return head + " " + " UNION ALL ".join(parts)
+
+
+@query("rpt11_by_draws", _rpt11_sql())
+def rpt11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reconstruction by the most likely value without prior: eps and number of queries by policy, for each law and strategy.
+
+    Of the staircase only budgets that its likelihood is valid for.
+    """
+    out = None
+    for m in MECHANISMS:
+        for s, top in STRATEGIES:
+            limit = RECONSTRUCTED if m != "stair" else RECONSTRUCTED + " AND eps <= 0.1"
+            one = two_levels(drawn(spark, sf_dir, limit, m, top), "eps", "q").select(F.lit(m).alias("mechanism"), F.lit(s).alias("strategy"), "eps", F.col("q").cast("long").alias("q"), *CONFIGS)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def informed(spark: SparkSession, sf_dir: str, where: str = AUDITED) -> DataFrame:
+    """(template, config, q, wmape): reconstruction with the informed prior on all roots; cached releases count at q = 1."""
+    parts = []
+    for config, qs in (("all", QS), ("roots", (1,)), ("opt", (1,))):
+        for q in qs:
+            o = repeats(spark, sf_dir, q, config, where=where)
+            found = A.map_index(with_prior(o), "exp")
+            truth = o.where("draw = 0").select(*ROOT, "value", "lo", "hi")
+            e = found.join(truth, list(ROOT)).select("template", "root", "value", F.expr(N.value_of(SPARK, "map_idx", "lo", "hi")).alias("est"))
+            per_root = e.groupBy("template", "root").agg(M.wmape(F.col("value"), F.col("est")).alias("w"))
+            parts.append(per_root.groupBy("template").agg(F.avg("w").alias("wmape")).select("template", F.lit(config).alias("config"), F.lit(q).alias("q"), "wmape"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("rpt12_by_template")
+def rpt12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template by (all at each q, roots, opt): no SQL, as the grids of all q would be too many rows for it; aud6 has the SQL of the estimate."""
+    i = informed(spark, sf_dir)
+    columns = [(f"all_{q}", (F.col("config") == "all") & (F.col("q") == q)) for q in QS] + [(c, F.col("config") == c) for c in CONFIGS[1:]]
+    return rounded(i.groupBy("template").agg(F.first(F.expr(ORDER["place"])).alias("place"), *[F.max(F.when(w, F.col("wmape"))).alias(n) for n, w in columns]), 3)
+
+
+@query("rpt12_replayed", f"{drawn_sql(AUDITED)} {two_levels_sql('dr', 'template', 'q')}")
+def rpt12r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without prior: all falls with q, cached releases stay as they are."""
+    return two_levels(drawn(spark, sf_dir, AUDITED), "template", "q").withColumn("q", F.col("q").cast("long"))
+
+
+@query("agg21_curves", f"WITH {cells_sql()} SELECT config, b_setting, eps AS x, round(avg(wmape), 3) AS y FROM cells GROUP BY ALL")
+def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cells(spark, sf_dir).groupBy("config", "b_setting", F.col("eps").alias("x")).agg(F.avg("wmape").alias("y")), 3)
+
+
+@query("agg21_curves_by_q", f"{drawn_sql(AUDITED)} SELECT config, q AS x, round(avg(w), 3) AS y FROM (SELECT template, config, q, root, 100 * sum(map) / sum(abs(value)) AS w FROM dr GROUP BY 1, 2, 3, 4) GROUP BY 1, 2")
+def agg21q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = drawn(spark, sf_dir, AUDITED).groupBy("template", "config", "q", "root").agg((100 * F.sum("map") / F.sum(F.abs("value"))).alias("w"))
+    return rounded(r.groupBy("config", F.col("q").cast("long").alias("x")).agg(F.avg("w").alias("y")), 3)
+
+
+@query("rpt9_per_root", f"{three_configs_sql(4, FOCAL)}, {MAE.format(reps='reps3')} SELECT template, root, " + ", ".join(f"round(avg(CASE WHEN config = '{c}' THEN map END), 4) AS \"{c}\", round(stddev_samp(CASE WHEN config = '{c}' THEN map END) / sqrt(count(CASE WHEN config = '{c}' THEN 1 END)), 4) AS \"{c}_se\"" for c in CONFIGS) + " FROM e GROUP BY 1, 2")
+def rpt9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = root_errors(three_configs(spark, sf_dir, 4, FOCAL))
+    picks = []
+    for c in CONFIGS:
+        own = F.when(F.col("config") == c, F.col("map"))
+        picks += [F.avg(own).alias(c), (F.stddev_samp(own) / F.sqrt(F.count(own))).alias(f"{c}_se")]
+    return rounded(e.groupBy("template", "root").agg(*picks))
 
 
 @query("rpt14_metadata", f"{P}, {allocations_sql()} SELECT template, count(DISTINCT root) AS k, round(avg(abs(h) * (hi - lo)), 4) AS reach, count(*) AS n FROM patients JOIN sens USING (template, root) GROUP BY 1")
@@ -389,18 +749,28 @@ def rpt15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(opt_rows(spark, sf_dir).select("template", "root", "b_setting", "eps", "h", F.round(F.col("hi") - F.col("lo"), 4).alias("width"), "eps_root", "n"), 6)
 
 
-@query("rpt17_one_page", f"{CELLS}, {WINS} SELECT 'wmape ' || config || ' ' || b_setting AS item, round(avg(wmape), 3) AS value FROM cells WHERE eps = 0.1 GROUP BY config, b_setting UNION ALL SELECT 'wins ' || template, over_all::DOUBLE FROM w UNION ALL SELECT 'rows', sum(n)::DOUBLE FROM cells")
+_ONE = f"{results_sql()}, {observations_sql().removeprefix(f'{patients_sql()}, {allocations_sql()},')}"
+_ONE_CELLS = cells_sql().removeprefix(results_sql() + ",")
+
+
+@query(
+    "rpt17_one_page",
+    f"{READ.replace(O, f'WITH {_ONE}, {_ONE_CELLS}, {WINS} ')}, {COMPLIANCE} SELECT 'wmape ' || config || ' ' || b_setting AS item, round(avg(wmape), 3) AS value FROM cells WHERE eps = 0.1 GROUP BY config, b_setting UNION ALL SELECT 'wins ' || template, over_all::DOUBLE FROM w UNION ALL SELECT 'rows', sum(n)::DOUBLE FROM cells UNION ALL SELECT 'sessions', sum(sessions)::DOUBLE FROM comp UNION ALL SELECT 'failed observations', sum(observations_failed)::DOUBLE FROM comp UNION ALL SELECT 'rounding gaps', sum(gaps)::DOUBLE FROM comp",
+)
 def rpt17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
+    c, k = cells(spark, sf_dir), compliance(spark, sf_dir)
     head = c.where("eps = 0.1").groupBy(F.concat(F.lit("wmape "), "config", F.lit(" "), "b_setting").alias("item")).agg(F.round(F.avg("wmape"), 3).alias("value"))
     won = wins(spark, sf_dir).select(F.concat(F.lit("wins "), "template").alias("item"), F.col("over_all").cast("double").alias("value"))
-    return head.unionByName(won).unionByName(c.agg(F.lit("rows").alias("item"), F.sum("n").cast("double").alias("value")))
+    out = head.unionByName(won).unionByName(c.agg(F.lit("rows").alias("item"), F.sum("n").cast("double").alias("value")))
+    for item, column in (("sessions", "sessions"), ("failed observations", "observations_failed"), ("rounding gaps", "gaps")):
+        out = out.unionByName(k.agg(F.lit(item).alias("item"), F.sum(column).cast("double").alias("value")))
+    return out
 
 
 # Joins, windows, order, sets ------------------------------------------------------------------------------------------
 
 
-@query("jn1_cells", CELLS + "SELECT a.template, a.config, round(a.wmape - b.wmape, 3) AS gain FROM cells a JOIN cells b USING (template, config, b_setting) WHERE a.eps = 0.1 AND b.eps = 1.0 AND b_setting = 'k+1'")
+@query("jn1_cells", f"WITH {cells_sql()} " + "SELECT a.template, a.config, round(a.wmape - b.wmape, 3) AS gain FROM cells a JOIN cells b USING (template, config, b_setting) WHERE a.eps = 0.1 AND b.eps = 1.0 AND b_setting = 'k+1'")
 def jn1(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir).where("b_setting = 'k+1'")
     a, b = c.where("eps = 0.1").select("template", "config", F.col("wmape").alias("w1")), c.where("eps = 1.0").select("template", "config", F.col("wmape").alias("w2"))
@@ -412,8 +782,6 @@ portable("jn3_lookup", lambda d: "SELECT n.n_name, r.r_name, count(*) AS n FROM
 
 
 def synonym_rows() -> list[tuple[str, str]]:
-    from .catalog import SYNONYMS
-
     return sorted(SYNONYMS.items())
 
 

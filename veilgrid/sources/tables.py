@@ -88,6 +88,13 @@ def patient_value(d: Dialect) -> str:
     return f"greatest(least(mean + std * ({u[0]} + {u[1]} + {u[2]} - {d.num(1.5)}) * {d.num(2)}, hi), lo)"
 
 
+def root_value(d: Dialect, template: str, root: str, key: str) -> str:
+    """The same value for one root of one template, by the entity's key."""
+    lo, hi = DOMAINS[template][root]
+    u = [d.uniform(f"'{SECRET}'", f"'{template}'", f"'{root}'", key, f"'{k}'") for k in "abc"]
+    return f"greatest(least({d.num(MEANS[template][root])} + {d.num(STDS[template][root])} * ({u[0]} + {u[1]} + {u[2]} - {d.num(1.5)}) * {d.num(2)}, {d.num(hi)}), {d.num(lo)})"
+
+
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(patient_id, template, root, value)."""
     roots = spark.createDataFrame(roots_table(), "template string, root string, mean double, std double, lo double, hi double")
