@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -10,11 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.dialect import SPARK, Dialect
+from ..plans.catalog import Template
+
 CELL = ("template", "eps", "b_setting")
 #: Budgets in multiples of eps, by the number of roots k.
 MULTIPLES = {"k+1": lambda k: k + 1, "2k+1": lambda k: 2 * k + 1, "3k+1": lambda k: 3 * k + 1}
 
 
+def inherited(template: Template, bounds: Mapping[str, tuple[float, float]], eps: str, d: Dialect = SPARK) -> dict[str, tuple[str, str]]:
+    """SQL of (budget, effective eps) of every node, from the SQL of eps: down the graph, a node inherits from its parents.
+
+    A root has eps. A derived node with lower bound m is left at an effective eps / m by its roots. If the parents'
+    largest effective eps over m is within eps, that is its budget; else eps / m if that is; else what is missing in
+    1 / eps^2 to the target. m = 0 tells nothing about the roots: the budget is then eps.
+    """
+    inf = d.num(1e300)
+    out = {r: (f"({eps})", f"({eps})") for r in template.roots}
+    for node, _, partials in template.nodes:
+        if partials is None:
+            continue
+        m = bounds[node][0]
+        own = f"(({eps}) / {d.num(m)})" if m > 0 else inf
+        parents = [out[p][1] for p in partials]
+        over = f"(greatest({', '.join(parents)}) / {d.num(m)})" if m > 0 and len(parents) > 1 else f"({parents[0]} / {d.num(m)})" if m > 0 else inf
+        rest = f"sqrt({d.num(1)} / nullif({d.num(1)} / (({eps}) * ({eps})) - {d.num(1)} / ({own} * {own}), {d.num(0)}))" if m > 0 else f"({eps})"
+        out[node] = (f"CASE WHEN {over} <= {eps} THEN {over} WHEN {own} <= {eps} THEN {own} ELSE {rest} END", own)
+    return out
+
+
 def with_budget(roots: DataFrame, epsilons: DataFrame, cell: tuple[str, ...] = CELL) -> DataFrame:
     """roots (template, root, ...) by epsilons (eps) and settings, with k and the total `budget`."""
     k = F.count(F.lit(1)).over(Window.partitionBy("template"))
@@ -36,15 +60,25 @@ def in_proportion(rows: DataFrame, weight: Column, cell: tuple[str, ...] = CELL)
     return rows.withColumn("_vg_w", weight).withColumn("eps_root", F.col("budget") * share).drop("_vg_w")
 
 
-def square_root(rows: DataFrame, cell: tuple[str, ...] = CELL) -> DataFrame:
-    """eps_root in proportion to sqrt(|h| * spacing)."""
-    return in_proportion(rows, F.sqrt(F.abs("h") * (F.col("hi") - F.col("lo")) / 999), cell)
+def square_root(rows: DataFrame, cell: tuple[str, ...] = CELL, weighted: bool = False) -> DataFrame:
+    """eps_root in proportion to sqrt(|h| * spacing).
+
+    weighted: under sum(eps_root * width) = eps * sum(width), where the optimum is in proportion to sqrt(|h|).
+    """
+    if not weighted:
+        return in_proportion(rows, F.sqrt(F.abs("h") * (F.col("hi") - F.col("lo")) / 999), cell)
+    w, width, root = Window.partitionBy(*cell), F.col("hi") - F.col("lo"), F.sqrt(F.abs("h"))
+    spent = F.sum(root * width).over(w)
+    return rows.withColumn("eps_root", F.when(spent > 0, F.col("eps") * F.sum(width).over(w) * root / spent).otherwise(F.col("eps")))
 
 
-def cube_root(rows: DataFrame, eps_min: float = 1e-3, eps_max: float = 20.0, cell: tuple[str, ...] = CELL) -> DataFrame:
-    """eps_root in proportion to ((h * width)^2)^(1/3) within [eps_min, eps_max]: what a bound takes or leaves is dealt to the others."""
+def cube_root(rows: DataFrame, eps_min: float = 1e-3, eps_max: float = 20.0, cell: tuple[str, ...] = CELL, widths: bool = True) -> DataFrame:
+    """eps_root in proportion to ((h * width)^2)^(1/3) within [eps_min, eps_max]: what a bound takes or leaves is dealt to the others.
+
+    Without `widths`, (h^2)^(1/3): for releases in value space.
+    """
     w = Window.partitionBy(*cell)
-    out = rows.withColumn("_vg_c", F.pow(F.pow(F.col("h") * (F.col("hi") - F.col("lo")), 2), 1 / 3)).withColumn("_vg_fixed", F.lit(None).cast("double"))
+    out = rows.withColumn("_vg_c", F.pow(F.pow(F.col("h") * ((F.col("hi") - F.col("lo")) if widths else F.lit(1.0)), 2), 1 / 3)).withColumn("_vg_fixed", F.lit(None).cast("double"))
     for _ in range(4):
         rest = F.col("budget") - F.coalesce(F.sum("_vg_fixed").over(w), F.lit(0.0))
         free = F.sum(F.when(F.col("_vg_fixed").isNull(), F.col("_vg_c"))).over(w)
@@ -91,14 +125,16 @@ def staircase_cdf(x: np.ndarray, eps: np.ndarray) -> np.ndarray:
     return np.where(x < 0, 0.5 - half, 0.5 + half)
 
 
-def moment(mechanism: str, eps: np.ndarray, m: int = 1000) -> np.ndarray:
-    """Expected absolute index error at the middle of the grid."""
+def moment(mechanism: str, eps: np.ndarray, m: int = 1000, variance: bool = False) -> np.ndarray:
+    """Expected absolute index error at the middle of the grid, or (exponential law only) the variance of the index."""
     if mechanism == "exp":
-        return exponential_moment(eps, (m - 1) / 2, m)
+        return exponential_moment(eps, (m - 1) / 2, m, variance)
+    if variance:
+        raise ValueError("the variance is an objective of the exponential law only")
     return from_distribution({"blap": laplace_cdf, "stair": staircase_cdf}[mechanism], eps, m // 2, m)
 
 
-def allocate(weights: np.ndarray, costs: np.ndarray, budget: float, mechanism: str, m: int = 1000, eps_min: float = 1e-3, eps_max: float = 20.0) -> np.ndarray:
+def allocate(weights: np.ndarray, costs: np.ndarray, budget: float, mechanism: str, m: int = 1000, eps_min: float = 1e-3, eps_max: float = 20.0, variance: bool = False) -> np.ndarray:
     """eps that minimise sum(weights * moment(eps)) with sum(costs * eps) = budget and eps within bounds.
 
     The moments fall and are convex, so at the optimum all free roots have equal marginal gain per cost: a bisection on
@@ -112,11 +148,11 @@ def allocate(weights: np.ndarray, costs: np.ndarray, budget: float, mechanism: s
     if not (weights > 0).any():
         return np.clip(np.full(k, budget / costs.sum()), eps_min, eps_max)
     grid = np.geomspace(eps_min, eps_max, 600)
-    gain = -np.gradient(moment(mechanism, grid, m), grid)
+    gain = -np.gradient(moment(mechanism, grid, m, variance), grid)
     gain = np.maximum(np.minimum.accumulate(gain), 1e-300)
 
     def at(lam: float) -> np.ndarray:
-        need = np.log(np.maximum(lam * costs / np.maximum(weights, 1e-300), 1e-300))
+        need = np.log(np.maximum(lam * costs / np.where(weights > 0, weights, 1.0), 1e-300))
         eps = np.exp(np.interp(-need, -np.log(gain), np.log(grid)))
         return np.where(weights > 0, np.clip(eps, eps_min, eps_max), eps_min)
 
@@ -134,10 +170,11 @@ def allocate(weights: np.ndarray, costs: np.ndarray, budget: float, mechanism: s
     return eps
 
 
-def exact(rows: DataFrame, mechanism: str, weighted: bool = False, cell: tuple[str, ...] = CELL) -> DataFrame:
+def exact(rows: DataFrame, mechanism: str, weighted: bool = False, cell: tuple[str, ...] = CELL, variance: bool = False) -> DataFrame:
     """rows (cell, root, h, lo, hi, budget) with eps_root by the exact optimum, one group of k roots per cell.
 
     weighted: the constraint is sum(eps * width) = eps * sum(width), as of one release of every root at eps.
+    variance: minimise sum of (h * spacing)^2 * Var instead of |h| * spacing * E|error|.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +182,8 @@ def exact(rows: DataFrame, mechanism: str, weighted: bool = False, cell: tuple[s
         width = (pdf["hi"] - pdf["lo"]).to_numpy()
         costs = width if weighted else np.ones(len(pdf))
         budget = float(pdf["eps"].iloc[0]) * width.sum() if weighted else float(pdf["budget"].iloc[0])
-        return pdf.assign(eps_root=allocate(pdf["h"].abs().to_numpy() * width / 999, costs, budget, mechanism))
+        weight = pdf["h"].abs().to_numpy() * width / 999
+        return pdf.assign(eps_root=allocate(weight**2 if variance else weight, costs, budget, mechanism, variance=variance))
 
     schema = rows.schema.simpleString()[len("struct<") : -1]
     return rows.groupBy(*cell).applyInPandas(solve, f"{schema},eps_root:double".replace(":", " ").replace(",", ", "))

@@ -10,10 +10,10 @@ from ..functions import mechanisms as N
 from ..functions.dialect import DUCK, SPARK, Dialect
 from ..operators import budget as B
 from ..operators import release as R
-from ..operators.derive import bind, class_sql, derived_columns, layered_sql, with_derived
+from ..operators.derive import bind, class_sql, derived_columns, layered_sql, sensitivity_columns, with_derived
 from ..sources.tables import patients, patients_sql, table, wide, wide_sql
 from .base import BY, EPS_MIN, EPSILONS, allocations, allocations_sql, observations, observations_sql, portable, query, results, results_sql, rounded, sensitivities
-from .catalog import LIPSCHITZ, PRICING, Template, templates
+from .catalog import DOMAINS, LIPSCHITZ, PRICING, Template, templates
 from .q_release import LINE, LINE_KEYS, P
 
 A = f"{P}, {allocations_sql()}"
@@ -29,10 +29,27 @@ def counted(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 COUNTED = "JOIN (SELECT template, root, count(*) AS n FROM patients GROUP BY 1, 2) USING (template, root)"
 
 
-@query("bud1_totals", f"{A} SELECT template, b_setting, eps, k, round(budget, 6) AS budget, sum(n)::BIGINT AS n FROM budgets {COUNTED} GROUP BY ALL")
+#: Budgets in multiples of eps: of t turns, and of k roots or n nodes.
+TURNS = 4
+TOTALS = (("t", f"{TURNS}"), ("k", "k"), ("k+1", "k + 1"), ("2k+1", "2 * k + 1"), ("3k+1", "3 * k + 1"), ("n", "n"))
+NODE_COUNTS = [(t.name, len(t.roots), len(t.roots) + sum(p is not None for _, _, p in t.nodes)) for t in templates().values() if t.name in DOMAINS]
+
+
+@query(
+    "bud1_totals",
+    f"{P}, c(template, k, n) AS (VALUES {', '.join(map(str, NODE_COUNTS))}), e(eps) AS (VALUES {', '.join(f'({e}::DOUBLE)' for e in EPSILONS)}) "
+    + "SELECT template, b_setting, eps, round(f * eps, 6) AS budget, round(f * eps * patients, 4) AS all_patients FROM ("
+    + " UNION ALL ".join(f"SELECT template, '{name}' AS b_setting, {f} AS f, count(DISTINCT patient_id) AS patients FROM patients JOIN c USING (template) GROUP BY template, k, n" for name, f in TOTALS)
+    + ") CROSS JOIN e",
+)
 def bud1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = counted(spark, sf_dir, allocations(spark).where("config = 'roots'"))
-    return rounded(a.groupBy("template", "b_setting", "eps", "k", "budget").agg(F.sum("n").alias("n")), 6)
+    """Each template's total at each eps, and what the table's patients spend together."""
+    n = patients(spark, sf_dir).groupBy("template").agg(F.count_distinct("root").alias("k"), F.count_distinct("patient_id").alias("patients"))
+    nodes = spark.createDataFrame([(t, n) for t, _, n in NODE_COUNTS], "template string, n int")
+    grid = n.join(F.broadcast(nodes), "template").withColumn("eps", F.explode(F.array(*[F.lit(e) for e in EPSILONS])))
+    each = grid.select("template", "eps", "patients", F.explode(F.array(*[F.struct(F.lit(name).alias("b_setting"), F.expr(f).cast("double").alias("f")) for name, f in TOTALS])).alias("x"))
+    budget = F.col("x.f") * F.col("eps")
+    return each.select("template", "x.b_setting", "eps", F.round(budget, 6).alias("budget"), F.round(budget * F.col("patients"), 4).alias("all_patients"))
 
 
 for _name, _config in (("bud2_uniform", "roots"), ("bud7_square_root", "opt")):
@@ -44,13 +61,36 @@ for _name, _config in (("bud2_uniform", "roots"), ("bud7_square_root", "opt")):
     query(_name, f"{A} SELECT template, root, b_setting, eps, round(eps_root, 6) AS eps_root, n FROM allocs {COUNTED} WHERE config = '{_config}'")(_alloc)
 
 
-@query("bud3_inherited", "SELECT o_orderkey, round(CASE WHEN e1 >= e2 THEN e1 ELSE e2 END, 6) AS parent, round(CASE WHEN l > 1 THEN 0 ELSE sqrt(greatest(1 / (l * l) - 1, 0)) * greatest(e1, e2) END, 6) AS derived FROM (SELECT o_orderkey, 0.1 + (o_orderkey % 7) * 0.01 AS e1, 0.1 + (o_custkey % 5) * 0.02 AS e2, 0.2 + (o_orderkey % 11) * 0.1 AS l FROM orders)")
+def inherited_sql() -> str:
+    """Layer by layer over tables of nodes and edges: b<k> has the nodes of the first k layers."""
+    depth: dict[tuple[str, str], int] = {}
+    nodes, edge_rows = [], []
+    for t in (t for t in templates().values() if t.name in DOMAINS):
+        depth |= {(t.name, r): 0 for r in t.roots}
+        for n, _, p in t.nodes:
+            if p is not None:
+                depth[t.name, n] = 1 + max(depth[t.name, x] for x in p)
+                nodes.append(f"('{t.name}', '{n}', {depth[t.name, n]}, {LIPSCHITZ[n][0]!r}::DOUBLE)")
+                edge_rows += [f"('{t.name}', '{x}', '{n}')" for x in p]
+    sql = f"{P}, e AS (SELECT c_custkey AS patient_id, 0.05::DOUBLE + 0.01::DOUBLE * (c_custkey % 10) AS eps FROM customer), nd(template, node, layer, m) AS (VALUES {', '.join(nodes)}), ed(template, parent, node) AS (VALUES {', '.join(edge_rows)}), b0 AS (SELECT patient_id, template, root AS node, eps, eps AS budget, eps AS effective FROM patients JOIN e USING (patient_id))"
+    for k in range(1, max(depth.values()) + 1):
+        rule = "CASE WHEN m > 0 AND max(b.effective) / m <= b.eps THEN max(b.effective) / m WHEN m > 0 AND b.eps / m <= b.eps THEN b.eps / m WHEN m > 0 THEN sqrt(1 / (1 / (b.eps * b.eps) - 1 / ((b.eps / m) * (b.eps / m)))) ELSE b.eps END"
+        sql += f", b{k} AS (SELECT * FROM b{k - 1} UNION ALL SELECT b.patient_id, nd.template, nd.node, b.eps, {rule}, CASE WHEN m > 0 THEN b.eps / m ELSE 1e300 END FROM nd JOIN ed USING (template, node) JOIN b{k - 1} b ON b.template = ed.template AND b.node = ed.parent WHERE nd.layer = {k} GROUP BY b.patient_id, nd.template, nd.node, b.eps, m)"
+    return f"{sql} SELECT patient_id, template, node, round(budget, 6) AS budget, round(least(effective, 1000000), 4) AS effective FROM b{max(depth.values())}"
+
+
+@query("bud3_inherited", inherited_sql())
 def bud3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A derived node inherits its parents' largest budget; what its own bound lacks is added in 1/eps^2."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (0.1 + (F.col("o_orderkey") % 7) * 0.01).alias("e1"), (0.1 + (F.col("o_custkey") % 5) * 0.02).alias("e2"), (0.2 + (F.col("o_orderkey") % 11) * 0.1).alias("l"))
-    top = F.greatest("e1", "e2")
-    lack = F.when(F.col("l") > 1, 0.0).otherwise(F.sqrt(F.greatest(1 / (F.col("l") * F.col("l")) - 1, F.lit(0.0))) * top)
-    return o.select("o_orderkey", F.round(top, 6).alias("parent"), F.round(lack, 6).alias("derived"))
+    """Budgets down each template's graph, at an eps of each patient's own."""
+    e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("patient_id"), (0.05 + 0.01 * (F.col("c_custkey") % 10)).alias("eps"))
+    parts = []
+    for t in (t for t in templates().values() if t.name in DOMAINS):
+        nodes = [F.struct(F.lit(n).alias("node"), F.expr(b).alias("budget"), F.expr(x).alias("effective")) for n, (b, x) in B.inherited(t, LIPSCHITZ, "eps").items()]
+        parts.append(e.select("patient_id", F.lit(t.name).alias("template"), F.explode(F.array(*nodes)).alias("x")).select("patient_id", "template", "x.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.select("patient_id", "template", "node", F.round("budget", 6).alias("budget"), F.round(F.least("effective", F.lit(1e6)), 4).alias("effective"))
 
 
 NODE_ROWS = [(t.name, r, "root", 0.0) for t in templates().values() for r in t.roots] + [(t.name, n, "derived", LIPSCHITZ[n][0]) for t in templates().values() for n, _, p in t.nodes if p is not None]
@@ -76,38 +116,75 @@ def bud5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_budgets(spark, sf_dir, F.when((F.col("kind") == "root") | (F.col("m") == 0), 0.1).otherwise(0.1 / F.when(F.col("m") > 0, F.col("m"))))
 
 
-def clamp_sql() -> str:
+def clamp_sql(widths: bool = True) -> str:
     """The cube-root allocation: four rounds in which what a bound takes or leaves is dealt to the others."""
     over = "OVER (PARTITION BY template, eps, b_setting)"
-    sql = "SELECT *, power(power(h * (hi - lo), 2), 1.0 / 3) AS c, NULL::DOUBLE AS fixed, 0::DOUBLE AS eps_root FROM budgets"
+    sql = f"SELECT *, power(power(h * {'(hi - lo)' if widths else '1'}, 2), 1.0 / 3) AS c, NULL::DOUBLE AS fixed, 0::DOUBLE AS eps_root FROM budgets"
     for _ in range(4):
         sql = f"SELECT * EXCLUDE (eps_root, rest, free, cnt), coalesce(fixed, CASE WHEN free > 0 THEN rest * c / free ELSE rest / cnt END) AS eps_root FROM (SELECT *, budget - coalesce(sum(fixed) {over}, 0) AS rest, sum(CASE WHEN fixed IS NULL THEN c END) {over} AS free, sum(CASE WHEN fixed IS NULL THEN 1 END) {over} AS cnt FROM ({sql}))"
         sql = f"SELECT * EXCLUDE (fixed), coalesce(fixed, CASE WHEN eps_root < 0.001 THEN 0.001 WHEN eps_root > 20 THEN 20 END) AS fixed FROM ({sql})"
     return f"SELECT * EXCLUDE (eps_root), least(greatest(eps_root, 0.001), 20) AS eps_root FROM ({sql})"
 
 
-@query("bud6_cube_root", f"{A}, cube AS ({clamp_sql()}) SELECT template, root, b_setting, eps, round(eps_root, 6) AS eps_root, n FROM cube {COUNTED}")
-def bud6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = allocations(spark).where("config = 'roots'").drop("eps_root", "config")
-    return rounded(counted(spark, sf_dir, B.cube_root(rows)).select("template", "root", "b_setting", "eps", "eps_root", "n"), 6)
+for _name, _widths in (("bud6_cube_root", True), ("bud6_cube_root_plain", False)):
+
+    def _cube(spark: SparkSession, sf_dir: str, widths: bool = _widths) -> DataFrame:
+        rows = allocations(spark).where("config = 'roots'").drop("eps_root", "config")
+        return rounded(counted(spark, sf_dir, B.cube_root(rows, widths=widths)).select("template", "root", "b_setting", "eps", "eps_root", "n"), 6)
+
+    query(_name, f"{A}, cube AS ({clamp_sql(_widths)}) SELECT template, root, b_setting, eps, round(eps_root, 6) AS eps_root, n FROM cube {COUNTED}")(_cube)
+
 
+def own_sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(template, root, lo, hi, h): the target's derivative by each root at the mean of the table's own patients."""
+    means = patients(spark, sf_dir).groupBy("template").pivot("root", sorted({r for t in templates().values() if t.name in DOMAINS for r in t.roots})).agg(F.avg("value"))
+    parts = []
+    for t in (t for t in templates().values() if t.name in DOMAINS):
+        w = with_derived(means.where(F.col("template") == t.name), t)
+        rows = [F.struct(F.lit(r).alias("root"), F.lit(float(t.domains[r][0])).alias("lo"), F.lit(float(t.domains[r][1])).alias("hi"), F.expr(h).cast("double").alias("h")) for r, h in sensitivity_columns(SPARK, t)]
+        parts.append(w.select("template", F.explode(F.array(*rows)).alias("x")).select("template", "x.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
-for _k, (_mechanism, _weighted) in enumerate([(m, w) for m in ("exp", "blap", "stair") for w in (False, True)]):
 
-    def _exact(spark: SparkSession, sf_dir: str, mechanism: str = _mechanism, weighted: bool = _weighted) -> DataFrame:
-        """Sensitivities at the patients' own means, then the exact allocation of every cell."""
-        p = patients(spark, sf_dir).groupBy("template", "root").agg(F.avg("value").alias("mean"))
-        rows = allocations(spark).where("config = 'roots'").drop("eps_root", "config").join(p, ["template", "root"]).drop("mean")
-        return B.exact(rows, mechanism, weighted).select("template", "root", "b_setting", "eps", "budget", F.round("eps_root", 6).alias("eps_root"))
+_EXACT = [(m, w, False) for m in ("exp", "blap", "stair") for w in (False, True)] + [("exp", False, True), ("exp", True, True)]
+for _k, (_mechanism, _weighted, _variance) in enumerate(_EXACT):
 
-    query(f"bud{8 + _k}_exact_{_mechanism}{'_weighted' if _weighted else ''}")(_exact)
+    def _exact(spark: SparkSession, sf_dir: str, mechanism: str = _mechanism, weighted: bool = _weighted, variance: bool = _variance) -> DataFrame:
+        """The exact allocation of every cell, with sensitivities at the patients' own means."""
+        grid = spark.createDataFrame([(e,) for e in EPSILONS], "eps double")
+        rows = B.with_budget(own_sensitivities(spark, sf_dir), grid)
+        out = B.exact(rows, mechanism, weighted, variance=variance)
+        return out.select("template", "root", "b_setting", "eps", F.round("h", 6).alias("h"), F.round("budget", 6).alias("budget"), F.round("eps_root", 6).alias("eps_root"))
+
+    query(f"bud{8 + _k % 6}_exact_{_mechanism}{'_weighted' if _weighted else ''}{'_var' if _variance else ''}")(_exact)
 
 
 def moments(d: Dialect) -> str:
-    """Expected |S - t| of the exponential law at t = 500, over the whole grid, per event type's eps."""
-    w = f"exp(-eps * abs(s - {d.num(500)}) / {d.num(2)})"
+    """E|S - t| and Var(S) of each law at t = 500 over the whole grid, at an eps from each event type's count."""
+    one, half = d.num(1), d.num(0.5)
     grid = "SELECT explode(sequence(0, 999)) AS s" if d.spark else "SELECT unnest(range(1000)) AS s"
-    return f"SELECT event_type, round(sum({w} * abs(s - {d.num(500)})) / sum({w}), 6) AS e_abs, round(sum({w} * s * s) / sum({w}) - power(sum({w} * s) / sum({w}), {d.num(2)}), 4) AS var FROM (SELECT event_type, {d.num(0.001)} * count(*) / {d.num(100)} + {d.num(0.01)} AS eps FROM {{events}} GROUP BY event_type) e CROSS JOIN ({grid}) g GROUP BY event_type"
+
+    def laplace(x: str) -> str:
+        return f"CASE WHEN {x} < {d.num(0)} THEN {half} * exp(eps * ({x})) ELSE {one} - {half} * exp(-eps * ({x})) END"
+
+    def staircase(x: str) -> str:
+        p, g = "exp(-eps)", f"floor(abs({x}))"
+        gamma, r = f"(sqrt({p}) / (sqrt({p}) + {one}))", f"(abs({x}) - {g})"
+        inner = f"CASE WHEN {r} < {gamma} THEN {one} - power({p}, {g}) + ({one} - {p}) * power({p}, {g} - {half}) * {r} ELSE {one} - power({p}, {g} + {half}) + ({one} - {p}) * power({p}, {g} + {half}) * ({r} - {gamma}) END"
+        return f"CASE WHEN {x} >= {d.num(0)} THEN {half} + {half} * ({inner}) ELSE {half} * ({one} - ({inner})) END"
+
+    def mass(cdf) -> str:
+        low, high = f"(s - {d.num(500.5)})", f"(s - {d.num(499.5)})"
+        return f"(CASE WHEN s = 999 THEN {one} ELSE {cdf(high)} END) - (CASE WHEN s = 0 THEN {d.num(0)} ELSE {cdf(low)} END)"
+
+    eps = f"SELECT event_type, {d.num(0.001)} * count(*) / {d.num(100)} + {d.num(0.01)} AS eps FROM {{events}} GROUP BY event_type"
+    parts = []
+    for law, w in (("exp", f"exp(-eps * abs(s - {d.num(500)}) / {d.num(2)})"), ("blap", mass(laplace)), ("stair", mass(staircase))):
+        parts.append(f"SELECT event_type, '{law}' AS mechanism, round(sum(w * abs(s - {d.num(500)})) / sum(w), 5) AS e_abs, round(sum(w * s * s) / sum(w) - power(sum(w * s) / sum(w), {d.num(2)}), 3) AS var FROM (SELECT event_type, s, {w} AS w FROM ({eps}) e CROSS JOIN ({grid}) g) x GROUP BY event_type")
+    return " UNION ALL ".join(parts)
 
 
 portable("bud14_moments", moments, "events")
@@ -142,12 +219,6 @@ def bud18(spark: SparkSession, sf_dir: str) -> DataFrame:
 EPS3 = {"l_extendedprice": 0.3, "l_discount": 0.3, "l_tax": 0.3}
 
 
-@query("rel1_every_node", f"WITH {observations_sql()} SELECT template, root, eps, sum(idx)::BIGINT AS total, count(*) AS n FROM obs WHERE config = 'all' AND b_setting = 'k+1' GROUP BY ALL")
-def rel1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir).where("config = 'all' AND b_setting = 'k+1'")
-    return o.groupBy("template", "root", "eps").agg(F.sum("idx").alias("total"), F.count(F.lit(1)).alias("n"))
-
-
 def charge_noise(d: Dialect) -> str:
     lo, hi = d.num(0), d.num(115000)
     return N.exponential(d, N.grid_position(d, N.clip("charge", lo, hi), lo, hi), d.num(0.1), d.uniform("'veil'", "'charge'", *LINE_KEYS))
@@ -158,7 +229,7 @@ def rel2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_derived(table(spark, sf_dir, "lineitem"), PRICING).select(*LINE_KEYS, F.expr(charge_noise(SPARK)).alias("idx"))
 
 
-for _name, _mechanism, _eps in (("rel3_root_space", "exp", {r: 0.1 for r in PRICING.roots}), ("rel4_roots", "exp", EPS3), ("rel4_roots_blap", "blap", EPS3), ("rel4_roots_stair", "stair", EPS3), ("rel5_optimised", "exp", {"l_extendedprice": 0.6, "l_discount": 0.2, "l_tax": 0.1}), ("rel6_weighted", "blap", {"l_extendedprice": 0.3, "l_discount": 0.4, "l_tax": 0.2})):
+for _name, _mechanism, _eps in (("rel3_root_space", "exp", {r: 0.1 for r in PRICING.roots}), ("rel4_roots", "exp", EPS3), ("rel4_roots_blap", "blap", EPS3), ("rel4_roots_stair", "stair", EPS3)):
 
     def _released(spark: SparkSession, sf_dir: str, mechanism: str = _mechanism, eps: dict = _eps) -> DataFrame:
         r = R.released_columns(table(spark, sf_dir, "lineitem"), PRICING, eps, mechanism, LINE_KEYS)
@@ -167,13 +238,56 @@ for _name, _mechanism, _eps in (("rel3_root_space", "exp", {r: 0.1 for r in PRIC
     query(_name, f"SELECT {LINE}, round(r_l_extendedprice, 3) AS price, round(r_charge, 2) AS charge FROM ({R.released_columns_sql('lineitem', PRICING, _eps, _mechanism, LINE_KEYS)})")(_released)
 
 
+def pricing_budgets(spark: SparkSession, sf_dir: str, eps: float, weighted: bool) -> DataFrame:
+    """One row with eps_<root>: the square-root allocation of (k + 1) eps at the mean line, rounded to 5 digits."""
+    lines = table(spark, sf_dir, "lineitem").agg(*[F.round(F.avg(r), 6).alias(r) for r in PRICING.roots])
+    at_mean = with_derived(lines, PRICING)
+    rows = [F.struct(F.lit(r).alias("root"), F.lit(float(PRICING.domains[r][0])).alias("lo"), F.lit(float(PRICING.domains[r][1])).alias("hi"), F.expr(h).cast("double").alias("h")) for r, h in sensitivity_columns(SPARK, PRICING)]
+    long = at_mean.select(F.explode(F.array(*rows)).alias("x")).select("x.*", F.lit("PRICING").alias("template"), F.lit(eps).alias("eps"), F.lit("k+1").alias("b_setting"), F.lit(eps * (len(PRICING.roots) + 1)).alias("budget"))
+    return B.square_root(long, weighted=weighted).agg(*[F.round(F.max(F.when(F.col("root") == r, F.col("eps_root"))), 5).alias(f"eps_{r}") for r in PRICING.roots])
+
+
+def pricing_budgets_sql(eps: float, weighted: bool) -> str:
+    """The same from the derivatives written out: (1 - d)(1 + t), -p (1 + t), p (1 - d)."""
+    h = {"l_extendedprice": "(1 - d) * (1 + t)", "l_discount": "-p * (1 + t)", "l_tax": "p * (1 - d)"}
+    width = {r: PRICING.domains[r][1] - PRICING.domains[r][0] for r in PRICING.roots}
+    w = {r: f"sqrt(abs({h[r]}))" if weighted else f"sqrt(abs({h[r]}) * {width[r]!r}::DOUBLE / 999)" for r in PRICING.roots}
+    total = " + ".join(f"{w[r]} * {width[r]!r}::DOUBLE" if weighted else w[r] for r in PRICING.roots)
+    budget = f"{eps * sum(width.values())!r}::DOUBLE" if weighted else f"{eps * (len(width) + 1)!r}::DOUBLE"
+    return "(SELECT " + ", ".join(f"round({budget} * {w[r]} / ({total}), 5) AS eps_{r}" for r in PRICING.roots) + " FROM (SELECT round(avg(l_extendedprice), 6) AS p, round(avg(l_discount), 6) AS d, round(avg(l_tax), 6) AS t FROM lineitem))"
+
+
+BUDGETED = {r: f"eps_{r}" for r in PRICING.roots}
+for _name, _mechanism, _weighted in (("rel5_optimised", "exp", False), ("rel5_optimised_blap", "blap", False), ("rel5_optimised_stair", "stair", False), ("rel6_weighted", "exp", True), ("rel6_weighted_blap", "blap", True), ("rel6_weighted_stair", "stair", True)):
+
+    def _optimised(spark: SparkSession, sf_dir: str, mechanism: str = _mechanism, weighted: bool = _weighted) -> DataFrame:
+        """The table's own allocation, broadcast as one row, and a release at it."""
+        lines = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(pricing_budgets(spark, sf_dir, 0.1, weighted)))
+        r = R.released_columns(lines, PRICING, BUDGETED, mechanism, LINE_KEYS)
+        return r.select(*LINE_KEYS, F.round("r_l_extendedprice", 3).alias("price"), F.round("r_charge", 2).alias("charge"))
+
+    query(_name, f"SELECT {LINE}, round(r_l_extendedprice, 3) AS price, round(r_charge, 2) AS charge FROM ({R.released_columns_sql('(SELECT * FROM lineitem CROSS JOIN ' + pricing_budgets_sql(0.1, _weighted) + ')', PRICING, BUDGETED, _mechanism, LINE_KEYS)})")(_optimised)
+
+
 @query("rel7_closed_form", f"{A}, cube AS ({clamp_sql()}), o0 AS (SELECT p.patient_id, p.value, c.* FROM patients p JOIN cube c USING (template, root) WHERE b_setting = '3k+1' AND eps = 0.1), o1 AS (SELECT *, {R.release_sql(D, 'exp', ('template', 'root', 'patient_id'))[0]} AS idx FROM o0) SELECT template, root, sum(idx)::BIGINT AS total FROM o1 GROUP BY ALL")
 def rel7(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = B.cube_root(allocations(spark).where("config = 'roots' AND b_setting = '3k+1' AND eps = 0.1").drop("eps_root", "config"))
-    o = R.release(patients(spark, sf_dir).join(F.broadcast(a), ["template", "root"]), "exp")
+    o = R.release(patients(spark, sf_dir).join(F.broadcast(a), ["template", "root"]), "exp", paired=True)
     return o.groupBy("template", "root").agg(F.sum("idx").alias("total"))
 
 
+def continuous(d: Dialect) -> str:
+    """A value-space release with Laplace noise of scale 1 / eps_root."""
+    return N.truncated_laplace(d, "value", "eps_root", "lo", "hi", d.uniform("'veil'", "'continuous'", "template", "root", "patient_id"))
+
+
+@query("rel7_continuous", f"{A}, cube AS ({clamp_sql(False)}) SELECT template, root, patient_id, round({continuous(D)}, 4) AS released FROM patients p JOIN cube c USING (template, root) WHERE b_setting = '3k+1' AND eps = 0.1")
+def rel7c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = B.cube_root(allocations(spark).where("config = 'roots' AND b_setting = '3k+1' AND eps = 0.1").drop("eps_root", "config"), widths=False)
+    o = patients(spark, sf_dir).join(F.broadcast(a), ["template", "root"])
+    return o.select("template", "root", "patient_id", F.round(F.expr(continuous(SPARK)), 4).alias("released"))
+
+
 def noised(d: Dialect, x: str, eps: str, lo: float, hi: float, tag: str) -> str:
     """A node's value after a draw of its own."""
     l, h = d.num(lo), d.num(hi)
@@ -216,25 +330,75 @@ for _name, _bank in (("rel8_threshold_reset", False), ("rel9_budget_bank", True)
     query(_name, f'{P}, {wide_sql("VASCULAR")} SELECT patient_id, round(s_ppi, 5) AS ppi, x_ppi AS reset, round(e_ppi, 4) AS budget, round(bank, 4) AS bank FROM ({reset_chain(D, VASCULAR, "SELECT * FROM w", _bank)})')(_reset)
 
 
-@query("rel10_budget_ordered", f"{P}, {wide_sql('HOMA')}, s AS (SELECT patient_id, {noised(D, 'glu', D.num(0.1), *HOMA.domains['glu'], 'glu')} AS glu, {noised(D, 'ins', D.num(0.1), *HOMA.domains['ins'], 'ins')} AS ins FROM w) SELECT patient_id, round(glu, 4) AS glu, round(ins, 4) AS ins, round(glu * ins / 405, 4) AS homa FROM s")
-def rel10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes whose budget reaches eps (here: the roots) are noised, the others follow from them."""
-    w = wide(patients(spark, sf_dir), "HOMA")
-    s = w.select("patient_id", *[F.expr(noised(SPARK, r, SPARK.num(0.1), *HOMA.domains[r], r)).alias(r) for r in HOMA.roots])
-    return rounded(with_derived(s, HOMA).select("patient_id", "glu", "ins", "homa"))
+def ordered_chain(d: Dialect, t: Template, base: str, roots_only: bool, eps: float = 0.1) -> str:
+    """Down the graph: a node follows from its released parents, and is noised at its budget where that reaches eps."""
+    q = d.quote
+    budgets = {r: (d.num(eps), "") for r in t.roots} if roots_only else B.inherited(t, LIPSCHITZ, d.num(eps), d)
+    sql, names = f"SELECT * FROM {base}", {}
+    for node, expression, partials in [(r, None, {}) for r in t.roots] + [n for n in t.nodes if n[2] is not None]:
+        value = q(node) if expression is None else bind(d, expression, names)
+        budget = budgets[node][0] if node in budgets else d.num(0)
+        own = noised(d, q("f_" + node), q("b_" + node), *t.domains[node], f"ordered {node}")
+        sql = f"SELECT *, {value} AS {q('f_' + node)}, {budget} AS {q('b_' + node)} FROM ({sql})"
+        sql = f"SELECT *, CASE WHEN {q('b_' + node)} >= {d.num(eps)} THEN {own} ELSE {q('f_' + node)} END AS {q('s_' + node)} FROM ({sql})"
+        names[node] = q("s_" + node)
+    return sql
 
 
-@query("rel11_cached", f"WITH {observations_sql()} SELECT template, root, patient_id, q, round(released, 4) AS released FROM obs CROSS JOIN (VALUES (0), (1), (2)) x(q) WHERE config = 'opt' AND b_setting = 'k+1' AND eps = 1.0 AND template = 'NLR'")
+for _name, _roots_only in (("rel10_budget_ordered", False), ("rel10_roots_only", True)):
+
+    def _ordered(spark: SparkSession, sf_dir: str, roots_only: bool = _roots_only) -> DataFrame:
+        parts = []
+        p = patients(spark, sf_dir)
+        for t in (t for t in templates().values() if t.name in DOMAINS):
+            out = spark.sql(ordered_chain(SPARK, t, "{w}", roots_only), w=wide(p, t.name))
+            parts.append(out.select(F.lit(t.name).alias("template"), "patient_id", F.round(f"`s_{t.target}`", 5).alias("released"), F.round(f"`b_{t.target}`", 6).alias("budget")))
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionAll(x)
+        return out
+
+    _parts = [(t.name, t.target, ordered_chain(D, t, f"w_{t.name}", _roots_only)) for t in templates().values() if t.name in DOMAINS]
+    query(_name, f"{P}, {', '.join(wide_sql(n, f'w_{n}') for n, _, _ in _parts)} " + " UNION ALL ".join(f"SELECT '{n}' AS template, patient_id, round(\"s_{x}\", 5) AS released, round(\"b_{x}\", 6) AS budget FROM ({sql})" for n, x, sql in _parts))(_ordered)
+
+
+@query("rel11_cached", f"WITH {observations_sql()} SELECT template, root, patient_id, q, round(released, 4) AS released FROM obs CROSS JOIN (VALUES (0), (1), (2)) x(q) WHERE config = 'opt' AND b_setting = 'k+1' AND eps = 1.0")
 def rel11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir).where("config = 'opt' AND b_setting = 'k+1' AND eps = 1.0 AND template = 'NLR'")
+    o = observations(spark, sf_dir).where("config = 'opt' AND b_setting = 'k+1' AND eps = 1.0")
     return rounded(o.withColumn("q", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select("template", "root", "patient_id", "q", "released"))
 
 
-@query("rel12_lookup", f"WITH {observations_sql()} SELECT o_orderkey, root, round(released, 4) AS released FROM orders JOIN obs ON o_custkey = patient_id AND root = CASE WHEN o_orderkey % 2 = 0 THEN 'glu' ELSE 'ins' END WHERE template = 'HOMA' AND config = 'roots' AND b_setting = 'k+1' AND eps = 0.1")
+ASKED = "config = 'opt' AND b_setting = 'k+1' AND eps = 0.1"
+NAMES12 = [t for t in templates() if t in DOMAINS]
+KINDS = ("fetch", "target", "classify", "sanitize")
+
+
+def sanitized_price(d: Dialect) -> str:
+    lo, hi = d.num(0), d.num(600000)
+    t = N.grid_position(d, N.clip("o_totalprice", lo, hi), lo, hi)
+    return N.value_of(d, f"({N.exponential(d, t, d.num(0.1), d.uniform(chr(39) + 'veil' + chr(39), chr(39) + 'sanitize' + chr(39), 'o_orderkey'))})", lo, hi)
+
+
+@query(
+    "rel12_lookup",
+    f"""WITH {results_sql(where=ASKED)}, {observations_sql().removeprefix(f'{patients_sql()}, {allocations_sql()},')},
+    rq AS (SELECT *, ['{"', '".join(KINDS)}'][o_orderkey % 4 + 1] AS request, ['{"', '".join(NAMES12)}'][(o_orderkey // 4) % {len(NAMES12)} + 1] AS template, o_custkey AS patient_id FROM orders),
+    first AS (SELECT template, min(root) AS root FROM roots GROUP BY 1)
+    SELECT o_orderkey, request, round(CASE request WHEN 'fetch' THEN f.released WHEN 'target' THEN r.target WHEN 'classify' THEN r.target_class ELSE {sanitized_price(D)} END, 4) AS answer
+    FROM rq JOIN first USING (template) LEFT JOIN (SELECT * FROM obs WHERE {ASKED}) f USING (template, root, patient_id) LEFT JOIN results r USING (template, patient_id)""",
+)
 def rel12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir).where("template = 'HOMA' AND config = 'roots' AND b_setting = 'k+1' AND eps = 0.1")
-    wanted = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("patient_id"), F.when(F.col("o_orderkey") % 2 == 0, "glu").otherwise("ins").alias("root"))
-    return rounded(wanted.join(o, ["patient_id", "root"]).select("o_orderkey", "root", "released"))
+    """Requests to a cached release: fetch a root, compute the target, classify it, or noise a value that is at hand."""
+    o = observations(spark, sf_dir).where(ASKED).select("template", "root", "patient_id", "released")
+    first = spark.createDataFrame([(t, min(templates()[t].roots)) for t in NAMES12], "template string, root string")
+    named = lambda names, i: F.get(F.array(*[F.lit(n) for n in names]), i.cast("int"))
+    k = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("patient_id"), named(KINDS, k % 4).alias("request"), named(NAMES12, F.floor(k / 4) % len(NAMES12)).alias("template"))
+    asked = asked.join(F.broadcast(first), "template").join(o, ["template", "root", "patient_id"], "left")
+    r = results(spark, sf_dir, where=ASKED).select("template", "patient_id", "target", "target_class")
+    request = F.col("request")
+    answer = F.when(request == "fetch", F.col("released")).when(request == "target", F.col("target")).when(request == "classify", F.col("target_class").cast("double")).otherwise(F.expr(sanitized_price(SPARK)))
+    return asked.join(r, ["template", "patient_id"], "left").select("o_orderkey", "request", F.round(answer, 4).alias("answer"))
 
 
 @query("rel13_report", f"{A} SELECT template, b_setting, eps, string_agg(root || '=' || round(eps_root, 3)::DECIMAL(12, 3)::VARCHAR, ',' ORDER BY root) AS allocation, round(sum(eps_root), 4) AS total, sum(n)::BIGINT AS n FROM allocs {COUNTED} WHERE config = 'opt' GROUP BY ALL")

@@ -71,16 +71,14 @@ def noised_nodes(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
     parts = []
     for name, nodes in NODES_OF.items():
         w = R.with_derived(swept_entities(spark, sf_dir, templates()[name]), templates()[name])
-        rows = []
-        for n in nodes:
-            lo, hi = map(SPARK.num, DOMAINS[name][n])
-            index = node_index(SPARK, name, n, SPARK.num(eps), f"`{n}`")
-            rows.append(F.struct(F.lit(n).alias("node"), F.expr(index).alias("idx"), F.expr(lo).alias("lo"), F.expr(hi).alias("hi")))
+        rows = [F.struct(F.lit(n).alias("node"), F.col(f"`{n}`").cast("double").alias("value"), F.lit(float(DOMAINS[name][n][0])).alias("lo"), F.lit(float(DOMAINS[name][n][1])).alias("hi")) for n in nodes]
         parts.append(w.select(F.lit(name).alias("template"), "patient_id", F.explode(F.array(*rows)).alias("x")).select("template", "patient_id", "x.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.select("template", "patient_id", "node", "idx", F.expr(N.value_of(SPARK, "idx", "lo", "hi")).alias("released"))
+    t = N.grid_position(SPARK, N.clip("value", "lo", "hi"), "lo", "hi")
+    index = N.exponential(SPARK, t, SPARK.num(eps), SPARK.uniform(f"'{SECRET}'", "template", "node", "patient_id", "'release'"))
+    return out.withColumn("idx", F.expr(index)).select("template", "patient_id", "node", "idx", F.expr(N.value_of(SPARK, "idx", "lo", "hi")).alias("released"))
 
 
 def noised_nodes_sql(eps: float) -> str:
@@ -98,6 +96,12 @@ def noised_nodes_sql(eps: float) -> str:
     return f"nodes AS ({' UNION ALL '.join(parts)})"
 
 
+@query("rel1_every_node", f"{P}, {noised_nodes_sql(0.1)} SELECT template, node, sum(idx)::BIGINT AS total, count(*) AS n FROM nodes GROUP BY 1, 2")
+def rel1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every root and derived node noised by itself at eps."""
+    return noised_nodes(spark, sf_dir, 0.1).groupBy("template", "node").agg(F.sum("idx").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
 @query("aud2_full_release", f"{P}, {noised_nodes_sql(0.1)} SELECT template, patient_id, node, round(released, 4) AS released FROM nodes")
 def aud2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(noised_nodes(spark, sf_dir, 0.1).select("template", "patient_id", "node", "released"))
