@@ -18,7 +18,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import documents, in_batches, texts_of
 from .words import blocks, mix
@@ -134,6 +133,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def train(features: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int], languages: list[str], buckets: int, dim: int = 16, epochs: int = 8, rate: float = 2.0, seed: int = 7) -> LanguageModel:
     """features: per text (buckets, frequencies that sum to 1, number of grams). A fifth of the texts is kept aside to calibrate."""
+    if not languages:
+        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5, float("nan"), np.zeros((buckets, 0), np.float32), np.zeros((3, 0)), float("inf"))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.5 / dim, (buckets, dim)).astype(np.float32)
     out = np.zeros((dim, len(languages)), np.float32)
@@ -176,7 +177,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int],
 
 
 def labelled_features(rows: DataFrame, buckets: int) -> DataFrame:
-    """(lang, idx, freq, n) of rows (lang, text): each whole text's features, as packed 32-bit buckets and frequencies, and its grams."""
+    """(lang, h, idx, freq, n) of rows (lang, h, text): each whole text's features, as packed 32-bit buckets and frequencies, and its grams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,27 +189,31 @@ def labelled_features(rows: DataFrame, buckets: int) -> DataFrame:
                     idx.append(u.astype("<i4").tobytes())
                     freq.append((n / n.sum()).astype("<f4").tobytes())
                     size.append(int(n.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(idx, pa.binary()), pa.array(freq, pa.binary()), pa.array(size, pa.int64())], ["lang", "idx", "freq", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(idx, pa.binary()), pa.array(freq, pa.binary()), pa.array(size, pa.int64())], ["lang", "h", "idx", "freq", "n"])
 
-    return in_batches(rows).select("lang", "text").mapInArrow(count, "lang string, idx binary, freq binary, n long")
+    return in_batches(rows).select("lang", "h", "text").mapInArrow(count, "lang string, h long, idx binary, freq binary, n long")
 
 
 def train_languages(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = 800, buckets: int = 1 << 16) -> LanguageModel:
     """A model of the languages in `labelled`, from at most per_language distinct texts of each, those with the least hashes.
 
-    Rows with a null language, or with a text that is null or has no letter, aren't used.
+    Rows with a null language, or with a text that is null or has no letter, aren't used; repeated rows count once.
+    Without any row left (all unlabelled, or an empty table) the model knows no language: everything is `und`, with
+    score 0, and rejected. A language with a single text is learned from it.
     """
     good = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(HAS_LETTER)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    hashed = good.select("lang", "text", F.xxhash64("text").alias("h"))
-    # Only hashes are ranked; texts move once they are known to be in the sample.
-    order = Window.partitionBy("lang").orderBy("h")
-    low = hashed.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    cuts = low.groupBy("lang").agg(F.max("h").alias("cut")).collect()
+    # Where a text's hash lies from 0 to 1. A language's cut is set from its number of distinct texts, so that some more
+    # than per_language lie below it; no rows are ranked in Spark, and texts move only once they are below the cut.
+    hashed = good.select("lang", "text", F.xxhash64("text").alias("h")).withColumn("at", F.col("h") / 2.0**64 + 0.5)
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
     within = F.lit(False)
-    for c in cuts:
-        within = within | ((F.col("lang") == c.lang) & (F.col("h") <= c.cut))
+    for c in counts:
+        within = within | ((F.col("lang") == c.lang) & (F.col("at") <= min(1.0, 1.1 * (per_language + 4 * per_language**0.5) / c.n)))
     picks = hashed.where(within).dropDuplicates(["lang", "h"])
-    rows = sorted(labelled_features(picks, buckets).collect(), key=lambda r: (r.lang, bytes(r.idx), bytes(r.freq)))
+    found: dict[str, list] = {}
+    for r in labelled_features(picks, buckets).collect():
+        found.setdefault(r.lang, []).append(r)
+    rows = [r for lang in sorted(found) for r in sorted(found[lang], key=lambda r: (r.h, bytes(r.idx), bytes(r.freq)))[:per_language]]
     languages = sorted({r.lang for r in rows})
     features = [(np.frombuffer(r.idx, "<i4").astype(np.int64), np.frombuffer(r.freq, "<f4"), r.n) for r in rows]
     return train(features, [languages.index(r.lang) for r in rows], languages, buckets)
@@ -217,7 +222,9 @@ def train_languages(labelled: DataFrame, lang_col: str = "lang", text_col: str =
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `lang_pred`, `score` and `rejected`; columns of those names are replaced.
 
-    lang_pred is `und` with score 0 where the text is null, empty or has no letter. rejected: `und`, or the calibrated
+    lang_pred is `und` with score 0 where the text is null, empty or has no letter, or the model has no language. Of
+    equally likely languages the first by name is told. Texts of any length count whole. A null id passes through;
+    repeated rows give repeated rows; an empty table gives an empty result. rejected: `und`, or the calibrated
     probability of the likeliest language is below the model's threshold, or the text is too strange for that language.
     """
     shared = in_batches(docs).sparkSession.sparkContext.broadcast(model)
@@ -227,6 +234,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         m = shared.value
         names, scores, strange = [], [], []
         for _, run in blocks([t or "" for t in texts]):
+            if not m.languages:
+                names += ["und"] * len(run)
+                scores += [0.0] * len(run)
+                strange += [True] * len(run)
+                continue
             p, z = m.scores(run)
             best = p.argmax(axis=1)
             names += [m.languages[b] for b in best]
