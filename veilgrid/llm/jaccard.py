@@ -9,14 +9,15 @@ A document is its set of distinct k-word shingles, as hashes. Documents with equ
    its T - 1 longest lists can be skipped and two linked nodes still meet in one of the shorter ones. Nodes that meet
    in a short list are in one block (connected components over the lists, in Spark; no pairs are made).
 3. Search. In a block, each node is a query against the index of its inverted lists: lists are split into short and
-   long; the short ones are merged and their nodes counted; those that reach the occurrences needed are completed by
-   binary probes of the long lists, up to the exact overlap. Pairs already connected needn't be looked at again.
+   long; the short ones are merged by a heap that skips ahead; nodes that reach the occurrences needed are completed
+   by binary probes of the long lists, up to the exact overlap. Pairs already connected needn't be looked at again.
    Large blocks are split into chunks of nodes, and pairs of chunks are searched in tasks of their own.
 4. The links found are contracted to components.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,27 +101,62 @@ class Union:
         return x
 
 
+def heap_merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+    """(member, count) of the members of `least` sorted lists or more: a heap of the lists' heads, popped in order of members.
+
+    When fewer than `least` lists have the head, least - 1 of them are popped and all of those skip ahead, by a binary
+    search, to the next head: what lies between can't be in enough lists.
+    """
+    heap = [(int(x[0]), k, 0) for k, x in enumerate(lists) if len(x)]
+    heapq.heapify(heap)
+    found = []
+    while len(heap) >= least:
+        member = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == member:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            found.append((member, len(popped)))
+            ahead = member + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                break
+            ahead = heap[0][0] if len(popped) >= least - 1 else member + 1
+        for _, k, at in popped:
+            x = lists[k]
+            at += int(np.searchsorted(x[at:], ahead))
+            if at < len(x):
+                heapq.heappush(heap, (int(x[at]), k, at))
+    return found
+
+
 def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect all linked pairs of a query and an indexed set (positions in `sets`, which are sorted arrays).
 
     Each unordered pair is looked at from its larger set (of equal ones, the later), so the overlap needed is known
     from the query: T = ceil(percent % of its size). Of a query's lists, T - 1 at most are long and are left out of
     the merge; a set must then occur in T - long of the short ones. How many are long follows from the lengths: the
-    cheapest sum of merging and probing.
+    cheapest sum of merging and probing. Where T of the lists are needed and all are short, the heap merges them; the
+    usual case is that one or few short ones are left, whose union is the candidates.
     """
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
+    # Sets by size, so that a query's smaller sets are a prefix of every list.
+    place = np.empty(n, np.int64)
+    by_size = np.lexsort((np.arange(n), size))
+    place[by_size] = np.arange(n)
     flat = np.concatenate([sets[k] for k in indexed])
-    owner = np.repeat(indexed, size[indexed])
-    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(place[indexed], size[indexed])
+    order = np.lexsort((owner, flat))
     flat, owner = flat[order], owner[order]
     start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     token, start = flat[start], np.append(start, len(flat))
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((np.arange(n), size))] = np.arange(n)
+    least_size = np.searchsorted(size[by_size] * 100, percent * size)  # the first place whose set is large enough
     tie, links = Union(n), []
     for q in queries.tolist():
-        a = sets[q]
+        a, here = sets[q], int(place[q])
         at = np.minimum(np.searchsorted(token, a), len(token) - 1)
         known = token[at] == a
         at = at[known]
@@ -134,24 +170,25 @@ def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray
         long = np.arange(0, min(t, len(at)))
         merged = lengths[len(at) - 1 - long]
         reached = np.minimum(merged // (t - long), len(indexed))
-        cost = merged + reached * (20 + 4 * long)
-        m = int(long[np.argmin(cost)])
+        m = int(long[np.argmin(merged * 4 + reached * (20 + 4 * long))])
         merge, probe = by[: len(at) - m], by[len(at) - m :]
-        lo, span = start[at[merge]], length[merge]
-        if not len(span):
-            continue
-        where = np.repeat(lo - np.cumsum(span) + span, span) + np.arange(int(span.sum()))
-        count = np.bincount(owner[where], minlength=n)
-        found = np.flatnonzero(count >= t - m)
-        found = found[(rank[found] < rank[q]) & (size[found] * 100 >= percent * size[q])]
+        low = int(least_size[q])
+        lists = []
+        for k in at[merge].tolist():
+            x = owner[start[k] : start[k + 1]]
+            lo, hi = np.searchsorted(x, (low, here))
+            if hi > lo:
+                lists.append(x[lo:hi])
+        found = heap_merge(lists, t - m)
         root = tie.find(q)
         probes = a[known][probe]
-        for c in found.tolist():
+        for p, count in found:
+            c = int(by_size[p])
             if tie.find(c) == root:
                 continue
             b = sets[c]
-            place = np.minimum(np.searchsorted(b, probes), len(b) - 1)
-            both = int(count[c]) + int((b[place] == probes).sum())
+            where = np.minimum(np.searchsorted(b, probes), len(b) - 1)
+            both = count + int((b[where] == probes).sum())
             if 100 * both >= percent * (int(size[q]) + len(b) - both):
                 links.append((q, c))
                 tie.up[tie.find(c)] = root
