@@ -210,13 +210,17 @@ def train_languages(labelled: DataFrame, lang_col: str = "lang", text_col: str =
     for c in counts:
         within = within | ((F.col("lang") == c.lang) & (F.col("at") <= min(1.0, 1.1 * (per_language + 4 * per_language**0.5) / c.n)))
     picks = hashed.where(within).dropDuplicates(["lang", "h"])
-    found: dict[str, list] = {}
-    for r in labelled_features(picks, buckets).collect():
-        found.setdefault(r.lang, []).append(r)
-    rows = [r for lang in sorted(found) for r in sorted(found[lang], key=lambda r: (r.h, bytes(r.idx), bytes(r.freq)))[:per_language]]
-    languages = sorted({r.lang for r in rows})
-    features = [(np.frombuffer(r.idx, "<i4").astype(np.int64), np.frombuffer(r.freq, "<f4"), r.n) for r in rows]
-    return train(features, [languages.index(r.lang) for r in rows], languages, buckets)
+    # The features stay in the Arrow buffers that they come in.
+    table = labelled_features(picks, buckets).toArrow().combine_chunks().sort_by([("lang", "ascending"), ("h", "ascending")])
+    langs = table.column("lang").to_pylist()
+    languages, taken = sorted(set(langs)), dict.fromkeys(langs, 0)
+    features, labels = [], []
+    for lang, idx, freq, n in zip(langs, table.column("idx"), table.column("freq"), table.column("n").to_pylist(), strict=True):
+        if taken[lang] < per_language:
+            taken[lang] += 1
+            features.append((np.frombuffer(idx.as_buffer(), "<i4"), np.frombuffer(freq.as_buffer(), "<f4"), n))
+            labels.append(languages.index(lang))
+    return train(features, labels, languages, buckets)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
