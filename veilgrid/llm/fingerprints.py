@@ -7,6 +7,7 @@ many terms they keep: with many terms a hash stands for the whole text, with few
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from .common import documents, in_batches, texts_of
 from .words import blocks, distinct, mix, word_hashes
 
 #: How many subsets keep one term in how many.
-SUBSETS = ((4, 4), (8, 64), (36, 512))
-EMPTY = np.uint32(0)
+SUBSETS = ((8, 8), (16, 32), (24, 128))
+EMPTY = np.uint64(0)
 LOW = -(2**63)
 
 
@@ -57,11 +58,13 @@ class Fingerprinter:
         self.rates = np.array([r for n, r in SUBSETS for _ in range(n)], np.uint64)
 
     def prints(self, texts: list[str]) -> np.ndarray:
-        """One row of 32-bit hashes for each text, 0 where the text has no term of that subset.
+        """One row of 64-bit hashes for each text, 0 where the text has no term of that subset.
+
+        A hash is of the sorted list of the text's distinct terms in the subset.
 
         A text without a lexicon term is printed over all its terms; one without terms has zeros only.
         """
-        out = np.zeros((len(texts), len(self.keys)), np.uint32)
+        out = np.zeros((len(texts), len(self.keys)), np.uint64)
         for first, run in blocks(texts):
             h, at, _ = distinct(run, *word_hashes(run))
             doc = np.repeat(np.arange(len(run)), np.diff(at))
@@ -73,14 +76,11 @@ class Fingerprinter:
             use = known | ~has[doc]
             h, doc = h[use], doc[use]
             for k, (key, rate) in enumerate(zip(self.keys, self.rates, strict=True)):
-                salted = mix(h ^ key)
-                inside = salted % rate == 0
-                # The terms of a text are sorted and distinct; the sum of their mixed hashes stands for that list.
-                total = np.zeros(len(run), np.uint64)
-                np.add.at(total, doc[inside], mix(salted[inside]))
-                some = np.bincount(doc[inside], minlength=len(run)) > 0
-                value = (mix(total) >> np.uint64(32)).astype(np.uint32)
-                out[first : first + len(run), k] = np.where(some, np.maximum(value, 1), EMPTY)
+                inside = mix(h ^ key) % rate == 0
+                raw, ends = h[inside].tobytes(), 8 * np.searchsorted(doc[inside], np.arange(len(run) + 1))
+                some = np.flatnonzero(ends[1:] > ends[:-1])
+                prints = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(ends[some].tolist(), ends[some + 1].tolist(), strict=True)]
+                out[first + some, k] = np.maximum(np.frombuffer(b"".join(prints), "<u8"), 1)
         return out
 
 
@@ -92,16 +92,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def hexed(prints: np.ndarray) -> list[str]:
-    return [r.astype(">u4").tobytes().hex() for r in prints]
+    return [r.astype(">u8").tobytes().hex() for r in prints]
 
 
 def with_successors(docs: DataFrame, id_col: str, text_col: str, range_rows: int = 8192) -> DataFrame:
     """(r, last, id, text): rows dealt to ranges of ids; each range also gets the next one's first row, with last = 1.
 
-    Ids are numbers. Only range limits and first ids come to the driver. The last range gets the first row of all.
+    Ids are numbers. Only range limits and first ids come to the driver. The last range gets the first row of all. Of
+    rows that share a range's first id (null ids all do) a batch sends on the one with the least text, null before all.
     """
     rows = in_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    m = max(1, min(4096, rows.count() // range_rows))
+    m = max(1, rows.count() // range_rows)
     limits = rows.agg(F.percentile_approx("id", [k / m for k in range(1, m)], 100 * m)).first()[0] if m > 1 else None
     cuts = np.array(sorted(set(limits or [])), np.int64)
 
@@ -123,13 +124,19 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str, range_rows: int
         for batch in batches:
             value = pc.fill_null(batch.column("id"), LOW).to_numpy(zero_copy_only=False)
             r = np.searchsorted(cuts, value, "right").astype(np.int32)
-            sent = np.flatnonzero(value == starts[r])
+            least: dict[int, tuple] = {}
+            for k in np.flatnonzero(value == starts[r]).tolist():
+                text = batch.column("text")[k].as_py()
+                key = (text is not None, text or "", k)
+                if r[k] not in least or key < least[r[k]]:
+                    least[r[k]] = key
+            sent = np.array([key[2] for key in least.values()], np.int64)
             take = np.concatenate([np.arange(len(r)), sent])
             last = np.concatenate([np.zeros(len(r), np.int32), np.ones(len(sent), np.int32)])
             moved = batch.take(pa.array(take))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r, targets[r[sent]]])), pa.array(last), moved.column("id"), moved.column("text")], ["r", "last", "id", "text"])
 
-    return rows.mapInArrow(deal, "r int, last int, id long, text string").repartition("r").sortWithinPartitions("r", "last", "id", "text")
+    return rows.mapInArrow(deal, "r int, last int, id long, text string").repartitionById(m, F.col("r")).sortWithinPartitions("r", "last", "id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.001, most: float = 0.05) -> DataFrame:
@@ -137,7 +144,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited_fingerprint, near_edited, near_next.
 
     Documents follow one another by id, equal ids by text, null ids first; the last is followed by the first. A null
-    text counts as empty. A text without words has a fingerprint of zeros. Other columns aren't used.
+    text counts as empty. A text without words has a fingerprint of zeros. Texts count whole, of any length; repeated
+    rows give repeated rows; an empty table gives an empty result. Other columns aren't used, so names can't clash.
     """
     terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col, least, most))
 
