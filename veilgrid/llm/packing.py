@@ -152,19 +152,22 @@ def pack_documents(
     text_col: str = "text",
     nearly_full: float = 0.995,
     group_items: int = 20_000,
-    rounds: int = 6,
+    rounds: int = 20,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (its place in the sequence).
 
+    A null text is empty and still has its end id; a null id is passed on; repeated rows are packed each by itself; an
+    empty table gives an empty result; other columns aren't used. A text of any length is encoded whole by one worker.
+
     No group holds more than about group_items items, and a
     round takes only what the round before left open, so that no task grows with the corpus. Rounds end when one group
     held everything, or when a round closes fewer than 2 % of its bins. An item's key, and so its group and place,
-    depend on its document alone (rows repeated in full share a key, and any order of them is the same).
+    depend on its document and, so that rows repeated in full are dealt to many groups, its place in the table of pieces.
     """
     pieces = staged(token_pieces(docs, tokenizer, capacity, id_col=id_col, text_col=text_col))
     kind = pieces.schema["doc"].dataType.simpleString()
     piece = F.struct("doc", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset")).cast(PIECE.format(id=kind))
-    key = F.concat_ws("/", F.coalesce(F.col("doc").cast("string"), F.lit("")), "piece", "ids_crc32")
+    key = F.concat_ws("/", F.coalesce(F.col("doc").cast("string"), F.lit("")), "piece", "ids_crc32", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
     done: list[DataFrame] = []
     items = pieces.select(key.alias("key"), F.col("length").alias("size"), F.array(piece).alias("pieces"))
     count = items.count()

@@ -120,23 +120,22 @@ def shard_by_bytes(
     overhead: int = 16,
     tolerance: float = 0.002,
     range_bytes: int = 64 << 20,
-    max_ranges: int = 4096,
 ) -> DataFrame:
     """All columns of docs with `size`, `shard` (0 to shards-1) and `slot` (gapless from 0 in each shard).
 
     size: UTF-8 bytes of the text plus `overhead`. Shard sizes differ from the mean by at most `tolerance` of it on
-    either side, or as little as single rows allow. Each shard is moved as ranges of about `range_bytes` (at most
-    `max_ranges` in all), so no task has to take a whole shard of a large corpus.
+    either side, or as little as single rows allow. Each shard is moved as ranges of about `range_bytes`, so no task
+    has to take a whole shard of a large corpus, and the number of ranges grows with it.
 
-    Nulls: a null text has no bytes, a null id sorts first. Rows equal in both text and id stay together. An empty
-    table gives an empty result. Columns of docs named size, shard, slot are replaced; others are passed on.
+    Ids are whole numbers. Nulls: a null text has no bytes, a null id sorts first. Rows equal in both text and id stay
+    together and take slots in any order. Texts of any length count whole. An empty table gives an empty result. Columns of docs named size, shard, slot are replaced; others are passed on.
     """
     keep = [c for c in docs.columns if c not in ("size", "shard", "slot")]
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(overhead)).cast("long")
     h, i = F.xxhash64(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW))
     weights = staged(docs.select(h.alias("h"), i.alias("i"), size.alias("size")))
     total = weights.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, min(max_ranges // shards, -(-total // (range_bytes * shards))))
+    parts = max(1, -(-total // (range_bytes * shards)))
     n = shards * parts
     even = total / shards
     targets = [(total * k / n, even * (tolerance if k % parts == 0 else 0.1 / parts)) for k in range(1, n)]
