@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Titles that are taken off names, in the order in which they are tried.
 TITLES = ["Prof ", "Prof.", "Prof", "Mrs. ", "Mrs ", "Mrs.", "Mrs", "Mr ", "Mr. ", "Mr.", "Mr", "Ms. ", "Ms.", "Ms", "Herr ", "Herrn ", "Frau ", "M. ", "Mme. ", "M ", "Mme ", "Madame ", "Monsieur ", '"', "[", "]", "\\ ", "Dr. ", "Dr.", "Miss ", "Miss"]
@@ -40,6 +43,26 @@ def pseudonym(kind: str, entity: Column, secret: str = "veil") -> Column:
     return F.concat(F.lit(f"<{kind}:"), F.substring(F.sha2(F.concat_ws(":", F.lit(secret), F.lit(kind), entity), 256), 1, 12), F.lit(">"))
 
 
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+#: Unicode's composed form (NFC); Spark has no function for it.
+composed = F.pandas_udf(_composed, StringType())
+
+
+def number_forms(entity: Column) -> Column:
+    """A number's ways of being written: as it is, without thousands separators, and with comma and dot exchanged."""
+    plain = F.replace(entity, F.lit(","), F.lit(""))
+    return F.array_distinct(F.array(entity, plain, F.translate(entity, ",.", ".,"), F.translate(plain, ".", ",")))
+
+
+def with_number_forms(pairs: DataFrame) -> DataFrame:
+    """A mapping (id, kind, entity, token) with a row for each form that a numeric token may come back in."""
+    forms = F.when(F.col("token").rlike(r"^[-+]?[0-9][0-9.,]*$"), number_forms(F.col("token"))).otherwise(F.array("token"))
+    return pairs.withColumn("token", F.explode(forms))
+
+
 def mapping(docs: DataFrame, kinds: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, entity, token): the distinct entities of each document with their tokens."""
     out = None
@@ -57,11 +80,14 @@ def folded(docs: DataFrame, pairs: DataFrame, old: str, new: str, id_col: str, t
 
 
 def pseudonymise(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return folded(docs, pairs, "entity", "token", id_col, text_col)
+    """Every entity replaced by its token, both in composed form (NFC)."""
+    nfc = pairs.withColumn("entity", composed("entity"))
+    return folded(docs.withColumn(text_col, composed(text_col)), nfc, "entity", "token", id_col, text_col)
 
 
 def restore(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return folded(docs, pairs, "token", "entity", id_col, text_col)
+    """Every token replaced by its entity; a numeric token in any of number_forms."""
+    return folded(docs, with_number_forms(pairs), "token", "entity", id_col, text_col)
 
 
 def shifted_digits(number: Column, key: Column, secret: str = "veil") -> Column:

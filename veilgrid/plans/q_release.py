@@ -10,11 +10,11 @@ from ..functions import mechanisms as N
 from ..functions.dialect import DUCK, SPARK, Dialect
 from ..operators import budget as B
 from ..operators import release as R
-from ..operators.derive import class_sql, derived_columns, edges, layered_sql, node_layers, sensitivity_columns, with_derived
+from ..operators.derive import bind, class_sql, derived_columns, edges, layered_sql, node_layers, sensitivity_columns, with_derived
 from ..sources import scratch
 from ..sources import tables as S
 from ..sources.tables import patients, patients_sql, table, wide, wide_sql
-from .base import BY, EPSILONS, ORACLES, QUERIES, allocations, allocations_sql, cells, cells_sql, observations, observations_sql, portable, query, rounded
+from .base import BY, EPSILONS, allocations, allocations_sql, cells, cells_sql, observations, observations_sql, portable, query, rounded
 from .catalog import DISPLAY, DOMAINS, LIPSCHITZ, PRICING, PUBLIC_MEANS, Template, register_template, templates
 
 P = f"WITH {patients_sql()}"
@@ -31,19 +31,43 @@ def override(d: Dialect) -> str:
 
 @query("src1_flatten", P + f" SELECT template, patient_id::VARCHAR AS patient_id, root AS node, round(CASE WHEN {override(D)} THEN value + 1 ELSE value END, 4) AS value FROM patients")
 def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patients as a benchmark of one JSON object per template, in files, read back and flattened."""
     p = patients(spark, sf_dir).withColumn("over", F.expr(override(SPARK)))
     first = F.map_from_entries(F.collect_list(F.struct("root", "value")))
     later = F.map_from_entries(F.collect_list(F.when(F.col("over"), F.struct("root", F.col("value") + 1))))
     turn = lambda m: F.struct(m.alias("private_value"))
     samples = p.groupBy("template", F.col("patient_id").cast("string").alias("id")).agg(F.array(turn(first), turn(later)).alias("turns"))
-    return rounded(S.flatten_samples(samples))
+    path = scratch.new_folder(spark)
+    S.write_benchmark(samples, path)
+    return rounded(S.read_benchmark(spark, path))
+
 
+STATS = """st AS (SELECT a.template, a.root, b.root AS other, count(*) AS n, avg(a.value) AS mean, stddev_pop(a.value) AS std, covar_pop(a.value, b.value) AS cov
+    FROM patients a JOIN patients b ON a.template = b.template AND a.patient_id = b.patient_id GROUP BY 1, 2, 3)"""
+#: The diagonal of a 2 x 2 inverse, and the product of the inverse with its matrix for the others.
+REGULARISED = """SELECT x.template, x.root, x.n, round(x.mean, 4) AS mean, round(x.std, 4) AS std, round(x.cov, 3) AS var, 1.0::DOUBLE AS unit,
+    CASE WHEN k.k = 2 THEN round((o.cov + 1e-6) / ((x.cov + 1e-6) * (o.cov + 1e-6) - c.cov * c.cov), 6) END AS inverse
+    FROM (SELECT * FROM st WHERE root = other) x JOIN (SELECT template, count(DISTINCT root) AS k FROM st GROUP BY 1) k USING (template)
+    LEFT JOIN st c ON k.k = 2 AND c.template = x.template AND c.root = x.root AND c.other <> x.root
+    LEFT JOIN st o ON k.k = 2 AND o.template = x.template AND o.root = c.other AND o.other = c.other"""
 
-@query("src2_population_scan", P + " SELECT template, root, count(*) AS n, round(avg((value - mean) / std), 4) AS z FROM patients JOIN roots USING (template, root) GROUP BY 1, 2")
+
+@query("src2_population_scan", f"{P}, {STATS} {REGULARISED}")
 def src2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = spark.createDataFrame(S.roots_table(), "template string, root string, mean double, std double, lo double, hi double")
-    z = patients(spark, sf_dir).join(F.broadcast(stats), ["template", "root"])
-    return rounded(z.groupBy("template", "root").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") - F.col("mean")) / F.col("std")).alias("z")))
+    """Statistics of the patients written as a statistics file and read back, with the regularised inverse of each covariance."""
+    p = patients(spark, sf_dir)
+    other = p.select("template", "patient_id", F.col("root").alias("other"), F.col("value").alias("v"))
+    st = p.join(other, ["template", "patient_id"]).groupBy("template", "root", "other").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.covar_pop("value", "v").alias("cov"))
+    path = scratch.new_folder(spark)
+    S.write_population(st, path)
+    stats = S.read_population(spark, path)
+    inverse = []
+    for t, (roots, cov, inv) in S.inverse_covariances(stats).items():
+        unit = inv @ cov
+        inverse += [(t, r, float(unit[i, i]), float(inv[i, i]) if len(roots) == 2 else None) for i, r in enumerate(roots)]
+    inv = spark.createDataFrame(inverse, "template string, root string, unit double, inverse double")
+    own = stats.where("root = other").select("template", "root", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("cov", 3).alias("var"))
+    return own.join(F.broadcast(inv), ["template", "root"]).select("*").withColumn("unit", F.round("unit", 6)).withColumn("inverse", F.round("inverse", 6))
 
 
 @query(
@@ -140,9 +164,6 @@ def src9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Projections and filters --------------------------------------------------------------------------------------------
 
-portable("prj1_roots_split", lambda d: f"SELECT c_nationkey, count(*) AS n, {d.string(chr(39) + 'root' + chr(39))} AS kind FROM {{customer}} WHERE c_acctbal > 0 GROUP BY c_nationkey", "customer")
-
-
 @query("prj1_node_kinds", P + ", long AS (SELECT template, root AS node, value FROM patients UNION ALL SELECT template, root || '_x', value FROM patients WHERE root = 'hb') SELECT template, node, CASE WHEN node LIKE '%_x' THEN 'unknown' ELSE 'root' END AS kind, CASE WHEN node LIKE '%_x' THEN 0::DOUBLE ELSE 0.1::DOUBLE END AS budget, count(*) AS n FROM long GROUP BY ALL")
 def prj1(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = patients(spark, sf_dir).select("template", F.col("root").alias("node"), "value")
@@ -152,8 +173,6 @@ def prj1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.groupBy("template", "node", "kind", F.when(F.col("kind") == "root", 0.1).otherwise(0.0).alias("budget")).agg(F.count(F.lit(1)).alias("n"))
 
 
-del QUERIES["prj1_roots_split"], ORACLES["prj1_roots_split"]
-
 DISPLAY_SQL = "display(root, shown) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in DISPLAY.items()) + ")"
 
 
@@ -349,9 +368,32 @@ def sen4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(with_sensitivities(bounds, FIB4).agg(*[F.max(F.abs(f"h_{r}")).alias(r) for r in FIB4.roots]), 6)
 
 
-@query("sen5_expected", f"{P}, {wide_sql('FIB4')} SELECT {', '.join(f'round(avg(abs(h_{r})), 6) AS {r}' for r in FIB4.roots)} FROM ({with_sensitivities_sql('w', FIB4)})")
+def drawn_value(d: Dialect, name: str, lo: float, hi: float, tag: str) -> str:
+    """A uniform draw from a domain, keyed by an order."""
+    return f"({d.num(lo)} + {d.num(hi - lo)} * {d.uniform(chr(39) + tag + chr(39), chr(39) + name + chr(39), 'o_orderkey')})"
+
+
+SAMPLED = [t for t in templates().values() if t.name in DOMAINS]
+
+
+def _sen5_sql() -> str:
+    parts = []
+    for t in SAMPLED:
+        draws = ", ".join(f'{drawn_value(D, r, *t.domains[r], "prior " + t.name)} AS "{r}"' for r in t.roots)
+        parts += [f"SELECT '{t.name}' AS template, '{r}' AS root, round(avg(abs(h_{r})), 5) AS h FROM ({with_sensitivities_sql(f'(SELECT {draws} FROM orders)', t)})" for r in t.roots]
+    return " UNION ALL ".join(parts)
+
+
+@query("sen5_expected", _sen5_sql())
 def sen5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(with_sensitivities(wide(patients(spark, sf_dir), "FIB4"), FIB4).agg(*[F.avg(F.abs(f"h_{r}")).alias(r) for r in FIB4.roots]), 6)
+    """The expected absolute sensitivity under a uniform prior on the domain: one draw per order."""
+    out = None
+    for t in SAMPLED:
+        draws = table(spark, sf_dir, "orders").selectExpr(*[f"{drawn_value(SPARK, r, *t.domains[r], 'prior ' + t.name)} AS `{r}`" for r in t.roots])
+        h = with_sensitivities(draws, t).agg(*[F.avg(F.abs(f"h_{r}")).alias(r) for r in t.roots])
+        one = h.select(F.lit(t.name).alias("template"), F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.round(r, 5).alias("h")) for r in t.roots])).alias("x")).select("template", "x.*")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 MEAN_W = f"{P}, m AS (SELECT {', '.join(f'''avg(CASE WHEN root = '{r}' THEN value END) AS \"{r}\"''' for r in FIB4.roots)} FROM patients WHERE template = 'FIB4')"
@@ -363,12 +405,29 @@ def sen6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(with_sensitivities(m, FIB4).select(*[F.col(f"h_{r}").alias(r) for r in FIB4.roots]), 6)
 
 
-@query("sen7_lipschitz", f"{P}, {wide_sql('HOMA')}, g AS (SELECT sqrt(h_glu * h_glu + h_ins * h_ins) AS n FROM ({with_sensitivities_sql('w', templates()['HOMA'])})) SELECT round(quantile_cont(n, 0.01), 4) AS m, round(quantile_cont(n, 0.99), 4) AS l FROM g")
+def gradients(d: Dialect) -> list[tuple[str, str, str]]:
+    """(template, node, SQL of the gradient's norm by the node's own parents) at draws from the parents' domains."""
+    out = []
+    for t in SAMPLED:
+        for node, _, partials in t.nodes:
+            if partials is not None:
+                names = {p: drawn_value(d, p, *t.domains[p], "gradient " + t.name) for p in t.domains}
+                squares = [f"power({d.double(bind(d, e, names))}, {d.num(2)})" for e in partials.values()]
+                out.append((t.name, node, f"sqrt({' + '.join(squares)})"))
+    return out
+
+
+@query("sen7_lipschitz", " UNION ALL ".join(f"SELECT '{t}' AS template, '{n}' AS node, round(quantile_disc(g, 0.01), 4) AS m, round(quantile_disc(g, 0.99), 4) AS l FROM (SELECT {sql} AS g FROM orders)" for t, n, sql in gradients(D)))
 def sen7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = templates()["HOMA"]
-    s = with_sensitivities(wide(patients(spark, sf_dir), "HOMA"), t)
-    norm = F.sqrt(F.col("h_glu") * F.col("h_glu") + F.col("h_ins") * F.col("h_ins"))
-    return s.select(norm.alias("n")).agg(F.round(F.percentile("n", 0.01), 4).alias("m"), F.round(F.percentile("n", 0.99), 4).alias("l"))
+    """Bounds (m, l) of every derived node: the 1st and 99th percentile of its gradient's norm over the domain, one draw per order.
+
+    percentile_approx keeps a bounded summary; its error in rank is below one draw up to a million draws.
+    """
+    o, out = table(spark, sf_dir, "orders"), None
+    for t, n, sql in gradients(SPARK):
+        one = o.select(F.expr(sql).alias("g")).agg(F.percentile_approx("g", [0.01, 0.99], 1_000_000).alias("q")).select(F.lit(t).alias("template"), F.lit(n).alias("node"), F.round(F.col("q")[0], 4).alias("m"), F.round(F.col("q")[1], 4).alias("l"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 @query("sen8_metadata", f"{P}, {allocations_sql()} SELECT template, count(DISTINCT root) AS k, round(max(abs(h)), 6) AS top, count(DISTINCT patient_id) AS patients FROM patients JOIN sens USING (template, root) GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,25 +36,42 @@ def txt1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.sha2(X.first_word_replaced(F.col("text"), F.lit("the"), F.lit("<THE>")), 256).alias("h"))
 
 
-TOKENS = "e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})', 1)) AS entity FROM documents), m AS (SELECT doc_id, entity, '<email:' || substring(sha256('veil:email:' || entity), 1, 12) || '>' AS token FROM e)"
+EMAIL = "([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})"
+FOUND = f"list_sort(list_distinct(regexp_extract_all(nfc_normalize(text), '{EMAIL}', 1)))"
+LONGEST_FIRST = "list_transform(list_sort(list_transform({found}, lambda e: lpad((100000 - length(e))::VARCHAR, 6, '0') || e)), lambda e: substring(e, 7))"
+HIDDEN = f"list_reduce(list_prepend(nfc_normalize(text), {LONGEST_FIRST.format(found=FOUND)}), lambda t, e: replace(t, e, '<email:' || substring(sha256('veil:email:' || e), 1, 12) || '>'))"
 
 
-@query("txt2_pseudonymise", f"WITH {TOKENS} SELECT d.doc_id, count(m.entity) AS entities, any_value(d.text LIKE '%@%.%') AS had FROM documents d LEFT JOIN m USING (doc_id) GROUP BY 1")
+@query("txt2_pseudonymise", f"SELECT doc_id, len({FOUND}) AS entities, sha256({HIDDEN}) AS h FROM documents")
 def txt2(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     pairs = X.mapping(d, ["email"])
-    replaced = X.pseudonymise(d.withColumn("original", F.col("text")), pairs)
     n = F.size(F.array_distinct(F.regexp_extract_all("original", F.lit(X.PATTERNS["email"]), 1))).cast("long")
-    left = F.size(F.regexp_extract_all("text", F.lit(X.PATTERNS["email"]), 1)) + F.when(n > 0, F.when(F.instr("text", "<email:") > 0, 0).otherwise(1)).otherwise(0)
-    return replaced.select("doc_id", F.when(left == 0, n).otherwise(-1).alias("entities"), F.col("original").like("%@%.%").alias("had"))
+    return X.pseudonymise(d.withColumn("original", F.col("text")), pairs).select("doc_id", n.alias("entities"), F.sha2("text", 256).alias("h"))
 
 
-@query("txt3_restore", "SELECT doc_id, sha256(text) AS h FROM documents")
+@query("txt3_restore", "SELECT doc_id, sha256(nfc_normalize(text)) AS h, true AS hidden FROM documents")
 def txt3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose entities were hidden and restored; hidden: no entity was left in between."""
     d = docs(spark, sf_dir)
     pairs = scratch.written(X.mapping(d, ["email", "ip", "token"]))
-    back = X.restore(X.pseudonymise(d, pairs), pairs)
-    return back.select("doc_id", F.sha2("text", 256).alias("h"))
+    away = X.pseudonymise(d, pairs)
+    left = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(X.PATTERNS["email"]), 1)), F.lit(0)) + F.coalesce(F.size(F.regexp_extract_all("text", F.lit(X.PATTERNS["ip"]), 1)), F.lit(0))
+    back = X.restore(away.withColumn("hidden", left <= 0), pairs)
+    return back.select("doc_id", F.sha2("text", 256).alias("h"), "hidden")
+
+
+AMOUNT = "o_totalprice::DECIMAL(18,2)::VARCHAR"
+
+
+@query("txt3_number_forms", f"SELECT o_orderkey, 'paid ' || {AMOUNT} || ' today' AS text FROM orders")
+def txt3n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts that were hidden behind numeric tokens come back although the reply wrote comma for dot, or left separators out."""
+    amount = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", amount.alias("entity"), F.concat(F.lit("7,"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(".25")).alias("token"))
+    form = F.get(X.number_forms(F.col("token")), (F.col("o_orderkey") % 4).cast("int"))
+    said = o.select("o_orderkey", F.concat(F.lit("paid "), form, F.lit(" today")).alias("text"))
+    return X.restore(said, o.withColumn("kind", F.lit("money")), "o_orderkey").select("o_orderkey", "text")
 
 
 SHIFT = "(ascii(d) - 48 + ('0x' || substring(sha256('veil:' || o_orderkey), i, 1))::INT) % 10"
@@ -88,7 +107,13 @@ def txt6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", X.without_titles(titled).alias("name"))
 
 
-portable("txt7_first_position", lambda d: "SELECT c.c_custkey, " + (("array_position(array('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD'), c.c_mktsegment)") if d.spark else "coalesce(list_position(['AUTOMOBILE', 'BUILDING', 'HOUSEHOLD'], c.c_mktsegment), 0)::BIGINT") + " AS place FROM {customer} c", "customer")
+@query("txt7_first_position", "SELECT doc_id, coalesce(list_position(['de', 'fr', 'és', 'en', 'es'], nfc_normalize(CASE WHEN doc_id % 7 = 0 THEN 'e' || chr(769) || 's' ELSE lang END)), 0)::BIGINT AS place FROM documents")
+def txt7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place of a name among others, after both are in composed form: some come with a combining accent."""
+    d = table(spark, sf_dir, "documents")
+    name = X.composed(F.when(F.col("doc_id") % 7 == 0, F.lit("e\u0301s")).otherwise(F.col("lang")))
+    names = F.array(*[F.lit(x) for x in ("de", "fr", "\u00e9s", "en", "es")])
+    return d.withColumn("name", name).select("doc_id", F.coalesce(F.array_position(names, F.col("name")), F.lit(0)).cast("long").alias("place"))
 
 
 @query("txt8_after_last", "SELECT conv_id, turn, sha256(trim(string_split(text, '. ')[-1], ' ')) AS h FROM conversations")
@@ -125,7 +150,7 @@ def txt11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("template", "patient_id").agg(F.concat(F.lit("Values:\n"), F.array_join(lines, "\n")).alias("prompt"))
 
 
-portable("txt12_name_dictionary", lambda d: "SELECT x.name, count(*) AS n FROM (SELECT substring(c_name, 1, 14) AS name FROM {customer} UNION SELECT substring(s_name, 1, 14) FROM {supplier}) x WHERE instr(x.name, '9') = 0 GROUP BY x.name", "customer", "supplier")
+portable("txt12_name_dictionary", lambda d: "SELECT x.name, count(*) AS n FROM (SELECT c_name AS name FROM {customer} UNION SELECT s_name FROM {supplier}) x WHERE instr(x.name, '9') = 0 GROUP BY x.name", "customer", "supplier")
 
 
 # Chat ---------------------------------------------------------------------------------------------------------------
@@ -208,13 +233,17 @@ def cht4(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams ------------------------------------------------------------------------------------------------------------
 
 
-def streamed(spark: SparkSession, sf_dir: str, transform, mode: str = "append") -> DataFrame:
-    """The events as a stream, run through to its end into a table, and read."""
-    schema = table(spark, sf_dir, "events").schema
+def streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "append", batches: int = 4) -> DataFrame:
+    """The events as a stream of several files in order of time, a micro-batch each, run to its end into a table, and read."""
+    events = table(spark, sf_dir, "events")
     source = scratch.new_folder(spark)
-    table(spark, sf_dir, "events").write.parquet(source)
+    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    width = ((high or 0) - (low or 0)) // batches + 1
+    for k in range(batches):
+        events.where((at >= (low or 0) + k * width) & (at < (low or 0) + (k + 1) * width)).coalesce(1).write.mode("append").parquet(source)
     sink, marks = scratch.new_folder(spark), scratch.new_folder(spark)
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     started = transform(stream).writeStream.format("parquet").option("checkpointLocation", marks).option("path", sink).outputMode(mode).trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.parquet(sink)
@@ -247,6 +276,13 @@ def str3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.utility_windows(r).select(F.unix_timestamp("start").alias("start"), "n", F.round("wmape", 3).alias("wmape"))
 
 
+@query("str3_windows_stream", f"WITH {EVENT_SQL} SELECT epoch(date_trunc('day', ts))::BIGINT AS start, count(*) AS n, round(100 * sum(abs(released - value)) / sum(abs(value)), 3) AS wmape FROM rel WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")
+def str3s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stream: a window is told once the watermark, a day behind the latest event, has passed its end."""
+    r = lambda s: ST.utility_windows(ST.released_events(s, EPS, LO, HI).withColumn("ts", F.col("ts").cast("timestamp")), watermark="1 day")
+    return streamed(spark, sf_dir, r).select(F.unix_timestamp("start").alias("start"), "n", F.round("wmape", 3).alias("wmape"))
+
+
 # User functions -----------------------------------------------------------------------------------------------------
 
 
@@ -262,7 +298,17 @@ def udf2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_derived(table(spark, sf_dir, "lineitem"), t).where("unit IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("unit", 9).alias("unit"))
 
 
-@query("udf3_any_statistic", "SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS med FROM orders GROUP BY 1")
+@query(
+    "udf3_any_statistic",
+    f"""WITH r AS (SELECT o_orderpriority AS g, o_orderkey AS k, o_totalprice AS v FROM orders), d AS (SELECT *, b, {M.digest_sql(D, 'k', f'((b // {M.SHARED}) * {M.SHARED})')} AS dg FROM r CROSS JOIN (SELECT unnest(range(51)) AS b)),
+    w AS (SELECT g, b, CASE WHEN b = 0 THEN 1 ELSE {M.poisson_weight(D, 'dg', 'b')} END AS w, v FROM d),
+    s AS (SELECT g, b, sum(w * v) / sum(w) AS mean, 100.0::DOUBLE * sum(w * (v > 100000)::INT) / sum(w) AS large FROM w GROUP BY 1, 2),
+    l AS (SELECT g, b, 'mean' AS name, mean AS s FROM s UNION ALL SELECT g, b, 'large', large FROM s)
+    SELECT g AS o_orderpriority, name, round(max(CASE WHEN b = 0 THEN s END), 2) AS value, round(stddev_samp(CASE WHEN b > 0 THEN s END), 3) AS se FROM l GROUP BY 1, 2""",
+)
 def udf3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statistics = {"mean": F.avg, "med": F.median}
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*[F.round(f("o_totalprice"), 2).alias(n) for n, f in statistics.items()])
+    """Any statistic that is a function of weights, with its error."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    statistics = {"mean": lambda w: F.sum(w * F.col("v")) / F.sum(w), "large": lambda w: 100.0 * F.sum(w * (F.col("v") > 100000).cast("int")) / F.sum(w)}
+    out = M.bootstrap(rows, "k", statistics, ("o_orderpriority",), 50)
+    return out.select("o_orderpriority", "name", F.round("value", 2).alias("value"), F.round("se", 3).alias("se"))

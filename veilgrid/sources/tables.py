@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +28,16 @@ def flatten_samples(samples: DataFrame) -> DataFrame:
     return pairs.groupBy("template", "patient_id", "node").agg(F.max_by("value", "turn").alias("value"))
 
 
+def write_benchmark(samples: DataFrame, path: str, files: int = 8) -> None:
+    """Samples (template, id, turns) as JSON objects of template to samples, one per line; an object holds about a sixty-fourth of a template's samples."""
+    part = F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")
+    objects = samples.groupBy("template", part).agg(F.collect_list(F.struct("id", "turns")).alias("s"))
+    objects.select(F.to_json(F.create_map("template", "s")).alias("value")).repartition(files).write.text(path)
+
+
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file of template to samples, flattened."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", BENCHMARK).alias("m"))
+    """JSON files of one or more objects of template to samples, an object per line, flattened."""
+    whole = spark.read.text(path).select(F.from_json("value", BENCHMARK).alias("m"))
     samples = whole.select(F.explode("m").alias("template", "samples")).select("template", F.explode("samples").alias("s"))
     return flatten_samples(samples.select("template", "s.id", "s.turns"))
 
@@ -69,6 +77,46 @@ def read_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.withColumn("eps_in", F.coalesce("eps_in", F.when(named != "", named.cast("double")))).drop("_vg_path")
 
 
+POPULATION = "per_template_means map<string,map<string,double>>, per_template_stds map<string,map<string,double>>, per_template_n_holdout map<string,map<string,bigint>>, per_template_covariances map<string,struct<root_order:array<string>,means:array<double>,covariance:array<array<double>>,n_complete:bigint>>"
+
+
+def write_population(stats: DataFrame, path: str) -> None:
+    """Statistics (template, root, other, n, mean, std, cov) as one JSON object; a few numbers per template."""
+    rows = F.array_sort(F.collect_list(F.struct("other", "cov")))
+    per_root = stats.groupBy("template", "root").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"), F.transform(rows, lambda x: x["cov"]).alias("row"))
+    ordered = F.array_sort(F.collect_list(F.struct("root", "n", "mean", "std", "row")))
+    per_template = per_root.groupBy("template").agg(ordered.alias("r"))
+    entries = lambda c: F.map_from_entries(F.transform("r", lambda x: F.struct(x["root"], x[c])))
+    column = lambda c: F.transform("r", lambda x: x[c])
+    cov = F.struct(column("root").alias("root_order"), column("mean").alias("means"), column("row").alias("covariance"), F.element_at("r", 1)["n"].alias("n_complete"))
+    each = per_template.select("template", entries("mean").alias("m"), entries("std").alias("s"), entries("n").alias("n"), cov.alias("c"))
+    whole = lambda c: F.map_from_entries(F.collect_list(F.struct("template", c)))
+    each.agg(whole("m").alias("per_template_means"), whole("s").alias("per_template_stds"), whole("n").alias("per_template_n_holdout"), whole("c").alias("per_template_covariances")).write.json(path)
+
+
+def read_population(spark: SparkSession, path: str) -> DataFrame:
+    """(template, root, other, n, mean, std, cov) of a JSON file of population statistics; cov is null where a root has no covariance."""
+    raw = spark.read.schema(POPULATION).json(path)
+    means = raw.select(F.explode("per_template_means").alias("template", "m"), "per_template_stds", "per_template_n_holdout", "per_template_covariances")
+    roots = means.select("template", F.explode("m").alias("root", "mean"), F.col("per_template_stds")[F.col("template")].alias("s"), F.col("per_template_n_holdout")[F.col("template")].alias("k"), F.col("per_template_covariances")[F.col("template")].alias("c"))
+    at = F.array_position("c.root_order", F.col("root"))
+    row = F.when(at > 0, F.get("c.covariance", (at - 1).cast("int")))
+    pairs = F.explode_outer(F.arrays_zip(F.col("c.root_order").alias("other"), row.alias("cov")))
+    return roots.select("template", "root", F.col("k")[F.col("root")].alias("n"), "mean", F.col("s")[F.col("root")].alias("std"), pairs.alias("p")).select("template", "root", F.coalesce("p.other", "root").alias("other"), "n", "mean", "std", "p.cov")
+
+
+def inverse_covariances(stats: DataFrame, ridge: float = 1e-6) -> dict[str, tuple[list[str], np.ndarray, np.ndarray]]:
+    """Per template (roots, covariance with ridge on its diagonal, its inverse): matrices of a few roots, inverted on the driver."""
+    rows = stats.where("cov IS NOT NULL").select("template", "root", "other", "cov").collect()
+    out = {}
+    for t in sorted({r.template for r in rows}):
+        own = {(r.root, r.other): r.cov for r in rows if r.template == t}
+        roots = sorted({a for a, _ in own})
+        cov = np.array([[own[a, b] for b in roots] for a in roots]) + ridge * np.eye(len(roots))
+        out[t] = roots, cov, np.linalg.inv(cov)
+    return out
+
+
 def unfinished(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The work whose result doesn't exist yet."""
     return work.join(done, list(keys), "left_anti")
