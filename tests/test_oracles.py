@@ -7,7 +7,7 @@ import pytest
 from veilgrid.plans import registry
 from veilgrid.plans.base import TABLES
 
-NAMES = ["nz2_exponential_0_1", "nz6_bounded_laplace", "nz7_staircase", "nz8_simple_staircase", "nz9_gaussian", "nz11_by_metric_type", "dag1_order", "dag5_targets", "cls1_risk_class", "sen3_chain_rule", "sen4_worst_corner", "bud6_cube_root", "bud7_square_root", "bud18_ledger", "rel4_roots", "rel8_threshold_reset", "rel9_budget_bank", "agg4_wmape", "aud8_lower_median", "aud15_rank_matched", "txt3_restore", "txt4_digit_tokens", "cht1_llama2", "cht1_yuan2", "cht2_openai", "str3_windows", "src1_flatten", "jn4_synonyms"]
+NAMES = ["nz2_exponential_0_1", "nz6_bounded_laplace", "nz7_staircase", "nz8_simple_staircase", "nz9_gaussian", "nz11_by_metric_type", "dag1_order", "dag5_targets", "cls1_risk_class", "sen3_chain_rule", "sen4_worst_corner", "bud6_cube_root", "bud7_square_root", "bud18_ledger", "rel4_roots", "rel8_threshold_reset", "rel9_budget_bank", "agg4_wmape", "agg5_bootstrap", "agg10_compliance", "aud7_unaffected", "aud8_lower_median", "aud10_joint_prior", "bud3_inherited", "bud14_moments", "rel1_every_node", "rel5_optimised", "rel6_weighted", "rel10_budget_ordered", "rel12_lookup", "rpt1_aggregate_class_error", "rpt16_power_law", "sen5_expected", "sen7_lipschitz", "src2_population_scan", "txt2_pseudonymise", "udf3_any_statistic", "aud15_rank_matched", "txt3_restore", "txt4_digit_tokens", "cht1_llama2", "cht1_yuan2", "cht2_openai", "str3_windows", "src1_flatten", "jn4_synonyms"]
 
 
 @pytest.fixture(scope="session")

@@ -100,9 +100,72 @@ def test_map_index(spark):
 
 
 def test_bootstrap(spark):
-    df = spark.range(4000).select(F.lit("a").alias("g"), F.col("id").alias("k"), (F.col("id") % 10 + 1).cast("double").alias("t"), (F.col("id") % 10 + 1.5).alias("v"))
-    r = M.bootstrap_wmape(df, ("g",), "k", "t", "v", 50).first()
-    assert r.wmape == pytest.approx(100 * 0.5 / 5.5) and 0 < r.se < 0.5
+    df = spark.range(4000).select(F.lit("a").alias("g"), F.col("id").alias("k"), (F.col("id") % 10 + 1).cast("double").alias("t"), (F.col("id") % 10 + 1 + F.col("id") % 3).cast("double").alias("v"), (F.col("id") % 4 == 0).alias("right"))
+    out = {r.name: r for r in M.bootstrap(df, "k", {"wmape": M.weighted_wmape("t", "v"), "accuracy": M.weighted_accuracy("right")}, ("g",), 400).collect()}
+    assert out["wmape"].value == pytest.approx(100 * 3999 / 22000, rel=1e-3) and out["accuracy"].value == pytest.approx(25.0)
+    # The standard errors of a share and of a ratio of sums.
+    assert out["accuracy"].se == pytest.approx(100 * math.sqrt(0.25 * 0.75 / 4000), rel=0.15)
+    assert out["wmape"].se == pytest.approx(df.agg(M.wmape_se(F.col("t"), F.col("v"))).first()[0], rel=0.15)
+
+
+@pytest.mark.parametrize("eps", [0.3, 1.0])
+@pytest.mark.parametrize("mechanism", ["blap", "stair"])
+def test_law_of_rounded_noise(spark, mechanism, eps):
+    """Frequencies against the distribution function, written independently."""
+    s = draws(spark, mechanism, eps, 25.0)
+    x = np.linspace(-60, 60, 1_200_001)
+    if mechanism == "blap":
+        density = np.exp(-eps * np.abs(x))
+    else:
+        gamma = 1 / (1 + math.exp(eps / 2))
+        whole = np.floor(np.abs(x))
+        density = np.exp(-eps * (whole + (np.abs(x) - whole >= gamma)))
+    mass = np.histogram(np.clip(x, -25.49, 24.49), bins=np.arange(51) - 25.5, weights=density)[0]
+    seen = np.bincount(s, minlength=50) / len(s)
+    assert np.abs(seen - mass / mass.sum()).max() < 4 * math.sqrt(0.25 / len(s))
+
+
+def test_releases_at_other_budgets_are_independent(spark):
+    rows = spark.range(4000).select(F.col("id").alias("patient_id"), F.lit("T").alias("template"), F.lit("r").alias("root"), F.lit(50.0).alias("value"), F.lit(0.0).alias("lo"), F.lit(100.0).alias("hi"))
+    a, b = (R.release(rows.withColumn("eps_root", F.lit(e)), "exp").select("patient_id", F.col("idx").alias(n)) for e, n in ((0.01, "a"), (0.012, "b")))
+    assert abs(a.join(b, "patient_id").agg(F.corr("a", "b")).first()[0]) < 0.08
+    a, b = (R.release(rows.withColumn("eps_root", F.lit(e)), "exp", paired=True).select("patient_id", F.col("idx").alias(n)) for e, n in ((0.01, "a"), (0.012, "b")))
+    assert a.join(b, "patient_id").agg(F.corr("a", "b")).first()[0] > 0.9
+
+
+def test_inherited_budgets(spark):
+    t = Template("I", ["a", "b"], {"a": (0, 1), "b": (0, 1)}, [("c", "a + b", {"a": "1", "b": "1"}), ("d", "c * 2", {"c": "2"}), ("e", "d * 1", {"d": "1"}), ("f", "a * 0", {"a": "0"})], "e")
+    bounds = {"c": (2.0, 2.0), "d": (0.5, 0.5), "e": (0.4, 0.4), "f": (0.0, 0.0)}
+    sql = B.inherited(t, bounds, "eps")
+    row = spark.createDataFrame([(0.2,)], "eps double").select(*[F.expr(b).alias(n) for n, (b, _) in sql.items()]).first()
+    # c: eps / 2; d: parents' 0.1 / 0.5 = eps; e: 0.4 / 0.4 > eps and eps / 0.4 > eps, so what is missing in 1 / eps^2.
+    assert (row.a, row.c, row.d, row.f) == pytest.approx((0.2, 0.1, 0.2, 0.2)) and row.e == pytest.approx(math.sqrt(1 / (1 / 0.2**2 - 1 / 0.5**2)))
+
+
+def test_joint_prior(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(50, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 1]])
+    rows = spark.createDataFrame([("T", k, r, float(x[k, i])) for k in range(50) for i, r in enumerate("abc")], "template string, patient_id long, root string, value double")
+    got = {r.patient_id: r.lp for r in A.joint_log_prior(rows, A.population_statistics(rows)).collect()}
+    d = x - x.mean(axis=0)
+    want = -0.5 * np.einsum("ki,ij,kj->k", d, np.linalg.inv(np.cov(x.T, bias=True) + 1e-6 * np.eye(3)), d)
+    assert [got[k] for k in range(50)] == pytest.approx(want.tolist())
+
+
+def test_population_file(spark, tmp_path):
+    from veilgrid.sources import tables as S
+
+    stats = spark.createDataFrame([("T", a, b, 9, m, 1.0, c) for a, m in (("x", 1.0), ("y", 2.0)) for b, c in (("x", 2.0 if a == "x" else 0.5), ("y", 0.5 if a == "x" else 3.0))], "template string, root string, other string, n long, mean double, std double, cov double")
+    S.write_population(stats, str(tmp_path / "p"))
+    back = S.read_population(spark, str(tmp_path / "p"))
+    assert sorted(map(tuple, back.select(stats.columns).collect())) == sorted(map(tuple, stats.collect()))
+    roots, cov, inv = S.inverse_covariances(back)["T"]
+    assert roots == ["x", "y"] and np.allclose(cov @ inv, np.eye(2)) and cov[0, 0] == pytest.approx(2.000001)
+
+
+def test_unobserved_root_is_put_amid_the_grid(spark):
+    rows = spark.createDataFrame([("T", 1, "r", None, None, None, None), ("T", 2, "r", 3, 0.5, None, None)], "template string, patient_id long, root string, idx long, eps_root double, prior_mean double, prior_std double")
+    assert {r.patient_id: r.map_idx for r in A.map_index(rows, "exp").collect()} == {1: 500, 2: 3}
 
 
 def test_text_edges(spark):
@@ -112,6 +175,9 @@ def test_text_edges(spark):
     hidden = X.pseudonymise(df, pairs)
     assert hidden.where("text LIKE '%@%'").count() == 0
     assert X.restore(hidden, pairs).orderBy("doc_id").collect() == df.orderBy("doc_id").collect()
+    accents = spark.createDataFrame([(1, "e\u0301 a\u00f1o")], "doc_id long, text string")
+    names = spark.createDataFrame([(1, "name", "\u00e9", "<1>"), (1, "name", "an\u0303o", "<2>")], "doc_id long, kind string, entity string, token string")
+    assert X.pseudonymise(accents, names).first().text == "<1> <2>"
 
 
 def test_empty_tables(spark):
