@@ -90,18 +90,7 @@ def candidate_blocks(nodes: DataFrame, percent: int) -> DataFrame:
     return connected_components(edges).select("node", F.col("component").alias("block"))
 
 
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-
-def heap_merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+def heap_merge(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]:
     """(member, count) of the members of `least` sorted lists or more: a heap of the lists' heads, popped in order of members.
 
     When fewer than `least` lists have the head, least - 1 of them are popped and all of those skip ahead, by a binary
@@ -109,27 +98,46 @@ def heap_merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
     """
     heap = [(int(x[0]), k, 0) for k, x in enumerate(lists) if len(x)]
     heapq.heapify(heap)
-    found = []
     while len(heap) >= least:
         member = heap[0][0]
         popped = []
         while heap and heap[0][0] == member:
             popped.append(heapq.heappop(heap))
+        ahead = member + 1
         if len(popped) >= least:
-            found.append((member, len(popped)))
-            ahead = member + 1
+            yield member, len(popped)
         else:
-            while heap and len(popped) < least - 1:
+            while len(popped) < least - 1:
                 popped.append(heapq.heappop(heap))
-            if not heap:
-                break
-            ahead = heap[0][0] if len(popped) >= least - 1 else member + 1
+            ahead = heap[0][0]
         for _, k, at in popped:
             x = lists[k]
             at += int(np.searchsorted(x[at:], ahead))
             if at < len(x):
                 heapq.heappush(heap, (int(x[at]), k, at))
-    return found
+
+
+class Groups:
+    """Components of places as an array of labels; the smaller of two that are joined takes the other's label."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.members: dict[int, list[int]] = {}
+
+    def join(self, a: int, b: int) -> None:
+        a, b = int(self.label[a]), int(self.label[b])
+        own, other = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(own) < len(other):
+            a, own, other = b, other, own
+        self.label[other] = a
+        own += other
+        self.members[a] = own
+
+
+def linked_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    where = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[where] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -138,8 +146,8 @@ def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray
     Each unordered pair is looked at from its larger set (of equal ones, the later), so the overlap needed is known
     from the query: T = ceil(percent % of its size). Of a query's lists, T - 1 at most are long and are left out of
     the merge; a set must then occur in T - long of the short ones. How many are long follows from the lengths: the
-    cheapest sum of merging and probing. Where T of the lists are needed and all are short, the heap merges them; the
-    usual case is that one or few short ones are left, whose union is the candidates.
+    cheapest sum of merging and probing. The heap merges the short ones; after each link, sets
+    that are connected with the query by now leave the lists.
     """
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
@@ -154,7 +162,7 @@ def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray
     start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     token, start = flat[start], np.append(start, len(flat))
     least_size = np.searchsorted(size[by_size] * 100, percent * size)  # the first place whose set is large enough
-    tie, links = Union(n), []
+    groups, links = Groups(n), []
     for q in queries.tolist():
         a, here = sets[q], int(place[q])
         at = np.minimum(np.searchsorted(token, a), len(token) - 1)
@@ -165,6 +173,17 @@ def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray
             continue
         length = start[at + 1] - start[at]
         by = np.argsort(length, kind="stable")
+        low, label = int(least_size[q]), groups.label
+        # The nearest sets in a few lists are tried first: among copies one link connects all, and nothing is left to merge.
+        shared = by[np.searchsorted(length[by], 2) :]
+        for k in at[shared[[0, len(shared) // 4, len(shared) // 2, -1]]].tolist() if len(shared) else ():
+            x = owner[start[k] : start[k + 1]]
+            p = int(np.searchsorted(x, here)) - 1
+            if p >= 0 and x[p] >= low and label[x[p]] != label[here] and linked_sets(a, sets[int(by_size[x[p]])], percent):
+                links.append((q, int(by_size[x[p]])))
+                groups.join(int(x[p]), here)
+        if (label[low:here] == label[here]).all():
+            continue
         lengths = np.cumsum(length[by])
         # With `long` lists left out: merge the others, then probe the sets that may still be reached.
         long = np.arange(0, min(t, len(at)))
@@ -172,26 +191,28 @@ def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray
         reached = np.minimum(merged // (t - long), len(indexed))
         m = int(long[np.argmin(merged * 4 + reached * (20 + 4 * long))])
         merge, probe = by[: len(at) - m], by[len(at) - m :]
-        low = int(least_size[q])
+        # Only sets that are large enough, come before the query, and aren't connected with it yet.
         lists = []
         for k in at[merge].tolist():
             x = owner[start[k] : start[k + 1]]
             lo, hi = np.searchsorted(x, (low, here))
-            if hi > lo:
-                lists.append(x[lo:hi])
-        found = heap_merge(lists, t - m)
-        root = tie.find(q)
+            x = x[lo:hi]
+            lists.append(x[label[x] != label[here]])
         probes = a[known][probe]
-        for p, count in found:
-            c = int(by_size[p])
-            if tie.find(c) == root:
-                continue
-            b = sets[c]
-            where = np.minimum(np.searchsorted(b, probes), len(b) - 1)
-            both = count + int((b[where] == probes).sum())
-            if 100 * both >= percent * (int(size[q]) + len(b) - both):
-                links.append((q, c))
-                tie.up[tie.find(c)] = root
+        while True:
+            linked = None
+            for p, count in heap_merge(lists, t - m):
+                b = sets[int(by_size[p])]
+                where = np.minimum(np.searchsorted(b, probes), len(b) - 1)
+                both = count + int((b[where] == probes).sum())
+                if 100 * both >= percent * (int(size[q]) + len(b) - both):
+                    linked = p
+                    break
+            if linked is None:
+                break
+            links.append((q, int(by_size[linked])))
+            groups.join(linked, here)
+            lists = [x[(x > linked) & (label[x] != label[here])] for x in lists]
     return links
 
 
