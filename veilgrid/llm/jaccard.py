@@ -269,8 +269,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of distinct k-word shingles (with fewer
     words, the whole sequence is one; percent is over 50). component_id is the smallest id reachable by links, its own
     included; null only where no document of the component has an id. A document without words (a null text too) has
-    an empty set and links with nothing. Repeated rows and equal texts are linked. Empty tables give empty results;
-    other columns aren't used.
+    an empty set and links with nothing. Repeated rows and equal texts are linked. Texts of any length count whole.
+    Empty tables give empty results; other columns aren't used, so their names can't clash.
     """
     base = in_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     every = staged(shingled(base, k, percent))

@@ -27,7 +27,8 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
 
     A line is boilerplate on its host if more than max_percent % of the host's pages have it, and at least min_pages
     do. Lines are compared exactly; blank lines neither count nor go. A null host is a host of its own. A null text
-    stays null with 0 lines; an empty text has one (blank) line. Repeated rows count as separate pages. Columns named
+    stays null with 0 lines; an empty text has one (blank) line. Repeated rows count as separate pages. Lines and texts
+    of any length count whole; an empty table gives an empty result. Columns named
     n_lines or n_dropped are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -49,17 +50,18 @@ def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH lines AS (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
-     pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+WITH rows AS (SELECT row_number() OVER () AS r, * FROM documents),
+     lines AS (SELECT DISTINCT r, source, unnest(string_split(text, chr(10))) AS line FROM rows),
+     pages AS (SELECT source, count(*) AS pages FROM rows GROUP BY source),
      boiler AS (SELECT l.source, l.line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
                 WHERE trim(l.line, ' ') <> '' GROUP BY l.source, l.line HAVING count(*) >= 3 AND count(*) * 100 > any_value(p.pages) * 5),
-     ordered AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-                        generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+     ordered AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line,
+                        generate_subscripts(string_split(text, chr(10)), 1) AS k FROM rows),
      marked AS (SELECT o.*, b.line IS NOT NULL AS bad FROM ordered o
                 LEFT JOIN boiler b ON o.source IS NOT DISTINCT FROM b.source AND o.line = b.line),
-     kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_dropped,
-                     coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT bad), '') AS t FROM marked GROUP BY doc_id)
+     kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_dropped,
+                     coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT bad), '') AS t FROM marked GROUP BY r)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
        CASE WHEN d.text IS NULL THEN NULL ELSE sha256(t) END AS kept_sha256
-FROM documents d LEFT JOIN kept USING (doc_id)
+FROM rows d LEFT JOIN kept USING (r)
 """

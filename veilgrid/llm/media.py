@@ -150,7 +150,9 @@ def low_frequency_hash(pixels: np.ndarray) -> int:
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64) -> DataFrame:
     """(id, n_bytes, media binary): each text's UTF-8 bytes, zero-padded to a positive multiple of width, as a grey image.
 
-    A null text counts as empty; a null id is passed on; repeated rows give repeated rows. Other columns are not used.
+    A null text counts as empty; a null id is passed on; repeated rows give repeated rows and equal texts equal images; an
+    empty table gives an empty result. A text of any length is one image, held by one worker. Other columns are not used,
+    so their names can't clash.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

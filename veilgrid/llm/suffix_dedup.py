@@ -254,7 +254,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every byte goes that is covered by a string of `span` bytes which also starts anywhere else, in the same text too;
     strings are judged on the input. Texts are UTF-8 bytes; a null text counts as empty and keeps nothing; a text of
-    under `span` bytes stays whole. Repeated rows and copies remove each other whole. Columns named kept, n_bytes,
+    under `span` bytes stays whole. Long texts are looked at in pieces that overlap; a worker holds one whole text and its
+    spans. A null id is a value of its own; an empty table gives an empty result. Repeated rows and copies remove each other whole. Columns named kept, n_bytes,
     n_removed or n_spans are replaced, others are passed on.
     """
     keep = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
