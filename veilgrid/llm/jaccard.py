@@ -33,6 +33,8 @@ from .words import blocks, mix, shingle_hashes
 #: A share of the set beyond what linked sets may differ in, by which sketches are longer.
 EXTRA = 10
 SALT = np.uint64(0x1F3D5B79)
+#: Up to so many entries are merged by the heap.
+HEAPED = 64
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -117,6 +119,18 @@ def heap_merge(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]
                 heapq.heappush(heap, (int(x[at]), k, at))
 
 
+def merged_members(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]:
+    """heap_merge, with the work of many entries done by one sort in numpy: the same members and counts in the same order."""
+    if sum(map(len, lists)) <= HEAPED:
+        yield from heap_merge(lists, least)
+        return
+    every = np.sort(np.concatenate(lists))
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    count = np.diff(np.append(first, len(every)))
+    enough = count >= least
+    yield from zip(every[first[enough]].tolist(), count[enough].tolist(), strict=True)
+
+
 class Groups:
     """Components of places as an array of labels; the smaller of two that are joined takes the other's label."""
 
@@ -146,8 +160,8 @@ def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray
     Each unordered pair is looked at from its larger set (of equal ones, the later), so the overlap needed is known
     from the query: T = ceil(percent % of its size). Of a query's lists, T - 1 at most are long and are left out of
     the merge; a set must then occur in T - long of the short ones. How many are long follows from the lengths: the
-    cheapest sum of merging and probing. The heap merges the short ones; after each link, sets
-    that are connected with the query by now leave the lists.
+    cheapest sum of merging and probing. Few entries are merged by the heap, many by a sort;
+    after each link, sets that are connected with the query by now leave the lists.
     """
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
@@ -189,19 +203,23 @@ def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray
         long = np.arange(0, min(t, len(at)))
         merged = lengths[len(at) - 1 - long]
         reached = np.minimum(merged // (t - long), len(indexed))
-        m = int(long[np.argmin(merged * 4 + reached * (20 + 4 * long))])
+        m = int(long[np.argmin(merged + reached * (20 + 4 * long))])
         merge, probe = by[: len(at) - m], by[len(at) - m :]
         # Only sets that are large enough, come before the query, and aren't connected with it yet.
-        lists = []
-        for k in at[merge].tolist():
-            x = owner[start[k] : start[k + 1]]
-            lo, hi = np.searchsorted(x, (low, here))
-            x = x[lo:hi]
-            lists.append(x[label[x] != label[here]])
+        lo, span = start[at[merge]], length[merge]
+        ends = np.cumsum(span)
+        entries = owner[np.repeat(lo - ends + span, span) + np.arange(int(ends[-1]))] if len(span) else np.zeros(0, np.int64)
+        stay = (entries >= low) & (entries < here)
+        stay &= label[entries] != label[here]
+        cuts = np.concatenate([[0], np.cumsum(stay)])[np.concatenate([[0], ends])]
+        entries = entries[stay]
+        if len(entries) < t - m:
+            continue
+        lists = [entries[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if j > i]
         probes = a[known][probe]
         while True:
             linked = None
-            for p, count in heap_merge(lists, t - m):
+            for p, count in merged_members(lists, t - m):
                 b = sets[int(by_size[p])]
                 where = np.minimum(np.searchsorted(b, probes), len(b) - 1)
                 both = count + int((b[where] == probes).sum())
