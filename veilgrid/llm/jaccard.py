@@ -120,15 +120,13 @@ def heap_merge(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]
 
 
 def merged_members(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]:
-    """heap_merge, with the work of many entries done by one sort in numpy: the same members and counts in the same order."""
+    """heap_merge, with the work of many entries done by counting in numpy: the same members and counts in the same order."""
     if sum(map(len, lists)) <= HEAPED:
         yield from heap_merge(lists, least)
         return
-    every = np.sort(np.concatenate(lists))
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    count = np.diff(np.append(first, len(every)))
-    enough = count >= least
-    yield from zip(every[first[enough]].tolist(), count[enough].tolist(), strict=True)
+    count = np.bincount(np.concatenate(lists))
+    found = np.flatnonzero(count >= least)
+    yield from zip(found.tolist(), count[found].tolist(), strict=True)
 
 
 class Groups:
@@ -160,7 +158,7 @@ def divide_skip(sets: list[np.ndarray], queries: np.ndarray, indexed: np.ndarray
     Each unordered pair is looked at from its larger set (of equal ones, the later), so the overlap needed is known
     from the query: T = ceil(percent % of its size). Of a query's lists, T - 1 at most are long and are left out of
     the merge; a set must then occur in T - long of the short ones. How many are long follows from the lengths: the
-    cheapest sum of merging and probing. Few entries are merged by the heap, many by a sort;
+    cheapest sum of merging and probing. Few entries are merged by the heap, many by counting;
     after each link, sets that are connected with the query by now leave the lists.
     """
     n = len(sets)
