@@ -111,3 +111,13 @@ def shingle_hashes(run: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray
         other = mix((other ^ w) * SECOND + np.uint64(j))
     s, at, where = distinct(run, s, at)
     return s, at, other[where]
+
+
+def set_digests(h: np.ndarray, other: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """128 bits for each set of shingles: a sum over each of two independent hashes of its members; zeros for an empty set."""
+    n = np.diff(at)
+    some = np.flatnonzero(n)
+    d = np.zeros((len(n), 2), np.uint64)
+    for j, x in enumerate((h, other) if len(h) else ()):
+        d[some, j] = mix(np.add.reduceat(mix(x ^ SECOND), at[some]) + n[some].astype(np.uint64))
+    return [x.tobytes() for x in d]
