@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import mechanisms as N
 from veilgrid.functions.dialect import SPARK
 from veilgrid.operators import audit as A
+from veilgrid.operators import allocation as L
 from veilgrid.operators import budget as B
 from veilgrid.operators import metrics as M
 from veilgrid.operators import release as R
@@ -80,17 +81,65 @@ def test_undefined_is_null_or_raises(spark):
         with_derived(df, t, non_finite="raise").collect()
 
 
-@pytest.mark.parametrize("mechanism", ["exp", "blap", "stair"])
-def test_exact_allocation(mechanism):
-    w, c = np.array([3.0, 1.0, 0.0]), np.ones(3)
-    eps = B.allocate(w, c, 0.7, mechanism)
-    assert eps.sum() == pytest.approx(0.7) and eps[2] == pytest.approx(1e-3) and eps[0] > eps[1]
-    best = (w * B.moment(mechanism, eps)).sum()
-    for d in (0.02, -0.02):
-        moved = eps + np.array([d, -d, 0])
-        assert (w * B.moment(mechanism, moved)).sum() >= best - 1e-6 * abs(best)
-    assert B.allocate(np.zeros(0), np.zeros(0), 1.0, mechanism).size == 0
-    assert B.allocate(np.zeros(2), np.ones(2), 1.0, mechanism) == pytest.approx([0.5, 0.5])
+def expected_error(mechanism, eps, t, m=1000, variance=False):
+    """E|S - t| or Var(S), from the law's probabilities over the whole grid."""
+    s = np.arange(m)
+    if mechanism == "exp":
+        p = np.exp(-eps * np.abs(s - t) / 2)
+        p /= p.sum()
+    else:
+
+        def below(x):
+            q = np.exp(-eps)
+            gamma = np.sqrt(q) / (1 + np.sqrt(q))
+            g = np.floor(np.abs(x))
+            r = np.abs(x) - g
+            stair = np.where(r < gamma, 1 - q**g + (1 - q) * q ** (g - 0.5) * r, 1 - q ** (g + 0.5) + (1 - q) * q ** (g + 0.5) * (r - gamma))
+            beyond = stair if mechanism == "stair" else 1 - np.exp(-eps * np.abs(x))
+            return 0.5 + 0.5 * np.sign(x) * beyond
+
+        c = below(np.arange(m + 1) - t - 0.5)
+        c[0], c[-1] = 0, 1
+        p = np.diff(c)
+    return p @ (s**2.0) - (p @ s) ** 2 if variance else p @ np.abs(s - t)
+
+
+ROOTS = [("a", 2.0, 0.0, 10.0, 499.5), ("b", -0.3, 0.0, 300.0, 200.25), ("c", 0.0, 0.0, 1.0, 10.0), ("d", 5.0, 1.0, 2.0, 990.0)]
+
+
+@pytest.mark.parametrize("mechanism,weighted,variance", [("exp", False, False), ("exp", True, False), ("exp", False, True), ("blap", False, False), ("blap", True, False), ("stair", False, False), ("stair", True, False)])
+def test_exact_allocation(spark, mechanism, weighted, variance):
+    """No move of budget from one root to another helps; all of it is spent; small budgets and roots without weight are dealt as stated."""
+    rows = [("T", *r, e, m * e) for r in ROOTS for e in (0.0001, 0.01, 0.1, 1.0, 5.0) for m in (5.0, 13.0)]
+    df = spark.createDataFrame(rows, "template string, root string, h double, lo double, hi double, t double, eps double, budget double")
+    for (eps, budget), g in L.exact(df, mechanism, weighted, variance).toPandas().groupby(["eps", "budget"]):
+        g = g.sort_values("root")
+        width = (g.hi - g.lo).to_numpy()
+        w = (g.h.abs() * width / 999).to_numpy() ** (2 if variance else 1)
+        cost, x = width if weighted else np.ones(4), g.eps_root.to_numpy()
+        spend = eps * width.sum() if weighted else budget
+        assert (cost * x).sum() == pytest.approx(spend)
+        if eps == 0.0001:
+            assert x == pytest.approx(spend / cost.sum())
+            continue
+        assert x[2] == pytest.approx(1e-3)
+        value = lambda y: sum(k * expected_error(mechanism, e, t, variance=variance) for k, e, t in zip(w, y, g.t, strict=True))  # noqa: E731, B023
+        best = value(x)
+        for i, k in ((0, 1), (1, 0), (1, 3), (3, 1), (0, 3), (3, 0)):
+            y = x.copy()
+            d = 0.05 * min(x[i] * cost[i], x[k] * cost[k])
+            y[i] -= d / cost[i]
+            y[k] += d / cost[k]
+            if y[i] >= 1e-3:
+                assert value(y) >= best * (1 - 1e-9)
+
+
+def test_allocation_without_weights_is_even(spark):
+    df = spark.createDataFrame([("T", r, 0.0, 0.0, 1.0, 5.0, 0.1, 0.6) for r in "ab"], "template string, root string, h double, lo double, hi double, t double, eps double, budget double")
+    assert [r.eps_root for r in L.exact(df, "exp").collect()] == pytest.approx([0.3, 0.3])
+    assert L.exact(df.limit(0), "exp").count() == 0
+    with pytest.raises(ValueError, match="exponential law only"):
+        L.exact(df, "blap", variance=True)
 
 
 def test_map_index(spark):

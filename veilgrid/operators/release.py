@@ -103,16 +103,16 @@ def targets_sql(long: str, by: tuple[str, ...], value: str = "value", name: str
 SWEPT = ("mechanism", "config", "b_setting", "eps")
 
 
-def swept(entities: Mapping[str, DataFrame], cells: Mapping[str, DataFrame], mechanisms: tuple[str, ...]) -> DataFrame:
+def swept(entities: Mapping[str, DataFrame], cells: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
     """Releases of templates at every cell: (template, SWEPT, patient_id, truth, truth_class, target, target_class).
 
     entities, by template: patient_id and, for each root r, the columns r (value) and u_r (its uniform). cells, by
-    template: (config, b_setting, eps, eps_r for each root), of catalog size. Truths and uniforms are computed once
-    per entity; the cells are broadcast, and nothing is shuffled.
+    mechanism and template: (config, b_setting, eps, eps_r for each root), of catalog size. Truths and uniforms are
+    computed once per entity; the cells are broadcast, and nothing is shuffled.
     """
     spark = next(iter(entities.values())).sparkSession
-    frames = {f"e_{t}": e for t, e in entities.items()} | {f"c_{t}": F.broadcast(c) for t, c in cells.items()}
-    sql = " UNION ALL ".join(swept_sql(SPARK, f"{{e_{t}}}", f"{{c_{t}}}", templates()[t], m) for t in entities for m in mechanisms)
+    frames = {f"e_{t}": e for t, e in entities.items()} | {f"c_{t}_{m}": F.broadcast(c) for m, of in cells.items() for t, c in of.items()}
+    sql = " UNION ALL ".join(swept_sql(SPARK, f"{{e_{t}}}", f"{{c_{t}_{m}}}", templates()[t], m) for t in entities for m in cells)
     return spark.sql(sql, **frames)
 
 

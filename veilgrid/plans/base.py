@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK, Dialect
+from ..operators import allocation as L
 from ..operators import budget as B
 from ..operators import metrics as M
 from ..operators.derive import derived_columns, sensitivity_columns
@@ -21,8 +22,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 EPSILONS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0)
 SETTINGS = tuple(B.MULTIPLES)
 MECHANISMS = ("exp", "blap", "stair")
-#: What a root without influence on the target is released at.
-EPS_MIN = 1e-3
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -54,46 +53,119 @@ class Duck(Dialect):
 
 def catalog_sql(d: Dialect) -> str:
     """sens(template, root, lo, hi, h): each root's domain and the target's derivative by it at the public means."""
+    return " UNION ALL ".join(f"SELECT template, root, lo, hi, h FROM ({at_means_sql(d, t, PUBLIC_MEANS)})" for t in templates().values() if t.name in DOMAINS)
+
+
+def at_means_sql(d: Dialect, t: Template, means: Mapping[str, float]) -> str:
+    """(template, root, lo, hi, h, t): at the given means, the target's derivative by each root, and the root's place on the grid, to 4 digits."""
+    inner = "SELECT " + ", ".join(f"{d.num(means[r])} AS {d.quote(r)}" for r in t.roots)
+    for column, sql in derived_columns(d, t):
+        inner = f"SELECT *, {sql} AS {d.quote(column)} FROM ({inner})"
     parts = []
-    for t in templates().values():
-        if t.name not in DOMAINS:
-            continue
-        inner = "SELECT " + ", ".join(f"{d.num(PUBLIC_MEANS[r])} AS {d.quote(r)}" for r in t.roots)
-        for column, sql in derived_columns(d, t):
-            inner = f"SELECT *, {sql} AS {d.quote(column)} FROM ({inner})"
-        for root, h in sensitivity_columns(d, t):
-            lo, hi = t.domains[root]
-            parts.append(f"SELECT '{t.name}' AS template, '{root}' AS root, {d.num(lo)} AS lo, {d.num(hi)} AS hi, {d.double(h)} AS h FROM ({inner})")
+    for root, h in sensitivity_columns(d, t):
+        lo, hi = t.domains[root]
+        parts.append(f"SELECT '{t.name}' AS template, '{root}' AS root, {d.num(lo)} AS lo, {d.num(hi)} AS hi, {d.double(h)} AS h, {d.num(round((means[root] - lo) / (hi - lo) * 999, 4))} AS t FROM ({inner})")
     return " UNION ALL ".join(parts)
 
 
-def sensitivities(spark: SparkSession) -> DataFrame:
-    return spark.sql(catalog_sql(SPARK))
+def worked_out(spark: SparkSession, sql: str) -> DataFrame:
+    """The rows of SQL over constants alone, as a table of catalog size that plans can repeat."""
+    df = spark.sql(sql)
+    return spark.createDataFrame(df.collect(), df.schema)
 
 
-def allocations(spark: SparkSession) -> DataFrame:
-    """(template, root, lo, hi, h, eps, b_setting, k, budget, config, eps_root) for the configs all, roots and opt."""
-    grid = spark.createDataFrame([(e,) for e in EPSILONS], "eps double")
-    rows = B.with_budget(sensitivities(spark), grid)
-    every = rows.withColumn("eps_root", F.col("eps")).withColumn("config", F.lit("all"))
-    even = B.uniform(rows).withColumn("config", F.lit("roots"))
-    best = B.square_root(rows).withColumn("eps_root", F.greatest("eps_root", F.lit(EPS_MIN))).withColumn("config", F.lit("opt"))
-    return every.unionByName(even).unionByName(best)
+def sensitivities(spark: SparkSession) -> DataFrame:
+    return worked_out(spark, catalog_sql(SPARK))
+
+
+#: By law, the rows of allocations: of catalog size, the same for all data, worked out once.
+ALLOCATED: dict[str, list[tuple]] = {}
+ALLOCATION_SCHEMA = "template string, root string, lo double, hi double, h double, eps double, b_setting string, k long, budget double, config string, eps_root double"
+
+
+def grid_of_budgets(spark: SparkSession) -> DataFrame:
+    """(template, root, lo, hi, h, eps, b_setting, k, budget): the sensitivities at the public means, with every budget."""
+    return B.with_budget(sensitivities(spark), spark.createDataFrame([(e,) for e in EPSILONS], "eps double"))
+
+
+def allocations(spark: SparkSession, mechanism: str = "exp") -> DataFrame:
+    """(template, root, lo, hi, h, eps, b_setting, k, budget, config, eps_root) for the configs all, roots and opt.
+
+    opt is the exact optimum under the law, for values that may be anywhere on the grid (their places are put at its middle).
+    """
+    if mechanism not in ALLOCATED:
+        rows = grid_of_budgets(spark)
+        every = rows.withColumn("eps_root", F.col("eps")).withColumn("config", F.lit("all"))
+        even = B.uniform(rows).withColumn("config", F.lit("roots"))
+        best = L.exact(rows.withColumn("t", F.lit(L.CENTRE)), mechanism).drop("t").withColumn("config", F.lit("opt"))
+        names = [c.split()[0] for c in ALLOCATION_SCHEMA.split(", ")]
+        ALLOCATED[mechanism] = [tuple(r) for r in every.unionByName(even).unionByName(best).select(*names).collect()]
+    return spark.createDataFrame(ALLOCATED[mechanism], ALLOCATION_SCHEMA)
+
+
+def exact_sql(rows: str, mechanism: str, weighted: bool = False, variance: bool = False, name: str = "best") -> str:
+    """CTEs that end in `name`: the rows of a CTE (template, root, h, lo, hi, t, eps, b_setting, budget, ..) with eps_root.
+
+    The definition that operators/allocation.py gives, written for DuckDB.
+    """
+    cost = "(hi - lo)" if weighted else "1::DOUBLE"
+    weight = "power(h * (hi - lo) / 999, 2)" if variance else "abs(h) * (hi - lo) / 999"
+    if mechanism == "exp":
+        tilt = "sum(p * y * y * d) / sum(p) - 2 * (sum(p * y) / sum(p)) * (sum(p * y * d) / sum(p)) - (sum(p * y * y) / sum(p) - 2 * power(sum(p * y) / sum(p), 2)) * (sum(p * d) / sum(p))"
+        gain = f"({tilt if variance else 'sum(p * d * d) / sum(p) - power(sum(p * d) / sum(p), 2)'}) / 2"
+        terms = "SELECT *, exp(-eps * d / 2) AS p FROM (SELECT t, j, eps, s - t AS y, abs(s - t) - least(t - floor(t), ceil(t) - t) AS d FROM cells_g)"
+    else:
+        gain = "sum(step * falls) / 2"
+        q = lambda c: f"(g + {c}) * exp(-eps * (g + {c}))"
+        stair = (
+            f"CASE WHEN x - g < gamma THEN {q(0)} + (x - g) * ({q(0.5)} - {q(-0.5)}) "
+            f"ELSE {q(0.5)} + (x - g - gamma) * ({q(1.5)} - {q(0.5)}) + (exp(-eps * (g + 0.5)) - exp(-eps * (g + 1.5))) * gamma / (2 * (1 + exp(-eps / 2))) END"
+        )
+        terms = f"SELECT *, {'x * exp(-eps * x)' if mechanism == 'blap' else stair} AS falls FROM (SELECT *, floor(x) AS g, 1 / (1 + exp(eps / 2)) AS gamma FROM (SELECT t, j, eps, abs(s + 0.5::DOUBLE - t) AS x, CASE WHEN s + 0.5::DOUBLE > t THEN 1 WHEN s + 0.5::DOUBLE < t THEN -1 ELSE 0 END * (abs(s + 1 - t) - abs(s - t)) AS step FROM cells_g WHERE s < 999))"
+    by = "OVER (PARTITION BY template, root ORDER BY level DESC, of, j ROWS BETWEEN"
+    low = f"ln({L.EPS_LOW!r}::DOUBLE)"
+    out = f"""roots_g AS MATERIALIZED (SELECT DISTINCT template, root, {weight} AS weight, {cost} AS cost, t::DOUBLE AS t FROM {rows}),
+    cells_g AS (SELECT t, j, exp({low} + j * ln({L.EPS_HIGH / L.EPS_LOW!r}::DOUBLE) / {L.STEPS - 1}) AS eps, s::DOUBLE AS s FROM (SELECT DISTINCT t FROM roots_g WHERE weight > 0) CROSS JOIN range({L.STEPS}) g(j) CROSS JOIN range(1000) v(s)),
+    gains_g AS MATERIALIZED (SELECT t, j, eps, {gain} AS gain FROM ({terms}) GROUP BY t, j, eps),
+    points_g AS MATERIALIZED (SELECT template, root AS of, j, ln(eps) AS x, ln(weight * greatest(min(gain) OVER (PARTITION BY template, root ORDER BY j), 1e-300) / cost) AS level FROM roots_g JOIN gains_g USING (t) WHERE weight > 0),
+    steps_g AS (SELECT template, root, of, j, cost, level, CASE WHEN of = root THEN x END AS x, CASE WHEN of = root THEN level END AS own FROM points_g JOIN roots_g USING (template) WHERE weight > 0),
+    between_g AS (SELECT template, root, cost, level, row_number() OVER (PARTITION BY template, root ORDER BY level DESC, of, j) AS place,
+        last_value(x IGNORE NULLS) {by} UNBOUNDED PRECEDING AND CURRENT ROW) AS ax, last_value(own IGNORE NULLS) {by} UNBOUNDED PRECEDING AND CURRENT ROW) AS al,
+        first_value(x IGNORE NULLS) {by} CURRENT ROW AND UNBOUNDED FOLLOWING) AS bx, first_value(own IGNORE NULLS) {by} CURRENT ROW AND UNBOUNDED FOLLOWING) AS bl FROM steps_g),
+    at_g AS MATERIALIZED (SELECT template, root, place, cost, exp(CASE WHEN ax IS NULL THEN {low} WHEN bx IS NULL THEN ln({L.EPS_HIGH!r}::DOUBLE) WHEN al > bl THEN ax + (al - level) / (al - bl) * (bx - ax) ELSE ax END) AS e FROM between_g),
+    totals_g AS (SELECT template, place, total, lead(total) OVER (PARTITION BY template ORDER BY place) AS next_total FROM
+        (SELECT template, place, sum(cost * e) + coalesce((SELECT sum(cost) * {L.EPS_LOW!r} FROM roots_g r WHERE r.template = a.template AND weight <= 0), 0) AS total FROM at_g a GROUP BY 1, 2)),
+    spend_g AS (SELECT template, eps, budget, {'eps * sum(hi - lo)' if weighted else 'budget'} AS spend FROM {rows} GROUP BY template, eps, budget),
+    met_g AS MATERIALIZED (SELECT template, eps, budget, place, coalesce((spend - total) / (next_total - total), 0) AS way FROM totals_g JOIN spend_g USING (template) WHERE total <= spend AND (spend < next_total OR next_total IS NULL)),
+    found_g AS (SELECT m.template, a.root, m.eps, m.budget, a.e + way * (coalesce(b.e, a.e) - a.e) AS e FROM met_g m JOIN at_g a USING (template, place) LEFT JOIN at_g b ON b.template = a.template AND b.root = a.root AND b.place = a.place + 1),
+    heavy_g AS (SELECT template, max(weight) AS heaviest, sum(cost) AS costs FROM roots_g GROUP BY 1),
+    {name} AS MATERIALIZED (SELECT o.*, CASE WHEN even <= {L.EPS_LOW!r} OR heaviest <= 0 THEN even ELSE coalesce(e, {L.EPS_LOW!r}) END AS eps_root
+        FROM (SELECT s.*, heaviest, {'eps' if weighted else 'budget / costs'} AS even FROM {rows} s JOIN heavy_g USING (template)) o LEFT JOIN found_g USING (template, root, eps, budget))"""
+    for c in ("roots", "cells", "gains", "points", "steps", "between", "at", "totals", "spend", "met", "found", "heavy"):
+        out = out.replace(f"{c}_g", f"{name}_{c}")
+    return out
 
 
-def allocations_sql() -> str:
+def allocations_sql(mechanism: str = "exp") -> str:
+    """The CTEs sens, grid, budgets and allocs, of which the last is allocations(mechanism)."""
     eps = ", ".join(f"({e}::DOUBLE)" for e in EPSILONS)
     settings = ", ".join(f"('{s}', {1 if s[0] == 'k' else s[0]})" for s in SETTINGS)
     return f"""
     sens AS ({catalog_sql(DUCK)}),
     grid AS (SELECT s.*, count(*) OVER (PARTITION BY template, eps, b_setting) AS k, eps, b_setting, times FROM sens s
              CROSS JOIN (VALUES {eps}) e(eps) CROSS JOIN (VALUES {settings}) b(b_setting, times)),
-    budgets AS (SELECT template, root, lo, hi, h, eps, b_setting, k, (times * k + 1) * eps AS budget,
-                       sqrt(abs(h) * (hi - lo) / 999) AS w FROM grid),
-    allocs AS (
-        SELECT template, root, lo, hi, h, eps, b_setting, k, budget, 'all' AS config, eps AS eps_root FROM budgets
-        UNION ALL SELECT template, root, lo, hi, h, eps, b_setting, k, budget, 'roots', budget / k FROM budgets
-        UNION ALL SELECT template, root, lo, hi, h, eps, b_setting, k, budget, 'opt', greatest(budget * w / sum(w) OVER (PARTITION BY template, eps, b_setting), {EPS_MIN}::DOUBLE) FROM budgets)"""
+    budgets AS (SELECT template, root, lo, hi, h, eps, b_setting, k, (times * k + 1) * eps AS budget, {L.CENTRE!r}::DOUBLE AS t FROM grid),
+    {law_sql(mechanism, 'allocs')}"""
+
+
+def law_sql(mechanism: str, name: str) -> str:
+    """CTEs that end in `name`: allocations(mechanism), from budgets."""
+    columns = "template, root, lo, hi, h, eps, b_setting, k, budget"
+    return f"""{exact_sql('budgets', mechanism, name=f'{name}_opt')},
+    {name} AS (
+        SELECT {columns}, 'all' AS config, eps AS eps_root FROM budgets
+        UNION ALL SELECT {columns}, 'roots', budget / k FROM budgets
+        UNION ALL SELECT {columns}, 'opt', eps_root FROM {name}_opt)"""
 
 
 BY = ("config", "b_setting", "eps", "patient_id")
@@ -101,13 +173,13 @@ BY = ("config", "b_setting", "eps", "patient_id")
 
 def observations(spark: SparkSession, sf_dir: str, mechanism: str = "exp") -> DataFrame:
     """(template, config, b_setting, eps, patient_id, root, value, idx, released, lo, hi, eps_root, h)."""
-    rows = patients(spark, sf_dir).join(F.broadcast(allocations(spark).drop("k", "budget")), ["template", "root"])
+    rows = patients(spark, sf_dir).join(F.broadcast(allocations(spark, mechanism).drop("k", "budget")), ["template", "root"])
     return release(rows, mechanism, paired=True)
 
 
 def observations_sql(mechanism: str = "exp") -> str:
     index, value = release_sql(DUCK, mechanism, ("template", "root", "patient_id"))
-    return f"""{patients_sql()}, {allocations_sql()},
+    return f"""{patients_sql()}, {allocations_sql(mechanism)},
     obs0 AS (SELECT p.patient_id, p.value, a.* FROM patients p JOIN allocs a USING (template, root)),
     obs1 AS (SELECT *, {index} AS idx FROM obs0),
     obs AS (SELECT *, {value} AS released FROM obs1)"""
@@ -123,16 +195,17 @@ def swept_uniform(d: Dialect, template: str, root: str) -> str:
     return d.uniform(f"'{SECRET}'", f"'{template}'", f"'{root}'", "patient_id")
 
 
-def cell_rows(spark: SparkSession) -> dict[str, DataFrame]:
+def cell_rows(spark: SparkSession, mechanism: str = "exp") -> dict[str, DataFrame]:
     """Of each template, (config, b_setting, eps, eps_<root>): a table of catalog size, made once."""
-    rows = allocations(spark).select("template", "root", "config", "b_setting", "eps", "eps_root").collect()
+    allocations(spark, mechanism)
+    rows = [dict(zip([c.split()[0] for c in ALLOCATION_SCHEMA.split(", ")], r, strict=True)) for r in ALLOCATED[mechanism]]
     out = {}
-    for name in sorted({r.template for r in rows}):
+    for name in sorted({r["template"] for r in rows}):
         roots = templates()[name].roots
         cells: dict[tuple, dict[str, float]] = {}
         for r in rows:
-            if r.template == name:
-                cells.setdefault((r.config, r.b_setting, r.eps), {})[r.root] = r.eps_root
+            if r["template"] == name:
+                cells.setdefault((r["config"], r["b_setting"], r["eps"]), {})[r["root"]] = r["eps_root"]
         schema = "config string, b_setting string, eps double, " + ", ".join(f"eps_{r} double" for r in roots)
         out[name] = spark.createDataFrame([(*k, *(v[r] for r in roots)) for k, v in sorted(cells.items())], schema)
     return out
@@ -140,18 +213,21 @@ def cell_rows(spark: SparkSession) -> dict[str, DataFrame]:
 
 def results(spark: SparkSession, sf_dir: str, mechanisms: tuple[str, ...] = ("exp",), where: str = "TRUE") -> DataFrame:
     """(template, mechanism, config, b_setting, eps, patient_id, truth, truth_class, target, target_class) of the cells that `where` leaves."""
-    rows = {t: c.where(where) for t, c in cell_rows(spark).items()}
-    return swept({t: swept_entities(spark, sf_dir, templates()[t]) for t in rows}, rows, mechanisms)
+    rows = {m: {t: c.where(where) for t, c in cell_rows(spark, m).items()} for m in mechanisms}
+    names = list(next(iter(rows.values())))
+    return swept({t: swept_entities(spark, sf_dir, templates()[t]) for t in names}, rows)
 
 
 def results_sql(mechanisms: tuple[str, ...] = ("exp",), where: str = "TRUE") -> str:
-    ctes, parts = [], []
+    ctes, parts = [law_sql(m, f"allocs_{m}") for m in mechanisms if m != "exp"], []
     for t in (t for t in templates().values() if t.name in DOMAINS):
         columns = ", ".join(f'{root_value(DUCK, t.name, r, "c_custkey")} AS "{r}", {swept_uniform(DUCK, t.name, r).replace("patient_id", "c_custkey")} AS u_{r}' for r in t.roots)
         picks = ", ".join(f"max(CASE WHEN root = '{r}' THEN eps_root END) AS eps_{r}" for r in t.roots)
         ctes.append(f"e_{t.name} AS MATERIALIZED (SELECT c_custkey AS patient_id, {columns} FROM customer)")
-        ctes.append(f"c_{t.name} AS MATERIALIZED (SELECT config, b_setting, eps, {picks} FROM allocs WHERE template = '{t.name}' AND {where} GROUP BY 1, 2, 3)")
-        parts += [swept_sql(DUCK, f"e_{t.name}", f"c_{t.name}", t, m) for m in mechanisms]
+        for m in mechanisms:
+            source = "allocs" if m == "exp" else f"allocs_{m}"
+            ctes.append(f"c_{t.name}_{m} AS MATERIALIZED (SELECT config, b_setting, eps, {picks} FROM {source} WHERE template = '{t.name}' AND {where} GROUP BY 1, 2, 3)")
+            parts.append(swept_sql(DUCK, f"e_{t.name}", f"c_{t.name}_{m}", t, m))
     return f"{patients_sql()}, {allocations_sql()}, {', '.join(ctes)}, results AS ({' UNION ALL '.join(parts)})"
 
 

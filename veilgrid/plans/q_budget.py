@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions import mechanisms as N
 from ..functions.dialect import DUCK, SPARK, Dialect
+from ..operators import allocation as L
 from ..operators import budget as B
 from ..operators import release as R
 from ..operators.derive import bind, class_sql, derived_columns, layered_sql, sensitivity_columns, with_derived
 from ..sources.tables import patients, patients_sql, table, wide, wide_sql
-from .base import BY, EPS_MIN, EPSILONS, allocations, allocations_sql, observations, observations_sql, portable, query, results, results_sql, rounded, sensitivities
+from .base import BY, EPSILONS, allocations, allocations_sql, at_means_sql, exact_sql, grid_of_budgets, observations, observations_sql, portable, query, results, results_sql, rounded, sensitivities, worked_out
 from .catalog import DOMAINS, LIPSCHITZ, PRICING, Template, templates
 from .q_release import LINE, LINE_KEYS, P
 
@@ -52,13 +53,24 @@ def bud1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("template", "x.b_setting", "eps", F.round(budget, 6).alias("budget"), F.round(budget * F.col("patients"), 4).alias("all_patients"))
 
 
-for _name, _config in (("bud2_uniform", "roots"), ("bud7_square_root", "opt")):
+@query("bud2_uniform", f"{P}, {allocations_sql()} SELECT template, root, b_setting, eps, round(eps_root, 6) AS eps_root, n FROM allocs {COUNTED} WHERE config = 'roots'")
+def bud2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = counted(spark, sf_dir, allocations(spark).where("config = 'roots'"))
+    return rounded(a.select("template", "root", "b_setting", "eps", "eps_root", "n"), 6)
 
-    def _alloc(spark: SparkSession, sf_dir: str, config: str = _config) -> DataFrame:
-        a = counted(spark, sf_dir, allocations(spark).where(F.col("config") == config))
-        return rounded(a.select("template", "root", "b_setting", "eps", "eps_root", "n"), 6)
 
-    query(_name, f"{A} SELECT template, root, b_setting, eps, round(eps_root, 6) AS eps_root, n FROM allocs {COUNTED} WHERE config = '{_config}'")(_alloc)
+#: What a root without influence on the target is released at.
+EPS_MIN = 1e-3
+
+
+@query(
+    "bud7_square_root",
+    f"{P}, {allocations_sql()}, w AS (SELECT *, sqrt(abs(h) * (hi - lo) / 999) AS w FROM budgets) SELECT template, root, b_setting, eps, round(greatest(budget * w / sum(w) OVER (PARTITION BY template, eps, b_setting), {EPS_MIN}::DOUBLE), 6) AS eps_root, n FROM w {COUNTED}",
+)
+def bud7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed form under the continuous law, with a least budget."""
+    best = B.square_root(grid_of_budgets(spark)).withColumn("eps_root", F.greatest("eps_root", F.lit(EPS_MIN)))
+    return rounded(counted(spark, sf_dir, best).select("template", "root", "b_setting", "eps", "eps_root", "n"), 6)
 
 
 def inherited_sql() -> str:
@@ -136,30 +148,52 @@ for _name, _widths in (("bud6_cube_root", True), ("bud6_cube_root_plain", False)
 
 
 def own_sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(template, root, lo, hi, h): the target's derivative by each root at the mean of the table's own patients."""
-    means = patients(spark, sf_dir).groupBy("template").pivot("root", sorted({r for t in templates().values() if t.name in DOMAINS for r in t.roots})).agg(F.avg("value"))
+    """(template, root, lo, hi, h, t): at the mean of the table's own patients, the target's derivative by each root and the root's place on the grid.
+
+    One aggregate; a mean for each root of the catalog comes to the driver, so the table is read once.
+    """
+    means: dict[str, dict[str, float]] = {}
+    for r in patients(spark, sf_dir).groupBy("template", "root").agg(F.avg("value").alias("mean")).collect():
+        means.setdefault(r.template, {})[r.root] = r["mean"]
+    schema = "template string, root string, lo double, hi double, h double, t double"
+    return worked_out(spark, " UNION ALL ".join(at_means_sql(SPARK, templates()[t], m) for t, m in sorted(means.items()))) if means else spark.createDataFrame([], schema)
+
+
+def own_means_sql(means: str, t: Template) -> str:
+    sql = means
+    for column, expression in derived_columns(D, t):
+        sql = f"SELECT *, {expression} AS {D.quote(column)} FROM ({sql})"
+    rows = []
+    for r, h in sensitivity_columns(D, t):
+        lo, hi = map(D.num, t.domains[r])
+        rows.append(f"SELECT '{t.name}' AS template, '{r}' AS root, {lo} AS lo, {hi} AS hi, {D.double(h)} AS h, round(({D.quote(r)} - {lo}) / ({hi} - {lo}) * 999, 4) AS t FROM ({sql})")
+    return " UNION ALL ".join(rows)
+
+
+def own_budgets_sql() -> str:
+    """own: the table's own sensitivities and places with every budget."""
     parts = []
     for t in (t for t in templates().values() if t.name in DOMAINS):
-        w = with_derived(means.where(F.col("template") == t.name), t)
-        rows = [F.struct(F.lit(r).alias("root"), F.lit(float(t.domains[r][0])).alias("lo"), F.lit(float(t.domains[r][1])).alias("hi"), F.expr(h).cast("double").alias("h")) for r, h in sensitivity_columns(SPARK, t)]
-        parts.append(w.select("template", F.explode(F.array(*rows)).alias("x")).select("template", "x.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+        picks = ", ".join(f"avg(CASE WHEN root = '{r}' THEN value END) AS {D.quote(r)}" for r in t.roots)
+        parts.append(f"m_{t.name} AS MATERIALIZED (SELECT {picks} FROM patients WHERE template = '{t.name}'), o_{t.name} AS ({own_means_sql(f'SELECT * FROM m_{t.name}', t)})")
+    union = " UNION ALL ".join(f"SELECT * FROM o_{t.name}" for t in templates().values() if t.name in DOMAINS)
+    eps = ", ".join(f"({e}::DOUBLE)" for e in EPSILONS)
+    return f"{P}, {', '.join(parts)}, own AS MATERIALIZED (SELECT o.*, eps, b_setting, (times * count(*) OVER (PARTITION BY template, eps, b_setting) + 1) * eps AS budget FROM ({union}) o CROSS JOIN (VALUES {eps}) e(eps) CROSS JOIN (VALUES ('k+1', 1), ('2k+1', 2), ('3k+1', 3)) b(b_setting, times))"
 
 
 _EXACT = [(m, w, False) for m in ("exp", "blap", "stair") for w in (False, True)] + [("exp", False, True), ("exp", True, True)]
 for _k, (_mechanism, _weighted, _variance) in enumerate(_EXACT):
 
     def _exact(spark: SparkSession, sf_dir: str, mechanism: str = _mechanism, weighted: bool = _weighted, variance: bool = _variance) -> DataFrame:
-        """The exact allocation of every cell, with sensitivities at the patients' own means."""
+        """The exact allocation of every budget, with sensitivities and places at the patients' own means."""
         grid = spark.createDataFrame([(e,) for e in EPSILONS], "eps double")
-        rows = B.with_budget(own_sensitivities(spark, sf_dir), grid)
-        out = B.exact(rows, mechanism, weighted, variance=variance)
-        return out.select("template", "root", "b_setting", "eps", F.round("h", 6).alias("h"), F.round("budget", 6).alias("budget"), F.round("eps_root", 6).alias("eps_root"))
+        out = L.exact(B.with_budget(own_sensitivities(spark, sf_dir), grid), mechanism, weighted, variance)
+        return out.select("template", "root", "b_setting", "eps", F.round("h", 6).alias("h"), F.round("budget", 6).alias("budget"), F.round("eps_root", 5).alias("eps_root"))
 
-    query(f"bud{8 + _k % 6}_exact_{_mechanism}{'_weighted' if _weighted else ''}{'_var' if _variance else ''}")(_exact)
+    query(
+        f"bud{8 + _k % 6}_exact_{_mechanism}{'_weighted' if _weighted else ''}{'_var' if _variance else ''}",
+        f"{own_budgets_sql()}, {exact_sql('own', _mechanism, _weighted, _variance)} SELECT template, root, b_setting, eps, round(h, 6) AS h, round(budget, 6) AS budget, round(eps_root, 5) AS eps_root FROM best",
+    )(_exact)
 
 
 def moments(d: Dialect) -> str:
@@ -238,23 +272,26 @@ for _name, _mechanism, _eps in (("rel3_root_space", "exp", {r: 0.1 for r in PRIC
     query(_name, f"SELECT {LINE}, round(r_l_extendedprice, 3) AS price, round(r_charge, 2) AS charge FROM ({R.released_columns_sql('lineitem', PRICING, _eps, _mechanism, LINE_KEYS)})")(_released)
 
 
-def pricing_budgets(spark: SparkSession, sf_dir: str, eps: float, weighted: bool) -> DataFrame:
-    """One row with eps_<root>: the square-root allocation of (k + 1) eps at the mean line, rounded to 5 digits."""
-    lines = table(spark, sf_dir, "lineitem").agg(*[F.round(F.avg(r), 6).alias(r) for r in PRICING.roots])
-    at_mean = with_derived(lines, PRICING)
-    rows = [F.struct(F.lit(r).alias("root"), F.lit(float(PRICING.domains[r][0])).alias("lo"), F.lit(float(PRICING.domains[r][1])).alias("hi"), F.expr(h).cast("double").alias("h")) for r, h in sensitivity_columns(SPARK, PRICING)]
-    long = at_mean.select(F.explode(F.array(*rows)).alias("x")).select("x.*", F.lit("PRICING").alias("template"), F.lit(eps).alias("eps"), F.lit("k+1").alias("b_setting"), F.lit(eps * (len(PRICING.roots) + 1)).alias("budget"))
-    return B.square_root(long, weighted=weighted).agg(*[F.round(F.max(F.when(F.col("root") == r, F.col("eps_root"))), 5).alias(f"eps_{r}") for r in PRICING.roots])
+def pricing_budgets(spark: SparkSession, sf_dir: str, eps: float, mechanism: str, weighted: bool) -> DataFrame:
+    """One row with eps_<root>: the exact allocation under a law of (k + 1) eps at the mean line, rounded to 5 digits."""
+    means = table(spark, sf_dir, "lineitem").agg(*[F.round(F.avg(r), 6).alias(r) for r in PRICING.roots]).first().asDict()
+    if None in means.values():  # no line to release
+        return spark.createDataFrame([], ", ".join(f"eps_{r} double" for r in PRICING.roots))
+    budget = eps * (len(PRICING.roots) + 1)
+    rows = worked_out(spark, at_means_sql(SPARK, PRICING, means)).withColumns({"eps": F.lit(eps), "budget": F.lit(budget)})
+    return L.exact(rows, mechanism, weighted).agg(*[F.round(F.max(F.when(F.col("root") == r, F.col("eps_root"))), 5).alias(f"eps_{r}") for r in PRICING.roots])
 
 
-def pricing_budgets_sql(eps: float, weighted: bool) -> str:
-    """The same from the derivatives written out: (1 - d)(1 + t), -p (1 + t), p (1 - d)."""
-    h = {"l_extendedprice": "(1 - d) * (1 + t)", "l_discount": "-p * (1 + t)", "l_tax": "p * (1 - d)"}
-    width = {r: PRICING.domains[r][1] - PRICING.domains[r][0] for r in PRICING.roots}
-    w = {r: f"sqrt(abs({h[r]}))" if weighted else f"sqrt(abs({h[r]}) * {width[r]!r}::DOUBLE / 999)" for r in PRICING.roots}
-    total = " + ".join(f"{w[r]} * {width[r]!r}::DOUBLE" if weighted else w[r] for r in PRICING.roots)
-    budget = f"{eps * sum(width.values())!r}::DOUBLE" if weighted else f"{eps * (len(width) + 1)!r}::DOUBLE"
-    return "(SELECT " + ", ".join(f"round({budget} * {w[r]} / ({total}), 5) AS eps_{r}" for r in PRICING.roots) + " FROM (SELECT round(avg(l_extendedprice), 6) AS p, round(avg(l_discount), 6) AS d, round(avg(l_tax), 6) AS t FROM lineitem))"
+def pricing_budgets_sql(eps: float, mechanism: str, weighted: bool) -> str:
+    """CTEs that end in budgeted, the lines with their roots' budgets; the derivatives written out: (1 - d)(1 + t), -p (1 + t), p (1 - d)."""
+    h = {"l_extendedprice": "(1 - l_discount) * (1 + l_tax)", "l_discount": "-l_extendedprice * (1 + l_tax)", "l_tax": "l_extendedprice * (1 - l_discount)"}
+    rows = " UNION ALL ".join(
+        f"SELECT 'PRICING' AS template, '{r}' AS root, {D.num(lo)} AS lo, {D.num(hi)} AS hi, {h[r]} AS h, round(({r} - {D.num(lo)}) / ({D.num(hi)} - {D.num(lo)}) * 999, 4) AS t, {D.num(eps)} AS eps, {D.num(eps * (len(h) + 1))} AS budget FROM mean_line"
+        for r, (lo, hi) in ((r, PRICING.domains[r]) for r in PRICING.roots)
+    )
+    picks = ", ".join(f"round(max(CASE WHEN root = '{r}' THEN eps_root END), 5) AS eps_{r}" for r in PRICING.roots)
+    means = ", ".join(f"round(avg({r}), 6) AS {r}" for r in PRICING.roots)
+    return f"WITH mean_line AS MATERIALIZED (SELECT {means} FROM lineitem), own AS MATERIALIZED ({rows}), {exact_sql('own', mechanism, weighted)}, budgeted AS (SELECT * FROM lineitem CROSS JOIN (SELECT {picks} FROM best))"
 
 
 BUDGETED = {r: f"eps_{r}" for r in PRICING.roots}
@@ -262,11 +299,11 @@ for _name, _mechanism, _weighted in (("rel5_optimised", "exp", False), ("rel5_op
 
     def _optimised(spark: SparkSession, sf_dir: str, mechanism: str = _mechanism, weighted: bool = _weighted) -> DataFrame:
         """The table's own allocation, broadcast as one row, and a release at it."""
-        lines = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(pricing_budgets(spark, sf_dir, 0.1, weighted)))
+        lines = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(pricing_budgets(spark, sf_dir, 0.1, mechanism, weighted)))
         r = R.released_columns(lines, PRICING, BUDGETED, mechanism, LINE_KEYS)
         return r.select(*LINE_KEYS, F.round("r_l_extendedprice", 3).alias("price"), F.round("r_charge", 2).alias("charge"))
 
-    query(_name, f"SELECT {LINE}, round(r_l_extendedprice, 3) AS price, round(r_charge, 2) AS charge FROM ({R.released_columns_sql('(SELECT * FROM lineitem CROSS JOIN ' + pricing_budgets_sql(0.1, _weighted) + ')', PRICING, BUDGETED, _mechanism, LINE_KEYS)})")(_optimised)
+    query(_name, f"{pricing_budgets_sql(0.1, _mechanism, _weighted)} SELECT {LINE}, round(r_l_extendedprice, 3) AS price, round(r_charge, 2) AS charge FROM ({R.released_columns_sql('budgeted', PRICING, BUDGETED, _mechanism, LINE_KEYS)})")(_optimised)
 
 
 @query("rel7_closed_form", f"{A}, cube AS ({clamp_sql()}), o0 AS (SELECT p.patient_id, p.value, c.* FROM patients p JOIN cube c USING (template, root) WHERE b_setting = '3k+1' AND eps = 0.1), o1 AS (SELECT *, {R.release_sql(D, 'exp', ('template', 'root', 'patient_id'))[0]} AS idx FROM o0) SELECT template, root, sum(idx)::BIGINT AS total FROM o1 GROUP BY ALL")
