@@ -142,6 +142,25 @@ def test_allocation_without_weights_is_even(spark):
         L.exact(df, "blap", variance=True)
 
 
+@pytest.mark.parametrize("mechanism,rate", [("exp", 0.5), ("blap", 1.0), ("stair", 1.0)])
+def test_best_index_of_all_grid_points(spark, mechanism, rate):
+    """Against the whole grid's scores: releases in the middle and at the ends, priors that are narrow, wide, far off or missing."""
+    rng = np.random.default_rng(8)
+    s, rows, want = np.arange(1000), [], {}
+    for k in range(400):
+        eps, centre = float(rng.choice([0.002, 0.01, 0.1, 0.5, 2.0])), int(rng.choice([rng.integers(0, 1000), rng.integers(0, 20), rng.integers(980, 1000)]))
+        obs = np.clip(np.rint(centre + rng.laplace(0, 2 / eps, int(rng.integers(1, 18)))), 0, 999).astype(int)
+        mean = float(rng.choice([centre, rng.uniform(0, 999)]))
+        std = float(rng.choice([0.5, 5, 60, 300, 3000])) if rng.random() < 0.8 else None
+        f = rate * eps
+        score = -f * np.abs(s[:, None] - obs).sum(1) - len(obs) * np.log(np.exp(-f * np.abs(s[:, None] - s)).sum(1))
+        want[k] = int((score - (0 if std is None else 0.5 * ((s - mean) / std) ** 2)).round(9).argmax())
+        rows.append((k, obs.tolist(), eps, mean, std))
+    rows += [(-1, [], 0.1, 5.0, 1.0), (-2, [3, 3, 900], 0.1, None, 0.0)]
+    df = spark.createDataFrame(rows, "k int, obs array<int>, eps double, mean double, std double")
+    assert {r.k: r.map_idx for r in A.with_best_index(df, mechanism).collect()} == want | {-1: 500, -2: 3}
+
+
 def test_map_index(spark):
     obs = spark.createDataFrame([("T", 1, "r", i, 0.5, None, None) for i in (10, 12, 40)] + [("T", 2, "r", 700, 0.1, 100.0, 5.0)], "template string, patient_id long, root string, idx long, eps_root double, prior_mean double, prior_std double")
     got = {r.patient_id: r.map_idx for r in A.map_index(obs, "exp").collect()}

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,51 +23,58 @@ def lower_median(index: str = "idx") -> Column:
     return F.element_at(F.array_sort(F.collect_list(index)), F.floor((F.count(index) + 1) / 2).cast("int"))
 
 
-def log_kernel(mechanism: str, eps: float, m: int) -> np.ndarray:
-    """ln probability of index s (column) at true index t (row).
+#: Halvings that find one of up to 2**11 grid points.
+HALVINGS = 11
+RATES = {"exp": 0.5, "blap": 1.0, "stair": 1.0}
 
-    Of the staircase, all whole distances lie in the first part of a step, whose weight cancels: on the grid its
-    likelihood is that of the Laplace law, exp(-eps * lag).
+
+def with_best_index(rows: DataFrame, mechanism: str, m: int = 1000, eps: str = "eps") -> DataFrame:
+    """rows (obs, eps, mean, std, ..) with `map_idx`: the most likely index given the array obs of releases at eps, under a
+    Gaussian prior on the grid (std null or not positive: none). The first of equal maxima wins; without any release, m // 2.
+
+    The log probability of index o at true index s is -f |s - o| - ln Z(s), f the law's rate times eps, with Z the sum over
+    the grid: of the staircase all whole distances lie in the first part of a step, whose weight cancels. Summed over the
+    releases and with the prior, it is piecewise smooth in s. Z falls towards the ends of the grid, which bends the sum
+    upwards there; the prior bends it down, everywhere alike. So there is one stretch, the same distance from either end,
+    in which the sum is concave, and a search by halves finds its best index there; outside, the best one is an end or a
+    release, as between those the sum is convex. These few candidates are compared in full.
     """
-    s = np.arange(m)
-    lag = np.abs(s[:, None] - s[None, :])
-    kernel = -(eps / 2 if mechanism == "exp" else eps) * lag
-    return kernel - np.log(np.exp(kernel).sum(axis=1, keepdims=True))
+    f, n = F.col("_vg_f"), F.size("obs")
+    log_z = lambda s: F.ln(1 + F.exp(-f) - F.exp(-f * (s + 1)) - F.exp(-f * (m - s)))  # noqa: E731  but for a constant
+    prior, first, inner = F.col("_vg_p"), F.col("_vg_1"), F.col("_vg_i")
+    bend = lambda s: -n * (log_z(s + 1) - 2 * log_z(s) + log_z(s - 1))
+    below = lambda s: F.aggregate("obs", F.lit(0), lambda k, o: k + (o <= s).cast("int"))
+    gain = lambda s: f * (n - 2 * below(s)) - n * (log_z(s + 1) - log_z(s)) - (s + 0.5 - F.col("mean")) * prior
+    score = lambda s: -f * F.aggregate("obs", F.lit(0.0), lambda t, o: t + F.abs(s - o)) - n * log_z(s) - F.coalesce((s - F.col("mean")) * (s - F.col("mean")) * prior / 2, F.lit(0.0))
+    # One column after the other: within one expression, each would be worked out again wherever it is used.
+    out = rows.withColumns({"_vg_f": F.lit(RATES[mechanism]) * F.col(eps), "_vg_p": F.when(F.col("std") > 0, 1 / (F.col("std") * F.col("std")))})
+    out = out.withColumn("_vg_1", F.when(prior.isNotNull(), halved(F.lit(1), F.lit(m // 2), lambda s: bend(s) <= prior)))
+    out = out.withColumn("_vg_1", F.when(bend(first) <= prior, first))
+    out = out.withColumn("_vg_i", F.when(first.isNotNull(), halved(first, m - 1 - first, lambda s: gain(s) <= 0)))
+    outer = F.filter("obs", lambda o: first.isNull() | (o < first) | (o > m - 1 - first)).cast("array<int>")
+    out = out.withColumn("_vg_c", F.array_distinct(F.concat(outer, F.array_compact(F.array(inner - 1, inner, F.lit(0), F.lit(m - 1))))))
+    out = out.withColumn("_vg_s", F.array_max(F.transform("_vg_c", lambda s: F.struct(F.round(score(s), 9).alias("score"), (-s).alias("s")))))
+    return out.withColumn("map_idx", F.when(n > 0, -F.col("_vg_s.s")).otherwise(m // 2).cast("long")).drop("_vg_f", "_vg_p", "_vg_1", "_vg_i", "_vg_c", "_vg_s")
+
+
+def halved(low: Column, high: Column, holds: Callable[[Column], Column]) -> Column:
+    """The least whole number from low to high - 1 for which `holds` does, if it holds for all after one for which it does; else high."""
+
+    def step(x: Column, _: Column) -> Column:
+        middle = F.floor((x["lo"] + x["hi"]) / 2).cast("int")
+        lower, upper = F.struct(x["lo"].alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), x["hi"].alias("hi"))
+        return F.when(x["lo"] >= x["hi"], x).when(holds(middle), lower).otherwise(upper)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(low.cast("int").alias("lo"), high.cast("int").alias("hi")), step, lambda x: x["lo"])
 
 
 def map_index(observations: DataFrame, mechanism: str, m: int = 1000, by: tuple[str, ...] = ("template", "patient_id", "root")) -> DataFrame:
-    """(by, map_idx): the most likely index given all releases `idx` at `eps_root`, under a Gaussian prior on the grid.
+    """(by, map_idx): with_best_index of all releases `idx` at `eps_root`, of which a root's come together as an array.
 
-    observations: (by, idx, eps_root, prior_mean, prior_std), the prior in grid units, null for none. The first of
-    equal maxima wins; without any release (all idx null), the middle index m // 2. The releases of a root come
-    together as an array; the grid is scored in numpy, as one product per task batch and eps.
+    observations: (by, idx, eps_root, prior_mean, prior_std), the prior in grid units, null for none; idx null for no release.
     """
-    grouped = observations.groupBy(*by).agg(F.sort_array(F.collect_list("idx")).alias("obs"), F.first("eps_root").alias("eps"), F.first("prior_mean").alias("mu"), F.first("prior_std").alias("sd"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = np.arange(m)
-        kernels: dict[float, np.ndarray] = {}
-        for pdf in batches:
-            best = np.full(len(pdf), m // 2, np.int64)
-            pdf["eps"] = pdf["eps"].where(pdf["obs"].map(len) > 0)
-            for eps, rows in pdf.groupby("eps").indices.items():
-                if eps not in kernels:
-                    if len(kernels) > 8:
-                        kernels.clear()
-                    kernels[eps] = log_kernel(mechanism, eps, m)
-                for lo in range(0, len(rows), 2048):
-                    part = rows[lo : lo + 2048]
-                    counts = np.zeros((len(part), m))
-                    for k, obs in enumerate(pdf["obs"].iloc[part]):
-                        np.add.at(counts[k], obs, 1)
-                    total = counts @ kernels[eps].T
-                    mu, sd = pdf["mu"].iloc[part].to_numpy(float), pdf["sd"].iloc[part].to_numpy(float)
-                    prior = -0.5 * ((s[None, :] - mu[:, None]) / sd[:, None]) ** 2
-                    best[part] = (total + np.nan_to_num(prior)).round(9).argmax(axis=1)
-            yield pdf[list(by)].assign(map_idx=best)
-
-    kinds = ", ".join(f"{c} {observations.schema[c].dataType.simpleString()}" for c in by)
-    return grouped.mapInPandas(score, f"{kinds}, map_idx long")
+    grouped = observations.groupBy(*by).agg(F.collect_list("idx").alias("obs"), F.first("eps_root").alias("eps"), F.first("prior_mean").alias("mean"), F.first("prior_std").alias("std"))
+    return with_best_index(grouped, mechanism, m).select(*by, "map_idx")
 
 
 def population_statistics(rows: DataFrame, ridge: float = 1e-6) -> dict[str, tuple[list[str], np.ndarray, np.ndarray]]:

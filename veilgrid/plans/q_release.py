@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -226,7 +228,7 @@ def flt6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("template", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("total"))
 
 
-@query("xj1_parameter_grid", "SELECT m AS mechanism, e::DOUBLE AS eps, c_mktsegment, count(*) AS n FROM customer CROSS JOIN (VALUES ('exp'), ('blap'), ('stair')) a(m) CROSS JOIN (VALUES (0.1), (1.0)) b(e) GROUP BY ALL")
+@query("xj1_parameter_grid", f"SELECT m AS mechanism, e::DOUBLE AS eps, c_mktsegment, count(*) AS n FROM customer CROSS JOIN (VALUES ('exp'), ('blap'), ('stair')) a(m) CROSS JOIN (VALUES {', '.join(f'({e})' for e in EPSILONS)}) b(e) GROUP BY ALL")
 def xj1(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.createDataFrame([(m, e) for m in ("exp", "blap", "stair") for e in EPSILONS], "mechanism string, eps double")
     return table(spark, sf_dir, "customer").crossJoin(F.broadcast(grid)).groupBy("mechanism", "eps", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
@@ -352,20 +354,36 @@ def sen3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.select(*LINE_KEYS, *[F.col(f"h_{r}").alias(n) for r, n in zip(PRICING.roots, ("by_price", "by_discount", "by_tax"), strict=True)]))
 
 
-FIB4 = templates()["FIB4"]
+SAMPLED = [t for t in templates().values() if t.name in DOMAINS]
 
 
-@query(
-    "sen4_worst_corner",
-    f"{P}, b AS (SELECT root, min(value) AS lo, max(value) AS hi FROM patients WHERE template = 'FIB4' GROUP BY 1), "
-    + ", ".join(f'b_{r} AS (SELECT unnest([lo, hi]) AS "{r}" FROM b WHERE root = \'{r}\')' for r in FIB4.roots)
-    + f" SELECT {', '.join(f'round(max(abs(h_{r})), 6) AS {r}' for r in FIB4.roots)} FROM ({with_sensitivities_sql('(SELECT * FROM ' + ' CROSS JOIN '.join(f'b_{r}' for r in FIB4.roots) + ')', FIB4)})",
-)
+def per_root(t: Template, df: DataFrame, columns: list[str]) -> DataFrame:
+    """(template, root, h) of one row with a column for each root of a template."""
+    rows = [F.struct(F.lit(r).alias("root"), F.round(F.col(f"`{c}`").cast("double"), 6).alias("h")) for r, c in zip(t.roots, columns, strict=True)]
+    return df.select(F.lit(t.name).alias("template"), F.explode(F.array(*rows)).alias("x")).select("template", "x.*")
+
+
+def _sen4_sql() -> str:
+    """Every corner of every template's box, as a cross product of its roots' bounds."""
+    parts = []
+    for t in SAMPLED:
+        sides = " CROSS JOIN ".join(f"(SELECT unnest([lo, hi]) AS {D.quote(r)} FROM b WHERE template = '{t.name}' AND root = '{r}') s_{r}" for r in t.roots)
+        parts += [f"SELECT '{t.name}' AS template, '{r}' AS root, round(max(abs(h_{r})), 6) AS h FROM ({with_sensitivities_sql(f'(SELECT * FROM {sides})', t)})" for r in t.roots]
+    return f"{P}, b AS MATERIALIZED (SELECT template, root, min(value) AS lo, max(value) AS hi FROM patients GROUP BY 1, 2) {' UNION ALL '.join(parts)}"
+
+
+@query("sen4_worst_corner", _sen4_sql())
 def sen4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = patients(spark, sf_dir).where("template = 'FIB4'").groupBy().agg(*[F.array(F.min(F.when(F.col("root") == r, F.col("value"))), F.max(F.when(F.col("root") == r, F.col("value")))).alias(r) for r in FIB4.roots])
-    for r in FIB4.roots:
-        bounds = bounds.withColumn(r, F.explode(r))
-    return rounded(with_sensitivities(bounds, FIB4).agg(*[F.max(F.abs(f"h_{r}")).alias(r) for r in FIB4.roots]), 6)
+    """Every template's largest sensitivities over the corners of the box of its patients' values.
+
+    The bounds are one aggregate over the patients, of the catalog's size; the corners come from them.
+    """
+    bounds = {(r.template, r.root): (r.lo, r.hi) for r in patients(spark, sf_dir).groupBy("template", "root").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    out = spark.createDataFrame([], "template string, root string, h double")
+    for t in SAMPLED if bounds else ():
+        corners = spark.createDataFrame(list(product(*[bounds[t.name, r] for r in t.roots])), ", ".join(f"`{r}` double" for r in t.roots))
+        out = out.unionAll(per_root(t, with_sensitivities(corners, t).agg(*[F.max(F.abs(f"h_{r}")).alias(r) for r in t.roots]), t.roots))
+    return out
 
 
 def drawn_value(d: Dialect, name: str, lo: float, hi: float, tag: str) -> str:
@@ -373,9 +391,6 @@ def drawn_value(d: Dialect, name: str, lo: float, hi: float, tag: str) -> str:
     return f"({d.num(lo)} + {d.num(hi - lo)} * {d.uniform(chr(39) + tag + chr(39), chr(39) + name + chr(39), 'o_orderkey')})"
 
 
-SAMPLED = [t for t in templates().values() if t.name in DOMAINS]
-
-
 def _sen5_sql() -> str:
     parts = []
     for t in SAMPLED:
@@ -396,13 +411,24 @@ def sen5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-MEAN_W = f"{P}, m AS (SELECT {', '.join(f'''avg(CASE WHEN root = '{r}' THEN value END) AS \"{r}\"''' for r in FIB4.roots)} FROM patients WHERE template = 'FIB4')"
+def _sen6_sql() -> str:
+    parts = []
+    for t in SAMPLED:
+        picks = ", ".join(f"avg(CASE WHEN root = '{r}' THEN value END) AS {D.quote(r)}" for r in t.roots)
+        means = f"(SELECT {picks} FROM patients WHERE template = '{t.name}')"
+        parts += [f"SELECT '{t.name}' AS template, '{r}' AS root, round(h_{r}, 6) AS h FROM ({with_sensitivities_sql(means, t)})" for r in t.roots]
+    return f"{P} {' UNION ALL '.join(parts)}"
 
 
-@query("sen6_at_the_mean", f"{MEAN_W} SELECT {', '.join(f'round(h_{r}, 6) AS {r}' for r in FIB4.roots)} FROM ({with_sensitivities_sql('m', FIB4)})")
+@query("sen6_at_the_mean", _sen6_sql())
 def sen6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = patients(spark, sf_dir).where("template = 'FIB4'").agg(*[F.avg(F.when(F.col("root") == r, F.col("value"))).alias(r) for r in FIB4.roots])
-    return rounded(with_sensitivities(m, FIB4).select(*[F.col(f"h_{r}").alias(r) for r in FIB4.roots]), 6)
+    """Every template's sensitivities at the mean of its patients: one aggregate, of the catalog's size."""
+    means = {(r.template, r.root): r["mean"] for r in patients(spark, sf_dir).groupBy("template", "root").agg(F.avg("value").alias("mean")).collect()}
+    out = spark.createDataFrame([], "template string, root string, h double")
+    for t in SAMPLED if means else ():
+        at = spark.createDataFrame([tuple(means[t.name, r] for r in t.roots)], ", ".join(f"`{r}` double" for r in t.roots))
+        out = out.unionAll(per_root(t, with_sensitivities(at, t), [f"h_{r}" for r in t.roots]))
+    return out
 
 
 def gradients(d: Dialect) -> list[tuple[str, str, str]]:
@@ -423,11 +449,10 @@ def sen7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     percentile_approx keeps a bounded summary; its error in rank is below one draw up to a million draws.
     """
-    o, out = table(spark, sf_dir, "orders"), None
-    for t, n, sql in gradients(SPARK):
-        one = o.select(F.expr(sql).alias("g")).agg(F.percentile_approx("g", [0.01, 0.99], 1_000_000).alias("q")).select(F.lit(t).alias("template"), F.lit(n).alias("node"), F.round(F.col("q")[0], 4).alias("m"), F.round(F.col("q")[1], 4).alias("l"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    each = F.array(*[F.struct(F.lit(t).alias("template"), F.lit(n).alias("node"), F.expr(sql).alias("g")) for t, n, sql in gradients(SPARK)])
+    long = table(spark, sf_dir, "orders").select(F.explode(each).alias("x")).select("x.*")
+    q = long.groupBy("template", "node").agg(F.percentile_approx("g", [0.01, 0.99], 1_000_000).alias("q"))
+    return q.select("template", "node", F.round(F.col("q")[0], 4).alias("m"), F.round(F.col("q")[1], 4).alias("l"))
 
 
 @query("sen8_metadata", f"{P}, {allocations_sql()} SELECT template, count(DISTINCT root) AS k, round(max(abs(h)), 6) AS top, count(DISTINCT patient_id) AS patients FROM patients JOIN sens USING (template, root) GROUP BY 1")
