@@ -169,7 +169,9 @@ def test_map_index(spark):
 
 def test_bootstrap(spark):
     df = spark.range(4000).select(F.lit("a").alias("g"), F.col("id").alias("k"), (F.col("id") % 10 + 1).cast("double").alias("t"), (F.col("id") % 10 + 1 + F.col("id") % 3).cast("double").alias("v"), (F.col("id") % 4 == 0).alias("right"))
-    out = {r.name: r for r in M.bootstrap(df, "k", {"wmape": M.weighted_wmape("t", "v"), "accuracy": M.weighted_accuracy("right")}, ("g",), 400).collect()}
+    sums = {"e": F.abs(F.col("v") - F.col("t")), "t": F.abs("t"), "right": F.col("right").cast("int")}
+    statistics = {"wmape": lambda s: 100 * s["e"] / s["t"], "accuracy": lambda s: 100 * s["right"] / s["n"]}
+    out = {r.name: r for r in M.bootstrap(df, "k", sums, statistics, ("g",), 400).collect()}
     assert out["wmape"].value == pytest.approx(100 * 3999 / 22000, rel=1e-3) and out["accuracy"].value == pytest.approx(25.0)
     # The standard errors of a share and of a ratio of sums.
     assert out["accuracy"].se == pytest.approx(100 * math.sqrt(0.25 * 0.75 / 4000), rel=0.15)

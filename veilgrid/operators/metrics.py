@@ -55,29 +55,39 @@ def digest_sql(d: Dialect, key: str, b: str) -> str:
     return f"sha2({text}, 256)" if d.spark else f"sha256({text})"
 
 
-def bootstrap(rows: DataFrame, key: str, statistics: Mapping[str, Callable[[Column], Column]], by: tuple[str, ...] = (), resamples: int = 1000, ddof: int = 1) -> DataFrame:
-    """(by, name, value, se): each statistic over all rows, and its deviation over resamples with keyed Poisson weights.
+#: Groups that entities are dealt to by a hash of their key, to be resampled as wholes.
+BUCKETS = 1024
 
-    A statistic is any function from a column of weights to an aggregate, for example
-    `lambda w: F.sum(w * F.col("e")) / F.sum(w * F.col("t"))`. Rows stay where they are: a row's weights are functions
-    of its key, and each task sends one partial aggregate per group and resample. Rows with a null key weigh alike.
-    """
-    blocks = rows.withColumn("_vg_k", F.explode(F.sequence(F.lit(0), F.lit(-(-(resamples + 1) // SHARED) - 1))))
-    blocks = blocks.withColumn("_vg_d", F.expr(digest_sql(SPARK, key, f"(_vg_k * {SHARED})")))
-    each = blocks.withColumn("_vg_b", F.explode(F.sequence(F.col("_vg_k") * SHARED, F.least(F.col("_vg_k") * SHARED + SHARED - 1, F.lit(resamples)))))
-    each = each.withColumn("_vg_w", F.when(F.col("_vg_b") == 0, 1).otherwise(F.expr(poisson_weight(SPARK, "_vg_d", "_vg_b"))))
-    sums = each.groupBy(*by, "_vg_b").agg(*[f(F.col("_vg_w")).cast("double").alias(n) for n, f in statistics.items()])
-    long = sums.select(*by, "_vg_b", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("s")) for n in statistics])).alias("x")).select(*by, "_vg_b", "x.*")
-    spread = F.stddev_samp if ddof else F.stddev_pop
-    return long.groupBy(*by, "name").agg(F.max(F.when(F.col("_vg_b") == 0, F.col("s"))).alias("value"), spread(F.when(F.col("_vg_b") > 0, F.col("s"))).alias("se"))
 
+def bucket_sql(d: Dialect, key: str, buckets: int = BUCKETS) -> str:
+    text = f"concat_ws(':', 'bucket', {d.string(key)})"
+    return f"(CAST(conv(substring(sha2({text}, 256), 1, 8), 16, 10) AS BIGINT) % {buckets})" if d.spark else f"(CAST(('0x' || substring(sha256({text}), 1, 8)) AS BIGINT) % {buckets})"
 
-def weighted_wmape(truth: str, value: str) -> Callable[[Column], Column]:
-    return lambda w: F.try_divide(100 * F.sum(w * F.abs(F.col(value) - F.col(truth))), F.sum(w * F.abs(F.col(truth))))
 
+def bootstrap(
+    rows: DataFrame, key: str, sums: Mapping[str, Column], statistics: Mapping[str, Callable[[Mapping[str, Column]], Column]], by: tuple[str, ...] = (), resamples: int = 1000, ddof: int = 1, buckets: int = BUCKETS
+) -> DataFrame:
+    """(by, name, value, se): each statistic over all rows, and its deviation over resamples with keyed Poisson weights.
 
-def weighted_accuracy(right: str) -> Callable[[Column], Column]:
-    return lambda w: F.try_divide(100.0 * F.sum(w * F.col(right).cast("int")), F.sum(w))
+    A statistic is any function of sums over the rows, for example `lambda s: s["e"] / s["t"]` of the sums e and t; n is
+    the number of rows. The rows are read once: an entity's go to one of `buckets` groups, and a group's sums are what is
+    weighted in each resample, so the resampling costs the same whatever the number of rows. The deviation that groups
+    give is that of single entities but for chance: a relative error of about sqrt(1 / (2 * buckets)), 2.2 % for 1,024
+    (with as much again from 1,000 resamples). All groups of `by` share the weights, so differences between them can be
+    compared. Rows with a null key weigh alike; without rows there is no result.
+    """
+    spark = rows.sparkSession
+    dealt = rows.groupBy(*by, F.expr(bucket_sql(SPARK, key, buckets)).alias("_vg_g")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    blocks = -(-(resamples + 1) // SHARED)
+    weights = spark.range(buckets * blocks).selectExpr(f"id % {buckets} AS _vg_g", f"id DIV {buckets} AS _vg_k").withColumn("_vg_d", F.expr(digest_sql(SPARK, "_vg_g", f"(_vg_k * {SHARED})")))
+    weights = weights.withColumn("_vg_b", F.explode(F.sequence(F.col("_vg_k") * SHARED, F.least(F.col("_vg_k") * SHARED + SHARED - 1, F.lit(resamples)))))
+    weights = weights.select("_vg_g", "_vg_b", F.when(F.col("_vg_b") == 0, 1).otherwise(F.expr(poisson_weight(SPARK, "_vg_d", "_vg_b"))).alias("_vg_w"))
+    total = {n: F.sum(F.col("_vg_w") * F.col(n)) for n in ("n", *sums)}
+    each = dealt.join(weights, "_vg_g").groupBy(*by, "_vg_b").agg(*[c.alias(f"_vg_s_{n}") for n, c in total.items()])
+    found = F.array(*[F.struct(F.lit(n).alias("name"), f({k: F.col(f"_vg_s_{k}") for k in total}).cast("double").alias("s")) for n, f in statistics.items()])
+    long = each.select(*by, "_vg_b", F.explode(found).alias("x")).select(*by, "_vg_b", "x.*")
+    spread = F.stddev_samp if ddof else F.stddev_pop
+    return long.groupBy(*by, "name").agg(F.max(F.when(F.col("_vg_b") == 0, F.col("s"))).alias("value"), spread(F.when(F.col("_vg_b") > 0, F.col("s"))).alias("se"))
 
 
 def composed(by: DataFrame, keys: tuple[str, ...], value: str = "wmape", se: str = "se") -> DataFrame:

@@ -355,38 +355,21 @@ def agg7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).groupBy("template", "config", "b_setting", "eps").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("valid"), F.count_distinct("patient_id").alias("patients"))
 
 
-PAIRS = [(t, c) for t in NODES_OF for c in CONFIGS]
-
-
-def focal_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per patient: error, truth and whether the class is right, of every template and config in the focal cell."""
-    r = results(spark, sf_dir, where=FOCAL)
-    picks = []
-    for t, c in PAIRS:
-        here = (F.col("template") == t) & (F.col("config") == c)
-        picks += [F.max(F.when(here, F.col("truth"))).alias(f"t_{t}_{c}"), F.max(F.when(here, F.col("target"))).alias(f"v_{t}_{c}"), F.max(F.when(here, F.col("truth_class") == F.col("target_class"))).alias(f"r_{t}_{c}")]
-    return r.groupBy("patient_id").agg(*picks)
-
-
 def boot(spark: SparkSession, sf_dir: str, resamples: int = 1000) -> DataFrame:
-    """(template, config, wmape, wmape_se, accuracy, accuracy_se) with 1,000 resamples of patients."""
-    statistics: dict[str, Callable[[Column], Column]] = {}
-    for t, c in PAIRS:
-        statistics[f"wmape {t} {c}"] = M.weighted_wmape(f"t_{t}_{c}", f"v_{t}_{c}")
-        statistics[f"accuracy {t} {c}"] = M.weighted_accuracy(f"r_{t}_{c}")
-    out = M.bootstrap(focal_wide(spark, sf_dir), "patient_id", statistics, resamples=resamples)
-    part = F.split("name", " ")
-    is_ = lambda n: part[0] == n
-    return out.groupBy(part[1].alias("template"), part[2].alias("config")).agg(*[F.max(F.when(is_(n), F.col(v))).alias(a) for n in ("wmape", "accuracy") for v, a in (("value", n), ("se", f"{n}_se"))])
+    """(template, config, wmape, wmape_se, accuracy, accuracy_se) of the focal cell, with 1,000 resamples of patients."""
+    sums = {"e": F.abs(F.col("target") - F.col("truth")), "t": F.abs("truth"), "r": (F.col("truth_class") == F.col("target_class")).cast("int")}
+    statistics = {"wmape": lambda s: F.try_divide(100 * s["e"], s["t"]), "accuracy": lambda s: F.try_divide(100.0 * s["r"], s["n"])}
+    out = M.bootstrap(results(spark, sf_dir, where=FOCAL), "patient_id", sums, statistics, ("template", "config"), resamples)
+    is_ = lambda n: F.col("name") == n
+    return out.groupBy("template", "config").agg(*[F.max(F.when(is_(n), F.col(v))).alias(a) for n in ("wmape", "accuracy") for v, a in (("value", n), ("se", f"{n}_se"))])
 
 
 def boot_sql(resamples: int = 1000) -> str:
-    last = -(-(resamples + 1) // M.SHARED)
     w = M.poisson_weight(D, "dg", "b")
     return f"""{results_sql(where=FOCAL)},
-        keys AS (SELECT patient_id, k, {M.digest_sql(D, 'patient_id', f'(k * {M.SHARED})')} AS dg FROM (SELECT DISTINCT patient_id FROM results) CROSS JOIN (SELECT unnest(range({last})) AS k)),
-        ws AS MATERIALIZED (SELECT patient_id, b, CASE WHEN b = 0 THEN 1 ELSE {w} END AS w FROM (SELECT *, k * {M.SHARED} + j AS b FROM keys CROSS JOIN (SELECT unnest(range({M.SHARED})) AS j)) WHERE b <= {resamples}),
-        s AS (SELECT template, config, b, 100 * sum(w * abs(target - truth)) / sum(w * abs(truth)) AS m, 100.0::DOUBLE * sum(w * (truth_class = target_class)::INT) / sum(w) AS a FROM results JOIN ws USING (patient_id) GROUP BY ALL),
+        dealt AS MATERIALIZED (SELECT template, config, {M.bucket_sql(D, 'patient_id')} AS g, count(*) AS n, sum(abs(target - truth)) AS e, sum(abs(truth)) AS t, sum((truth_class = target_class)::INT) AS r FROM results GROUP BY ALL),
+        ws AS MATERIALIZED (SELECT g, b, CASE WHEN b = 0 THEN 1 ELSE {w} END AS w FROM (SELECT g, b, {M.digest_sql(D, 'g', f'((b // {M.SHARED}) * {M.SHARED})')} AS dg FROM range({M.BUCKETS}) x(g) CROSS JOIN range({resamples + 1}) y(b))),
+        s AS (SELECT template, config, b, 100 * sum(w * e) / sum(w * t) AS m, 100.0::DOUBLE * sum(w * r) / sum(w * n) AS a FROM dealt JOIN ws USING (g) GROUP BY ALL),
         boot AS (SELECT template, config, max(CASE WHEN b = 0 THEN m END) AS wmape, stddev_samp(CASE WHEN b > 0 THEN m END) AS wmape_se, max(CASE WHEN b = 0 THEN a END) AS accuracy, stddev_samp(CASE WHEN b > 0 THEN a END) AS accuracy_se FROM s GROUP BY ALL)"""
 
 

@@ -300,15 +300,15 @@ def udf2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "udf3_any_statistic",
-    f"""WITH r AS (SELECT o_orderpriority AS g, o_orderkey AS k, o_totalprice AS v FROM orders), d AS (SELECT *, b, {M.digest_sql(D, 'k', f'((b // {M.SHARED}) * {M.SHARED})')} AS dg FROM r CROSS JOIN (SELECT unnest(range(51)) AS b)),
-    w AS (SELECT g, b, CASE WHEN b = 0 THEN 1 ELSE {M.poisson_weight(D, 'dg', 'b')} END AS w, v FROM d),
-    s AS (SELECT g, b, sum(w * v) / sum(w) AS mean, 100.0::DOUBLE * sum(w * (v > 100000)::INT) / sum(w) AS large FROM w GROUP BY 1, 2),
-    l AS (SELECT g, b, 'mean' AS name, mean AS s FROM s UNION ALL SELECT g, b, 'large', large FROM s)
-    SELECT g AS o_orderpriority, name, round(max(CASE WHEN b = 0 THEN s END), 2) AS value, round(stddev_samp(CASE WHEN b > 0 THEN s END), 3) AS se FROM l GROUP BY 1, 2""",
+    f"""WITH r AS (SELECT o_orderpriority AS p, {M.bucket_sql(D, 'o_orderkey')} AS g, count(*) AS n, sum(o_totalprice) AS v, sum((o_totalprice > 100000)::INT) AS big FROM orders GROUP BY 1, 2),
+    w AS MATERIALIZED (SELECT g, b, CASE WHEN b = 0 THEN 1 ELSE {M.poisson_weight(D, 'dg', 'b')} END AS w FROM (SELECT g, b, {M.digest_sql(D, 'g', f'((b // {M.SHARED}) * {M.SHARED})')} AS dg FROM range({M.BUCKETS}) x(g) CROSS JOIN range(51) y(b))),
+    s AS (SELECT p, b, sum(w * v) / sum(w * n) AS mean, 100.0::DOUBLE * sum(w * big) / sum(w * n) AS large FROM r JOIN w USING (g) GROUP BY 1, 2),
+    l AS (SELECT p, b, 'mean' AS name, mean AS s FROM s UNION ALL SELECT p, b, 'large', large FROM s)
+    SELECT p AS o_orderpriority, name, round(max(CASE WHEN b = 0 THEN s END), 2) AS value, round(stddev_samp(CASE WHEN b > 0 THEN s END), 3) AS se FROM l GROUP BY 1, 2""",
 )
 def udf3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any statistic that is a function of weights, with its error."""
-    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    statistics = {"mean": lambda w: F.sum(w * F.col("v")) / F.sum(w), "large": lambda w: 100.0 * F.sum(w * (F.col("v") > 100000).cast("int")) / F.sum(w)}
-    out = M.bootstrap(rows, "k", statistics, ("o_orderpriority",), 50)
+    """Any statistic that is a function of sums, with its error."""
+    sums = {"v": F.col("o_totalprice"), "big": (F.col("o_totalprice") > 100000).cast("int")}
+    statistics = {"mean": lambda s: F.try_divide(s["v"], s["n"]), "large": lambda s: F.try_divide(100.0 * s["big"], s["n"])}
+    out = M.bootstrap(table(spark, sf_dir, "orders"), "o_orderkey", sums, statistics, ("o_orderpriority",), 50)
     return out.select("o_orderpriority", "name", F.round("value", 2).alias("value"), F.round("se", 3).alias("se"))
