@@ -254,3 +254,20 @@ def test_empty_tables(spark):
     rows = spark.createDataFrame([], "template string, root string, patient_id long, value double, lo double, hi double, eps_root double")
     assert R.release(rows, "exp").count() == 0
     assert R.targets(rows, ("patient_id",)).count() == 0
+
+
+def test_calls_are_matched_in_two_passes(spark):
+    """Pending requests first, in order; what is left goes to the first request of the value, answered or not."""
+    requests = spark.createDataFrame([(1, "alt", 16.0, True, 1), (1, "ast", 16.0, True, 2), (1, "age", 50.0, False, 0), (2, "alt", 16.0, False, 1)], "session int, root string, value double, pending boolean, ord int")
+    calls = spark.createDataFrame([(1, 16.0, 15.5, 1), (1, 16.0, 16.5, 2), (1, 16.0, 17.0, 3), (1, 50.0, 49.0, 4), (1, 7.0, 7.5, 5), (2, 16.0, 15.0, 1)], "session int, value double, released double, ord int")
+    got = {(r.session, r.ord): r.root for r in A.match_calls(requests, calls).collect()}
+    assert got == {(1, 1): "alt", (1, 2): "ast", (1, 3): "alt", (1, 4): "age", (1, 5): None, (2, 1): "alt"}
+
+
+def test_stated_errors(spark):
+    plans = spark.createDataFrame([(1, 5)], "session int, t int")
+    assert [r.root for r in A.request_plan(plans, ["glu", "ins"]).orderBy("turn", "root").collect()] == ["glu", "ins", "glu", "ins", "glu", "ins"]
+    with pytest.raises(Exception, match="two turns"):
+        A.request_plan(spark.createDataFrame([(1, 1)], "session int, t int"), ["glu"]).collect()
+    with pytest.raises(Exception, match="needs a release"):
+        spark.createDataFrame([(1, None)], "root int, idx long").groupBy("root").agg(A.lower_median().alias("idx")).collect()

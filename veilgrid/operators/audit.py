@@ -19,8 +19,9 @@ def repeated(rows: DataFrame, mechanism: str, q: int, cached: bool, keys: tuple[
 
 
 def lower_median(index: str = "idx") -> Column:
-    """The most likely index under a symmetric law that falls from its centre, without prior and normaliser."""
-    return F.element_at(F.array_sort(F.collect_list(index)), F.floor((F.count(index) + 1) / 2).cast("int"))
+    """The most likely index under a symmetric law that falls from its centre, without prior and normaliser. Without any release, the query fails."""
+    middle = F.element_at(F.array_sort(F.collect_list(index)), F.greatest(F.floor((F.count(index) + 1) / 2), F.lit(1)).cast("int"))
+    return F.when(F.count(index) == 0, F.raise_error(F.lit("an estimate needs a release")).cast("long")).otherwise(middle)
 
 
 #: Halvings that find one of up to 2**11 grid points.
@@ -113,19 +114,25 @@ def joint_log_prior(rows: DataFrame, statistics: dict[str, tuple[list[str], np.n
 
 
 def request_plan(sessions: DataFrame, roots: list[str]) -> DataFrame:
-    """(session columns, turn, root): t - 1 turns that ask for one root each in turn, then one for all roots."""
+    """(session columns, turn, root): t - 1 turns that ask for one root each in turn, then one for all roots. A plan of under two turns (t) fails."""
+    sessions = sessions.withColumn("t", F.when(F.col("t") >= 2, F.col("t")).otherwise(F.raise_error(F.lit("a plan has two turns at least")).cast(sessions.schema["t"].dataType)))
     names = F.array(*[F.lit(r) for r in roots])
-    turns = sessions.where("t > 1").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("t") - 2)))
+    turns = sessions.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("t") - 2)))
     single = turns.withColumn("root", F.element_at(names, (F.col("turn") % len(roots) + 1).cast("int")))
     final = sessions.withColumn("turn", (F.col("t") - 1).cast("int")).withColumn("root", F.explode(names))
     return single.unionByName(final)
 
 
 def match_calls(requests: DataFrame, calls: DataFrame, session: str = "session") -> DataFrame:
-    """Calls matched to requests of the same session and value, one to one in order: the n-th with the n-th.
+    """calls (session, value, released, ord) with `root`, the request that each one answers; null where no request has its value.
 
-    requests: (session, root, value, pending, ord); those pending come first. calls: (session, value, released, ord).
+    requests: (session, root, value, pending, ord). Values alone can be ambiguous, as two roots may have the same. First,
+    the n-th call of a session with a value answers the n-th pending request for it; calls that are left after that go
+    to the first request with the value, pending or not.
     """
-    r = requests.withColumn("n", F.row_number().over(Window.partitionBy(session, "value").orderBy(F.desc("pending"), "ord")))
-    c = calls.withColumn("n", F.row_number().over(Window.partitionBy(session, "value").orderBy("ord")))
-    return r.join(c.select(session, "value", "n", "released"), [session, "value", "n"], "left").drop("n")
+    first = Window.partitionBy(session, "value").orderBy("ord", "root")
+    waiting = requests.where("pending").withColumn("n", F.row_number().over(first)).select(session, "value", "n", F.col("root").alias("_vg_p"))
+    nth = calls.withColumn("n", F.row_number().over(Window.partitionBy(session, "value").orderBy("ord")))
+    any_one = requests.groupBy(session, "value").agg(F.min_by("root", F.struct("ord", "root")).alias("_vg_a"))
+    out = nth.join(waiting, [session, "value", "n"], "left").join(any_one, [session, "value"], "left")
+    return out.withColumn("root", F.coalesce("_vg_p", "_vg_a")).drop("n", "_vg_p", "_vg_a")

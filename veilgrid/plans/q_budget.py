@@ -13,7 +13,7 @@ from ..operators import budget as B
 from ..operators import release as R
 from ..operators.derive import bind, class_sql, derived_columns, layered_sql, sensitivity_columns, with_derived
 from ..sources.tables import patients, patients_sql, table, wide, wide_sql
-from .base import BY, EPSILONS, allocations, allocations_sql, at_means_sql, exact_sql, grid_of_budgets, observations, observations_sql, portable, query, results, results_sql, rounded, sensitivities, worked_out
+from .base import BY, EPSILONS, allocations, allocations_sql, at_means_sql, exact_sql, grid_of_budgets, observations, observations_sql, portable, query, results, results_sql, rounded, sensitivities, swept_entities, worked_out
 from .catalog import DOMAINS, LIPSCHITZ, PRICING, Template, templates
 from .q_release import LINE, LINE_KEYS, P
 
@@ -263,7 +263,8 @@ def rel2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_derived(table(spark, sf_dir, "lineitem"), PRICING).select(*LINE_KEYS, F.expr(charge_noise(SPARK)).alias("idx"))
 
 
-for _name, _mechanism, _eps in (("rel3_root_space", "exp", {r: 0.1 for r in PRICING.roots}), ("rel4_roots", "exp", EPS3), ("rel4_roots_blap", "blap", EPS3), ("rel4_roots_stair", "stair", EPS3)):
+EVEN3 = {r: 0.1 for r in PRICING.roots}
+for _name, _mechanism, _eps in (("rel3_root_space", "exp", EVEN3), ("rel3_root_space_blap", "blap", EVEN3), ("rel3_root_space_stair", "stair", EVEN3), ("rel4_roots", "exp", EPS3), ("rel4_roots_blap", "blap", EPS3), ("rel4_roots_stair", "stair", EPS3)):
 
     def _released(spark: SparkSession, sf_dir: str, mechanism: str = _mechanism, eps: dict = _eps) -> DataFrame:
         r = R.released_columns(table(spark, sf_dir, "lineitem"), PRICING, eps, mechanism, LINE_KEYS)
@@ -325,11 +326,15 @@ def rel7c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("template", "root", "patient_id", F.round(F.expr(continuous(SPARK)), 4).alias("released"))
 
 
-def noised(d: Dialect, x: str, eps: str, lo: float, hi: float, tag: str) -> str:
-    """A node's value after a draw of its own."""
+def own_uniform(d: Dialect, tag: str) -> str:
+    return d.uniform("'veil'", f"'{tag}'", "patient_id")
+
+
+def noised(d: Dialect, x: str, eps: str, lo: float, hi: float, tag: str, u: str | None = None) -> str:
+    """A node's value after a draw of its own; u: the column that has own_uniform of the tag."""
     l, h = d.num(lo), d.num(hi)
     t = N.grid_position(d, N.clip(x, l, h), l, h)
-    return N.value_of(d, "(" + N.exponential(d, t, eps, d.uniform("'veil'", f"'{tag}'", "patient_id")) + ")", l, h)
+    return N.value_of(d, "(" + N.exponential(d, t, eps, u or own_uniform(d, tag)) + ")", l, h)
 
 
 def reset_chain(d: Dialect, t: Template, base: str, bank: bool, eps: float = 0.1, threshold: float = 0.1) -> str:
@@ -349,7 +354,9 @@ def reset_chain(d: Dialect, t: Template, base: str, bank: bool, eps: float = 0.1
         error = f"abs({q('f_' + node)} - {q(node)}) / CASE WHEN abs({q(node)}) < {d.num(1e-10)} THEN {d.num(1)} ELSE abs({q(node)}) END"
         own = f"(bank + {d.num(eps)})" if bank else d.num(eps / m if m < 1 else eps)
         sql = f"SELECT *, {error} > {d.num(threshold)} AS {q('x_' + node)}, {own} AS {q('e_' + node)} FROM ({sql})"
-        again = noised(d, q(node), f"least({q('e_' + node)}, {d.num(20)})", *t.domains[node], node)
+        # Columns of their own: an expression is generated once for each place that it stands in.
+        sql = f"SELECT *, {own_uniform(d, node)} AS {q('u_' + node)}, least({q('e_' + node)}, {d.num(20)}) AS {q('c_' + node)} FROM ({sql})"
+        again = noised(d, q(node), q("c_" + node), *t.domains[node], node, q("u_" + node))
         left = f"CASE WHEN {q('x_' + node)} THEN {d.num(0)} ELSE bank + {d.num(eps)} END" if bank else d.num(0)
         keep = "* EXCEPT (bank)" if d.spark else "* EXCLUDE (bank)"
         sql = f"SELECT {keep}, CASE WHEN {q('x_' + node)} THEN {again} ELSE {q('f_' + node)} END AS {q('s_' + node)}, {left} AS bank FROM ({sql})"
@@ -367,6 +374,22 @@ for _name, _bank in (("rel8_threshold_reset", False), ("rel9_budget_bank", True)
     query(_name, f'{P}, {wide_sql("VASCULAR")} SELECT patient_id, round(s_ppi, 5) AS ppi, x_ppi AS reset, round(e_ppi, 4) AS budget, round(bank, 4) AS bank FROM ({reset_chain(D, VASCULAR, "SELECT * FROM w", _bank)})')(_reset)
 
 
+for _name, _bank in (("rel8_every_template", False), ("rel9_every_template", True)):
+
+    def _resets(spark: SparkSession, sf_dir: str, bank: bool = _bank) -> DataFrame:
+        """The target of every template under the policy: what is released, whether it was noised anew, at what budget, and what the bank has left."""
+        out = None
+        for t in (t for t in templates().values() if t.name in DOMAINS):
+            one = spark.sql(reset_chain(SPARK, t, "SELECT * FROM {w}", bank), w=swept_entities(spark, sf_dir, t))
+            x = t.target
+            one = one.select(F.lit(t.name).alias("template"), "patient_id", F.round(f"s_{x}", 5).alias("released"), F.col(f"x_{x}").alias("reset"), F.round(f"e_{x}", 4).alias("budget"), F.round("bank", 4).alias("bank"))
+            out = one if out is None else out.unionAll(one)
+        return out
+
+    _parts = [f"SELECT '{t.name}' AS template, patient_id, round(\"s_{t.target}\", 5) AS released, \"x_{t.target}\" AS reset, round(\"e_{t.target}\", 4) AS budget, round(bank, 4) AS bank FROM ({reset_chain(D, t, f'SELECT * FROM w_{t.name}', _bank)})" for t in templates().values() if t.name in DOMAINS]
+    query(_name, f"{P}, {', '.join(wide_sql(t, f'w_{t}') for t in templates() if t in DOMAINS)} {' UNION ALL '.join(_parts)}")(_resets)
+
+
 def ordered_chain(d: Dialect, t: Template, base: str, roots_only: bool, eps: float = 0.1) -> str:
     """Down the graph: a node follows from its released parents, and is noised at its budget where that reaches eps."""
     q = d.quote

@@ -16,7 +16,7 @@ from ..operators.derive import bind, class_sql, derived_columns, edges, layered_
 from ..sources import scratch
 from ..sources import tables as S
 from ..sources.tables import patients, patients_sql, table, wide, wide_sql
-from .base import BY, EPSILONS, allocations, allocations_sql, cells, cells_sql, observations, observations_sql, portable, query, rounded
+from .base import BY, EPSILONS, allocations, allocations_sql, cells, cells_sql, observations, observations_sql, portable, query, rounded, swept_entities
 from .catalog import DISPLAY, DOMAINS, LIPSCHITZ, PRICING, PUBLIC_MEANS, Template, register_template, templates
 
 P = f"WITH {patients_sql()}"
@@ -348,6 +348,66 @@ def sen2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.groupBy("l_returnflag").agg(*[F.max(F.abs(f"h_{r}")).alias(n) for r, n in zip(PRICING.roots, ("by_price", "by_discount", "by_tax"), strict=True)]))
 
 
+def node_partials(d: Dialect) -> list[tuple[Template, str, str, str]]:
+    """(template, node, parent, SQL of the node's derivative by the parent) of every derived node, over columns named like the nodes."""
+    out = []
+    for t in (t for t in templates().values() if t.name in DOMAINS):
+        names = {c: d.quote(c) for c in t.domains}
+        out += [(t, node, parent, d.double(bind(d, e, names))) for node, _, partials in t.nodes for parent, e in (partials or {}).items()]
+    return out
+
+
+def _sen1_sql() -> str:
+    ctes = [f"n_{t.name} AS ({layered_sql(f'w_{t.name}', t)})" for t in templates().values() if t.name in DOMAINS]
+    parts = [f"SELECT '{t.name}' AS template, '{n}' AS node, '{p}' AS parent, round(min({e}), 6) AS least, round(avg({e}), 6) AS mean, round(max({e}), 6) AS most FROM n_{t.name}" for t, n, p, e in node_partials(D)]
+    return f"{P}, {', '.join(wide_sql(t, f'w_{t}') for t in templates() if t in DOMAINS)}, {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query("sen1_every_node", _sen1_sql())
+def sen1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivatives of every derived node by each of its parents, at every patient: least, mean and most."""
+    out = None
+    for t in (t for t in templates().values() if t.name in DOMAINS):
+        w = with_derived(swept_entities(spark, sf_dir, t), t)
+        each = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(p).alias("parent"), F.expr(e).alias("x")) for of, n, p, e in node_partials(SPARK) if of.name == t.name])
+        one = w.select(F.lit(t.name).alias("template"), F.explode(each).alias("e")).select("template", "e.*").groupBy("template", "node", "parent")
+        one = one.agg(F.round(F.min("x"), 6).alias("least"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("most"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _sen2_sql() -> str:
+    """Of each node's parents, every corner of the box of the values that they take."""
+    ctes = [f"n_{t.name} AS MATERIALIZED ({layered_sql(f'w_{t.name}', t)})" for t in templates().values() if t.name in DOMAINS]
+    parts = []
+    for t, n, p, e in node_partials(D):
+        parents = list(next(partials for node, _, partials in t.nodes if node == n))
+        used = [c for c in t.domains if c != n and (c in parents or D.quote(c) in e)]
+        sides = " CROSS JOIN ".join(f"(SELECT unnest([min({D.quote(c)}), max({D.quote(c)})]) AS {D.quote(c)} FROM n_{t.name}) s_{c}" for c in used)
+        parts.append(f"SELECT '{t.name}' AS template, '{n}' AS node, '{p}' AS parent, round(max(abs({e})), 6) AS supremum FROM (SELECT * FROM {sides})")
+    return f"{P}, {', '.join(wide_sql(t, f'w_{t}') for t in templates() if t in DOMAINS)}, {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query("sen2_every_node", _sen2_sql())
+def sen2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest absolute derivative of every derived node by each of its parents, over the box of the values that the patients' nodes take.
+
+    Derivatives of the catalog's expressions rise or fall in each variable over such a box, so a corner has the largest.
+    The box is one aggregate per template; its two ends of each node, of the catalog's size, are what the corners come from.
+    """
+    rows = []
+    for t in (t for t in templates().values() if t.name in DOMAINS):
+        columns = [c for c in t.domains]
+        ends = with_derived(swept_entities(spark, sf_dir, t), t).agg(*[F.array(F.min(F.col(f"`{c}`").cast("double")), F.max(F.col(f"`{c}`").cast("double"))).alias(c) for c in columns]).first().asDict()
+        if None in ends[columns[0]]:
+            continue
+        corners = spark.createDataFrame([tuple(x) for x in product(*[ends[c] for c in columns])], ", ".join(f"`{c}` double" for c in columns))
+        own = [(n, p, e) for of, n, p, e in node_partials(SPARK) if of.name == t.name]
+        most = corners.agg(*[F.max(F.abs(F.expr(e))).alias(f"x{k}") for k, (_, _, e) in enumerate(own)]).first()
+        rows += [(t.name, n, p, round(most[k], 6)) for k, (n, p, _) in enumerate(own)]
+    return spark.createDataFrame(rows, "template string, node string, parent string, supremum double")
+
+
 @query("sen3_chain_rule", f"SELECT {LINE}, round(\"h_l_extendedprice\", 4) AS by_price, round(\"h_l_discount\", 4) AS by_discount, round(\"h_l_tax\", 4) AS by_tax FROM ({with_sensitivities_sql('lineitem', PRICING)})")
 def sen3(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = with_sensitivities(table(spark, sf_dir, "lineitem"), PRICING)

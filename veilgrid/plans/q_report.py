@@ -60,13 +60,13 @@ for _name, _how in (("aud1_repeated", {}), ("aud1_replayed", {"config": "roots"}
 NODES_OF = {t.name: [*t.roots, *(n for n, _, p in t.nodes if p is not None)] for t in templates().values() if t.name in DOMAINS}
 
 
-def node_index(d: Dialect, template: str, node: str, eps: str, value: str) -> str:
+def node_index(d: Dialect, template: str, node: str, eps: str, value: str, mechanism: str = "exp") -> str:
     lo, hi = map(d.num, DOMAINS[template][node])
     t = N.grid_position(d, N.clip(value, lo, hi), lo, hi)
-    return N.exponential(d, t, eps, d.uniform(f"'{SECRET}'", f"'{template}'", f"'{node}'", "patient_id", "'release'"))
+    return N.drawn(d, mechanism, t, eps, d.uniform(f"'{SECRET}'", f"'{template}'", f"'{node}'", "patient_id", "'release'"))
 
 
-def noised_nodes(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
+def noised_nodes(spark: SparkSession, sf_dir: str, eps: float, mechanism: str = "exp") -> DataFrame:
     """(template, patient_id, node, idx, released): every node that isn't a class, root or derived, noised by itself."""
     parts = []
     for name, nodes in NODES_OF.items():
@@ -77,11 +77,11 @@ def noised_nodes(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
     for p in parts[1:]:
         out = out.unionAll(p)
     t = N.grid_position(SPARK, N.clip("value", "lo", "hi"), "lo", "hi")
-    index = N.exponential(SPARK, t, SPARK.num(eps), SPARK.uniform(f"'{SECRET}'", "template", "node", "patient_id", "'release'"))
+    index = N.drawn(SPARK, mechanism, t, SPARK.num(eps), SPARK.uniform(f"'{SECRET}'", "template", "node", "patient_id", "'release'"))
     return out.withColumn("idx", F.expr(index)).select("template", "patient_id", "node", "idx", F.expr(N.value_of(SPARK, "idx", "lo", "hi")).alias("released"))
 
 
-def noised_nodes_sql(eps: float) -> str:
+def noised_nodes_sql(eps: float, mechanism: str = "exp") -> str:
     """nodes: the same, one SELECT per node over each template's patients."""
     parts = []
     for name, nodes in NODES_OF.items():
@@ -91,15 +91,18 @@ def noised_nodes_sql(eps: float) -> str:
         for n in nodes:
             lo, hi = map(D.num, DOMAINS[name][n])
             quoted = f'"{n}"'
-            index = node_index(D, name, n, D.num(eps), quoted)
+            index = node_index(D, name, n, D.num(eps), quoted, mechanism)
             parts.append(f"SELECT '{name}' AS template, patient_id, '{n}' AS node, idx, {N.value_of(D, 'idx', lo, hi)} AS released FROM (SELECT patient_id, {index} AS idx FROM ({base}))")
     return f"nodes AS ({' UNION ALL '.join(parts)})"
 
 
-@query("rel1_every_node", f"{P}, {noised_nodes_sql(0.1)} SELECT template, node, sum(idx)::BIGINT AS total, count(*) AS n FROM nodes GROUP BY 1, 2")
-def rel1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every root and derived node noised by itself at eps."""
-    return noised_nodes(spark, sf_dir, 0.1).groupBy("template", "node").agg(F.sum("idx").alias("total"), F.count(F.lit(1)).alias("n"))
+for _m in MECHANISMS:
+
+    def _every(spark: SparkSession, sf_dir: str, mechanism: str = _m) -> DataFrame:
+        """Every root and derived node noised by itself at eps."""
+        return noised_nodes(spark, sf_dir, 0.1, mechanism).groupBy("template", "node").agg(F.sum("idx").alias("total"), F.count(F.lit(1)).alias("n"))
+
+    query("rel1_every_node" + ("" if _m == "exp" else f"_{_m}"), f"{P}, {noised_nodes_sql(0.1, _m)} SELECT template, node, sum(idx)::BIGINT AS total, count(*) AS n FROM nodes GROUP BY 1, 2")(_every)
 
 
 @query("aud2_full_release", f"{P}, {noised_nodes_sql(0.1)} SELECT template, patient_id, node, round(released, 4) AS released FROM nodes")
@@ -273,12 +276,20 @@ def aud14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.request_plan(s, ["glu", "ins", "age"]).select("session", F.col("turn").cast("long").alias("turn"), "root")
 
 
-@query("aud15_rank_matched", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) AS n FROM events WHERE event_type = 'click'), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) AS n FROM events WHERE event_type <> 'click') SELECT r.user_id, r.event_id, c.event_id AS matched FROM r LEFT JOIN c ON r.user_id = c.user_id AND floor(r.value) = floor(c.value) AND r.n = c.n")
+@query(
+    "aud15_rank_matched",
+    "WITH r AS (SELECT user_id, floor(value) AS v, event_id, event_type = 'click' AS pending FROM events WHERE event_type IN ('click', 'view')), "
+    "c AS (SELECT user_id, floor(value) AS v, event_id, row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) AS n FROM events WHERE event_type NOT IN ('click', 'view')), "
+    "p AS (SELECT *, row_number() OVER (PARTITION BY user_id, v ORDER BY event_id) AS n FROM r WHERE pending), a AS (SELECT user_id, v, min(event_id) AS event_id FROM r GROUP BY 1, 2) "
+    "SELECT c.user_id, c.event_id, coalesce(p.event_id, a.event_id) AS matched FROM c LEFT JOIN p ON p.user_id = c.user_id AND p.v = c.v AND p.n = c.n LEFT JOIN a ON a.user_id = c.user_id AND a.v = c.v",
+)
 def aud15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as pending requests, views as answered ones, other events as calls, matched by user and whole value."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.floor("value").alias("value"), "event_id", "event_type")
-    requests = e.where("event_type = 'click'").select("session", "value", F.lit(True).alias("pending"), F.col("event_id").alias("ord"))
-    calls = e.where("event_type <> 'click'").select("session", "value", F.col("event_id").alias("released"), F.col("event_id").alias("ord"))
-    return A.match_calls(requests, calls).select(F.col("session").alias("user_id"), F.col("ord").alias("event_id"), F.col("released").alias("matched"))
+    asked = F.col("event_type").isin("click", "view")
+    requests = e.where(asked).select("session", "value", F.col("event_id").alias("root"), (F.col("event_type") == "click").alias("pending"), F.col("event_id").alias("ord"))
+    calls = e.where(~asked).select("session", "value", F.col("event_id").alias("released"), F.col("event_id").alias("ord"))
+    return A.match_calls(requests, calls).select(F.col("session").alias("user_id"), F.col("ord").alias("event_id"), F.col("root").alias("matched"))
 
 
 # Sessions: every release of a patient's roots is written out as a reply of one decimal, now and then unreadable.
