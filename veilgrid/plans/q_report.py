@@ -17,7 +17,7 @@ from ..operators import text as X
 from ..operators.derive import layered_sql
 from ..sources.tables import SECRET, patients, patients_sql, roots_table, table
 from .base import (
-    CLASSES, MECHANISMS, SETTINGS, allocations, allocations_sql, cells, cells_sql, observations, observations_sql, portable, query, results, results_sql, rounded, swept_entities,
+    CLASSES, MECHANISMS, SETTINGS, allocations, allocations_sql, cells, cells_sql, law_sql, observations, observations_sql, portable, query, results, results_sql, rounded, swept_entities,
 )
 from .catalog import DOMAINS, SYNONYMS, templates
 from .q_release import P
@@ -39,15 +39,16 @@ def repeats(spark: SparkSession, sf_dir: str, q: int = 4, config: str = "all", m
     """
     o = observations(spark, sf_dir, mechanism).where(f"config = '{config}' AND {where}").drop("idx", "released")
     if top_only:
-        best = allocations(spark).where(f"config = 'opt' AND {where}").groupBy("template", "b_setting", "eps").agg(F.max_by("root", F.struct(F.round("eps_root", 9), "root")).alias("root"))
+        best = allocations(spark, mechanism).where(f"config = 'opt' AND {where}").groupBy("template", "b_setting", "eps").agg(F.max_by("root", F.struct(F.round("eps_root", 9), "root")).alias("root"))
         o = o.join(F.broadcast(best), ["template", "b_setting", "eps", "root"], "left_semi")
     return A.repeated(o, mechanism, q, config != "all", paired=True)
 
 
 def repeats_sql(q: int = 4, config: str = "all", mechanism: str = "exp", where: str = AUDITED, name: str = "reps", head: str = O, top_only: bool = False) -> str:
+    law = f"_{mechanism}" if f"allocs_{mechanism} AS" in head else ""  # the law's own allocations, where the head has them
     index, value = R.release_sql(D, mechanism, ROOT[:1] + ("root", "patient_id"), "draw" if config == "all" else None)
-    only = f" AND (template, b_setting, eps, root) IN (SELECT template, b_setting, eps, max_by(root, (round(eps_root, 9), root)) FROM allocs WHERE config = 'opt' AND {where} GROUP BY 1, 2, 3)" if top_only else ""
-    return f"{head}, {name}_0 AS (SELECT obs0.*, draw FROM obs0 CROSS JOIN (SELECT unnest(range({q + 1})) AS draw) WHERE config = '{config}' AND {where}{only}), {name}_1 AS (SELECT *, {index} AS idx FROM {name}_0), {name} AS (SELECT *, {value} AS released FROM {name}_1)"
+    only = f" AND (template, b_setting, eps, root) IN (SELECT template, b_setting, eps, max_by(root, (round(eps_root, 9), root)) FROM allocs{law} WHERE config = 'opt' AND {where} GROUP BY 1, 2, 3)" if top_only else ""
+    return f"{head}, {name}_0 AS (SELECT o.*, draw FROM obs0{law} o CROSS JOIN (SELECT unnest(range({q + 1})) AS draw) WHERE config = '{config}' AND {where}{only}), {name}_1 AS (SELECT *, {index} AS idx FROM {name}_0), {name} AS (SELECT *, {value} AS released FROM {name}_1)"
 
 
 for _name, _how in (("aud1_repeated", {}), ("aud1_replayed", {"config": "roots"}), ("aud1_top_root", {"top_only": True})):
@@ -659,6 +660,8 @@ STRATEGIES = (("A", True), ("B", False))
 
 def _rpt11_sql() -> str:
     head, parts = O, []
+    for m in MECHANISMS[1:]:
+        head += f", {law_sql(m, f'allocs_{m}')}, obs0_{m} AS (SELECT p.patient_id, p.value, a.* FROM patients p JOIN allocs_{m} a USING (template, root))"
     for m in ("exp", "blap", "stair"):
         for s, top in STRATEGIES:
             limit = RECONSTRUCTED if m != "stair" else RECONSTRUCTED + " AND eps <= 0.1"
