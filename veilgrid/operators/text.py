@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .patterns import replace_all
+
 # Titles that are taken off names, in the order in which they are tried.
 TITLES = ["Prof ", "Prof.", "Prof", "Mrs. ", "Mrs ", "Mrs.", "Mrs", "Mr ", "Mr. ", "Mr.", "Mr", "Ms. ", "Ms.", "Ms", "Herr ", "Herrn ", "Frau ", "M. ", "Mme. ", "M ", "Mme ", "Madame ", "Monsieur ", '"', "[", "]", "\\ ", "Dr. ", "Dr.", "Miss ", "Miss"]
 # What entities look like.
@@ -72,22 +74,15 @@ def mapping(docs: DataFrame, kinds: Sequence[str], id_col: str = "doc_id", text_
     return out
 
 
-def folded(docs: DataFrame, pairs: DataFrame, old: str, new: str, id_col: str, text_col: str) -> DataFrame:
-    """Each document's text with every `old` replaced by its `new`, longer ones first, equal lengths in order."""
-    lists = pairs.groupBy(id_col).agg(F.sort_array(F.collect_set(F.struct((-F.length(old)).alias("l"), F.col(old).alias("a"), F.col(new).alias("b")))).alias("_vg_pairs"))
-    fold = F.aggregate("_vg_pairs", F.col(text_col), lambda t, p: F.replace(t, p["a"], p["b"]))
-    return docs.join(lists, id_col, "left").withColumn(text_col, F.when(F.col("_vg_pairs").isNull(), F.col(text_col)).otherwise(fold)).drop("_vg_pairs")
-
-
 def pseudonymise(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every entity replaced by its token, both in composed form (NFC)."""
+    """Every entity replaced by its token, both in composed form (NFC), in one pass: leftmost first, then longest."""
     nfc = pairs.withColumn("entity", composed("entity"))
-    return folded(docs.withColumn(text_col, composed(text_col)), nfc, "entity", "token", id_col, text_col)
+    return replace_all(docs.withColumn(text_col, composed(text_col)), nfc, "entity", "token", id_col, text_col)
 
 
 def restore(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every token replaced by its entity; a numeric token in any of number_forms."""
-    return folded(docs, with_number_forms(pairs), "token", "entity", id_col, text_col)
+    """Every token replaced by its entity, in one pass; a numeric token in any of number_forms."""
+    return replace_all(docs, with_number_forms(pairs), "token", "entity", id_col, text_col)
 
 
 def shifted_digits(number: Column, key: Column, secret: str = "veil") -> Column:

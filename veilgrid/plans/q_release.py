@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 from ..functions import mechanisms as N
 from ..functions.dialect import DUCK, SPARK, Dialect
 from ..operators import budget as B
+from ..operators import ranges as G
 from ..operators import release as R
 from ..operators.derive import bind, class_sql, derived_columns, edges, layered_sql, node_layers, sensitivity_columns, with_derived
-from ..sources import scratch
+from ..sources import scratch, sweeps
 from ..sources import tables as S
 from ..sources.tables import patients, patients_sql, table, wide, wide_sql
 from .base import BY, EPSILONS, allocations, allocations_sql, cells, cells_sql, observations, observations_sql, portable, query, rounded, swept_entities
@@ -31,19 +32,34 @@ def override(d: Dialect) -> str:
     return f"{d.uniform(chr(39) + 'turn' + chr(39), 'template', 'root', 'patient_id')} < {d.num(0.3)}"
 
 
-@query("src1_flatten", P + f" SELECT template, patient_id::VARCHAR AS patient_id, root AS node, round(CASE WHEN {override(D)} THEN value + 1 ELSE value END, 4) AS value FROM patients")
-def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The patients as a benchmark of one JSON object per template, in files, read back and flattened."""
+FLAT = P + f" SELECT template, patient_id::VARCHAR AS patient_id, root AS node, round(CASE WHEN {override(D)} THEN value + 1 ELSE value END, 4) AS value FROM patients"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patients as samples (template, id, turns); a second turn overrides some of the values."""
     p = patients(spark, sf_dir).withColumn("over", F.expr(override(SPARK)))
     first = F.map_from_entries(F.collect_list(F.struct("root", "value")))
     later = F.map_from_entries(F.collect_list(F.when(F.col("over"), F.struct("root", F.col("value") + 1))))
     turn = lambda m: F.struct(m.alias("private_value"))
-    samples = p.groupBy("template", F.col("patient_id").cast("string").alias("id")).agg(F.array(turn(first), turn(later)).alias("turns"))
+    return p.groupBy("template", F.col("patient_id").cast("string").alias("id")).agg(F.array(turn(first), turn(later)).alias("turns"))
+
+
+@query("src1_flatten", FLAT)
+def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patients as a benchmark of one JSON object per template, in files, read back and flattened."""
     path = scratch.new_folder(spark)
-    S.write_benchmark(samples, path)
+    S.write_benchmark(samples(spark, sf_dir), path)
     return rounded(S.read_benchmark(spark, path))
 
 
+@query("src1_lines", FLAT)
+def src1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in files of a sample per line, which can be split anywhere."""
+    path = scratch.new_folder(spark)
+    S.write_samples(samples(spark, sf_dir), path)
+    return rounded(S.read_samples(spark, path))
+
+
 STATS = """st AS (SELECT a.template, a.root, b.root AS other, count(*) AS n, avg(a.value) AS mean, stddev_pop(a.value) AS std, covar_pop(a.value, b.value) AS cov
     FROM patients a JOIN patients b ON a.template = b.template AND a.patient_id = b.patient_id GROUP BY 1, 2, 3)"""
 #: The diagonal of a 2 x 2 inverse, and the product of the inverse with its matrix for the others.
@@ -157,6 +173,28 @@ def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unfinished(work, done, ["c_custkey", "template"])
 
 
+SWEPT_T = "(value - lo) / (hi - lo) * 999"
+SWEPT = N.exponential(D, SWEPT_T, "eps", D.uniform("'sweep'", "template", "root", "patient_id"))
+
+
+@query("src8_resumed_sweep", f"{P}, g AS (SELECT p.*, lo, hi, e::DOUBLE AS eps FROM patients p JOIN roots USING (template, root) CROSS JOIN (VALUES {', '.join(f'({e})' for e in EPSILONS)}) b(e)) SELECT template, eps, count(*) AS n, sum({SWEPT})::BIGINT AS total FROM g GROUP BY 1, 2")
+def src8_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep over (template, eps) that stops after the first of three waves, is run again, and is read from its tree."""
+    p = patients(spark, sf_dir)
+    domains = spark.createDataFrame([(t, r, *DOMAINS[t][r]) for t, r, *_ in S.roots_table()], "template string, root string, lo double, hi double")
+    grid = p.select("template").distinct().crossJoin(F.broadcast(spark.createDataFrame([(e,) for e in EPSILONS], "eps double")))
+
+    def compute(todo: DataFrame) -> DataFrame:
+        rows = p.join(F.broadcast(domains), ["template", "root"]).join(todo, "template")
+        index = N.noise_index(SPARK, "exp", SWEPT_T, "eps", "'sweep'", "template", "root", "patient_id")
+        return rows.withColumn("idx", F.expr(index)).groupBy("template", "eps").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").cast("long").alias("total"))
+
+    path = scratch.new_folder(spark)
+    sweeps.sweep(grid, compute, path, ["template", "eps"], waves=3, most=1)
+    sweeps.sweep(grid, compute, path, ["template", "eps"], waves=3)
+    return sweeps.finished(path, compute(grid))
+
+
 @query("src9_reuse", TREE + "SELECT template, config, eps, q, round(wmape, 3) AS wmape FROM cells CROSS JOIN (VALUES (1), (4), (8), (16)) x(q) WHERE b_setting = 'k+1' AND (config <> 'all' OR q = 1)")
 def src9(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = cells(spark, sf_dir).where("b_setting = 'k+1'").select("template", "config", "eps", F.round("wmape", 3).alias("wmape"))
@@ -307,6 +345,20 @@ def cls2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("patient_id", F.expr(class_sql(SPARK, aip, "v")).cast("long").alias("class"))
 
 
+#: The cuts of the sweeps, and those of the sessions, where AIP has no class of its own at its lower cut.
+VARIANTS = {v: [(t.name, c, closed and not (v == "sessions" and t.name == "AIP")) for t in templates().values() if t.name in DOMAINS for c, closed in t.cuts] for v in ("sweeps", "sessions")}
+CUT_ROWS = ", ".join(f"('{v}', '{t}', {c!r}::DOUBLE, {closed})" for v, cuts in VARIANTS.items() for t, c, closed in cuts)
+
+
+@query("cls2_all_templates", f"{TRUTHS}, cuts(variant, template, cut, closed) AS (VALUES {CUT_ROWS}), v AS (SELECT template, patient_id, round(truth, 2) AS v FROM truths) SELECT variant, template, class, count(*) AS n FROM (SELECT variant, template, patient_id, count(*) FILTER (v > cut OR (v = cut AND closed)) AS class FROM v JOIN cuts USING (template) GROUP BY ALL) GROUP BY ALL")
+def cls2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every template's classes under both sets of cuts, of values with two digits, which meet the cuts."""
+    t = R.targets(patients(spark, sf_dir), ("patient_id",), "value", "truth").select("template", F.round("truth", 2).alias("v"))
+    keyed = t.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in VARIANTS]))).withColumn("key", F.concat("variant", F.lit(":"), "template"))
+    cuts = G.cut_table(spark, [(f"{v}:{name}", c, closed) for v, rows in VARIANTS.items() for name, c, closed in rows]).withColumnRenamed("template", "key")
+    return G.classified(keyed, cuts, "key", "v").groupBy("variant", "template", F.col("class").cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("cls3_class_equality", TREE + "SELECT template, config, eps, count(*) AS n, count(*) FILTER (truth_class = target_class) AS right_ones FROM results WHERE b_setting = '3k+1' GROUP BY ALL")
 def cls3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .base import results

@@ -15,6 +15,8 @@ from ..operators import metrics as M
 from ..operators import release as R
 from ..operators import text as X
 from ..operators.derive import layered_sql
+from ..operators.patterns import without_fragments
+from ..operators.ranges import range_join
 from ..sources.tables import SECRET, patients, patients_sql, roots_table, table
 from .base import (
     CLASSES, MECHANISMS, SETTINGS, allocations, allocations_sql, cells, cells_sql, law_sql, observations, observations_sql, portable, query, results, results_sql, rounded, swept_entities,
@@ -822,7 +824,25 @@ portable("jn5_rank_matched", lambda d: "SELECT a.o_custkey, a.o_orderkey, b.o_or
 portable("jn6_cross", lambda d: "SELECT r.r_name, c.c_mktsegment, count(*) AS n FROM {customer} c CROSS JOIN {region} r GROUP BY r.r_name, c.c_mktsegment", "customer", "region")
 portable("jn7_anti", lambda d: "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)", "customer", "orders")
 portable("jn8_self", lambda d: "SELECT a.o_orderpriority, a.n AS filled, b.n AS open FROM (SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1) a JOIN (SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_orderpriority = b.o_orderpriority", "orders")
-portable("jn9_interval", lambda d: f"SELECT b.class, count(*) AS n FROM {{orders}} o JOIN (SELECT 0 AS class, {d.num(0)} AS lo, {d.num(100000)} AS hi UNION ALL SELECT 1, {d.num(100000)}, {d.num(250000)} UNION ALL SELECT 2, {d.num(250000)}, {d.num(1e12)}) b ON o.o_totalprice >= b.lo AND o.o_totalprice < b.hi GROUP BY b.class", "orders")
+PRICED = "(VALUES (0, 0::DOUBLE, 100000::DOUBLE), (1, 100000, 250000), (2, 250000, NULL)) b(class, lo, hi)"
+
+
+@query("jn9_interval", f"SELECT class, count(*) AS n FROM orders JOIN {PRICED} ON o_totalprice >= lo AND (hi IS NULL OR o_totalprice < hi) GROUP BY class")
+def jn9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by class of price; the classes are intervals, closed below, the last without an end."""
+    classes = spark.createDataFrame([(0, 0.0, 100000.0, True, False), (1, 100000.0, 250000.0, True, False), (2, 250000.0, None, True, False)], "class int, lo double, hi double, lo_closed boolean, hi_closed boolean")
+    return range_join(table(spark, sf_dir, "orders").select("o_totalprice"), classes, "o_totalprice").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("jn9_overlapping", "SELECT c_custkey, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal AND (c_custkey % 3 = 0 OR s_acctbal <= c_acctbal + c_custkey % 2000) GROUP BY 1")
+def jn9_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers whose balance is above a customer's of their nation, by no more than the customer's own margin (some have none): intervals of all widths."""
+    margin = F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") + F.col("c_custkey") % 2000)
+    spans = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("lo"), margin.alias("hi"), F.lit(False).alias("lo_closed"), F.lit(True).alias("hi_closed"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_acctbal")
+    return range_join(s, spans, "s_acctbal", ["nation"]).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
+
+
 portable("win1_ordinal", lambda d: "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM {orders}", "orders")
 portable("win2_running", lambda d: "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS total FROM {events}", "events")
 portable("win3_share", lambda d: "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM {orders}", "orders")
@@ -831,5 +851,15 @@ portable("srt1_ordered", lambda d: "SELECT c_mktsegment, n, row_number() OVER (O
 portable("srt2_first_best", lambda d: "SELECT o_custkey, " + ("max_by(o_orderkey, struct(o_totalprice, -o_orderkey))" if d.spark else "max_by(o_orderkey, (o_totalprice, -o_orderkey))") + " AS best FROM {orders} GROUP BY o_custkey", "orders")
 portable("set1_distinct", lambda d: "SELECT DISTINCT c_nationkey, c_mktsegment FROM {customer}", "customer")
 portable("set2_union", lambda d: "SELECT c_nationkey AS k, 'customer' AS kind FROM {customer} UNION ALL SELECT s_nationkey, 'supplier' FROM {supplier}", "customer", "supplier")
-portable("set3_without_fragments", lambda d: "SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM (SELECT '99' AS f UNION ALL SELECT '#00000001' AS f) x WHERE instr(c.c_name, x.f) > 0)", "customer")
+FRAGMENTS = "(SELECT '99' AS fragment UNION SELECT right(s_name, 3) FROM supplier WHERE s_acctbal < 0)"
+
+
+@query("set3_without_fragments", f"SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM {FRAGMENTS} x WHERE contains(c.c_name, x.fragment))")
+def set3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose name holds none of the fragments, a table: the last digits of suppliers in debt, and one more."""
+    owing = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.expr("right(s_name, 3)").alias("fragment"))
+    fragments = owing.unionByName(spark.createDataFrame([("99",)], "fragment string"))
+    return without_fragments(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), fragments, "c_name")
+
+
 portable("set4_equality", lambda d: "SELECT a.c_nationkey, count(*) AS n FROM (SELECT c_nationkey, c_mktsegment FROM {customer} EXCEPT SELECT n_nationkey, 'BUILDING' FROM {nation}) a GROUP BY a.c_nationkey", "customer", "nation")

@@ -13,6 +13,7 @@ from ..operators import chat as C
 from ..operators import metrics as M
 from ..operators import text as X
 from ..operators.derive import with_derived
+from ..operators.patterns import without_fragments
 from ..operators.release import targets
 from ..sources import scratch
 from ..sources.tables import patients, patients_sql, table
@@ -97,6 +98,11 @@ def txt5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.entities(o, "money", "o_orderkey").select("o_orderkey", "entity")
 
 
+@query("txt5_money_documents", "SELECT doc_id, entity, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[a-zA-Z]', '', 'g'), '([-+]?\\d+(?:,\\d+)*(?:\\.\\d+)?)', 1)) AS entity FROM documents) GROUP BY 1, 2")
+def txt5d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.entities(docs(spark, sf_dir), "money").groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
 TITLED = "(['Dr. ', 'Mrs. ', 'Prof ', ''])[c_custkey % 4 + 1] || c_name"
 
 
@@ -150,7 +156,17 @@ def txt11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("template", "patient_id").agg(F.concat(F.lit("Values:\n"), F.array_join(lines, "\n")).alias("prompt"))
 
 
-portable("txt12_name_dictionary", lambda d: "SELECT x.name, count(*) AS n FROM (SELECT c_name AS name FROM {customer} UNION SELECT s_name FROM {supplier}) x WHERE instr(x.name, '9') = 0 GROUP BY x.name", "customer", "supplier")
+STOPS = "(SELECT n_name AS fragment FROM nation UNION SELECT right(c_name, 2) FROM customer WHERE c_acctbal < -990 UNION SELECT '#0000000077')"
+
+
+@query("txt12_name_dictionary", f"SELECT x.name, count(*) AS n FROM (SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier) x WHERE NOT EXISTS (SELECT 1 FROM {STOPS} f WHERE contains(x.name, f.fragment)) GROUP BY x.name")
+def txt12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names of customers and suppliers that hold none of the stop fragments, a table."""
+    c = table(spark, sf_dir, "customer")
+    names = c.select(F.col("c_name").alias("name")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))).distinct()
+    stops = table(spark, sf_dir, "nation").select(F.col("n_name").alias("fragment")).unionByName(c.where("c_acctbal < -990").select(F.expr("right(c_name, 2)").alias("fragment"))).unionByName(spark.createDataFrame([("#0000000077",)], "fragment string"))
+    return without_fragments(names, stops).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
 
 
 # Chat ---------------------------------------------------------------------------------------------------------------
@@ -233,12 +249,15 @@ def cht4(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams ------------------------------------------------------------------------------------------------------------
 
 
-def streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "append", batches: int = 4) -> DataFrame:
-    """The events as a stream of several files in order of time, a micro-batch each, run to its end into a table, and read."""
+def streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "append", batches: int = 4, delay: str = "0L") -> DataFrame:
+    """The events as a stream of several files in order of arrival, a micro-batch each, run to its end into a table, and read.
+
+    delay: SQL for the microseconds by which an event arrives after its time.
+    """
     events = table(spark, sf_dir, "events")
     source = scratch.new_folder(spark)
-    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.expr(delay)
+    low, high = events.agg(F.min(at), F.max(at)).first()
     width = ((high or 0) - (low or 0)) // batches + 1
     for k in range(batches):
         events.where((at >= (low or 0) + k * width) & (at < (low or 0) + (k + 1) * width)).coalesce(1).write.mode("append").parquet(source)
@@ -270,6 +289,17 @@ def str2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, spend).select("event_id", "user_id", "allowed")
 
 
+PASSED = "epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 86400000000 FROM events)"
+
+
+@query("str2_ledger_in_order", f"SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 50 AS allowed FROM events WHERE {PASSED}")
+def str2_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive up to 20 hours late, in other batches than their time's, are charged in order of their times once the watermark has passed them."""
+    own = ST.ledger_session(spark)
+    spend = lambda s: ST.charged_in_order(s.withColumn("eps", F.lit(0.1)).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "eps"), 5.0)
+    return streamed(own, sf_dir, spend, delay="pmod(xxhash64(event_id), 72000) * 1000000").select("event_id", "user_id", "allowed")
+
+
 @query("str3_windows", f"WITH {EVENT_SQL} SELECT epoch(date_trunc('day', ts))::BIGINT AS start, count(*) AS n, round(100 * sum(abs(released - value)) / sum(abs(value)), 3) AS wmape FROM rel GROUP BY 1")
 def str3(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ST.released_events(table(spark, sf_dir, "events"), EPS, LO, HI).withColumn("ts", F.col("ts").cast("timestamp"))

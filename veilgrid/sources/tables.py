@@ -42,6 +42,19 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return flatten_samples(samples.select("template", "s.id", "s.turns"))
 
 
+SAMPLE = "template string, id string, turns array<struct<private_value:map<string,double>>>"
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Samples (template, id, turns) as JSON, a sample per line: a file of any length can be split, and no task holds more than a sample."""
+    samples.select("template", "id", "turns").write.json(path)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files of a sample per line, flattened; lines that aren't samples, and samples without template or id, are left out."""
+    return flatten_samples(spark.read.schema(SAMPLE).json(path).where("template IS NOT NULL AND id IS NOT NULL"))
+
+
 def read_allocations(spark: SparkSession, path: str) -> DataFrame:
     """The allocation table from CSV with a header; eps_in may be missing."""
     raw = spark.read.csv(path, header=True)
