@@ -360,3 +360,12 @@ def test_pipeline(spark, sf_dir):
     ids = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()}
     every = docs.count()
     assert 0.7 * every < len(ids) <= every
+
+
+def test_a_document_without_id_hides_no_other_of_its_set(spark):
+    same = "one two three four five six"
+    df = spark.createDataFrame([(None, same), (7, same), (None, same + "  "), (9, "a b c d e f g"), (None, "h i j k l m n")], "doc_id long, text string")
+    got = sorted(((r.id, r.n_shingles, r.component_id) for r in similar_documents(df).collect()), key=str)
+    assert got == sorted([(None, 2, 7), (7, 2, 7), (None, 2, 7), (9, 3, 9), (None, 3, None)], key=str)
+    kept = [r.doc_id for r in one_of_each(df).collect()]
+    assert sorted(map(str, kept)) == ["7", "9", "None"]

@@ -290,7 +290,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     base = in_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     every = staged(shingled(base, k, percent))
-    first = F.min(F.struct("id", "tk")).alias("one")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("one")
     classes = every.where("n > 0").groupBy("digest", "n").agg(first, F.first("sketch").alias("sketch"))
     nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "one", "sketch"))
     spread = staged(candidate_blocks(nodes.select("node", "n", "sketch"), percent).join(nodes.select("node", "one"), "node"))
