@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,8 +177,13 @@ def train(features: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int],
     return LanguageModel(languages, table.astype(np.float32), bias, temperature, min(0.5, low), float(right.mean()) if len(y) else float("nan"), usual, spread, strange)
 
 
+def bucket_type(buckets: int) -> str:
+    """The type that features keep their buckets in."""
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
 def labelled_features(rows: DataFrame, buckets: int) -> DataFrame:
-    """(lang, h, idx, freq, n) of rows (lang, h, text): each whole text's features, as packed 32-bit buckets and frequencies, and its grams."""
+    """(lang, h, idx, freq, n) of rows (lang, h, text): each whole text's features, as packed buckets and 32-bit frequencies, and its grams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +192,7 @@ def labelled_features(rows: DataFrame, buckets: int) -> DataFrame:
                 grams, at = gram_buckets(run, buckets)
                 for k in range(len(run)):
                     u, n = np.unique(np.concatenate([g[at[k] : at[k + 1]] for g in grams]), return_counts=True)
-                    idx.append(u.astype("<i4").tobytes())
+                    idx.append(u.astype(bucket_type(buckets)).tobytes())
                     freq.append((n / n.sum()).astype("<f4").tobytes())
                     size.append(int(n.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(idx, pa.binary()), pa.array(freq, pa.binary()), pa.array(size, pa.int64())], ["lang", "h", "idx", "freq", "n"])
@@ -210,16 +216,18 @@ def train_languages(labelled: DataFrame, lang_col: str = "lang", text_col: str =
     for c in counts:
         within = within | ((F.col("lang") == c.lang) & (F.col("at") <= min(1.0, 1.1 * (per_language + 4 * per_language**0.5) / c.n)))
     picks = hashed.where(within).dropDuplicates(["lang", "h"])
-    # The features stay in the Arrow buffers that they come in.
-    table = labelled_features(picks, buckets).toArrow().combine_chunks().sort_by([("lang", "ascending"), ("h", "ascending")])
-    langs = table.column("lang").to_pylist()
+    # The features stay in the Arrow buffers that they come in; only their places are put in order.
+    table = labelled_features(picks, buckets).toArrow()
+    order = pc.sort_indices(table.select(["lang", "h"]), [("lang", "ascending"), ("h", "ascending")]).to_pylist()
+    langs, sizes = table.column("lang").to_pylist(), table.column("n").to_pylist()
     languages, taken = sorted(set(langs)), dict.fromkeys(langs, 0)
     features, labels = [], []
-    for lang, idx, freq, n in zip(langs, table.column("idx"), table.column("freq"), table.column("n").to_pylist(), strict=True):
-        if taken[lang] < per_language:
-            taken[lang] += 1
-            features.append((np.frombuffer(idx.as_buffer(), "<i4"), np.frombuffer(freq.as_buffer(), "<f4"), n))
-            labels.append(languages.index(lang))
+    for at in order:
+        if taken[langs[at]] < per_language:
+            taken[langs[at]] += 1
+            idx, freq = (np.frombuffer(table.column(c)[at].as_buffer(), kind) for c, kind in (("idx", bucket_type(buckets)), ("freq", "<f4")))
+            features.append((idx, freq, sizes[at]))
+            labels.append(languages.index(langs[at]))
     return train(features, labels, languages, buckets)
 
 
