@@ -271,3 +271,40 @@ def test_stated_errors(spark):
         A.request_plan(spark.createDataFrame([(1, 1)], "session int, t int"), ["glu"]).collect()
     with pytest.raises(Exception, match="needs a release"):
         spark.createDataFrame([(1, None)], "root int, idx long").groupBy("root").agg(A.lower_median().alias("idx")).collect()
+
+
+def test_sweep_draws_equal_sql(spark):
+    """The draws of sweeps over arrays and those of the SQL expressions, ends of the grid included."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from veilgrid.functions import draws
+    from veilgrid.functions import mechanisms as N
+    from veilgrid.functions.dialect import SPARK
+
+    rng = np.random.default_rng(3)
+    t = np.concatenate([rng.random(150) * 999, [0.0, 999.0, 500.0]])
+    u = np.concatenate([rng.random(150), [0.0, 0.5, 0.75]])
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(t, u, strict=True))], "k int, t double, u double")
+    for mechanism in ("exp", "blap", "stair"):
+        for eps in (0.005, 0.1, 5.0):
+            found = [r.s for r in rows.withColumn("s", F.expr(N.drawn(SPARK, mechanism, "t", SPARK.num(eps), "u"))).orderBy("k").collect()]
+            assert draws.drawn(mechanism, t, eps, u).astype(int).tolist() == found
+            value, budget, layers, index = N.steps(SPARK, mechanism, "t", SPARK.num(eps), "u")
+            staged = rows
+            for columns in (value | budget, *layers, {"s": index}):
+                staged = staged.withColumns({c: F.expr(x) for c, x in columns.items()})
+            assert [r.s for r in staged.orderBy("k").collect()] == found
+
+
+def test_entities_are_dealt(spark, sf_dir):
+    """One file of one row group isn't one task's work, and each sweep keeps a null value null."""
+    from veilgrid.operators.release import swept
+    from veilgrid.plans.catalog import templates
+    from veilgrid.sources.tables import entities
+
+    assert entities(spark, sf_dir).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame([(1, 100.0, 0.5, 10.0, 0.25), (2, None, 0.5, 10.0, 0.25)], "patient_id long, glu double, u_glu double, ins double, u_ins double")
+    cells = spark.createDataFrame([("all", "k+1", 0.1, 0.1, 0.1)], "config string, b_setting string, eps double, eps_glu double, eps_ins double")
+    found = {r.patient_id: r.target for r in swept({"HOMA": rows}, {"exp": {"HOMA": cells}}).collect()}
+    assert found[1] is not None and found[2] is None and templates()["HOMA"].target == "homa"
