@@ -308,3 +308,24 @@ def test_entities_are_dealt(spark, sf_dir):
     cells = spark.createDataFrame([("all", "k+1", 0.1, 0.1, 0.1)], "config string, b_setting string, eps double, eps_glu double, eps_ins double")
     found = {r.patient_id: r.target for r in swept({"HOMA": rows}, {"exp": {"HOMA": cells}}).collect()}
     assert found[1] is not None and found[2] is None and templates()["HOMA"].target == "homa"
+
+
+def test_reconstruction_equals_grouped_releases(spark, sf_dir):
+    """Releases drawn within a row are those that are exploded and grouped, and a customer that repeats counts once."""
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from veilgrid.operators.audit import lower_median
+    from veilgrid.plans import q_report as Q
+
+    folder = tempfile.mkdtemp(prefix="run-")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey BETWEEN 1 AND 20")
+    c.unionAll(c).write.parquet(f"{folder}/customer.parquet")
+    found = Q.root_errors(spark, folder, (1, 4), (4,), Q.AUDITED)
+    assert found.where("config = 'all' AND q = 4").count() == 20 * 21
+    for q in (1, 4):
+        old = Q.repeats(spark, folder, q).groupBy(*Q.ROOT).agg(F.avg("released").alias("mean"), F.first("value").alias("v"), lower_median().alias("idx"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        both = old.join(found.where(f"config = 'all' AND q = {q}"), list(Q.ROOT))
+        off = (F.abs(F.abs(F.col("mean") - F.col("v")) - F.col("naive")) > 1e-9) | (F.abs(F.abs(F.expr("lo + idx * (hi - lo) / 999") - F.col("v")) - F.col("map")) > 1e-9)
+        assert both.count() == 20 * 21 and both.where(off).count() == 0
