@@ -329,3 +329,10 @@ def test_reconstruction_equals_grouped_releases(spark, sf_dir):
         both = old.join(found.where(f"config = 'all' AND q = {q}"), list(Q.ROOT))
         off = (F.abs(F.abs(F.col("mean") - F.col("v")) - F.col("naive")) > 1e-9) | (F.abs(F.abs(F.expr("lo + idx * (hi - lo) / 999") - F.col("v")) - F.col("map")) > 1e-9)
         assert both.count() == 20 * 21 and both.where(off).count() == 0
+
+
+def test_one_page_reads_its_cells_once(spark, sf_dir):
+    """The page reads tables of the cells and the compliance, not the customers once per line."""
+    from veilgrid.plans import q_report as Q
+
+    assert not any("customer" in f for f in Q.rpt17(spark, sf_dir).inputFiles())
