@@ -141,3 +141,23 @@ def test_ledger_in_event_order_across_batches(spark, tmp_path, idle):
     assert got == want
     assert sum(ok for _, _, ok in got.values()) == (12 if idle is None else 24)
     assert ST.late_events(q.recentProgress) >= 1
+
+
+def test_range_totals(spark):
+    """Counts and sums over intervals equal those of all pairs: ends on values, open and empty intervals, keys that repeat, nulls; and no join of the two sides."""
+    import random
+
+    rng = random.Random(5)
+    values = [(rng.randrange(3), float(rng.randrange(-20, 60))) for _ in range(300)] + [(None, 1.0), (1, None), (2, float("nan"))]
+    spans = [(k % 150, rng.randrange(4), float(rng.randrange(-30, 70)), rng.choice([None, float(rng.randrange(-30, 70))])) for k in range(200)] + [(900, 1, None, 5.0), (901, None, 0.0, 5.0)]
+    want = {}
+    for k, g, lo, hi in spans:
+        for h, x in values:
+            if None not in (g, lo, x) and g == h and x > lo and (hi is None or x <= hi):
+                n, t = want.get(k, (0, 0.0))
+                want[k] = n + 1, t + x
+    v, s = spark.createDataFrame(values, "g int, x double"), spark.createDataFrame(spans, "k int, g int, lo double, hi double")
+    for segments in (1, 7, 256):
+        found = G.range_totals(v, s, "x", "k", "g", segments=segments)
+        assert {r.k: (r.n, round(r.total, 6)) for r in found.collect()} == {k: (n, round(t, 6)) for k, (n, t) in want.items()}
+    assert G.range_totals(v.limit(0), s, "x", "k", "g").count() == 0

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _number(c: Column) -> Column:
@@ -44,6 +45,41 @@ def range_join(values: DataFrame, intervals: DataFrame, value: str, on: Sequence
     return joined.where(above & below).drop("_vg_level", "_vg_bin", "_vg_v")
 
 
+def range_totals(values: DataFrame, intervals: DataFrame, value: str, key: str, on: str, lo: str = "lo", hi: str = "hi", segments: int = 256) -> DataFrame:
+    """(key, n, total): how many values are above an interval's lo and not above its hi, and their sum; without a pair of both.
+
+    The count and the sum up to each end are running ones, and an interval has the difference of its ends'; so the work
+    grows with the rows of both sides, not with their pairs. A null hi is open, a null lo holds nothing; intervals without
+    values are left out, and rows with the same key count together. Values and ends of a group are dealt to `segments`
+    ranges of equal width, each sorted by itself; what the earlier ranges hold is added from a table of totals.
+    """
+    v = values.where(_number(F.col(value).cast("double"))).select(F.col(on).alias("_vg_on"), F.col(value).cast("double").alias("_vg_x"), F.lit(0).alias("_vg_end"), F.col(value).cast("double").alias("_vg_v"), F.lit(None).cast(intervals.schema[key].dataType).alias(key))
+    v = v.where("_vg_on IS NOT NULL")
+    least, most = v.agg(F.min("_vg_x"), F.max("_vg_x")).first()
+    if least is None:
+        least = most = 0.0
+    # Ends beyond all values are as good as at the values' own ends; those below them come before every value.
+    low, high = F.col(lo).cast("double"), F.coalesce(F.col(hi).cast("double"), F.lit(math.inf))
+    ends = F.explode(F.array(*[F.struct(x.alias("x"), F.lit(sign).alias("end")) for x, sign in ((low, -1), (high, 1))])).alias("e")
+    kept = intervals.where(F.col(lo).isNotNull() & F.col(on).isNotNull() & (low < high))
+    e = kept.select(F.col(on).alias("_vg_on"), key, ends).select("_vg_on", F.col("e.x").alias("_vg_x"), F.col("e.end").alias("_vg_end"), F.lit(0.0).alias("_vg_v"), key)
+    width = (most - least) / segments or 1.0
+    clipped = F.greatest(F.least(F.col("_vg_x"), F.lit(most)), F.lit(least))
+    rows = v.unionByName(e).withColumn("_vg_s", F.least(F.floor((clipped - least) / width), F.lit(segments - 1)).cast("int"))
+    is_value = F.when(F.col("_vg_end") == 0, 1).otherwise(0)
+    held = rows.where("_vg_end = 0").groupBy("_vg_on", "_vg_s").agg(F.count(F.lit(1)).alias("_vg_n"), F.sum("_vg_v").alias("_vg_t"))
+    earlier = Window.partitionBy("_vg_on").orderBy("_vg_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # By range, what the ranges before it hold: a range's totals count from the next one on.
+    held = held.select("_vg_on", (F.col("_vg_s") + 1).alias("_vg_from"), F.sum("_vg_n").over(earlier).alias("_vg_n0"), F.sum("_vg_t").over(earlier).alias("_vg_t0"))
+    before = held.select("_vg_on", "_vg_from", "_vg_n0", "_vg_t0", F.coalesce(F.lead("_vg_from").over(Window.partitionBy("_vg_on").orderBy("_vg_from")), F.lit(segments + 1)).alias("_vg_to"))
+    before = before.select("_vg_on", "_vg_n0", "_vg_t0", F.explode(F.sequence("_vg_from", F.col("_vg_to") - 1)).alias("_vg_s"))
+    inside = Window.partitionBy("_vg_on", "_vg_s").orderBy("_vg_x", F.abs("_vg_end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select("_vg_on", "_vg_s", "_vg_end", key, F.sum(is_value).over(inside).alias("_vg_n"), F.sum("_vg_v").over(inside).alias("_vg_t")).where("_vg_end <> 0")
+    at = run.join(F.broadcast(before), ["_vg_on", "_vg_s"], "left")
+    n, total = (F.sum(F.col("_vg_end") * (F.col(f"_vg_{c}") + F.coalesce(f"_vg_{c}0", F.lit(0)))) for c in "nt")
+    return at.groupBy(key).agg(n.alias("n"), total.alias("total")).where("n > 0")
+
+
 def cuts_beyond(cuts: Column, value: Column) -> Column:
     """How many of the sorted cuts (array of cut, closed) the value is beyond, by binary search; a closed cut is beyond itself."""
     n = F.size(cuts)
