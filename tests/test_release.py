@@ -273,6 +273,19 @@ def test_stated_errors(spark):
         spark.createDataFrame([(1, None)], "root int, idx long").groupBy("root").agg(A.lower_median().alias("idx")).collect()
 
 
+def test_bootstrap_weighs_every_entity(spark):
+    """Resampled sums are those of a Poisson weight for each entity, not for a group of them, whatever number of groups a task holds."""
+    df = spark.range(60).select((F.col("id") % 20).alias("k"), (F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 1.5).alias("x"))
+    b = df.crossJoin(spark.range(13).select(F.col("id").cast("int").alias("b")))
+    weight = F.when(F.col("b") == 0, 1).otherwise(F.expr(M.poisson_weight(SPARK, M.digest_sql(SPARK, "k", f"(floor(b / {M.SHARED}) * {M.SHARED})"), "b")))
+    want = {(r.g, r.b): (r.n, r.x) for r in b.withColumn("w", weight).groupBy("g", "b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("x")).collect()}
+    found = M.resampled(df, "k", {"x": F.col("x")}, ("g",), 12).collect()
+    assert {(r.g, r._vg_b): (r._vg_s_n, pytest.approx(r._vg_s_x)) for r in found} == want
+    one = M.bootstrap(df, "k", {"x": F.col("x")}, {"mean": lambda s: s["x"] / s["n"]}, ("g",), 12, buckets=None).collect()
+    values = [want["0", k][1] / want["0", k][0] for k in range(1, 13)]
+    assert {r.g: r.se for r in one}["0"] == pytest.approx(np.std(values, ddof=1))
+
+
 def test_sweep_draws_equal_sql(spark):
     """The draws of sweeps over arrays and those of the SQL expressions, ends of the grid included."""
     import numpy as np
