@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilgrid.llm.language import identify, train_languages
+from veilgrid.llm.language import identify, train, train_languages
 
 FOREIGN = [
     "Съешь же ещё этих мягких французских булок, да выпей чаю.",
@@ -33,3 +33,18 @@ def test_held_out_text_stays(model_and_held):
     got = identify(held, model)
     assert got.where("rejected").count() <= 0.02 * got.count()
     assert 1e-3 < model.temperature
+
+
+def test_training_stays_finite():
+    """Texts of few grams, whose steps are long, among which labels are noisy: the loss stays below that of a guess."""
+    rng = np.random.default_rng(3)
+    features, labels = [], []
+    for k in range(800):
+        lang, size = k % 4, int(rng.integers(1, 4))
+        buckets = np.unique(rng.integers(0, 12, size) + 12 * lang)
+        freq = rng.dirichlet(np.full(len(buckets), 0.3)).astype("<f4")
+        features.append((buckets, freq, size))
+        labels.append(lang if rng.random() < 0.8 else int(rng.integers(4)))
+    model = train(features, labels, list("abcd"), 64)
+    assert np.isfinite(model.logits).all() and np.isfinite(model.bias).all()
+    assert model.held_out_accuracy > 0.7

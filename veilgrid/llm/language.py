@@ -151,10 +151,14 @@ def train(features: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int],
             mean = freq @ emb[idx]
             g = softmax(mean @ out + bias)
             g[labels[k]] -= 1
+            # A step moves the logits by lr * (|mean|^2 + 0.1 + |freq| * out' out) times g. Beyond twice g it would raise
+            # the text's loss, and steps that do so feed each other until the weights overflow.
+            norm = float(np.sqrt(freq @ freq))
+            lr = min(lr, 2 / (float(mean @ mean) + 0.1 + norm * float((out * out).sum())))
             back = out @ g
             out -= lr * np.outer(mean, g)
             bias -= 0.1 * lr * g
-            emb[idx] -= (lr * len(idx) ** 0.5 * freq)[:, None] * back
+            emb[idx] -= (lr / norm * freq)[:, None] * back
     table = emb @ out
     y = np.array([labels[k] for k in aside])
     z = np.array([features[k][1] @ table[features[k][0]] + bias for k in aside]) if len(aside) else np.zeros((0, len(languages)))
