@@ -212,6 +212,15 @@ def test_unfinished_components_fail(spark):
         components.connected_components(chain, rounds=1)
 
 
+def test_a_round_of_components_is_two_exchanges(spark, monkeypatch):
+    plans, write = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    edges = [(k, k + 1) for k in range(40)] + [(k, 41) for k in range(50, 90)] * 2
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {got[k] for k in range(41)} == {0} and {got[k] for k in range(50, 90)} == {got[41]} == {41}
+    assert len(plans) > 2 and {p.count("Exchange hashpartitioning") for p in plans[1:]} == {2}
+
+
 def test_very_long_texts(spark):
     """One byte repeated, and a text of many pieces with a passage of another: memory is bounded by pieces, not by contexts times texts."""
     rng = np.random.default_rng(1)

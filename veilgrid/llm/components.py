@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import staged
 
 
-def least_neighbour(directed: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and all its v."""
-    least = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return directed.join(least, "u")
+def rows_of(*structs: Column) -> Column:
+    return F.inline(F.array(*structs))
+
+
+def pair(u: Column, v: Column, *more: Column) -> Column:
+    return F.struct(u.alias("u"), v.alias("v"), *more)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -19,25 +22,24 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large star: each node points its larger neighbours at its least one; small star: its smaller ones and itself. Both
     keep the components and shorten the paths, in a number of rounds that grows with the logarithm of the longest; more
-    than `rounds` of them fail the job rather than give unfinished components.
-    Every step is a join and an aggregate over edges, so no component is ever gathered in a task. Loops (u = v) keep
-    single nodes; null ends are left out.
+    than `rounds` of them fail the job rather than give unfinished components. A round is two exchanges by node, and is
+    the last one if no edge moves.
+    Every step is a window over a node's edges, which spills, so no component is ever gathered in a task's memory. Loops
+    (u = v) keep single nodes; null ends are left out.
     """
-    edges = staged(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct())
-    loops = edges.where("u = v").select("u")
+    edges = staged(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u IS NOT NULL AND v IS NOT NULL"))
+    loops = edges.where("u = v").select("u").distinct()
     e = edges.where("u <> v")
-    before = None
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    least = F.least("u", F.min("v").over(Window.partitionBy("u")))
     for _ in range(rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = e.select(rows_of(pair(u, v), pair(v, u))).repartition("u").dropDuplicates(["u", "v"])
+        large = both.withColumn("m", least).where("v > u").select(v.alias("u"), m.alias("v"), (m != u).alias("moved"))
         # (u, v) with v < u now; small star
-        star = least_neighbour(large)
-        small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = staged(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before or not now[0]:
+        star = large.withColumn("m", least).withColumn("moved", F.col("moved") | (v != m))
+        e = staged(star.select(rows_of(pair(m, v, F.col("moved")), pair(m, u, F.col("moved")))).where("u <> v"))
+        if not e.agg(F.max("moved")).first()[0]:
             break
-        before = now
     else:
         raise RuntimeError(f"components unfinished after {rounds} rounds")
     roots = e.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
