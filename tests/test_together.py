@@ -36,6 +36,15 @@ def test_no_release_is_shuffled(spark, sf_dir, name):
     assert "hashpartitioning(c_custkey" in plan and "hashpartitioning(template" not in plan and "hashpartitioning(patient_id" not in plan
 
 
+def test_target_estimates_shuffle_keys_only(spark, repeating, sf_dir):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{repeating}/customer.parquet/*.parquet'")
+    name = "aud12_target_estimates"
+    assert rows(registry.queries()[name](spark, repeating).toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).df())
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(c_custkey" in plan and "hashpartitioning(template" not in plan and "hashpartitioning(patient_id" not in plan
+
+
 def test_equal_cells_are_released_once(spark):
     """The config all has the same budgets under every setting."""
     for cells in cell_rows(spark).values():
