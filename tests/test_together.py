@@ -45,6 +45,14 @@ def test_target_estimates_shuffle_keys_only(spark, repeating, sf_dir):
     assert "hashpartitioning(c_custkey" in plan and "hashpartitioning(template" not in plan and "hashpartitioning(patient_id" not in plan
 
 
+@pytest.mark.parametrize("name", ["cls1_risk_class", "cls2_all_templates", "aud13_errors"])
+def test_keys_are_dealt_before_they_are_distinct(spark, sf_dir, name):
+    """A task that reads a file aggregates none of its keys."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    reads = [k for k, line in enumerate(plan) if "Exchange hashpartitioning(c_custkey" in line]
+    assert reads and not any("HashAggregate" in plan[k + 1] for k in reads)
+
+
 def test_equal_cells_are_released_once(spark):
     """The config all has the same budgets under every setting."""
     for cells in cell_rows(spark).values():
