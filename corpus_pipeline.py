@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take passages of 400 bytes and more that occur elsewhere out of the documents."""
-    return with_text(remove_repeats(docs, as_text=True).withColumn("text", F.col("kept")))
+    """Take passages of 200 bytes and more that occur elsewhere out of the documents: all of over 50 words, if these have three letters on average."""
+    return with_text(remove_repeats(docs, span=200, gram=40, as_text=True).withColumn("text", F.col("kept")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

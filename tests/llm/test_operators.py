@@ -188,6 +188,21 @@ def test_suffix_dedup(spark, local):
     assert [got[k] for k in range(len(texts))] == removed(texts, 400)
 
 
+def test_passages_of_over_fifty_words_go(spark, local):
+    """Of 51 short words there are under 400 bytes."""
+    import corpus_pipeline
+
+    words = "the law of the sea was old and few who had met it did so twice for the men that ran it saw to that and kept the old ways in a book so big that none of them could lift it with one hand or read it by the light of day".split()
+    passage = " ".join(words[:51])
+    texts = [f"{t} {passage} {t[::-1]}" if k < 2 else t for k, (_, t) in enumerate(local[:12])]
+    assert len(words) >= 51 and 200 <= len(passage) < 250 and all(passage not in t for t in texts[2:])
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, df, "").collect()}
+    expected = [kept.decode("utf-8", "ignore") for *_, kept in removed(texts, 200)]
+    assert [got[k] for k in range(len(texts))] == expected
+    assert all(passage[5:-5] not in t for t in got.values())
+
+
 def test_wide_anchor_by_windows(spark):
     from veilgrid.llm.suffix_dedup import repeated_spans
 
