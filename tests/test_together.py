@@ -4,9 +4,12 @@ import tempfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from test_oracles import rows
+from veilgrid.operators.audit import lower_medians
 from veilgrid.operators.release import numbered
+from veilgrid.plans import q_report as Q
 from veilgrid.plans import registry
 from veilgrid.plans.base import cell_rows
 
@@ -58,3 +61,29 @@ def test_equal_cells_are_released_once(spark):
     for cells in cell_rows(spark).values():
         found = numbered(cells)
         assert len(found) == 90 and len({k for k, c in found if c.config == "all"}) == 10
+
+
+def test_errors_are_summed_where_they_are_drawn(spark, sf_dir, repeating):
+    """One read of the customers serves every law, config, eps and strategy; tasks return sums, equal to those of a row per root and q."""
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{repeating}/customer.parquet/*.parquet'")
+    name = "rpt11_by_draws"
+    assert rows(registry.queries()[name](spark, repeating).toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).df())
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("MapInArrow") == 1
+    keys, where = ["template", "root", "config", "eps", "q"], f"{Q.RECONSTRUCTED} AND eps <= 0.1"
+    for law in ("exp", "blap", "stair"):
+        sums = [F.sum(F.abs("value")).alias("value"), F.sum("naive").alias("naive"), F.sum("map").alias("map")]
+        each = {tuple(r[:5]): r[5:] for r in Q.root_errors(spark, repeating, Q.QS, Q.QS, where, law).groupBy(*keys).agg(*sums).collect()}
+        summed = {tuple(r[:5]): r[5:] for r in Q.drawn(spark, repeating, {law: where}).groupBy(*keys).agg(*sums).collect()}
+        assert summed.keys() == each.keys() and len(each) > 100
+        for k, x in each.items():
+            assert summed[k] == pytest.approx(x, rel=1e-9, abs=1e-9)
+
+
+def test_lower_medians_of_every_prefix():
+    import numpy as np
+
+    idx = np.random.default_rng(5).integers(0, 9, (17, 200)).astype(np.int16)
+    for n, found in lower_medians(idx, (1, 2, 5, 9, 16, 17)).items():
+        assert (found == np.sort(idx[:n], axis=0)[(n + 1) // 2 - 1]).all()
